@@ -1,26 +1,23 @@
 """License scan: MinHash bands over overlapping text windows, then exact containment.
 
 A text's words (lower case, letters and digits only) form five-word shingles. A
-window is ``WINDOW`` neighbouring shingles; a new one starts every ``STRIDE``.
-Templates are cut into windows at every shingle, so an exact passage of at least
-``WINDOW + STRIDE - 1`` shingles holds a window equal to a template's; a shorter
-template lies whole inside one text window, with a similarity of at least 1/4.
-With ``BANDS`` bands of one row, such a pair collides with probability
-1 - (3/4)**BANDS, 0.99 for 16 bands, and equal windows always do.
-
-A band's minimum is taken over ``hash XOR mask``. Bands are compared inside the
-scan against the templates' few hundred band values, so only colliding windows
-leave it; no document is shuffled.
+window is ``WINDOW`` neighbouring shingles, and one starts at every shingle, so
+windows overlap. Templates are cut the same way: an exact passage of two
+shingles or more holds windows equal to a template's, which always collide; a
+template of one shingle lies in windows of similarity 1/2. With ``BANDS`` bands
+of one row, such a pair collides with probability 1 - 2**-BANDS, 0.996 for 8.
+
+A band's minimum is taken over ``hash XOR mask``. It is compared inside the scan
+with the templates' few hundred band values, so only colliding windows leave it;
+no document is shuffled.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE, WINDOW, STRIDE, BANDS = 5, 4, 2, 16
+SHINGLE, WINDOW, BANDS = 5, 2, 8
 
 #: Notices as their stewards word them.
 TEMPLATES = {
@@ -49,6 +46,11 @@ def masks(bands: int) -> list[int]:
     return out
 
 
+def literal(value: int) -> str:
+    """``value`` in SQL; the least long has no literal of its own."""
+    return f"{value}L" if value > -(1 << 63) else f"({value + 1}L - 1L)"
+
+
 def normal(text: Column) -> Column:
     """Lower case words of letters and digits, parted by one blank."""
     return F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
@@ -68,11 +70,21 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return tokens.where(F.size("_tokens") >= SHINGLE).select("license", "_tokens", F.array_distinct(parts).alias("shingles"))
 
 
-def band_values(templates: DataFrame, bands: int) -> list[tuple[str, list[int]]]:
-    """For every template window, the minimum in each band: rows bounded by the words of the templates."""
-    starts = templates.select("license", "_tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_tokens") - SHINGLE - WINDOW + 1))).alias("_at"))
-    mins = [F.least(*[shingle_hash(F.col("_tokens"), F.col("_at") + k).bitwiseXOR(F.lit(m)) for k in range(WINDOW)]) for m in masks(bands)]
-    return [(r["license"], r["mins"]) for r in starts.select("license", F.array(*mins).alias("mins")).collect()]
+def windows(texts: DataFrame, bands: int) -> DataFrame:
+    """``texts`` (with ``_tokens``) by window and band: start ``_at``, and the band's minimum as ``_least``.
+
+    inline() of one struct keeps the optimizer from hashing anew in every use of a hash.
+    """
+    starts = texts.select("*", F.explode(F.sequence(F.lit(0), F.size("_tokens") - SHINGLE)).alias("_at"))
+    hashes = F.struct(*[shingle_hash(F.col("_tokens"), F.col("_at") + k).alias(f"_h{k}") for k in range(WINDOW)])
+    hashed = starts.select("*", F.inline(F.array(hashes)))
+    banded = hashed.select("*", F.explode(F.array(*map(F.lit, masks(bands)))).alias("_mask"))
+    return banded.withColumn("_least", F.least(*[F.col(f"_h{k}").bitwiseXOR(F.col("_mask")) for k in range(WINDOW)]))
+
+
+def band_values(templates: DataFrame, bands: int) -> list[tuple[str, int]]:
+    """The minima of every template window: rows bounded by the words of the templates."""
+    return sorted((r["license"], r["_least"]) for r in windows(templates, bands).select("license", "_least").distinct().collect())
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, bands: int = BANDS) -> DataFrame:
@@ -90,19 +102,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     found = band_values(table, bands)
     if len({name for name, _ in found}) != len(given):
         raise ValueError(f"templates need at least {SHINGLE} words")
-    postings = spark.createDataFrame(sorted({(b, v[b], name) for name, v in found for b in range(bands)}), "band int, value long, license string")
-    names = postings.groupBy("band", "value").agg(F.collect_set("license").alias("_licenses"))
+    names = spark.createDataFrame(found, "license string, _least long").groupBy("_least").agg(F.collect_set("license").alias("_licenses"))
 
     text = docs.select(F.col("doc_id").alias("doc_id"), normal(F.col("text")).alias("_text"))
     tokens = text.select("doc_id", "_text", F.split("_text", " ").alias("_tokens")).where(F.size("_tokens") >= SHINGLE)
-    starts = tokens.select("doc_id", "_text", "_tokens", F.explode(F.sequence(F.lit(0), F.size("_tokens") - SHINGLE, F.lit(STRIDE))).alias("_at"))
-    hashes = F.struct(*[shingle_hash(F.col("_tokens"), F.col("_at") + k).alias(f"_h{k}") for k in range(WINDOW)])
-    # inline() of one struct keeps the optimizer from hashing anew in every use of a hash.
-    windows = starts.select("doc_id", "_text", "_at", F.inline(F.array(hashes)))
-    least = [F.least(*[F.col(f"_h{k}").bitwiseXOR(F.lit(m)) for k in range(WINDOW)]) for m in masks(bands)]
-    hit = [least[b].isin(sorted({v[b] for _, v in found})) for b in range(bands)]
-    hits = windows.where(reduce(lambda a, b: a | b, hit))
-    pairs = hits.select("doc_id", "_text", "_at", F.posexplode(F.array(*least)).alias("band", "value")).join(F.broadcast(names), ["band", "value"])
+    hits = windows(tokens, bands).where("_least IN (" + ", ".join(sorted({literal(v) for _, v in found})) + ")")
+    pairs = hits.select("doc_id", "_text", "_at", "_least").join(F.broadcast(names), "_least")
     once = pairs.select("doc_id", "_text", "_at", F.explode("_licenses").alias("license"))
     spaced = F.concat(F.lit(" "), F.col("_text"), F.lit(" "))
     held = F.size(F.filter("shingles", lambda s: F.contains(spaced, F.concat(F.lit(" "), s, F.lit(" ")))))

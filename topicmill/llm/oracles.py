@@ -34,8 +34,8 @@ FROM ds JOIN ts USING (s) JOIN n USING (license) GROUP BY 1, 2 HAVING count(*) /
 QUALITY = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 w AS (SELECT doc_id, x, regexp_extract_all(x, {_RUN}) AS w, string_split(x, chr(10)) AS l FROM t),
-judged AS (SELECT *, list_filter(l, s -> regexp_matches(s, '[^\x20\x09-\x0D]')) AS full_lines,
-  list_filter(l, s -> NOT regexp_matches(s, '[^\x20\x09-\x0D]') OR NOT (
+judged AS (SELECT *, list_filter(l, lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS full_lines,
+  list_filter(l, lambda s: NOT regexp_matches(s, '[^\x20\x09-\x0D]') OR NOT (
     len(regexp_extract_all(s, {quoted(MARKS)})) > 0.3 * greatest(len(regexp_extract_all(s, {_RUN})), 1)
     OR len(regexp_extract_all(s, {quoted(SEPARATORS)})) >= 2
     OR (length(s) < 200 AND regexp_matches(s, {quoted(STOCK)})))) AS kept_lines FROM w),
