@@ -1,6 +1,6 @@
 """License scan: MinHash bands over overlapping text windows, then exact containment.
 
-A text's words (lower case, letters and digits only) form five-word shingles. A
+A text's words (lower case, without punctuation) form five-word shingles. A
 window is ``WINDOW`` neighbouring shingles, and one starts at every shingle, so
 windows overlap. Templates are cut the same way: an exact passage of two
 shingles or more holds windows equal to a template's, which always collide; a
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE, WINDOW, BANDS = 5, 2, 8
+#: What parts words: all below the letters of Latin-1 but a-z and 0-9, and general punctuation.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\xBF\x{2000}-\x{206F}]+"
 
 #: Notices as their stewards word them.
 TEMPLATES = {
@@ -52,8 +54,8 @@ def literal(value: int) -> str:
 
 
 def normal(text: Column) -> Column:
-    """Lower case words of letters and digits, parted by one blank."""
-    return F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    """Lower case words without ASCII, Latin-1 and general punctuation, parted by one blank."""
+    return F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BETWEEN, " "))
 
 
 def shingle_hash(tokens: Column, at: Column) -> Column:

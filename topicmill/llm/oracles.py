@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import CLOSE, ESCAPES, NAME_END, OPEN, PART
-from .licenses import TEMPLATES
+from .licenses import BETWEEN, TEMPLATES
 from .quality import MARKS, SEPARATORS, STOCK, SYMBOLS
 
 
@@ -17,7 +17,7 @@ def _escaped(column: str, rules) -> str:
     return column
 
 
-_NORMAL = r"trim(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_NORMAL = "trim(regexp_replace(lower(coalesce({}, '')), " + quoted(BETWEEN).replace("{", "{{").replace("}", "}}") + ", ' ', 'g'))"
 _RUN = r"'[^\x20\x09-\x0D]+'"
 
 LICENSES = f"""
