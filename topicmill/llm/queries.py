@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import chat, licenses, quality, sharding, urls
+from . import chat, licenses, ngrams, quality, sharding, simhash, urls
 from .oracles import ORACLES
 
 
@@ -24,6 +24,15 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), table(spark, folder, "labels"))
 
 
+def op7_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.components(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_ngram_score(spark: SparkSession, folder: str) -> DataFrame:
+    return ngrams.score(table(spark, folder, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(table(spark, folder, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
@@ -45,4 +54,4 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_sharding, op5_url_filter, op9_quality_rules, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_sharding, op5_url_filter, op7_simhash_neardup, op8_ngram_score, op9_quality_rules, op10_chat_format)}
