@@ -64,16 +64,14 @@ def read_tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     known: dict[bytes, int] = {}
     end, parts, sizes = token_hash(END.encode()), [], []
     for text in texts:
-        row = []
-        for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
-            h = known.get(w)
-            if h is None:
-                if len(known) > 200_000:
-                    known.clear()
-                h = known[w] = token_hash(w)
-            row.append(h)
-        row.append(end)
-        parts.append(np.array(row, np.uint64))
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if len(known) > 200_000:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = token_hash(w)
+        row = np.full(len(words) + 1, end, np.uint64)
+        row[:-1] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        parts.append(row)
         sizes.append(len(row))
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.array(sizes, np.int64)
 

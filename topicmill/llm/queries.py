@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import chat, licenses, ngrams, quality, sharding, simhash, urls
+from . import chat, leaks, licenses, ngrams, quality, sharding, simhash, urls
 from .oracles import ORACLES
 
 
@@ -24,6 +24,11 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), table(spark, folder, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = leaks.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "first_word")
+
+
 def op7_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.components(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,4 +59,4 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_sharding, op5_url_filter, op7_simhash_neardup, op8_ngram_score, op9_quality_rules, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_sharding, op5_url_filter, op6_decontamination, op7_simhash_neardup, op8_ngram_score, op9_quality_rules, op10_chat_format)}
