@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import chat, leaks, licenses, ngrams, quality, sharding, simhash, urls
+from . import chat, leaks, licenses, ngrams, pii, quality, sharding, simhash, urls
 from .oracles import ORACLES
 
 
@@ -15,6 +15,10 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "license", F.round("containment", 6).alias("containment"))
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
+
+
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     first = sharding.start_map(spark, 24)
     return sharding.place(table(spark, folder, "documents"), first, sharding.grow(first, 24))
@@ -59,4 +63,4 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_sharding, op5_url_filter, op6_decontamination, op7_simhash_neardup, op8_ngram_score, op9_quality_rules, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pii, op3_sharding, op5_url_filter, op6_decontamination, op7_simhash_neardup, op8_ngram_score, op9_quality_rules, op10_chat_format)}

@@ -92,7 +92,7 @@ def flips(bits: list[int], radius: int) -> list[np.ndarray]:
 class Plan:
     """The fitted index: partitions, counts of folded partition values, and the limit for hot values.
 
-    Tables have 2**fold entries a partition, and fold is at most 20. They steer
+    Tables have 2**fold entries a partition, and fold is at most 18. They steer
     costs only: any plan finds the same links.
     """
 
@@ -188,7 +188,7 @@ def fit(codes: DataFrame, sample: int = 100_000, hot: int = 64, parts: int = PAR
     some = np.array([r[0] for r in codes.orderBy(F.xxhash64("code"), "code").limit(sample).collect()], np.int64).view(np.uint64)
     total = codes.count()
     groups = group_bits(some, parts) if len(some) > 1 else [list(range(64))[k::parts] for k in range(parts)]
-    fold = int(min(20, min(map(len, groups)), max(14, total.bit_length())))
+    fold = int(min(18, min(map(len, groups)), max(14, total.bit_length())))
     plan = Plan(groups, fold, np.zeros((parts, 1 << fold), np.int32), hot)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +199,8 @@ def fit(codes: DataFrame, sample: int = 100_000, hot: int = 64, parts: int = PAR
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), p, np.int8)), pa.array(value), pa.array(n)], ["part", "value", "n"])
 
     counted = codes.mapInArrow(tally, "part byte, value long, n long").groupBy("part", "value").agg(F.sum("n").alias("n"))
-    # Rows by the size of the tables, 2**20 a partition at most; values seen once matter to no choice.
-    for part, value, n in counted.where("n > 1").collect():
+    # Rows by the size of the tables, 2**18 a partition at most; values seen once or twice matter to no choice.
+    for part, value, n in counted.where("n > 2").collect():
         plan.counts[part, value] = min(n, 2**31 - 1)
     return plan
 
