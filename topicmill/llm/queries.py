@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import chat, leaks, licenses, ngrams, pii, quality, sharding, simhash, urls
+from . import chat, leaks, licenses, ngrams, pieces, pii, quality, sharding, simhash, urls
 from .oracles import ORACLES
 
 
@@ -24,6 +24,10 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(table(spark, folder, "documents"), first, sharding.grow(first, 24))
 
 
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trips(table(spark, folder, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), table(spark, folder, "labels"))
 
@@ -63,4 +67,4 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pii, op3_sharding, op5_url_filter, op6_decontamination, op7_simhash_neardup, op8_ngram_score, op9_quality_rules, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pii, op3_sharding, op4_sentencepiece, op5_url_filter, op6_decontamination, op7_simhash_neardup, op8_ngram_score, op9_quality_rules, op10_chat_format)}
