@@ -255,7 +255,7 @@ def sentence_links(spark, folder):
 
 @query
 def keyword_dedup(spark, folder):
-    k = F.concat("keywords", F.transform("keywords", F.upper))
+    k = F.concat("keywords", F.transform("keywords", lambda x: F.replace(x, F.lit("e"), F.lit("E"))))
     return papers(spark, folder).select("doc_id", T.unique_ignoring_case(k).cast("bigint").alias("n_unique"), F.array_join(T.distinct_first(F.col("keywords")), " ").alias("first"), F.array_join(T.keywords_normal(k), " ").alias("normal"))
 
 
