@@ -35,6 +35,17 @@ def set_up_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(folder)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python ``rows`` at a time, unless the session sets a number of its own.
+
+    Spark's default of 10,000 rows is meant for short rows; with texts, a batch
+    and its copies would hold a good part of a worker's memory.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back from it."""
     set_up_checkpoints(df.sparkSession)

@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 SHINGLE, THRESHOLD, RADIUS, LARGEST = 5, 0.8, 15, 200
 ITEM_BLOCK = 2048
 CHUNK = 200_000
@@ -53,7 +55,7 @@ class Shingler:
         if not tokens:
             return np.zeros(0, np.uint64)
         known = self.words
-        if len(known) > 300_000:
+        if len(known) > 200_000:
             known.clear()
         for w in set(tokens).difference(known):
             known[w] = xxhash.xxh64_intdigest(w, 5)
@@ -208,6 +210,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, ra
     searched each; an id that several items share is reported once for each.
     Other columns are not read. An empty benchmark gives no rows.
     """
+    bound_batches(docs.sparkSession)
     given = docs.select("doc_id", "text")
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, similarity double, first_word long"
     out = None
@@ -226,6 +229,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, ra
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` in which ``find`` finds nothing, with all their columns."""
+    bound_batches(docs.sparkSession)
     for items in blocks_of_items(benchmark):
 
         def keep(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:

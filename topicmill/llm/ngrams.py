@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import bound_batches, checkpointed
 
 #: Pre-hashed tokens that no word can equal, as words hold no blanks.
 END, START = " end", " start"
@@ -198,7 +198,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, strength: float = ST
     text where rows are held out. Repeated rows count as often as they occur.
     Without training rows all counts are 0. Other columns are not read.
     """
-    spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == held
     rows = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"), held_out.alias("held_out"))

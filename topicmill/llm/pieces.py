@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PARTS = re.compile(r" [^ \n]*|\n|[^ \n]+")
 BASE = 0x9E3779B97F4A7C15 | 1
 BYTE_SCORE = -25.0
-CACHE, CELLS = 500_000, 1 << 18
+CACHE, CELLS = 300_000, 1 << 16
 
 
 def read_model(path: str = MODEL) -> list[tuple[str, float, int]]:
@@ -61,7 +63,7 @@ class Vocabulary:
         self.keys, self.ids, self.scores = keys[order], np.array([i for i, _ in kept])[order], values[order]
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces share a hash")
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def _key(self, text: str) -> int:
         h = 0
@@ -130,7 +132,7 @@ class Vocabulary:
                         spelt += [self.bytes[b] for b in word[at].encode("utf-8", "surrogatepass")]
                         at += 1
                 ids = np.array(spelt, np.int32)
-            self.known[word] = ids
+            self.known[word] = ids.tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Encode ``words``, those of one length together, in steps of bounded memory."""
@@ -147,8 +149,7 @@ class Vocabulary:
         if len(self.known) > CACHE:
             self.known.clear()
         self.learn({w for parts in cut for w in parts}.difference(self.known))
-        none = np.zeros(0, np.int32)
-        return [np.concatenate(list(map(self.known.__getitem__, parts))) if parts else none for parts in cut]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.int32) for parts in cut]
 
     def decode(self, ids: list[int] | np.ndarray | None) -> str:
         data = b"".join(map(self.spelt.__getitem__, ids if ids is not None else ()))
@@ -174,6 +175,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     Rows are encoded one by one, so repeated rows agree; other columns are not read.
     """
     pieces = read_model(model)
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +196,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``encoded`` with ``token_ids`` turned back to ``text``, other columns as they are; null is the empty text."""
     pieces = read_model(model)
+    bound_batches(encoded.sparkSession)
     at = encoded.columns.index("token_ids")
     fields = [("text" if f.name == "token_ids" else f.name, "string" if f.name == "token_ids" else f.dataType.simpleString()) for f in encoded.schema]
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import bound_batches, checkpointed
 from .components import roots
 
 RADIUS, PARTS, SHINGLE, SEED = 2, 3, 3, 42
@@ -55,6 +55,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def with_codes(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``code``, the fingerprint as a signed long, of each row."""
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def code(texts: pd.Series) -> pd.Series:
