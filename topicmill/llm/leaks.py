@@ -33,7 +33,7 @@ from .common import bound_batches
 
 SHINGLE, THRESHOLD, RADIUS, LARGEST = 5, 0.8, 15, 200
 ITEM_BLOCK = 2048
-CHUNK = 200_000
+CHUNK = 100_000
 ONES = np.uint64(0x0101010101010101)
 
 
@@ -55,7 +55,7 @@ class Shingler:
         if not tokens:
             return np.zeros(0, np.uint64)
         known = self.words
-        if len(known) > 200_000:
+        if len(known) > 150_000:
             known.clear()
         for w in set(tokens).difference(known):
             known[w] = xxhash.xxh64_intdigest(w, 5)

@@ -30,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PARTS = re.compile(r" [^ \n]*|\n|[^ \n]+")
 BASE = 0x9E3779B97F4A7C15 | 1
 BYTE_SCORE = -25.0
-CACHE, CELLS = 300_000, 1 << 16
+CACHE, CELLS = 200_000, 1 << 16
 
 
 def read_model(path: str = MODEL) -> list[tuple[str, float, int]]:
@@ -156,7 +156,7 @@ class Vocabulary:
         return data[1:].decode("utf-8", "replace")
 
 
-def batches_of(texts: list, size: int = 1 << 22) -> Iterator[list]:
+def batches_of(texts: list, size: int = 1 << 20) -> Iterator[list]:
     """Runs of texts of about ``size`` characters; a longer text is a run of its own."""
     own, volume = [], 0
     for t in texts:
