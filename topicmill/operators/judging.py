@@ -44,6 +44,11 @@ def _and(*conditions: Column) -> Column:
     return out
 
 
+def within(c: Column, low: int, high: int) -> Column:
+    """``c`` (an integer) from ``low`` to ``high``; unlike ``between`` it computes ``c`` once."""
+    return F.array_contains(F.sequence(F.lit(low), F.lit(high)), c)
+
+
 #: List bounds, word bounds and generic titles of the report contract.
 BOUNDS = {"confidence_rationale": (2, 4), "representative_papers": (2, 5), "reading_order": (3, 7), "notes": (0, 5), "keyword_list": (5, 12)}
 GENERIC = ["ai", "llm", "vision", "machine learning", "deep learning", "neural network", "nlp", "computer vision", "ml", "dl"]
@@ -73,7 +78,7 @@ def parse_reports(df: DataFrame, raw: str = "raw_text") -> DataFrame:
 
 
 def words_between(field: str, low: int, high: int) -> Check:
-    return lambda r: T.word_count(T.strip(r[field])).between(low, high)
+    return lambda r: within(T.word_count(T.strip(r[field])), low, high)
 
 
 def all_words_at_most(field: str, high: int, part: str | None = None) -> Check:
@@ -95,11 +100,11 @@ SOFT: dict[str, Check] = {
     "about_word_count": words_between("what_this_cluster_is_about", 80, 140),
     "why_it_matters_word_count": words_between("why_it_matters", 60, 120),
     "confidence_rationale": all_words_at_most("confidence_rationale", 18),
-    "search_query_seed": lambda r: ~F.contains(T.strip(r["search_query_seed"]), F.lit("\n")) & F.size(T.terms(r["search_query_seed"])).between(2, 5),
+    "search_query_seed": lambda r: ~F.contains(T.strip(r["search_query_seed"]), F.lit("\n")) & within(F.size(T.terms(r["search_query_seed"])), 2, 5),
     "notes": all_words_at_most("notes", 20),
     "reading_order_item_reasons": all_words_at_most("reading_order", 12, "why_read_now"),
-    "keyword_word_counts": lambda r: F.forall(cleaned(r["keyword_list"]), lambda k: F.size(T.terms(k)).between(1, 3)),
-    "keyword_list_count": lambda r: T.unique_ignoring_case(cleaned(r["keyword_list"])).between(5, 12),
+    "keyword_word_counts": lambda r: F.forall(cleaned(r["keyword_list"]), lambda k: within(F.size(T.terms(k)), 1, 3)),
+    "keyword_list_count": lambda r: within(T.unique_ignoring_case(cleaned(r["keyword_list"])), 5, 12),
     "name_generic": lambda r: ~F.lower(T.strip(r["title"])).isin(["", *GENERIC]),
 }
 
@@ -222,14 +227,14 @@ def section_rules(a: Column, b: Column) -> Column:
     item = lambda x: (T.item_id(x) != "") & (T.item_rest(x) != "")
     keys = cleaned(b["keyword_list"])
     return _and(
-        count(a["title"]) <= 12, T.title_case_strict(T.strip(a["title"])), count(a["one_liner"]) <= 25, count(a["what_this_topic_is_about"]).between(80, 140),
+        count(a["title"]) <= 12, T.title_case_strict(T.strip(a["title"])), count(a["one_liner"]) <= 25, within(count(a["what_this_topic_is_about"]), 80, 140),
         T.strip(a["practical_significance"]) != "", T.strip(a["research_significance"]) != "",
-        (count(a["practical_significance"]) + count(a["research_significance"])).between(60, 120), a["confidence"].isin(LEVELS),
+        within(count(a["practical_significance"]) + count(a["research_significance"]), 60, 120), a["confidence"].isin(LEVELS),
         every(a["confidence_rationale"], 18), F.forall(a["representative_papers"], item),
         F.forall(a["reading_order"], lambda x: item(x) & (T.plain_word_count(T.item_rest(x)) <= 12)),
-        ~F.contains(T.strip(a["search_query_seed"]), F.lit("\n")) & F.size(T.terms(a["search_query_seed"])).between(2, 5), every(a["notes"], 20),
-        F.length(b["title"]) > 0, F.length(b["summary"]) > 0, count(b["summary"]).between(60, 110), F.size(keys).between(5, 12),
-        F.size(F.array_distinct(keys)) == F.size(keys), F.forall(keys, lambda k: F.size(T.terms(k)).between(1, 3) & ~F.contains(k, F.lit("#"))),
+        ~F.contains(T.strip(a["search_query_seed"]), F.lit("\n")) & within(F.size(T.terms(a["search_query_seed"])), 2, 5), every(a["notes"], 20),
+        F.length(b["title"]) > 0, F.length(b["summary"]) > 0, within(count(b["summary"]), 60, 110), within(F.size(keys), 5, 12),
+        F.size(F.array_distinct(keys)) == F.size(keys), F.forall(keys, lambda k: within(F.size(T.terms(k)), 1, 3) & ~F.contains(k, F.lit("#"))),
     )
 
 

@@ -349,7 +349,9 @@ def _known_payloads(spark, folder):
     """Payloads whose members are all among their papers."""
     ids = F.transform("papers", lambda p: p["paper_id"])
     keep = lambda c: F.struct(*[F.filter(c["members"], lambda m: F.array_contains(ids, m["paper_id"])).alias("members") if f == "members" else c[f].alias(f) for f in ("cluster_index", "size", "centroid", "cohesion", "members")])
-    return payloads(spark, folder).withColumn("clusters", F.transform("clusters", keep))
+    clustering.set_up_checkpoints(spark)
+    # read many times by an ingest
+    return payloads(spark, folder).withColumn("clusters", F.transform("clusters", keep)).checkpoint()
 
 
 @query
