@@ -84,13 +84,20 @@ def histories(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Planes of bytes: the upper planes of sorted gaps and of counts are mostly zero, which compresses."""
-    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+    """Planes of bytes without the upper ones that are zero. The three uppermost left are sparse and get
+    compressed; lower planes of sorted hashes are as good as random."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    used = int(np.flatnonzero(planes.any(axis=1)).max(initial=0)) + 1
+    cut = max(0, used - 3)
+    return np.array([len(values), used], np.int64).tobytes() + planes[:cut].tobytes() + zlib.compress(planes[cut:used].tobytes(), 1)
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
+    n, used = (int(x) for x in np.frombuffer(data, np.int64, 2))
+    raw = 16 + n * max(0, used - 3)
+    planes = np.zeros((np.dtype(kind).itemsize, n), np.uint8)
+    planes[:used] = np.frombuffer(data[16:raw] + zlib.decompress(data[raw:]), np.uint8).reshape(used, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
