@@ -63,6 +63,11 @@ def test_short_links_are_read_from_their_text(spark):
     assert one(spark, T.links(lit(page), T.PAPER_LINK)) == ["https://arxiv.org/abs/2512.23705", "https://arxiv.org/abs/2512.11111"]
 
 
+def test_links_without_scheme_are_rebuilt(spark):
+    page = '<a href="https://t.co/ab">huggingface.co/papers/x/2512.<span>23705</span>...</a><a href="https://t.co/cd">nothing here</a>'
+    assert one(spark, T.links(lit(page), T.PAPER_LINK, T.PARTIAL_LINK)) == ["https://huggingface.co/papers/2512.23705"]
+
+
 def test_responses_of_all_shapes(spark):
     bodies = ['{"paper": [{"paper": {"id": "1"}}, {"id": "2"}]}', '[{"id": "3"}]', '{"other": 1}', "broken"]
     found = readers.item_fields(readers.responses(spark.createDataFrame([(b,) for b in bodies], "body string")))
@@ -228,6 +233,8 @@ def test_judge_cases(spark):
     got = {r["i"]: r for r in judging.judge(df).collect()}
     for i, (_, overall) in enumerate(CASES):
         assert math.isclose(got[i]["overall"], overall, abs_tol=1e-9), (i, CASES[i][0][:80], got[i]["reasons"])
+    assert got[2]["reasons"]["soft_schema_valid"] == "one_liner: one_liner has 26 words, allowed are 1 to 25"
+    assert got[10]["reasons"]["soft_schema_valid"] == "confidence_rationale: confidence_rationale[1] has 19 words, allowed are 18"
     assert got[len(CASES) - 2]["reasons"]["hard_schema_valid"].startswith("Invalid citations: zz")
 
 

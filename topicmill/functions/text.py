@@ -173,21 +173,29 @@ def run_id(month: Column, pack: Column, prompt_name: Column, model: Column, temp
     )
 
 
-def links(html: Column, pattern: str) -> Column:
+def links(html: Column, pattern: str, partial: str | None = None) -> Column:
     """Targets of a page's anchors that match ``pattern``, each once, in order.
 
     The target of a shortened link is read from the anchor's text, without its
-    blanks and dots of truncation.
+    blanks and dots of truncation. If that has no full address, one is built of
+    the groups of ``partial``: scheme (https if absent), host, and id.
     """
     anchors = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(ANCHOR), 0)
 
     def target(a: Column) -> Column:
         href = F.regexp_extract(a, ANCHOR, 1)
         shown = F.replace(F.replace(F.regexp_replace(F.regexp_extract(a, ANCHOR, 2), "<[^>]*>", ""), F.lit("...")), F.lit(" "))
-        return F.when(F.contains(href, F.lit("t.co/")), F.regexp_extract(shown, pattern, 0)).otherwise(F.when(href.rlike(pattern), href).otherwise(F.lit("")))
+        read = F.regexp_extract(shown, pattern, 0)
+        if partial:
+            scheme, host, key = (F.regexp_extract(shown, partial, k) for k in (1, 2, 3))
+            built = F.concat(F.when(scheme == "", F.lit("https://")).otherwise(scheme), host, F.lit("/"), key)
+            read = F.when((read == "") & (key != ""), built).otherwise(read)
+        return F.when(F.contains(href, F.lit("t.co/")), read).otherwise(F.when(href.rlike(pattern), href).otherwise(F.lit("")))
 
     return F.array_distinct(F.filter(F.transform(anchors, target), lambda x: x != ""))
 
 
+#: Anchors, and addresses of papers, whole or without scheme.
 ANCHOR = r'(?s)<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
 PAPER_LINK = r"https?://(?:arxiv\.org|huggingface\.co/papers)/[^\s]*\d{4}\.\d{5}"
+PARTIAL_LINK = r"(https?://)?(arxiv\.org|huggingface\.co/papers)/[^\s]*?(\d{4}\.\d{5,})"

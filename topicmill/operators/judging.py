@@ -109,8 +109,40 @@ SOFT: dict[str, Check] = {
 }
 
 
-def register_check(name: str, check: Check, hard: bool = False) -> None:
+def _count_text(field: str, low: int, high: int) -> Check:
+    return lambda r: F.format_string(f"{field} has %d words, allowed are {low} to {high}", T.word_count(T.strip(r[field])))
+
+
+def _first_text(field: str, high: int, part: str | None = None) -> Check:
+    """Names the first item with too many words, counted from 0."""
+
+    def told(r: Column) -> Column:
+        counts = F.transform(r[field], lambda x: T.word_count(x[part] if part else x))
+        at = F.array_position(F.transform(counts, lambda n: n > high), F.lit(True))
+        return F.format_string(f"{field}[%d] has %d words, allowed are {high}", (at - 1).cast("int"), F.get(counts, (at - 1).cast("int")))
+
+    return told
+
+
+#: What a failing rule says about a report; rules without an entry say "failed".
+MESSAGES: dict[str, Check] = {
+    "title_format": lambda r: F.format_string("'%s' is not in title case or holds a colon", r["title"]),
+    "about_citations": lambda r: F.when(T.has_citation(r["what_this_cluster_is_about"]), F.lit("the text speaks of a cluster, not a topic")).otherwise(F.lit("the text cites no paper")),
+    "keyword_list_format": lambda r: F.when(F.exists(r["keyword_list"], lambda k: T.strip(k) == ""), F.lit("a keyword is blank")).otherwise(F.lit("a keyword holds a hash sign")),
+    "title_word_count": _count_text("title", 1, 12), "one_liner": _count_text("one_liner", 1, 25), "about_word_count": _count_text("what_this_cluster_is_about", 80, 140),
+    "why_it_matters_word_count": _count_text("why_it_matters", 60, 120), "confidence_rationale": _first_text("confidence_rationale", 18), "notes": _first_text("notes", 20),
+    "reading_order_item_reasons": _first_text("reading_order", 12, "why_read_now"),
+    "search_query_seed": lambda r: F.format_string("%d terms, allowed are 2 to 5 on one line", F.size(T.terms(r["search_query_seed"]))),
+    "keyword_word_counts": lambda r: F.format_string("'%s' has more than 3 words", F.get(F.filter(cleaned(r["keyword_list"]), lambda k: F.size(T.terms(k)) > 3), F.lit(0))),
+    "keyword_list_count": lambda r: F.format_string("%d different keywords, allowed are 5 to 12", T.unique_ignoring_case(cleaned(r["keyword_list"]))),
+    "name_generic": lambda r: F.lit("the title is empty or a generic term"),
+}
+
+
+def register_check(name: str, check: Check, hard: bool = False, message: Check | None = None) -> None:
     (HARD if hard else SOFT)[name] = check
+    if message:
+        MESSAGES[name] = message
 
 
 def run_checks(report: Column, checks: dict[str, Check]) -> Column:
@@ -118,12 +150,20 @@ def run_checks(report: Column, checks: dict[str, Check]) -> Column:
     return F.array(*[F.struct(F.lit(name).alias("rule"), F.coalesce(check(report), F.lit(False)).alias("ok")) for name, check in checks.items()])
 
 
+def messages(report: Column, checks: dict[str, Check]) -> Column:
+    """Map of what each rule says when it fails."""
+    known = {name: MESSAGES[name](report) for name in checks if name in MESSAGES}
+    return F.create_map(*[c for name, told in known.items() for c in (F.lit(name), told)])
+
+
 def pass_rate(results: Column) -> Column:
     return F.size(F.filter(results, lambda x: x["ok"])) / F.greatest(F.lit(1), F.size(results))
 
 
-def reasons(results: Column) -> Column:
-    return F.array_join(F.transform(F.filter(results, lambda x: ~x["ok"]), lambda x: F.concat(x["rule"], F.lit(": failed"))), "\n")
+def reasons(results: Column, told: Column) -> Column:
+    """A line for each failed rule."""
+    line = lambda x: F.concat(x["rule"], F.lit(": "), F.coalesce(F.try_element_at(told, x["rule"]), F.lit("failed")))
+    return F.array_join(F.transform(F.filter(results, lambda x: ~x["ok"]), line), "\n")
 
 
 def invalid_citations(report: Column, input_ids: Column) -> Column:
@@ -154,11 +194,11 @@ def judge(df: DataFrame, raw: str = "raw_text", input_ids: str = "input_ids") ->
     p = p.withColumn("overall", F.when(~F.col("hard_valid"), F.lit(0.0)).otherwise(1 + F.col("soft_score")))
     scores = F.create_map(F.lit("json_valid"), F.col("parsed").cast("double"), F.lit("hard_schema_valid"), F.col("hard_valid").cast("double"), F.lit("soft_schema_valid"), F.col("soft_score"))
     skipped = F.lit("Skipped (no report)")
-    hard_text = F.array_join(F.filter(F.array(reasons(F.col("hard_checks")), invalid_reason(F.col("invalid_citations"))), lambda x: x != ""), "\n")
+    hard_text = F.array_join(F.filter(F.array(reasons(F.col("hard_checks"), messages(r, HARD)), invalid_reason(F.col("invalid_citations"))), lambda x: x != ""), "\n")
     told = F.array(
         F.struct(F.lit("json_valid").alias("k"), F.when(F.col("parsed"), F.lit("OK")).otherwise(F.lit("JSON parse error")).alias("v")),
         F.struct(F.lit("hard_schema_valid").alias("k"), F.when(F.col("parsed"), hard_text).otherwise(skipped).alias("v")),
-        F.struct(F.lit("soft_schema_valid").alias("k"), F.when(F.col("parsed"), reasons(F.col("soft_checks"))).otherwise(skipped).alias("v")),
+        F.struct(F.lit("soft_schema_valid").alias("k"), F.when(F.col("parsed"), reasons(F.col("soft_checks"), messages(r, SOFT))).otherwise(skipped).alias("v")),
     )
     return p.withColumn("sub_scores", scores).withColumn("reasons", F.map_from_entries(F.filter(told, lambda x: x["v"] != "")))
 
