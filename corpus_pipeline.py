@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicmill.llm import common, leaks, pieces, pii, quality, simhash
+from topicmill.llm import common, leaks, neardup, pieces, pii, quality
 from topicmill.sources import table
 
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least id of each near-duplicate group."""
-    return simhash.keep_one(docs)
+    """Keep the document of the least id of each group of near copies, five-word similarity 0.8 and more."""
+    return neardup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.helpers import DATA, database, same
-from topicmill.llm import chat, components, leaks, licenses, ngrams, pieces, pii, quality, sharding, simhash, urls
+from topicmill.llm import chat, components, leaks, licenses, neardup, ngrams, pieces, pii, quality, sharding, simhash, urls
 from topicmill.llm.queries import ORACLES, QUERIES
 from topicmill.sources import table
 
@@ -269,6 +269,41 @@ def test_near_duplicates(spark, odd, nothing):
     assert simhash.components(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 
+def five_words(text):
+    w = words("".join(c.lower() if c.isascii() else c for c in text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_stage_links_all_at_the_threshold(spark, odd, nothing):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = []
+    for n in (6, 12, 30, 60, 120) * 4:
+        base = [f"b{rng.randrange(10**6)}" for _ in range(n)]
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, n // 40))):
+                copy[rng.randrange(n)] = f"c{rng.randrange(10**6)}"
+            texts.append(" ".join(copy[: n - rng.randint(0, n // 6)]).upper())
+    line = " ".join(f"common{i}" for i in range(20))
+    texts += [line + f" own{i} own{i + 1}" for i in range(60)] + [line + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(20)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(r["doc_id"] + 10**6, r["text"]) for r in table(spark, DATA, "documents").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: five_words(t) for d, t in rows}
+    ids = sorted(sets)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    roots = union(ids, pairs)
+    codes = {d: simhash.fingerprint(t) for d, t in rows}
+    assert sum((codes[a] ^ codes[b]).bit_count() > 2 for a, b in pairs) > 50
+    assert {r["doc_id"]: r["component_id"] for r in neardup.components(df).collect()} == roots
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, DATA).collect()} == set(roots.values())
+    kept = neardup.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert collections.Counter(r["doc_id"] for r in kept.collect()) == {1: 1, 2: 1, None: 1, 5: 1, 6: 1, 7: 1, 8: 1}
+    assert neardup.keep_one(nothing).count() == 0
+
+
 # --- n-grams ----------------------------------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ has 65 neighbours at most, so no group grows with the data, and no link is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -252,11 +252,16 @@ def keep_one(docs: DataFrame, **fitting: int) -> DataFrame:
 
     Of rows with that id repeated, and of groups without any id, one row stays.
     """
-    found = checkpointed(components(docs, **fitting))
+    return one_of_each(docs, components(docs, **fitting), with_codes)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, coder: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that ``keep_one`` keeps, for the components ``found``; ``coder`` gives the codes of rows."""
+    found = checkpointed(found)
     ids = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
     single = docs.join(ids.where("_n = 1").select("doc_id"), "doc_id", "left_semi")
     several = docs.join(ids.where("_n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     lost = found.where("component_id IS NULL").groupBy("root").agg(F.min("code").alias("_code")).select("_code")
     row = docs.where("doc_id IS NULL").select(F.struct("*").alias("doc_id"), "text")
-    bare = with_codes(row).join(lost, F.col("code") == F.col("_code"), "left_semi").dropDuplicates(["code"]).select("doc_id.*")
+    bare = coder(row).join(lost, F.col("code") == F.col("_code"), "left_semi").dropDuplicates(["code"]).select("doc_id.*")
     return single.unionByName(several).unionByName(bare).select(docs.columns)
