@@ -357,6 +357,28 @@ def test_leaks(spark, odd, nothing):
     assert leaks.find(nothing, bench).count() == 0 and leaks.find(df, bench.limit(0)).count() == 0 and leaks.clean(df, bench.limit(0)).count() == len(rows)
 
 
+def test_shortened_items_are_found():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    for n in (5, 9, 24, 43, 120, 230, 399):
+        item = text(n + 4).split()
+        least = math.ceil(0.8 * n - 1e-9)
+        cuts = [item[: m + 4] for m in range(least, n + 1)] + [item[n - m :] for m in range(least, n + 1)] + [item[: least + 3]]
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(cuts))), "text": [" ".join(c) for c in cuts]})
+        found = list(leaks.hits(iter([batch]), [(5, " ".join(item)), (6, text(60))], 0.8, 15))[0][1]
+        assert [[(i, round(s, 9)) for i, s, _ in own] for own in found[:-1]] == [[(5, round((len(c) - 4) / n, 9))] for c in cuts[:-1]], n
+        assert found[-1] == []
+
+
+def test_long_items_have_a_piece_at_their_end():
+    for n in (231, 300, 399, 450):
+        bench = leaks.Benchmark([(0, " ".join(f"v{i}" for i in range(n + 4)))], 0.8, 15)
+        offsets = sorted(offset for _, own, _, _ in bench.groups for _, offset, _ in own)
+        assert offsets[0] == 0 and offsets[-1] == n - 200 and all(b - a <= 200 for a, b in zip(offsets, offsets[1:], strict=False))
+
+
 def test_block_tables_list_all_within_the_radius():
     bench = leaks.Benchmark([(0, LINE)], 0.8, 15)
     (size, own, tables, codes), rng = bench.groups[0], np.random.default_rng(0)

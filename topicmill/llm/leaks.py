@@ -5,7 +5,9 @@ stood for by a piece from its middle, as long as the largest window size that
 fits; windows of that size slide over every whole text. Sizes grow by a factor
 of 1.15, and a window moves by an eighth of its size at most, so an item's copy
 has a window that holds at least 15/16 of the piece. Items over the largest size
-get several pieces.
+get several pieces, the last at their end. A text that is shorter than an item's
+piece has no window of that size: it is compared with every such item whose
+shared shingles weigh enough, and none is missed.
 
 Window fingerprints come from running sums: eight words of eight one-byte lanes
 hold the 64 bit counts, and a window's counts are a difference of two sums.
@@ -102,10 +104,16 @@ class Benchmark:
         sizes, pieces = window_sizes(), defaultdict(list)
         for at, (_, s) in enumerate(self.items):
             size = max(w for w in sizes if w <= len(s))
-            offsets = [(len(s) - size) // 2] if len(s) <= LARGEST * 1.15 else range(0, len(s) - size + 1, size)
+            offsets = [(len(s) - size) // 2] if len(s) <= LARGEST * 1.15 else sorted({*range(0, len(s) - size + 1, size), len(s) - size})
             sums = running_sums(s)
             for offset in offsets:
                 pieces[size].append((at, offset, fingerprints(sums, np.array([offset]), size)[0]))
+        self.piece = np.array([max(w for w in sizes if w <= len(s)) for _, s in self.items], np.int64)
+        self.total = np.array([sum(self.weight.get(h, 1.0) * n for h, n in bag.items()) for bag in self.bags])
+        rows = sorted((h, at, n) for at, bag in enumerate(self.bags) for h, n in bag.items())
+        self.known = np.array([h for h, _, _ in rows], np.uint64)
+        self.holder = np.array([at for _, at, _ in rows], np.int64)
+        self.held = np.array([n for _, _, n in rows], np.int64)
         self.groups = [self._index(size, own[k : k + 64]) for size, own in sorted(pieces.items()) for k in range(0, len(own), 64)]
 
     def _index(self, size: int, own: list) -> tuple:
@@ -126,6 +134,21 @@ class Benchmark:
             low, high = low + w * min(a, b), high + w * max(a, b)
         return low / high
 
+    def search_short(self, shingles: np.ndarray) -> dict[int, tuple[float, int]]:
+        """Of one whole text: item -> (similarity, 0) for the items whose pieces are longer, if it reaches the threshold."""
+        found: dict[int, tuple[float, int]] = {}
+        own, counts = np.unique(shingles, return_counts=True)
+        low, high = np.searchsorted(self.known, own, "left"), np.searchsorted(self.known, own, "right")
+        shared = np.zeros(len(self.items))
+        for h, n, a, b in zip(own.tolist(), counts.tolist(), low.tolist(), high.tolist(), strict=True):
+            if a < b:
+                shared[self.holder[a:b]] += self.weight.get(h, 1.0) * np.minimum(n, self.held[a:b])
+        for at in np.flatnonzero((self.piece > len(shingles)) & (shared > 0) & (shared >= self.threshold * self.total - 1e-9)).tolist():
+            s = self.similarity(at, shingles.tolist())
+            if s >= self.threshold:
+                found[at] = (s, 0)
+        return found
+
     def search(self, shingles: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
         """Over several texts laid end to end: (text, item) -> (similarity, start), if it reaches the threshold."""
         found: dict[tuple[int, int], tuple[float, int]] = {}
@@ -134,6 +157,9 @@ class Benchmark:
         begin = ends - lengths
         local = np.arange(len(shingles)) - begin[text]
         last = lengths[text]
+        for k in np.flatnonzero((lengths > 0) & (lengths < self.piece.max(initial=0))).tolist():
+            for at, hit in self.search_short(shingles[ends[k] - lengths[k] : ends[k]]).items():
+                found[k, at] = hit
         sums, cached = running_sums(shingles), (0, None)
         for size, own, tables, codes in self.groups:
             step = max(1, size // 8)
