@@ -26,3 +26,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_registered_kmeans_runs_until_settled(spark, monkeypatch):
+    from topicmill.operators import clustering
+
+    seen, fit = [], clustering.kmeans_groups
+
+    def spy(points, keys, ks, seed=42, max_iter=300, tol=1e-4):
+        seen.append((max_iter, tol))
+        return fit(points, keys, ks, seed, max_iter, tol)
+
+    monkeypatch.setattr(clustering, "kmeans_groups", spy)
+    for name in ("kmeans_grid", "best_clustering"):
+        assert QUERIES[name](spark, DATA).count() > 0
+    assert seen == [(300, 1e-4)] * 2

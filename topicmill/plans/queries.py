@@ -145,13 +145,13 @@ def _by_month(spark, folder):
 
 @query
 def kmeans_grid(spark, folder):
-    found = clustering.kmeans_groups(_by_month(spark, folder), ["period"], [4, 5], max_iter=12)
+    found = clustering.kmeans_groups(_by_month(spark, folder), ["period"], [4, 5])
     return found.groupBy("period", "k", "label").agg(F.count("*").alias("size"), r6(F.sum("d")).alias("inertia"))
 
 
 @query
 def best_clustering(spark, folder):
-    labelled, scores = clustering.grid_search(_by_month(spark, folder), ["period"], [4, 5], max_iter=12)
+    labelled, scores = clustering.grid_search(_by_month(spark, folder), ["period"], [4, 5])
     best = clustering.best_config(scores, ["period"], "k")
     members = ranking.member_rank(clustering.best_clustering(labelled, best, ["period", "k"]), ["period", "k", "label"])
     return members.select("period", "k", "label", "paper_id", "rank_in_cluster", r6(F.col("sim")).alias("sim"))
