@@ -10,12 +10,13 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tests.helpers import DATA, database, same
-from topicmill.llm import chat, components, leaks, licenses, neardup, ngrams, pieces, pii, quality, sharding, simhash, urls
+from topicmill.llm import chat, components, hashing, leaks, licenses, neardup, ngrams, pieces, pii, quality, sharding, simhash, urls
 from topicmill.llm.queries import ORACLES, QUERIES
 from topicmill.sources import table
 
@@ -304,32 +305,99 @@ def test_stage_links_all_at_the_threshold(spark, odd, nothing):
     assert neardup.keep_one(nothing).count() == 0
 
 
+# --- hashes of words ---------------------------------------------------------------------------
+
+
+def test_word_hashes_part_and_fold_as_bytes_do(monkeypatch):
+    texts = ["A b", "", "  ", None, "a  b\tC\n", "é É x y", "abc", "ABC d", "x" * 700_000 + " " + "y " * 10, "a\x0bb\x1cc", "\U0001f600 a"]
+    for piece in (hashing.PIECE, 4):
+        monkeypatch.setattr(hashing, "PIECE", piece)
+        found, sizes = hashing.word_hashes(pa.array(texts))
+        flat = [w for t in texts for w in (t or "").encode().lower().split()]
+        assert sizes.tolist() == [len((t or "").encode().lower().split()) for t in texts]
+        by_word = dict(zip(flat, found.tolist(), strict=True))
+        assert [by_word[w] for w in flat] == found.tolist() and len(set(by_word.values())) == len(by_word)
+        part, n = hashing.word_hashes(pa.array(texts).slice(4, 3))
+        assert (part == found[sizes[:4].sum() : sizes[:7].sum()]).all() and n.tolist() == sizes[4:7].tolist()
+
+
+def test_shingle_hashes_stay_within_rows():
+    texts = ["a b c d e f", "a b", None, "b c d e f", "a b c d e", "x"]
+    found, counts = hashing.shingle_hashes(*hashing.word_hashes(pa.array(texts)), 5)
+    assert counts.tolist() == [2, 1, 0, 1, 1, 1] and found[0] == found[4] and found[1] == found[3] and len(set(found.tolist())) == 4
+
+
 # --- n-grams ----------------------------------------------------------------------------------
 
 
-def test_scores(spark, odd, nothing):
+START, END = " start", " end"
+
+
+def brute_scores(given, held, order=ngrams.ORDER):
+    """Each text's tokens, known tokens, base score and score, by dictionaries of counts."""
+    low = {d: [START, *words("".join(c.lower() if c.isascii() else c for c in t or "")), END] for d, t in given.items()}
+    counts = [collections.Counter() for _ in range(order + 1)]
+    for d, w in low.items():
+        if not held[d]:
+            for n in range(1, order + 1):
+                counts[n].update(tuple(w[i - n + 1 : i + 1]) for i in range(n - 1, len(w)))
+    starts = counts[1].pop((START,), 0)
+    total, distinct = sum(counts[1].values()), len(counts[1])
+    counts[1][(START,)] = starts
+
+    def probability(history, w):
+        if not history:
+            return (counts[1][(w,)] + 1) / (total + distinct + 1)
+        c, lower = counts[len(history)][history], probability(history[1:], w)
+        k = ngrams.STRENGTH * max(c, 1) ** ngrams.GROWTH
+        return (counts[len(history) + 1][(*history, w)] + k * lower) / (c + k) if c else lower
+
+    for d, w in low.items():
+        at = range(1, len(w))
+        yield d, len(at), sum(counts[1][(w[i],)] > 0 for i in at), total, sum(math.log10(probability((), w[i])) for i in at), sum(math.log10(probability(tuple(w[max(0, i - order + 1) : i]), w[i])) for i in at)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores(spark, odd, nothing, order, monkeypatch):
+    monkeypatch.setattr(ngrams, "RANGE_TOKENS", 20_000)
     docs = table(spark, DATA, "documents").select("doc_id", "text")
-    for frame in (docs, odd.where("doc_id <> 1 AND doc_id <> 8")):
-        given = {r["doc_id"]: r["text"] or "" for r in frame.collect()}
-        low = {d: [*words("".join(c.lower() if c.isascii() else c for c in t)), ngrams.END] for d, t in given.items()}
-        held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in given}
-        one, two, start = collections.Counter(), collections.Counter(), 0
-        for d, w in low.items():
-            if not held[d]:
-                one.update(w)
-                two.update(zip([ngrams.START, *w], w, strict=False))
-                start += 1
-        total, distinct = sum(one.values()), len(one)
-        plain = lambda w: (one[w] + 1) / (total + distinct + 1)  # noqa: B023, E731
-        for r in ngrams.score(frame, block_bytes=1 << 18).collect():
-            w, score = low[r["doc_id"]], 0.0
-            for u, v in zip([ngrams.START, *w], w, strict=False):
-                c = start if u == ngrams.START else one[u]
-                k = ngrams.STRENGTH * max(c, 1) ** ngrams.GROWTH
-                score += math.log10((two[(u, v)] + k * plain(v)) / (c + k) if c else plain(v))
-            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(w), sum(one[x] > 0 for x in w), total)
-            assert math.isclose(r["base_score"], sum(math.log10(plain(x)) for x in w), rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
-    assert ngrams.score(nothing).count() == 0 and ngrams.score(odd).count() == len(ODD)
+    frames = (docs, odd.where("doc_id <> 1 AND doc_id <> 8 OR doc_id IS NULL")) if order == 3 else (odd.where("doc_id > 1 AND doc_id <> 8"),)
+    for frame in frames:
+        given = {r["doc_id"]: r["text"] for r in frame.collect()}
+        held = {d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d in given}
+        want = {d: rest for d, *rest in brute_scores(given, held, order)}
+        got = ngrams.score(frame, order=order, block_bytes=1 << 18).collect()
+        assert len(got) == len(given)
+        for r in got:
+            *whole, base, score = want[r["doc_id"]]
+            assert [r["n_tokens"], r["n_known"], r["train_tokens"]] == whole and r["held_out"] == held[r["doc_id"]]
+            assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
+    assert ngrams.score(nothing, order=order).count() == 0 and ngrams.score(odd, order=order).count() == len(ODD)
+
+
+def test_automaton_states_and_arcs():
+    block = ngrams.Block.read(pa.array(["a b c", "a b d", None, "q a b"]), 3)
+    counts = block.counts(np.array([True, True, True, False]))
+    total, distinct = 3 + 1 + 3 + 1 + 1, 5
+    made = ngrams.Automaton(block, counts, total, distinct, 3.0, 0.85)
+    label = {w: int(np.flatnonzero(block.hashes == hashing.word_hashes(pa.array([w]))[0])[0]) for w in ("a", "b", "c", "d", "q")}
+    start = made.first[ngrams.START_LABEL]
+    read = lambda state, *names: [state := int(made.step(np.array([state]), np.array([label[n]]))[0][0]) for n in names][-1]
+    assert start > 0 and made.first[label["q"]] == 0
+    assert read(start, "a") == read(start, "q", "a") or made.fails[read(start, "a")] == read(start, "q", "a")
+    assert made.fails[read(0, "a", "b")] == read(0, "b") and made.fails[read(0, "b")] == 0
+    # From any state the arcs' probabilities add up to one over all known words, the end, and all unknown words together.
+    for state in range(len(made.fails)):
+        names = [ngrams.END_LABEL, *(label[w] for w in "abcd"), label["q"]]
+        _, weight = made.step(np.full(len(names), state), np.array(names))
+        assert math.isclose((10**weight).sum(), 1)
+    assert (np.diff(made.keys) > 0).all()
+
+
+def test_counts_beyond_four_bytes_are_exact():
+    keys, big = ngrams.pack(np.array([7], np.uint64)), ngrams.pack(np.array([2**53 + 1], np.uint64))
+    told = ngrams.answer(ngrams.as_table([(0, 5, 0, keys, big, None), (0, 6, 0, keys, big, None)]))
+    assert [int(ngrams.unpack(x.as_py(), np.uint64)[0]) for x in told.column("one")] == [2**54 + 2] * 2
 
 
 # --- decontamination --------------------------------------------------------------------------

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,26 +25,39 @@ def words(text: Column) -> Column:
 
 
 def set_up_checkpoints(spark: SparkSession) -> None:
-    """Set a checkpoint folder only where the session has none, as in tests."""
+    """Set the checkpoint folder of the session's ``spark.checkpoint.dir`` where the context has none.
+
+    Without that setting only a session within one process gets a folder of its
+    own: on a cluster, executors could not see it, so there it is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="topicmill-checkpoints-")
         context.setCheckpointDir(folder)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python ``rows`` at a time, unless the session sets a number of its own.
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000, volume: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``rows`` rows and ``volume`` bytes, or one row that is larger alone.
 
-    Spark's default of 10,000 rows is meant for short rows; with texts, a batch
-    and its copies would hold a good part of a worker's memory.
+    Spark bounds a batch's bytes, but a task's Python copies of texts would take
+    several times that; parts keep them small whatever the session's settings.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, rows)
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).get_total_buffer_size() and batch.slice(at, n).nbytes > volume:
+                n = (n + 1) // 2
+            yield batch.slice(at, n)
+            at += n
+        if not batch.num_rows:
+            yield batch
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import small_batches
 
 SHINGLE, THRESHOLD, RADIUS, LARGEST = 5, 0.8, 15, 200
 ITEM_BLOCK = 2048
@@ -212,7 +212,7 @@ def hits(tables: Iterator[pa.RecordBatch], items: list, threshold: float, radius
                 if s > out[row].get(at, (0,))[0]:
                     out[row][at] = (s, begin + start)
 
-    for batch in tables:
+    for batch in small_batches(tables):
         texts = batch.column(batch.schema.get_field_index("text"))
         out, held, volume = [{} for _ in range(len(texts))], [], 0
         for row in range(len(texts)):
@@ -236,7 +236,6 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, ra
     searched each; an id that several items share is reported once for each.
     Other columns are not read. An empty benchmark gives no rows.
     """
-    bound_batches(docs.sparkSession)
     given = docs.select("doc_id", "text")
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, similarity double, first_word long"
     out = None
@@ -255,7 +254,6 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, ra
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` in which ``find`` finds nothing, with all their columns."""
-    bound_batches(docs.sparkSession)
     for items in blocks_of_items(benchmark):
 
         def keep(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:

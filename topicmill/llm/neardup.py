@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpointed
+from .common import checkpointed, small_batches
 from .components import roots
 from .leaks import Shingler
 from .simhash import one_of_each
@@ -47,7 +47,7 @@ def common_shingles(docs: DataFrame, sample: int = SAMPLE, most: int = COMMON) -
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
-        for batch in batches:
+        for batch in small_batches(batches):
             for text in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle(text.as_py())).view(np.int64))], ["shingle"])
 
@@ -60,7 +60,6 @@ def common_shingles(docs: DataFrame, sample: int = SAMPLE, most: int = COMMON) -
 
 def with_codes(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``code``, the hash of its set, of each row."""
-    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def code(texts: pd.Series) -> pd.Series:
@@ -72,13 +71,12 @@ def with_codes(docs: DataFrame) -> DataFrame:
 
 def with_prefixes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, ``code`` of the set, its size ``n`` and its ``prefix`` for each row."""
-    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))  # COMMON rows at most
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (common, counts), shingle = shared.value, Shingler()
-        for batch in batches:
+        for batch in small_batches(batches):
             codes, sizes, prefixes = [], [], []
             for text in batch.column(1):
                 own = np.unique(shingle(text.as_py()))
@@ -102,7 +100,7 @@ def with_sets(docs: DataFrame) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [np.unique(shingle(text.as_py())) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([code_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["code", "shingles"])
 
@@ -119,7 +117,7 @@ def candidates(groups: DataFrame, threshold: float, hubs: bool) -> DataFrame:
     """Distinct pairs (a, b) of members: with the group's least code, or those of different components."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             for k in range(batch.num_rows):
                 own = batch.column(0)[k].values
                 code, n, pos, root = (own.field(c).to_numpy(zero_copy_only=False) for c in ("code", "n", "pos", "root"))

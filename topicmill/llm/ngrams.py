@@ -1,23 +1,27 @@
 """Word n-gram scoring with a weighted backoff automaton.
 
-The model is a word bigram, smoothed toward unigrams: with the count c(u) of a
-history, P(v | u) = (c(u, v) + k(u) * P(v)) / (c(u) + k(u)), k(u) = strength *
-c(u)**growth, and P(v) = (c(v) + 1) / (N + V + 1). It sums to one for any k, and
-needs counts only.
-
-As an automaton: each known word is a state; a seen pair is an arc with its own
-weight; any other word takes the failure arc, whose weight is
-k(u) / (c(u) + k(u)), to the empty state, which has an arc for each known word
-and one for all unknown words. Texts are read once, left to right.
-
-No machine holds the model. Counts live in shards by n-gram hash; a block of
-documents asks each shard for the n-grams that it holds, the shard answers in
-the same order, and the block's part of the automaton is built from that:
-
-  documents -> blocks -> sorted n-gram hashes per (shard, block) -> summed and
-  answered per shard -> blocks again.
-
-Training counts travel with the questions, so the n-grams cross the network once.
+The model has order ``ORDER``. With the count c(h) of a history h and h' for h
+without its first word, P(w | h) = (c(h w) + k(h) P(w | h')) / (c(h) + k(h)) and
+k(h) = strength * c(h)**growth, so that the share k / (c + k) left to shorter
+histories falls as a history grows more frequent; P(w) = (c(w) + 1) / (N + V + 1)
+without a history. This sums to one for any k and needs counts only.
+
+As an automaton: a state is a history that occurs in training; it has an arc for
+each word seen after it, with log10 P(w | h) as weight and the longest suffix of
+h w that is a state as target. Any other word takes the failure arc, weight
+log10(k / (c + k)), to the state of h', and is tried again there. The empty state
+has an arc for every word. Texts are read left to right, one state carried along.
+
+No machine holds the model. The rows of a task are cut into blocks. A block asks
+for the counts of its n-grams, and gives what its own training texts add to them;
+both cross the network once, as sorted hashes by ranges of the hash:
+
+  documents -> blocks -> sorted n-gram hashes by range -> summed and answered per
+  range -> each block builds the part of the automaton its texts can reach.
+
+The token numbers of a block travel with its questions, so texts are read once for
+this. A block and range meet only if they share an n-gram, so the rows exchanged
+are never more than the n-grams.
 """
 
 from __future__ import annotations
@@ -27,227 +31,335 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpointed
-
-#: Pre-hashed tokens that no word can equal, as words hold no blanks.
-END, START = " end", " start"
-STRENGTH, GROWTH = 5.0, 1.0
-BLOCK_BYTES = 12 << 20
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def token_hash(token: bytes) -> int:
-    return xxhash.xxh64_intdigest(token, 8)
-
-
-def unigram_keys(tokens: np.ndarray) -> np.ndarray:
-    """Even keys; pairs get odd ones, so the orders never meet."""
-    return mixed(tokens) & ~np.uint64(1)
+from .common import small_batches
+from .hashing import mixed, word_hashes
 
-
-def bigram_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mixed(before * np.uint64(0x2545F4914F6CDD1D) + mixed(tokens)) | np.uint64(1)
-
-
-def read_tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, an end token after each text, and the number of tokens of each text."""
-    known: dict[bytes, int] = {}
-    end, parts, sizes = token_hash(END.encode()), [], []
-    for text in texts:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if len(known) > 200_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = token_hash(w)
-        row = np.full(len(words) + 1, end, np.uint64)
-        row[:-1] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        parts.append(row)
-        sizes.append(len(row))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.array(sizes, np.int64)
-
-
-def histories(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(sizes) - sizes] = np.uint64(token_hash(START.encode()))
-    return before
+#: The tokens before and after a text: their labels in every block, and their hashes.
+START_LABEL, END_LABEL = 0, 1
+EDGES = np.array([0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], np.uint64)
+ORDER = 3
+STRENGTH, GROWTH = 3.0, 0.85
+BLOCK_BYTES, RANGE_TOKENS = 12 << 20, 1_500_000
+#: Hashes are so many bits longer than the number of tokens: another n-gram shares one with probability 2**-SPARE.
+SPARE = 25
+SEGMENT = 256
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Planes of bytes without the upper ones that are zero. The three uppermost left are sparse and get
-    compressed; lower planes of sorted hashes are as good as random."""
+    """Planes of bytes without the upper ones that are zero; the two uppermost left are sparse and get compressed."""
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
     used = int(np.flatnonzero(planes.any(axis=1)).max(initial=0)) + 1
-    cut = max(0, used - 3)
+    cut = max(0, used - 2)
     return np.array([len(values), used], np.int64).tobytes() + planes[:cut].tobytes() + zlib.compress(planes[cut:used].tobytes(), 1)
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
     n, used = (int(x) for x in np.frombuffer(data, np.int64, 2))
-    raw = 16 + n * max(0, used - 3)
+    raw = 16 + n * max(0, used - 2)
     planes = np.zeros((np.dtype(kind).itemsize, n), np.uint8)
     planes[:used] = np.frombuffer(data[16:raw] + zlib.decompress(data[raw:]), np.uint8).reshape(used, n)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def pack_sorted(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
-
-
-def block_keys(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    before = histories(tokens, sizes)
-    return unigram_keys(tokens), unigram_keys(before), bigram_keys(before, tokens)
-
-
-def ask(table: pa.Table, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """For every shard: the block's distinct n-gram keys, and how often training texts hold each."""
-    tokens, sizes = read_tokens(table.column("text").to_pylist())
-    trains = np.repeat(~np.array(table.column("held_out").to_pylist(), bool), sizes)
-    one, state, two = block_keys(tokens, sizes)
-    starts = np.zeros(len(one), bool)
-    starts[np.cumsum(sizes) - sizes] = True
-    # A start counts as a history once a text, so it is asked for as a unigram of its own.
-    keys = np.concatenate([one, state[starts], two])
-    counted = np.concatenate([trains, trains[starts], trains])
-    del one, state, two, tokens
-    keys, at = np.unique(keys, return_inverse=True)
-    counts = np.bincount(at, weights=counted, minlength=len(keys)).astype(np.uint32)
-    edges = np.searchsorted(keys, (np.arange(1, shards, dtype=np.uint64) * np.uint64((1 << 64) // shards)))
-    for s, (k, c) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)):
-        if len(k):
-            yield s, pack_sorted(k), pack(c)
-
-
-def answer(table: pa.Table, start_key: int) -> Iterator[tuple[int, bytes, int, int]]:
-    """Of one shard: summed counts for each block in the order asked, and the shard's tokens and distinct words once."""
-    asked = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
-    given = [unpack(c, np.uint32) for c in table.column("counts").to_pylist()]
-    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-    sums = np.bincount(at, weights=np.concatenate(given), minlength=len(keys)).astype(np.int64)
-    words = (keys & np.uint64(1) == 0) & (keys != np.uint64(start_key)) & (sums > 0)
-    total, distinct, begin = int(sums[words].sum()), int(words.sum()), 0
-    for block, k in zip(table.column("block").to_pylist(), asked, strict=True):
-        yield block, pack(np.minimum(sums[at[begin : begin + len(k)]], 2**32 - 1).astype(np.uint32)), total, distinct
-        begin += len(k)
-        total = distinct = 0
-
-
-def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one block, packed and compressed together: texts cross the network at less than half their size."""
-    for batch in batches:
-        blocks = batch.column(0).to_numpy(zero_copy_only=False)
-        order = np.argsort(blocks, kind="stable")
-        found, begins = np.unique(blocks[order], return_index=True)
-        packed = []
-        for rows in np.split(order, begins[1:]) if len(order) else []:
-            sink = pa.BufferOutputStream()
-            own = batch.select(batch.schema.names[1:]).take(pa.array(rows))
-            with pa.ipc.new_stream(sink, own.schema) as stream:
-                stream.write_batch(own)
-            packed.append(zlib.compress(sink.getvalue(), 1))
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(packed, pa.binary())], ["block", "data"])
-
-
-def scatter(data: pa.ChunkedArray) -> pa.Table:
-    """The rows of ``gather``'s packages."""
-    return pa.concat_tables([pa.ipc.open_stream(zlib.decompress(d.as_py())).read_all() for d in data])
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key its rank among the distinct ones, and for each of those a place that holds it."""
+    n, places = len(keys), len(keys).bit_length()
+    if n and int(keys.max()).bit_length() + places < 64:
+        # Keys and places in one number: sorting those is several times faster than an argsort.
+        both = np.sort(keys.astype(np.int64) << places | np.arange(n))
+        order, ranked = both & (1 << places) - 1, both >> places
+    else:
+        order = np.argsort(keys)
+        ranked = keys[order]
+    new = np.ones(n, bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, order[new]
+
+
+class Block:
+    """Some texts as labels (numbers of their words), and their distinct n-grams by level.
+
+    Texts are laid end to end, a start before and an end after each. ``ids[n]``
+    numbers the n-gram that ends at each place, -1 where a text has none; for
+    every n-gram ``before``, ``last`` and ``suffix`` are its history, its last
+    label, and itself without its first word, as numbers of their own levels.
+    """
+
+    def __init__(self, labels: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, order: int):
+        self.labels, self.sizes, self.hashes, self.order = labels.astype(np.int64), sizes, hashes, order
+        self.begins = np.cumsum(sizes) - sizes
+        offset = np.arange(len(labels)) - np.repeat(self.begins, sizes)
+        width = len(hashes)
+        self.ids, self.sums = [None, self.labels], [None, width]
+        self.before, self.last, self.suffix = [None, None], [None, np.arange(width)], [None, None]
+        for n in range(2, order + 1):
+            at = np.flatnonzero(offset >= n - 1)
+            shorter = self.ids[n - 1]
+            rank, where = numbered(shorter[at - 1] * width + self.labels[at])
+            where = at[where]
+            ids = np.full(len(labels), -1, np.int64)
+            ids[at] = rank
+            self.ids.append(ids)
+            self.sums.append(len(where))
+            self.before.append(shorter[where - 1])
+            self.last.append(self.labels[where])
+            self.suffix.append(shorter[where])
+
+    @classmethod
+    def read(cls, texts: pa.Array, order: int) -> Block:
+        words, sizes = word_hashes(texts)
+        labels, where = numbered(words)
+        known, seen = words[where], np.bincount(labels, minlength=len(where))
+        # Frequent words get small labels, which pack well.
+        ranked = np.argsort(-seen, kind="stable")
+        label = np.empty(len(known), np.int64)
+        label[ranked] = np.arange(len(known)) + len(EDGES)
+        ends = np.cumsum(sizes + 2)
+        flat = np.zeros(len(words) + 2 * len(sizes), np.int64)
+        inner = np.ones(len(flat), bool)
+        inner[ends - 1] = inner[ends - sizes - 2] = False
+        flat[inner], flat[ends - 1] = label[labels], END_LABEL
+        return cls(flat, sizes + 2, np.r_[EDGES, known[ranked]], order)
+
+    def keys(self, bits: int) -> np.ndarray:
+        """Hashes of all n-grams, level by level."""
+        out = [mixed(self.hashes)]
+        with np.errstate(over="ignore"):
+            for n in range(2, self.order + 1):
+                out.append(mixed(out[-1][self.before[n]] * np.uint64(0x2545F4914F6CDD1D) + out[0][self.last[n]] + np.uint64(n)))
+        return np.concatenate(out) >> np.uint64(64 - bits)
+
+    def counts(self, trains: np.ndarray) -> np.ndarray:
+        """How often the texts marked in ``trains`` hold each n-gram, in the order of ``keys``."""
+        held = np.repeat(trains, self.sizes)
+        out = []
+        for n in range(1, self.order + 1):
+            own = self.ids[n][held]
+            out.append(np.bincount(own[own >= 0], minlength=self.sums[n]))
+        return np.concatenate(out).astype(np.uint64)
 
 
 class Automaton:
-    """The part of the model that a block's texts can reach: sorted arcs with their counts, and the totals."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int, strength: float, growth: float):
-        self.keys, self.counts, self.total, self.distinct = keys, counts.astype(np.float64), total, distinct
-        self.strength, self.growth = strength, growth
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        return self.counts[np.searchsorted(self.keys, keys)]
-
-    def walk(self, tokens: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
-        """Weights along each text: the state before a token is the word before it, or the empty state if that is unknown."""
-        one, state, two = block_keys(tokens, sizes)
-        c = self.count(one)
-        history = self.count(state)
-        pair = self.count(two)
-        room = self.total + self.distinct + 1
-        plain = np.log10((c + 1) / room)
-        k = self.strength * np.maximum(history, 1) ** self.growth
-        arc = np.log10((pair + k * (c + 1) / room) / (history + k))
-        failure = np.log10(k / (history + k)) + plain
-        weight = np.where(history == 0, plain, np.where(pair > 0, arc, failure))
-        begins = np.cumsum(sizes) - sizes
+    """The part of the model that a block's texts can reach: states, arcs and failure arcs.
+
+    State 0 is the empty history. Arcs are sorted by source and label.
+    """
+
+    def __init__(self, block: Block, counts: np.ndarray, total: int, distinct: int, strength: float, growth: float):
+        self.width, self.order = len(block.hashes), block.order
+        seen = [None, *np.split(counts.astype(np.float64), np.cumsum(block.sums[1:])[:-1])]
+        probability = (seen[1] + 1) / (total + distinct + 1)
+        self.known, self.plain = seen[1] > 0, np.log10(probability)
+        share = [None, *(strength * np.maximum(c, 1) ** growth for c in seen[1:])]
+        n_states, resolved, keys, weights, targets = 1, None, [], [], []
+        fails, fail_weights = [np.zeros(1, np.int64)], [np.zeros(1)]
+        for n in range(1, self.order + 1):
+            shorter = resolved
+            if n < self.order:
+                lives = (seen[n] > 0) & (block.last[n] != END_LABEL)
+                resolved = np.zeros(block.sums[n], np.int64) if n == 1 else shorter[block.suffix[n]]
+                fails.append(resolved[lives])
+                fail_weights.append(np.log10(share[n][lives] / (seen[n][lives] + share[n][lives])))
+                resolved[lives] = n_states + np.arange(int(lives.sum()))
+                n_states += int(lives.sum())
+            if n == 1:
+                self.first = resolved if self.order > 1 else np.zeros(self.width, np.int64)
+            else:
+                history = seen[n - 1][block.before[n]]
+                lower = probability[block.suffix[n]]
+                k = share[n - 1][block.before[n]]
+                probability = np.where(history > 0, (seen[n] + k * lower) / (history + k), lower)
+                arc = seen[n] > 0
+                keys.append(shorter[block.before[n][arc]] * self.width + block.last[n][arc])
+                weights.append(np.log10(probability[arc]))
+                targets.append(resolved[arc] if n < self.order else shorter[block.suffix[n][arc]])
+        none = np.array([np.iinfo(np.int64).max])
+        self.keys = np.concatenate([*keys, none])
+        self.weights, self.targets = np.concatenate([*weights, [0.0]]), np.concatenate([*targets, [0]])
+        self.fails, self.fail_weights = np.concatenate(fails), np.concatenate(fail_weights)
+
+    def step(self, states: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after reading ``labels`` in ``states``, and the weights of the arcs on the way."""
+        states, weight = states.copy(), np.zeros(len(states))
+        after, open_ = np.zeros(len(states), np.int64), np.arange(len(states))
+        while len(open_):
+            own, label = states[open_], labels[open_]
+            empty = own == 0
+            done = open_[empty]
+            weight[done] += self.plain[label[empty]]
+            after[done] = self.first[label[empty]]
+            open_, own, label = open_[~empty], own[~empty], label[~empty]
+            key = own * self.width + label
+            at = np.searchsorted(self.keys, key)
+            hit = self.keys[at] == key
+            done, arc = open_[hit], at[hit]
+            weight[done] += self.weights[arc]
+            after[done] = self.targets[arc]
+            open_, own = open_[~hit], own[~hit]
+            weight[open_] += self.fail_weights[own]
+            states[open_] = self.fails[own]
+        return after, weight
+
+    def walk(self, block: Block) -> np.ndarray:
+        """The weight of each text. Texts advance together; long ones in segments.
+
+        A state depends on the last order - 1 tokens only, so a segment starts in
+        the empty state so many tokens early, and their weights are not counted.
+        """
+        warm, n = self.order - 1, block.sizes - 1
+        pieces = -(-n // SEGMENT)
+        text = np.repeat(np.arange(len(n)), pieces)
+        turn = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        skip = np.where(turn > 0, warm, 0)
+        begin = block.begins[text] + 1 + turn * SEGMENT - skip
+        length = np.minimum(SEGMENT, n[text] - turn * SEGMENT) + skip
+        order = np.argsort(-length, kind="stable")
+        text, skip, begin, length = text[order], skip[order], begin[order], length[order]
+        states = np.where(skip > 0, 0, self.first[START_LABEL])
+        total = np.zeros(len(text))
+        for t in range(int(length.max(initial=0))):
+            live = int(np.searchsorted(-length, -t, "left"))
+            states[:live], weight = self.step(states[:live], block.labels[begin[:live] + t])
+            total[:live] += np.where(t >= skip[:live], weight, 0.0)
+        return np.bincount(text, weights=total, minlength=len(n))
+
+    def score(self, block: Block) -> dict[str, np.ndarray]:
+        tokens = block.labels.copy()
+        tokens[block.begins] = END_LABEL
+        known, plain = self.known[tokens].astype(np.int64), self.plain[tokens]
+        known[block.begins], plain[block.begins] = 0, 0.0
         return {
-            "n_tokens": sizes,
-            "n_known": np.add.reduceat((c > 0).astype(np.int64), begins),
-            "base_score": np.add.reduceat(plain, begins),
-            "score": np.add.reduceat(weight, begins),
+            "n_tokens": block.sizes - 1,
+            "n_known": np.add.reduceat(known, block.begins),
+            "base_score": np.add.reduceat(plain, block.begins),
+            "score": self.walk(block),
         }
 
 
-def score(docs: DataFrame, modulus: int = 7, held: int = 2, strength: float = STRENGTH, growth: float = GROWTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of tokens in all rows and in training rows, and hashes of the distinct training tokens."""
+    for batch in small_batches(batches, 10_000):
+        words, sizes = word_hashes(batch.column(1))
+        trains = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        hashes = np.unique(words[np.repeat(trains, sizes)])
+        if trains.any():
+            hashes = np.r_[hashes, EDGES[END_LABEL]]
+        n = np.zeros((2, len(hashes) + 1), np.int64)
+        n[:, 0] = (sizes + 1).sum(), (sizes + 1)[trains].sum()
+        word = np.r_[0, np.ones(len(hashes), np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.uint64(0), hashes].view(np.int64)), pa.array(n[0]), pa.array(n[1]), pa.array(word)], ["hash", "n", "trained", "word"])
+
+
+ROW = "dest int, block long, shard int, one binary, two binary, three binary"
+
+
+def as_table(rows: list[tuple]) -> pa.Table:
+    kinds = {"dest": pa.int32(), "block": pa.int64(), "shard": pa.int32(), "one": pa.binary(), "two": pa.binary(), "three": pa.binary()}
+    columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+    return pa.table({name: pa.array(list(c), kind) for (name, kind), c in zip(kinds.items(), columns, strict=True)})
+
+
+def ask(batches: Iterator[pa.RecordBatch], shards: int, bits: int, order: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Every block as a row of its own (``shard`` -1), and its questions to each range of hashes."""
+    made = 0
+
+    def questions(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nonlocal made
+        table = pa.Table.from_batches(parts)
+        block = Block.read(pa.concat_arrays([p.column(1) for p in parts]), order)
+        name = (TaskContext.get().partitionId() << 24) + made
+        made += 1
+        sink = pa.BufferOutputStream()
+        own = table.select(["doc_id", "held_out"]).append_column("size", pa.array(block.sizes)).combine_chunks()
+        with pa.ipc.new_stream(sink, own.schema) as stream:
+            stream.write_table(own)
+        yield as_table([(name % shards, name, -1, sink.getvalue().to_pybytes(), pack(block.labels.astype(np.uint32)), pack(block.hashes))]).to_batches()[0]
+        keys = block.keys(bits)
+        counts = block.counts(~np.array(table.column("held_out").to_pylist(), bool))
+        sort = np.argsort(keys)
+        keys, counts = keys[sort], counts[sort]
+        edges = np.searchsorted(keys, edges_of(shards, bits))
+        rows = []
+        for s, (k, c) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)):
+            if len(k):
+                rows.append((s, name, s, pack(np.diff(k, prepend=np.uint64(0))), pack(c), None))
+        yield from as_table(rows).to_batches()
+
+    held, volume = [], 0
+    for batch in small_batches(batches):
+        if batch.num_rows:
+            held.append(batch)
+            volume += batch.nbytes
+        if volume >= block_bytes:
+            yield from questions(held)
+            held, volume = [], 0
+    if held:
+        yield from questions(held)
+
+
+def edges_of(shards: int, bits: int) -> np.ndarray:
+    return np.array([(s << bits) // shards for s in range(1, shards)], np.uint64)
+
+
+def answer(table: pa.Table) -> pa.Table:
+    """Of one range: the summed counts for each block in the order asked. Blocks pass through as they are."""
+    names, shard = table.column("block").to_pylist(), table.column("shard").to_pylist()
+    one, two, three = (table.column(c) for c in ("one", "two", "three"))
+    rows = [(0, names[k], -1, one[k].as_py(), two[k].as_py(), three[k].as_py()) for k, s in enumerate(shard) if s < 0]
+    asks = [k for k, s in enumerate(shard) if s >= 0]
+    if asks:
+        asked = [np.cumsum(unpack(one[k].as_py(), np.uint64), dtype=np.uint64) for k in asks]
+        given = np.concatenate([unpack(two[k].as_py(), np.uint64) for k in asks])
+        _, at = np.unique(np.concatenate(asked), return_inverse=True)
+        # As two halves, float sums of whole numbers stay exact beyond 2**53.
+        low, high = np.bincount(at, weights=given & np.uint64(0xFFFFFFFF)), np.bincount(at, weights=given >> np.uint64(32))
+        sums = low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
+        begin = 0
+        for k, own in zip(asks, asked, strict=True):
+            rows.append((0, names[k], shard[k], pack(sums[at[begin : begin + len(own)]]), None, None))
+            begin += len(own)
+    return as_table(rows)
+
+
+def score(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER, strength: float = STRENGTH, growth: float = GROWTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every row's log10 probability under a model of the rows that are not held out.
 
     Null and empty texts have one token, the end. A null id counts as the empty
     text where rows are held out. Repeated rows count as often as they occur.
     Without training rows all counts are 0. Other columns are not read.
     """
-    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == held
     rows = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"), held_out.alias("held_out"))
-    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(max(8, -(-volume // block_bytes)))
-    shards = int(max(8, blocks))
-    start_key = int(unigram_keys(np.array([token_hash(START.encode())], np.uint64))[0])
-    # Equal texts of other ids fall into other blocks, so copies do not meet in one.
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    placed = rows.select(block.alias("block"), "*").mapInArrow(gather, "block int, data binary")
-
-    def asking(table: pa.Table) -> pa.Table:
-        found = list(ask(scatter(table.column("data")), shards))
-        block = table.column("block")[0].as_py()
-        columns = [[block] * len(found), *map(list, zip(*found, strict=True))]
-        return pa.table(dict(zip(("block", "shard", "keys", "counts"), (pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)), strict=True)))
-
-    def answering(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        block, data, total, distinct = map(list, zip(*answer(table, start_key), strict=True))
-        return pa.table({"block": pa.array(block, pa.int32()), "shard": pa.array([shard] * len(block), pa.int32()), "counts": pa.array(data, pa.binary()), "total": pa.array(total, pa.int64()), "distinct": pa.array(distinct, pa.int64())})
-
-    questions = placed.groupBy("block").applyInArrow(asking, "block int, shard int, keys binary, counts binary")
-    answers = checkpointed(questions.groupBy("shard").applyInArrow(answering, "block int, shard int, counts binary, total long, distinct long"))
-    total, distinct = (v or 0 for v in answers.agg(F.sum("total"), F.sum("distinct")).first())
-
-    def scoring(packed: pa.Table, told: pa.Table) -> pa.Table:
-        texts = scatter(packed.column("data"))
-        tokens, sizes = read_tokens(texts.column("text").to_pylist())
-        one, state, two = block_keys(tokens, sizes)
-        keys = np.unique(np.concatenate([one, state[np.cumsum(sizes) - sizes], two]))
-        del one, state, two
-        # Shards are ranges of keys, so their answers in order are the answers to the sorted keys.
-        order = np.argsort(told.column("shard").to_numpy())
-        data = told.column("counts").to_pylist()
-        counts = np.concatenate([unpack(data[k], np.uint32) for k in order])
-        found = Automaton(keys, counts, total, distinct, strength, growth).walk(tokens, sizes)
+    counted = rows.mapInArrow(tally, "hash long, n long, trained long, word long").groupBy("hash", "word").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
+    tokens, total, distinct = (v or 0 for v in counted.agg(F.sum("n"), F.sum("trained"), F.sum("word")).first())
+    shards, bits = int(max(8, -(-tokens // RANGE_TOKENS))), int(min(64, max(1, tokens).bit_length() + SPARE))
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from ask(batches, shards, bits, order, block_bytes)
+
+    def scoring(table: pa.Table) -> pa.Table:
+        shard = np.array(table.column("shard").to_pylist())
+        own = int(np.flatnonzero(shard < 0)[0])
+        texts = pa.ipc.open_stream(table.column("one")[own].as_py()).read_all()
+        block = Block(unpack(table.column("two")[own].as_py(), np.uint32), texts.column("size").to_numpy(), unpack(table.column("three")[own].as_py(), np.uint64), order)
+        # Ranges are in order of the hashes, so their answers in order are those to the sorted hashes.
+        told = [unpack(table.column("one")[int(k)].as_py(), np.uint64) for k in np.argsort(shard, kind="stable")[1:]]
+        counts = np.empty(sum(block.sums[1:]), np.uint64)
+        counts[np.argsort(block.keys(bits))] = np.concatenate(told)
+        found = Automaton(block, counts, total, distinct, strength, growth).score(block)
         columns = {"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": found["n_tokens"], "n_known": found["n_known"]}
-        columns |= {"train_tokens": np.full(len(sizes), total, np.int64), "base_score": found["base_score"], "score": found["score"]}
+        columns |= {"train_tokens": np.full(len(block.sizes), total, np.int64), "base_score": found["base_score"], "score": found["score"]}
         return pa.table({k: v if isinstance(v, pa.ChunkedArray) else pa.array(v) for k, v in columns.items()})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return placed.groupBy("block").cogroup(answers.select("block", "shard", "counts").groupBy("block")).applyInArrow(
+    answered = rows.mapInArrow(asking, ROW).groupBy("dest").applyInArrow(answer, ROW)
+    return answered.groupBy("block").applyInArrow(
         scoring, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PARTS = re.compile(r" [^ \n]*|\n|[^ \n]+")
@@ -175,12 +175,11 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     Rows are encoded one by one, so repeated rows agree; other columns are not read.
     """
     pieces = read_model(model)
-    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(pieces)
-        for batch in batches:
+        for batch in small_batches(batches):
             at = 0
             for texts in batches_of(batch.column(1).to_pylist()):
                 found = vocabulary.encode(texts)
@@ -196,13 +195,12 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``encoded`` with ``token_ids`` turned back to ``text``, other columns as they are; null is the empty text."""
     pieces = read_model(model)
-    bound_batches(encoded.sparkSession)
     at = encoded.columns.index("token_ids")
     fields = [("text" if f.name == "token_ids" else f.name, "string" if f.name == "token_ids" else f.dataType.simpleString()) for f in encoded.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(pieces)
-        for batch in batches:
+        for batch in small_batches(batches):
             columns = list(batch.columns)
             columns[at] = pa.array([vocabulary.decode(x.values.to_numpy() if x.is_valid else None) for x in columns[at]], pa.string())
             yield pa.RecordBatch.from_arrays(columns, [n for n, _ in fields])
