@@ -16,7 +16,13 @@ Pieces are found within ``RADIUS`` bits by multi-index hashing: of four blocks o
 16 bits, one differs in RADIUS // 4 bits or fewer, and tables list the pieces of
 every such block value, which guarantees all pieces within the radius. Each
 candidate is then compared with the item itself: weighted Jaccard similarity of
-the shingles, best over the starts that the window allows.
+the shingles, best over the starts that the window allows. An item's shingle
+weighs 1 / (number of different items that hold it), counted over the whole
+benchmark; a shingle that the item lacks weighs as the item's do on average.
+
+The benchmark is the query set, the documents are searched in blocks of it. Its
+shingles are counted by Spark; a block of ``ITEM_BLOCK`` items or ``BLOCK_BYTES``
+is broadcast; one scan of the documents serves ``ROUND`` blocks.
 """
 
 from __future__ import annotations
@@ -27,16 +33,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import checkpointed, small_batches
+from .hashing import shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD, RADIUS, LARGEST = 5, 0.8, 15, 200
-ITEM_BLOCK = 2048
-CHUNK = 100_000
+ITEM_BLOCK, BLOCK_BYTES, ROUND = 2048, 4 << 20, 16
+CHUNK = 40_000
 ONES = np.uint64(0x0101010101010101)
+#: Bits that the hash table of known shingles is addressed by.
+TABLE_BITS = 20
+Item = tuple[object, np.ndarray, np.ndarray]  # id, shingles in order, weight of each
 
 
 def window_sizes(largest: int = LARGEST) -> list[int]:
@@ -46,29 +55,12 @@ def window_sizes(largest: int = LARGEST) -> list[int]:
     return sizes
 
 
-class Shingler:
-    """Hashes of five-word shingles; a text of fewer words is one shingle, a text without words none."""
-
-    def __init__(self) -> None:
-        self.words: dict[bytes, int] = {}
+def shingles_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the five-word shingles of all rows, and their number in each row.
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        tokens = (text or "").lower().encode("utf-8", "surrogatepass").split()
-        if not tokens:
-            return np.zeros(0, np.uint64)
-        known = self.words
-        if len(known) > 150_000:
-            known.clear()
-        for w in set(tokens).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w, 5)
-        hashes = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-        n = max(1, len(hashes) - SHINGLE + 1)
-        with np.errstate(over="ignore"):
-            out = np.zeros(n, np.uint64)
-            for k in range(min(SHINGLE, len(hashes))):
-                out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
-            out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            return out ^ (out >> np.uint64(29))
+    A text of fewer words is one shingle, a null text or one without words none.
+    """
+    return shingle_hashes(*word_hashes(texts), SHINGLE)
 
 
 def running_sums(shingles: np.ndarray) -> np.ndarray:
@@ -92,28 +84,31 @@ def fingerprints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
 
 
 class Benchmark:
-    """Items, their pieces by window size, and the block tables (built where they are used)."""
-
-    def __init__(self, items: list[tuple[int, str]], threshold: float, radius: int):
-        self.threshold, self.radius, shingle = threshold, radius, Shingler()
-        self.items = [(i, s) for i, s in ((i, shingle(t)) for i, t in items) if len(s)]
-        holders = Counter(h for _, s in self.items for h in set(s.tolist()))
-        self.weight = {h: 1 / n for h, n in holders.items() if n > 1}
-        self.bags = [Counter(s.tolist()) for _, s in self.items]
+    """A block of items, their pieces by window size, and the block tables (built where they are used)."""
+
+    def __init__(self, items: list[Item], threshold: float, radius: int):
+        self.threshold, self.radius = threshold, radius
+        self.items = [(i, s) for i, s, _ in items]
+        self.weights = [dict(zip(s.tolist(), w.tolist(), strict=True)) for _, s, w in items]
+        self.bags = [Counter(s.tolist()) for _, s, _ in items]
+        self.total = np.array([w.sum() for _, _, w in items])
+        self.foreign = np.array([w.mean() for _, _, w in items])
         self.longest = max((len(s) for _, s in self.items), default=0)
         sizes, pieces = window_sizes(), defaultdict(list)
+        self.piece = np.array([max(w for w in sizes if w <= len(s)) for _, s in self.items], np.int64)
         for at, (_, s) in enumerate(self.items):
-            size = max(w for w in sizes if w <= len(s))
+            size = int(self.piece[at])
             offsets = [(len(s) - size) // 2] if len(s) <= LARGEST * 1.15 else sorted({*range(0, len(s) - size + 1, size), len(s) - size})
             sums = running_sums(s)
             for offset in offsets:
                 pieces[size].append((at, offset, fingerprints(sums, np.array([offset]), size)[0]))
-        self.piece = np.array([max(w for w in sizes if w <= len(s)) for _, s in self.items], np.int64)
-        self.total = np.array([sum(self.weight.get(h, 1.0) * n for h, n in bag.items()) for bag in self.bags])
         rows = sorted((h, at, n) for at, bag in enumerate(self.bags) for h, n in bag.items())
         self.known = np.array([h for h, _, _ in rows], np.uint64)
         self.holder = np.array([at for _, at, _ in rows], np.int64)
         self.held = np.array([n for _, _, n in rows], np.int64)
+        self.weight = np.array([self.weights[at][h] for h, at, _ in rows])
+        self.table = np.zeros(1 << TABLE_BITS, bool)
+        self.table[self.known >> np.uint64(64 - TABLE_BITS)] = True
         self.groups = [self._index(size, own[k : k + 64]) for size, own in sorted(pieces.items()) for k in range(0, len(own), 64)]
 
     def _index(self, size: int, own: list) -> tuple:
@@ -125,14 +120,30 @@ class Benchmark:
                 tables[b, near ^ np.uint16(int(code) >> 16 * b & 0xFFFF)] |= np.uint64(1 << k)
         return size, own, tables, np.array([c for _, _, c in own], np.uint64)
 
-    def similarity(self, at: int, window: list[int]) -> float:
-        bag, other = self.bags[at], Counter(window)
-        low = high = 0.0
-        for h in bag.keys() | other.keys():
-            w = self.weight.get(h, 1.0)
-            a, b = bag.get(h, 0), other.get(h, 0)
-            low, high = low + w * min(a, b), high + w * max(a, b)
-        return low / high
+    def best(self, at: int, region: list[int], width: int) -> tuple[float, int]:
+        """The best similarity of the item to ``width`` neighbouring shingles of ``region``, and their start.
+
+        One window is counted in full; the next ones change by a shingle on each side.
+        """
+        bag, weights, foreign = self.bags[at], self.weights[at], float(self.foreign[at])
+        held: Counter = Counter()
+        low, high, found = 0.0, float(self.total[at]), (0.0, 0)
+        for p, h in enumerate(region):
+            held[h] += 1
+            if held[h] <= bag[h]:
+                low += weights[h]
+            else:
+                high += weights.get(h, foreign)
+            if p >= width:
+                old = region[p - width]
+                if held[old] <= bag[old]:
+                    low -= weights[old]
+                else:
+                    high -= weights.get(old, foreign)
+                held[old] -= 1
+            if p >= width - 1 or p == len(region) - 1:
+                found = max(found, (low / high, -max(0, p - width + 1)))
+        return found[0], -found[1]
 
     def search_short(self, shingles: np.ndarray) -> dict[int, tuple[float, int]]:
         """Of one whole text: item -> (similarity, 0) for the items whose pieces are longer, if it reaches the threshold."""
@@ -140,125 +151,190 @@ class Benchmark:
         own, counts = np.unique(shingles, return_counts=True)
         low, high = np.searchsorted(self.known, own, "left"), np.searchsorted(self.known, own, "right")
         shared = np.zeros(len(self.items))
-        for h, n, a, b in zip(own.tolist(), counts.tolist(), low.tolist(), high.tolist(), strict=True):
+        for n, a, b in zip(counts.tolist(), low.tolist(), high.tolist(), strict=True):
             if a < b:
-                shared[self.holder[a:b]] += self.weight.get(h, 1.0) * np.minimum(n, self.held[a:b])
+                shared[self.holder[a:b]] += self.weight[a:b] * np.minimum(n, self.held[a:b])
         for at in np.flatnonzero((self.piece > len(shingles)) & (shared > 0) & (shared >= self.threshold * self.total - 1e-9)).tolist():
-            s = self.similarity(at, shingles.tolist())
-            if s >= self.threshold:
+            s, _ = self.best(at, shingles.tolist(), len(shingles))
+            if s >= self.threshold - 1e-9:
                 found[at] = (s, 0)
         return found
 
-    def search(self, shingles: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
+    def search(self, shingles: np.ndarray, lengths: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
         """Over several texts laid end to end: (text, item) -> (similarity, start), if it reaches the threshold."""
         found: dict[tuple[int, int], tuple[float, int]] = {}
-        lengths = np.diff(ends, prepend=0)
-        text = np.repeat(np.arange(len(ends)), lengths)
-        begin = ends - lengths
-        local = np.arange(len(shingles)) - begin[text]
-        last = lengths[text]
-        for k in np.flatnonzero((lengths > 0) & (lengths < self.piece.max(initial=0))).tolist():
-            for at, hit in self.search_short(shingles[ends[k] - lengths[k] : ends[k]]).items():
+        ends = np.cumsum(lengths)
+        begins = ends - lengths
+        # Only texts with a known shingle can be similar; a few others pass the table by chance.
+        marked = np.r_[0, np.cumsum(self.table[shingles >> np.uint64(64 - TABLE_BITS)])]
+        for k in np.flatnonzero((lengths > 0) & (lengths < self.piece.max(initial=0)) & (marked[ends] > marked[begins])).tolist():
+            for at, hit in self.search_short(shingles[begins[k] : ends[k]]).items():
                 found[k, at] = hit
-        sums, cached = running_sums(shingles), (0, None)
+        sums, size_of_marks = running_sums(shingles), 0
+        asked: set[tuple[int, int, int]] = set()
         for size, own, tables, codes in self.groups:
             step = max(1, size // 8)
-            if cached[0] != size:
-                starts = np.flatnonzero((local <= last - size) & ((local % step == 0) | (local == last - size)))
-                cached = (size, fingerprints(sums, starts, size))
-            marks = cached[1]
+            if size_of_marks != size:
+                # Windows at every step, and one at the end of each text.
+                counts = np.where(lengths >= size, -(-(lengths - size) // step) + 1, 0)
+                text = np.repeat(np.arange(len(lengths)), counts)
+                turn = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+                starts = begins[text] + np.minimum(turn * step, lengths[text] - size)
+                marks, size_of_marks = fingerprints(sums, starts, size), size
             blocks = marks.view(np.uint16).reshape(-1, 4)
             masks = tables[0][blocks[:, 0]]
             for b in range(1, 4):
                 masks |= tables[b][blocks[:, b]]
-            some = np.flatnonzero(masks)
-            near, masks, where = marks[some], masks[some], starts[some]
-            for k, (at, offset, _) in enumerate(own):
-                asked = np.flatnonzero(masks >> np.uint64(k) & np.uint64(1))
-                for hit in asked[np.bitwise_count(near[asked] ^ codes[k]) <= self.radius].tolist():
-                    self._verify(at, int(where[hit]) - offset, step, text[where[hit]], shingles, begin, ends, found)
+            # One candidate of each window at a time, the one of the lowest bit left.
+            where = np.flatnonzero(masks)
+            masks = masks[where]
+            while len(where):
+                lowest = masks & (~masks + np.uint64(1))
+                piece = np.bitwise_count(lowest - np.uint64(1))
+                close = np.flatnonzero(np.bitwise_count(marks[where] ^ codes[piece]) <= self.radius)
+                for hit, k in zip(where[close].tolist(), piece[close].tolist(), strict=True):
+                    at, offset, _ = own[k]
+                    t, start = int(text[hit]), int(starts[hit]) - offset
+                    if (t, at, start) not in asked:
+                        asked.add((t, at, start))
+                        self._verify(at, start, step, t, shingles, int(begins[t]), int(ends[t]), found)
+                masks ^= lowest
+                left = masks > 0
+                where, masks = where[left], masks[left]
         return found
 
-    def _verify(self, at, start, step, text, shingles, begin, ends, found) -> None:
+    def _verify(self, at: int, start: int, step: int, text: int, shingles: np.ndarray, begin: int, end: int, found: dict) -> None:
         n = len(self.items[at][1])
-        low, high = int(begin[text]), int(ends[text])
-        region = shingles[max(low, start - step) : min(high, start + step + n)].tolist()
+        low = max(begin, min(start - step, end - n))
+        region = shingles[low : min(end, max(low, start + step) + n)].tolist()
         if self.bags[at].keys().isdisjoint(region):
             return
-        for p in range(max(low, start - step), max(low, min(high - n, start + step)) + 1):
-            s = self.similarity(at, shingles[p : min(p + n, high)].tolist())
-            if s >= self.threshold and s > found.get((int(text), at), (0,))[0]:
-                found[int(text), at] = (s, p - low)
-
-
-def blocks_of_items(benchmark: DataFrame, size: int = ITEM_BLOCK) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of ``size``, so that what a task is sent has a bound whatever the table's size."""
-    rows = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    count = rows.count()
-    parts = -(-count // size)
-    for k in range(parts):
-        yield [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()]
-
-
-def hits(tables: Iterator[pa.RecordBatch], items: list, threshold: float, radius: int) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
-    """Each batch with the list of (item_id, similarity, start) of its texts; long texts are cut with overlaps."""
-    index, shingle = Benchmark(items, threshold, radius), Shingler()
-
-    def flush(held: list[tuple[int, int, np.ndarray]], out: list[dict]) -> None:
-        if held:
-            ends = np.cumsum([len(s) for _, _, s in held])
-            for (k, at), (s, start) in index.search(np.concatenate([s for _, _, s in held]), ends).items():
-                row, begin, _ = held[k]
-                if s > out[row].get(at, (0,))[0]:
-                    out[row][at] = (s, begin + start)
-
-    for batch in small_batches(tables):
-        texts = batch.column(batch.schema.get_field_index("text"))
-        out, held, volume = [{} for _ in range(len(texts))], [], 0
-        for row in range(len(texts)):
-            s = shingle(texts[row].as_py())
-            for begin in range(0, max(1, len(s)), CHUNK):
-                part = s[begin : begin + CHUNK + index.longest * 2]
-                if len(part):
-                    held.append((row, begin, part))
-                    volume += len(part)
+        s, p = self.best(at, region, n)
+        if s >= self.threshold - 1e-9 and s > found.get((text, at), (0,))[0]:
+            found[text, at] = (s, low + p - begin)
+
+
+def weighed(benchmark: DataFrame) -> DataFrame:
+    """``item_id``, ``shingles`` in order and their ``weights``, for each different item that has words."""
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            found, sizes = shingles_of(batch.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(found.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["item_id", "shingles"]).filter(pa.array(sizes > 0))
+
+    cut_items = items.mapInArrow(cut, f"item_id {kind}, shingles array<long>")
+    held = cut_items.select("shingles").distinct().select(F.explode(F.array_distinct("shingles")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    placed = cut_items.select("item_id", F.xxhash64("shingles").alias("key"), F.posexplode("shingles").alias("pos", "shingle")).join(held.where("n > 1"), "shingle", "left")
+    rows = placed.groupBy("item_id", "key").agg(F.array_sort(F.collect_list(F.struct("pos", "shingle", (1 / F.coalesce("n", F.lit(1))).alias("w")))).alias("all"))
+    return rows.select("item_id", "key", F.col("all.shingle").alias("shingles"), F.col("all.w").alias("weights"))
+
+
+def rounds_of(benchmark: DataFrame) -> Iterator[list]:
+    """Broadcast blocks of items, ``ROUND`` at a time; the driver holds one block."""
+    items = checkpointed(weighed(benchmark))
+    count, volume = items.agg(F.count("*"), F.coalesce(F.sum(16 * F.size("shingles")), F.lit(0))).first()
+    parts = max(-(-count // ITEM_BLOCK), -(-volume // BLOCK_BYTES))
+    context = benchmark.sparkSession.sparkContext
+    for begin in range(0, parts, ROUND):
+        blocks = []
+        for k in range(begin, min(parts, begin + ROUND)):
+            own = items.where(F.pmod(F.xxhash64("item_id", "key"), F.lit(parts)) == k).orderBy("item_id", "key").collect()
+            blocks.append(context.broadcast([(r["item_id"], np.array(r["shingles"], np.int64).view(np.uint64), np.array(r["weights"])) for r in own]))
+        yield blocks
+
+
+def hits(batches: Iterator[pa.RecordBatch], blocks: list[list[Item]], threshold: float, radius: int) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
+    """Each batch with the list of (item_id, similarity, start) of its texts; long texts are cut with overlaps.
+
+    With several blocks, each has its tables built anew for every batch, so that a task holds those of one.
+    """
+    single = Benchmark(blocks[0], threshold, radius) if len(blocks) == 1 else None
+
+    def search(index: Benchmark, shingles: np.ndarray, sizes: np.ndarray, out: list[dict]) -> None:
+        ends = np.cumsum(sizes)
+        held: list[tuple[int, int, int, int]] = []  # row, start in its text, and where the part lies
+        volume = 0
+
+        def flush() -> None:
+            parts = [shingles[a:b] for _, _, a, b in held]
+            for (k, at), (s, start) in index.search(np.concatenate(parts), np.array([len(p) for p in parts])).items():
+                row, begin, _, _ = held[k]
+                known = out[row].get((index, at), (0.0, 0))
+                if s > known[0]:
+                    out[row][index, at] = (s, begin + start)
+
+        for row, (size, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
+            for begin in range(0, size, CHUNK):
+                to = min(size, begin + CHUNK + index.longest * 2)
+                held.append((row, begin, end - size + begin, end - size + to))
+                volume += to - begin
                 if volume >= CHUNK:
-                    flush(held, out)
+                    flush()
                     held, volume = [], 0
-        flush(held, out)
-        yield batch, [[(index.items[at][0], s, start) for at, (s, start) in sorted(o.items())] for o in out]
+        if held:
+            flush()
+
+    for batch in batches if single is None else small_batches(batches):
+        shingles, sizes = shingles_of(batch.column(batch.schema.get_field_index("text")))
+        rows: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
+        for block in blocks:
+            index, out = single or Benchmark(block, threshold, radius), [{} for _ in range(batch.num_rows)]
+            search(index, shingles, sizes, out)
+            for row, own in zip(rows, out, strict=True):
+                row += [(index.items[at][0], s, start) for (_, at), (s, start) in sorted(own.items(), key=lambda x: x[0][1])]
+        yield batch, rows
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """``doc_id``, ``item_id``, ``similarity`` and ``first_word`` for each item found in each row of ``docs``.
 
     Null, empty and blank texts and items match nothing. Repeated rows are
-    searched each; an id that several items share is reported once for each.
-    Other columns are not read. An empty benchmark gives no rows.
+    searched each; repeated items count once, and an id that several items share
+    is reported once for each. Other columns are not read. An empty benchmark
+    gives no rows.
     """
     given = docs.select("doc_id", "text")
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, similarity double, first_word long"
-    out = None
-    for items in blocks_of_items(benchmark):
+    found = []
+    for blocks in rounds_of(benchmark):
 
-        def search(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            for batch, found in hits(batches, items, threshold, radius):
-                rows = [(batch.column(0)[k].as_py(), *hit) for k, own in enumerate(found) for hit in own]
+        def search(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
+            for batch, own in hits(batches, [b.value for b in blocks], threshold, radius):
+                rows = [(batch.column(0)[k].as_py(), *hit) for k, row in enumerate(own) for hit in row]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "similarity", "first_word"])
 
         part = given.mapInArrow(search, kinds)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], kinds) if out is None else out
+        if len(blocks) == ROUND:
+            # There may be another round: this one ends here, and its blocks can go.
+            part = checkpointed(part)
+            for b in blocks:
+                b.unpersist()
+        found.append(part)
+    out = docs.sparkSession.createDataFrame([], kinds)
+    for part in found:
+        out = part if part is found[0] else out.unionByName(part)
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` in which ``find`` finds nothing, with all their columns."""
-    for items in blocks_of_items(benchmark):
+    """The rows of ``docs`` in which ``find`` finds nothing, with all their columns.
+
+    Rows with null, empty or blank texts stay, and so do repeated rows. An empty
+    benchmark keeps all. Columns may have any names besides ``text``.
+    """
+    for blocks in rounds_of(benchmark):
 
-        def keep(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            for batch, found in hits(batches, items, threshold, radius):
+        def keep(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
+            for batch, found in hits(batches, [b.value for b in blocks], threshold, radius):
                 yield batch.filter(pa.array([not own for own in found], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
+        if len(blocks) == ROUND:
+            docs = checkpointed(docs)
+            for b in blocks:
+                b.unpersist()
     return docs
