@@ -270,6 +270,16 @@ def test_near_duplicates(spark, odd, nothing):
     assert simhash.components(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 
+def test_one_row_stays_where_ids_repeat(spark):
+    a, b, c = LINE, "the house on the hill was green and old and so it stayed for long", "nothing of this is like anything said before in these rows at all"
+    kept = lambda rows, module: sorted((r["doc_id"] or 0, r["text"]) for r in module.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    for module in (simhash, neardup):
+        assert kept([(3, b), (8, a), (8, b)], module) == [(3, b), (8, a)]
+        assert kept([(8, a), (8, c), (8, c)], module) == sorted([(8, a), (8, c)])
+        assert kept([(None, a), (None, a), (None, b), (9, b)], module) == [(0, a), (9, b)]
+        assert kept([(2, a), (2, a), (1, a), (1, a)], module) == [(1, a)]
+
+
 def five_words(text):
     w = words("".join(c.lower() if c.isascii() else c for c in text or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
@@ -301,7 +311,7 @@ def test_stage_links_all_at_the_threshold(spark, odd, nothing):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, DATA).collect()} == set(roots.values())
     kept = neardup.keep_one(odd)
     assert kept.columns == odd.columns
-    assert collections.Counter(r["doc_id"] for r in kept.collect()) == {1: 1, 2: 1, None: 1, 5: 1, 6: 1, 7: 1, 8: 1}
+    assert collections.Counter(r["doc_id"] for r in kept.collect()) == {1: 1, 2: 1, None: 1, 5: 1, 6: 1, 7: 1, 8: 2}
     assert neardup.keep_one(nothing).count() == 0
 
 
@@ -425,30 +435,94 @@ def test_leaks(spark, odd, nothing):
     assert leaks.find(nothing, bench).count() == 0 and leaks.find(df, bench.limit(0)).count() == 0 and leaks.clean(df, bench.limit(0)).count() == len(rows)
 
 
-def test_shortened_items_are_found():
-    import pyarrow as pa
+def brute_items(items):
+    """(id, shingles, weight of each) of different items, as the operator's own counting gives them."""
+    cut = [(i, leaks.shingles_of(pa.array([t]))[0]) for i, t in items]
+    holders = collections.Counter(h for own in {tuple(s.tolist()) for _, s in cut} for h in set(own))
+    return [(i, s, np.array([1 / holders[h] for h in s.tolist()])) for i, s in cut if len(s)]
+
+
+def brute_similarity(item, window):
+    _, shingles, weights = item
+    weight, a, b = dict(zip(shingles.tolist(), weights.tolist())), collections.Counter(shingles.tolist()), collections.Counter(window)
+    w = lambda h: weight.get(h, weights.mean())
+    return sum(w(h) * min(a[h], b[h]) for h in a) / sum(w(h) * max(a[h], b[h]) for h in a.keys() | b.keys())
+
+
+def brute_found(text, item):
+    """The best similarity over all windows of the item's size, or of the whole text if that is shorter."""
+    own, n = leaks.shingles_of(pa.array([text]))[0].tolist(), len(item[1])
+    return max((brute_similarity(item, own[p : p + n]) for p in range(max(1, len(own) - n + 1)) if own), default=0.0)
+
 
+def leaks_in(texts, items, radius=leaks.RADIUS):
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    return [own for _, found in leaks.hits(iter([batch]), [items], 0.8, radius) for own in found]
+
+
+def test_shortened_items_are_found():
     rng = random.Random(3)
     text = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
     for n in (5, 9, 24, 43, 120, 230, 399):
         item = text(n + 4).split()
         least = math.ceil(0.8 * n - 1e-9)
         cuts = [item[: m + 4] for m in range(least, n + 1)] + [item[n - m :] for m in range(least, n + 1)] + [item[: least + 3]]
-        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(cuts))), "text": [" ".join(c) for c in cuts]})
-        found = list(leaks.hits(iter([batch]), [(5, " ".join(item)), (6, text(60))], 0.8, 15))[0][1]
+        found = leaks_in([" ".join(c) for c in cuts], brute_items([(5, " ".join(item)), (6, text(60))]))
         assert [[(i, round(s, 9)) for i, s, _ in own] for own in found[:-1]] == [[(5, round((len(c) - 4) / n, 9))] for c in cuts[:-1]], n
         assert found[-1] == []
 
 
+def test_found_similarity_is_the_best_of_all_windows():
+    """Items with edits, scattered or together, inside texts: recall against all windows, and exact similarities."""
+    rng = random.Random(11)
+    text = lambda n: [f"v{rng.randrange(10**4)}" for _ in range(n)]
+    stem = text(12)
+    items = [(i, " ".join((stem if i % 4 == 0 else []) + text(n))) for i, n in enumerate([6, 12, 18, 25, 40, 60, 90, 130, 399] * 4)]
+    known = brute_items(items)
+    texts = []
+    for _, t in items:
+        for scattered in (False, True, True):
+            w = t.split()
+            spot = rng.randrange(len(w))
+            for k in range(rng.randint(0, max(1, len(w) // (30 if scattered else 12)))):
+                w[rng.randrange(len(w)) if scattered else (spot + k) % len(w)] = "edited"
+            texts.append(" ".join(text(rng.randint(0, 60)) + w + text(rng.randint(0, 60))))
+    found = leaks_in(texts, known)
+    # Texts share no more than a stem with other items, so only their own can be similar.
+    want = {(k, k // 3): s for k, t in enumerate(texts) if (s := brute_found(t, known[k // 3])) >= 0.8}
+    got = {(k, i): s for k, own in enumerate(found) for i, s, _ in own}
+    assert set(got) <= set(want) and len(want) > 60
+    assert len(got) >= 0.95 * len(want), (len(got), len(want))
+    assert [(x, s, want[x]) for x, s in got.items() if s > want[x] + 1e-9] == []
+    assert sum(math.isclose(s, want[x], rel_tol=1e-9) for x, s in got.items()) >= 0.95 * len(got)
+
+
+def test_items_do_not_depend_on_the_others_in_their_block(spark, monkeypatch):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"v{rng.randrange(10**5)}" for _ in range(n))
+    items = [(i, text(rng.randint(8, 40))) for i in range(300)]
+    items += [(300 + i, items[i][1]) for i in range(20)] + [(5, items[5][1])]  # the same text under another id, and a row twice
+    more = [(1000 + i, text(20)) for i in range(450)]
+    docs = spark.createDataFrame([(i, text(20) + " " + items[i][1] + " " + text(9)) for i in range(100)], "doc_id long, text string")
+    read = lambda frame: sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9), r["first_word"]) for r in frame.collect())
+    table_of = lambda rows: spark.createDataFrame(rows, "item_id long, text string")
+    one = read(leaks.find(docs, table_of(items)))
+    assert {(d, i) for d, i, _, _ in one} == {(d, d) for d in range(100)} | {(d, 300 + d) for d in range(20)}
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", 100)
+    monkeypatch.setattr(leaks, "ROUND", 3)
+    assert read(leaks.find(docs, table_of(items + more))) == one
+    assert leaks.clean(docs, table_of(items + more)).count() == 0 and leaks.clean(docs, table_of(more)).count() == 100
+
+
 def test_long_items_have_a_piece_at_their_end():
     for n in (231, 300, 399, 450):
-        bench = leaks.Benchmark([(0, " ".join(f"v{i}" for i in range(n + 4)))], 0.8, 15)
+        bench = leaks.Benchmark(brute_items([(0, " ".join(f"v{i}" for i in range(n + 4)))]), 0.8, 15)
         offsets = sorted(offset for _, own, _, _ in bench.groups for _, offset, _ in own)
         assert offsets[0] == 0 and offsets[-1] == n - 200 and all(b - a <= 200 for a, b in zip(offsets, offsets[1:], strict=False))
 
 
 def test_block_tables_list_all_within_the_radius():
-    bench = leaks.Benchmark([(0, LINE)], 0.8, 15)
+    bench = leaks.Benchmark(brute_items([(0, LINE)]), 0.8, 15)
     (size, own, tables, codes), rng = bench.groups[0], np.random.default_rng(0)
     for _ in range(300):
         x = int(codes[0])
@@ -458,16 +532,12 @@ def test_block_tables_list_all_within_the_radius():
         assert any(int(tables[b][blocks[b]]) & 1 for b in range(4))
 
 
-def test_long_texts_are_cut_with_overlap(spark, monkeypatch):
+def test_long_texts_are_cut_with_overlap(monkeypatch):
     monkeypatch.setattr(leaks, "CHUNK", 64)
-    import pyarrow as pa
-
     item = " ".join(f"q{i}" for i in range(30))
     for shift in range(0, 130, 7):
         text = " ".join(f"a{i}" for i in range(shift)) + " " + item + " " + " ".join(f"b{i}" for i in range(100))
-        batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
-        found = list(leaks.hits(iter([batch]), [(5, item)], 0.8, 15))[0][1][0]
-        assert found == [(5, 1.0, shift)]
+        assert leaks_in([text], brute_items([(5, item)])) == [[(5, 1.0, shift)]]
 
 
 # --- personal data ----------------------------------------------------------------------------

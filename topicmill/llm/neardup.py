@@ -1,23 +1,24 @@
-"""Near-duplicates by exact Jaccard similarity of five-word shingles, without a loss.
-
-Texts become sets of shingle hashes; equal sets meet as one row. Under one order
-of all shingles, two sets of similarity t or more share one of their first
-n - ceil(t n) + 1 shingles (the prefix), so sets that share none are never paired,
-and no pair at t or more is missed. Shingles that are common in a sample come last
-in the order: the sample steers costs only, any order finds the same groups.
-
-Sets that share a prefix shingle are not paired all with all. Each is first
-compared with the least set of its group, and only those still in different
-components are compared with each other.
+"""Near-duplicates by Jaccard similarity of five-word shingles: SimHash, and a second pass for what it can't reach.
+
+Texts become sets of shingle hashes; equal sets meet as one class. Classes get a
+64-bit SimHash, and ``simhash.links`` names those within its radius. At a
+similarity of 0.8 fingerprints differ in some 10 bits, up to 18 and more: far
+beyond what probing can cover (see the README), so a second pass looks for
+classes that share one of ``BANDS`` MinHash bands of ``ROWS`` rows. A pair at 0.8
+is missed there with probability (1 - 0.8**ROWS)**BANDS, 3e-5; a closer one still
+less. Every link, of either pass, is then verified by the sets' exact similarity.
+
+The members of a band value are not paired all with all. Each is compared with
+the least one; values whose members are still in different components are then
+gone through with ever more members as partners for the rest, until all of a
+value's members are one component or all have been partners: no pair is lost.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,16 +26,21 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, small_batches
 from .components import roots
-from .leaks import Shingler
-from .simhash import one_of_each
+from .hashing import mixed, shingle_hashes, word_hashes
+from .simhash import fit, links, majority, one_of_each
 
-THRESHOLD = 0.8
-SAMPLE, COMMON = 20_000, 1 << 18
+SHINGLE, THRESHOLD = 5, 0.8
+BANDS, ROWS = 20, 4
+#: Members of one value are dealt to so many tasks; from HEAVY pairs on, those of one class too.
+SALT, HEAVY = 8, 1000
+#: A round has so many times the partners of the one before.
+MORE = 8
 
 
-def needed(threshold: float, n: int) -> int:
-    """The least whole number that is ``threshold`` times ``n`` or more."""
-    return math.ceil(threshold * n - 1e-9)
+def sets_of(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The sorted set of each row's shingle hashes; all shingles, and their number by row."""
+    found, counts = shingle_hashes(*word_hashes(texts), SHINGLE)
+    return [np.unique(own) for own in np.split(found, np.cumsum(counts)[:-1])] if len(counts) else [], found, counts
 
 
 def code_of(shingles: np.ndarray) -> int:
@@ -42,132 +48,146 @@ def code_of(shingles: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes())], np.uint64).view(np.int64)[0]) if len(shingles) else 0
 
 
-def common_shingles(docs: DataFrame, sample: int = SAMPLE, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample hold, sorted, with their counts; ``most`` at most."""
+def codes_of(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([code_of(s) for s in sets], pa.int64())
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
-        for batch in small_batches(batches):
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle(text.as_py())).view(np.int64))], ["shingle"])
 
-    parts = max(1, docs.count() // sample)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).select("text").distinct()
-    counted = some.mapInArrow(spread, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
-    found = sorted((r[0], r[1]) for r in counted.orderBy(F.desc("n"), "shingle").limit(most).collect())
-    return np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64)
+def bands_of(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(rows, BANDS) hashes of the rows' MinHash bands; rows without shingles have some value that means nothing."""
+    full = counts > 0
+    out = np.zeros((len(counts), BANDS), np.uint64)
+    begins = (np.cumsum(counts) - counts)[full]
+    if len(begins):
+        factors = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+        with np.errstate(over="ignore"):
+            for b in range(BANDS):
+                value = np.full(len(begins), b, np.uint64)
+                for factor in factors[b * ROWS : (b + 1) * ROWS]:
+                    value = mixed(value + np.minimum.reduceat(mixed(found * factor), begins))
+                out[full, b] = value
+    return out
 
 
-def with_codes(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``code``, the hash of its set, of each row."""
+def with_prints(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``code`` of the set, its size ``n``, its SimHash ``print`` and its ``bands`` for each row."""
 
-    @F.pandas_udf("long")
-    def code(texts: pd.Series) -> pd.Series:
-        shingle = Shingler()
-        return pd.Series([code_of(np.unique(shingle(t))) for t in texts], dtype="int64")
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            sets, found, counts = sets_of(batch.column(1))
+            bands = bands_of(found, counts)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS).astype(np.int32)), pa.array(bands.view(np.int64).ravel()))
+            prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            sizes = np.array([len(s) for s in sets], np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), codes_of(sets), pa.array(sizes), pa.array(prints), lists], ["doc_id", "code", "n", "print", "bands"])
 
-    return docs.select("doc_id", code(F.col("text")).alias("code"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, code long, n int, print long, bands array<long>")
 
 
-def with_prefixes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id``, ``code`` of the set, its size ``n`` and its ``prefix`` for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))  # COMMON rows at most
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def with_codes(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``code``, the hash of its set, of each row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (common, counts), shingle = shared.value, Shingler()
         for batch in small_batches(batches):
-            codes, sizes, prefixes = [], [], []
-            for text in batch.column(1):
-                own = np.unique(shingle(text.as_py()))
-                n, signed = len(own), own.view(np.int64)
-                rank = np.zeros(n, np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, signed), len(common) - 1)
-                    rank = np.where(common[at] == signed, counts[at], 0)
-                codes.append(code_of(own))
-                sizes.append(n)
-                prefixes.append(signed[np.argsort(rank, kind="stable")[: n - needed(threshold, n) + 1]] if n else signed)
-            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64()), pa.array(sizes, pa.int32()), lists], ["doc_id", "code", "n", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, code long, n int, prefix array<long>")
+            yield pa.RecordBatch.from_arrays([batch.column(0), codes_of(sets_of(batch.column(1))[0])], ["doc_id", "code"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, code long")
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
     """``code`` and the set itself of each distinct set of ``docs``."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
         for batch in small_batches(batches):
-            sets = [np.unique(shingle(text.as_py())) for text in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([code_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["code", "shingles"])
+            sets = sets_of(batch.column(0))[0]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([codes_of(sets), lists], ["code", "shingles"])
 
     return docs.select("text").mapInArrow(encode, "code long, shingles array<long>").dropDuplicates(["code"])
 
 
-def may_reach(threshold: float, n: np.ndarray, pos: np.ndarray, size: int, at: int) -> np.ndarray:
-    """Whether sets that first meet at these places of their orders can be similar enough."""
-    least = np.ceil(threshold / (1 + threshold) * (n + size) - 1e-9)
-    return np.minimum(n - pos, size - at) >= least
+PAIR = ["a", "b", "spread"]
 
 
-def candidates(groups: DataFrame, threshold: float, hubs: bool) -> DataFrame:
-    """Distinct pairs (a, b) of members: with the group's least code, or those of different components."""
+def paired(members: DataFrame, hubs: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of each member with the ``hub`` structs of its value, if their sizes allow the similarity.
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            for k in range(batch.num_rows):
-                own = batch.column(0)[k].values
-                code, n, pos, root = (own.field(c).to_numpy(zero_copy_only=False) for c in ("code", "n", "pos", "root"))
-                order = np.argsort(code, kind="stable")
-                code, n, pos, root = code[order], n[order], pos[order], root[order]
-                for i in range(1 if hubs else len(code) - 1):
-                    near = (root[i + 1 :] != root[i]) & may_reach(threshold, n[i + 1 :], pos[i + 1 :], int(n[i]), int(pos[i]))
-                    if near.any():
-                        b = code[i + 1 :][near]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), code[i])), pa.array(b)], ["a", "b"])
-
-    return groups.select("members").mapInArrow(pair, "a long, b long").distinct()
+    ``spread`` tells over how many tasks a hub's pairs are dealt later.
+    """
+    dealt = hubs.select("band", "value", "hub", "size", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    met = members.drop("size").withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(SALT)).cast("int")).join(dealt, ["band", "value", "salt"]).where(F.col("code") != F.col("hub")["code"])
+    if "root" in members.columns:
+        met = met.where(F.col("root") != F.col("hub")["root"])
+    near = F.least("n", F.col("hub")["n"]) >= threshold * F.greatest("n", F.col("hub")["n"]) - 1e-9
+    return met.where(near).groupBy(F.col("hub")["code"].alias("a"), F.col("code").alias("b")).agg((F.max("size") / HEAVY).cast("int").alias("spread"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, coded: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets have ``threshold`` or more in common."""
     asked = pairs.select(F.col("a").alias("code")).union(pairs.select(F.col("b").alias("code"))).distinct()
-    ids = coded.join(asked, "code").groupBy("code").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    ids = classes.join(asked, "code").select(F.col("least").alias("id")).distinct()
     sets = checkpointed(with_sets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")))
-    left, right = sets.select(F.col("code").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("code").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("same") >= threshold * (F.size("x") + F.size("y") - F.col("same")) - 1e-9).select("a", "b")
-
-
-def components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    # A class with many pairs is dealt to several tasks, its set with it.
+    copies = pairs.select("a", "spread").distinct().select("a", "spread", F.explode(F.sequence(F.lit(0), "spread")).alias("salt"))
+    left = copies.join(sets.select(F.col("code").alias("a"), F.col("shingles").alias("x")), "a")
+    right = sets.select(F.col("code").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(right, "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("spread") + 1).cast("int")).join(left, ["a", "spread", "salt"])
+    same = F.size(F.array_intersect("x", "y"))
+    return both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), same.alias("same")).where(F.col("same") >= threshold * (F.col("m") + F.col("n") - F.col("same")) - 1e-9).select("a", "b")
+
+
+def simhash_pairs(classes: DataFrame, **fitting: int) -> DataFrame:
+    """Pairs of classes that SimHash names: the least ones of prints within its radius, and of one print with the rest."""
+    least = checkpointed(classes.groupBy("print").agg(F.min("code").alias("rep")))
+    codes = least.select(F.col("print").alias("code"))
+    near = links(codes, fit(codes, **fitting))
+    ends = near.join(least.select(F.col("print").alias("a"), F.col("rep").alias("ra")), "a").join(least.select(F.col("print").alias("b"), F.col("rep").alias("rb")), "b")
+    same = classes.select("print", "code").join(least, "print").where(F.col("code") != F.col("rep"))
+    return ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"), F.lit(0).alias("spread")).union(same.select("rep", "code", F.lit(0)))
+
+
+def components(docs: DataFrame, threshold: float = THRESHOLD, **fitting: int) -> DataFrame:
     """``doc_id``, ``code``, ``root`` (the group's least code) and ``component_id`` (its least id) of each row.
 
-    Groups are the connected components of all pairs of similarity ``threshold`` or
-    more. Null, empty and blank texts are one group. ``component_id`` is null where
-    all ids of a group are.
+    Groups are the connected components of the pairs of similarity ``threshold``
+    or more. Null, empty and blank texts are one group; a text of under five
+    words is one shingle. Repeated rows each keep a row. ``component_id`` is null
+    where all ids of a group are. Empty tables give none; other columns are not read.
     """
-    coded = checkpointed(with_prefixes(docs, threshold))
-    classes = coded.groupBy("code", "n", "prefix").agg(F.min("doc_id").alias("least"))
-    spots = classes.select("code", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    groups = checkpointed(spots.groupBy("shingle").agg(F.collect_list(F.struct("code", "n", "pos")).alias("members")).where(F.size("members") > 1))
-    alone = F.transform("members", lambda m: F.struct(m["code"], m["n"], m["pos"], m["code"].alias("root")))
-    first = checkpointed(candidates(groups.select(alone.alias("members")), threshold, hubs=True))
-    links = checkpointed(verified(first, docs, coded, threshold))
-    found = roots(links)
-    members = groups.select("shingle", F.inline("members")).join(found, F.col("code") == F.col("node"), "left")
-    member = F.struct("code", "n", "pos", F.coalesce("root", "code").alias("root"))
-    split = members.groupBy("shingle").agg(F.collect_list(member).alias("members")).where(F.size(F.array_distinct(F.transform("members", lambda m: m["root"]))) > 1)
-    rest = checkpointed(candidates(split, threshold, hubs=False).join(first, ["a", "b"], "left_anti"))
-    found = roots(links.union(verified(rest, docs, coded, threshold)))
-    least = coded.groupBy("code").agg(F.min("doc_id").alias("least"))
-    rooted = checkpointed(least.join(found, least["code"] == found["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root")))
+    coded = checkpointed(with_prints(docs))
+    classes = checkpointed(coded.groupBy("code").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "print", "bands")]))
+    some = classes.where("n > 0")
+    spots = some.select("code", "n", F.posexplode("bands").alias("band", "value"))
+    shared = spots.groupBy("band", "value").agg(F.min(F.struct("code", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    hubs = checkpointed(shared)
+    first = paired(spots, hubs, threshold).union(simhash_pairs(some, **fitting)).groupBy("a", "b").agg(F.max("spread").alias("spread"))
+    first = checkpointed(first.where("a <> b"))
+    known = checkpointed(verified(first, docs, classes, threshold))
+    found = roots(known)
+    # Values of more than two members may hold pairs without the least one.
+    rest = checkpointed(spots.join(hubs.where("size > 2").select("band", "value", "size"), ["band", "value"]))
+    begin, end = 0, MORE
+    while True:
+        rooted = rest.join(found, F.col("code") == F.col("node"), "left").select("band", "value", "size", "code", "n", F.coalesce("root", "code").alias("root"))
+        split = rooted.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
+        rest = checkpointed(rooted.join(split, ["band", "value"]).where(F.col("size") > begin))
+        if rest.isEmpty():
+            break
+        turn = F.pmod(F.xxhash64("code", "band"), F.lit(1 << 40)) * F.col("size") / (1 << 40)
+        partners = rest.where((turn >= begin) & (turn < end)).select("band", "value", "size", F.struct("code", "n", "root").alias("hub"))
+        more = checkpointed(paired(rest, partners, threshold).join(first, ["a", "b"], "left_anti"))
+        rest = rest.drop("root")
+        if not more.isEmpty():
+            known = checkpointed(known.union(verified(more, docs, classes, threshold)))
+            found = roots(known)
+        begin, end = end, end * MORE
+    rooted = checkpointed(classes.join(found, classes["code"] == found["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root")))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return coded.select("doc_id", "code").join(rooted.select("code", "root").join(named, "root"), "code").select("doc_id", "code", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each group: that of the least id; columns as given."""
+    """``docs`` with one row of each group: that of the least id, see ``simhash.one_of_each``; columns as given."""
     return one_of_each(docs, components(docs, threshold), with_codes)

@@ -46,9 +46,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     else:
         parts = map(b" ".join, zip(*(tokens[k:] for k in range(shingle)), strict=False))
     hashes = np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 for none."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        chunk = hashes[at : at + (1 << 16)]
+        chunk = np.ascontiguousarray(hashes[at : at + (1 << 16)])
         counts += np.unpackbits(chunk.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
@@ -247,20 +252,27 @@ def components(docs: DataFrame, **fitting: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **fitting: int) -> DataFrame:
-    """``docs`` with one row of each group: that of the least id; columns as given.
-
-    Of rows with that id repeated, and of groups without any id, one row stays.
-    """
+    """``docs`` with one row of each group: that of the least id, see ``one_of_each``; columns as given."""
     return one_of_each(docs, components(docs, **fitting), with_codes)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, coder: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows that ``keep_one`` keeps, for the components ``found``; ``coder`` gives the codes of rows."""
+    """One row of ``docs`` for each component of ``found``; ``coder`` gives the codes of rows.
+
+    The row has the component's least id, null if it has no other. If several
+    rows of the component have that id, it is one of those of the least code; an
+    id may so stand for several components, with a row for each. Empty tables
+    give none; columns may have any names besides ``doc_id`` and ``text``.
+    """
     found = checkpointed(found)
-    ids = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    single = docs.join(ids.where("_n = 1").select("doc_id"), "doc_id", "left_semi")
-    several = docs.join(ids.where("_n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    lost = found.where("component_id IS NULL").groupBy("root").agg(F.min("code").alias("_code")).select("_code")
-    row = docs.where("doc_id IS NULL").select(F.struct("*").alias("doc_id"), "text")
-    bare = coder(row).join(lost, F.col("code") == F.col("_code"), "left_semi").dropDuplicates(["code"]).select("doc_id.*")
-    return single.unionByName(several).unionByName(bare).select(docs.columns)
+    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("code").alias("_code"), F.first("doc_id").alias("_id"))
+    rows_of_id = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    best = checkpointed(best.join(rows_of_id, "_id", "left").select("_id", "_code", F.coalesce("_n", F.lit(2)).alias("_n")))
+    single = docs.join(best.where("_n = 1").select(F.col("_id").alias("doc_id")), "doc_id", "left_semi")
+    # Of repeated and missing ids, the text decides: codes are taken anew for those rows only.
+    several = best.where("_n > 1")
+    rows = docs.join(several.select("_id").distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    coded = coder(rows.select(F.struct("*").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "code")
+    chosen = coded.join(several, (F.col("code") == F.col("_code")) & F.col("_row.doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    once = chosen.groupBy("code", "_row.doc_id").agg(F.first("_row").alias("_row"))
+    return single.unionByName(once.select("_row.*")).select(docs.columns)
