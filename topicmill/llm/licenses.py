@@ -2,14 +2,16 @@
 
 A text's words (lower case, without punctuation) form five-word shingles. A
 window is ``WINDOW`` neighbouring shingles, and one starts at every shingle, so
-windows overlap. Templates are cut the same way: an exact passage of two
-shingles or more holds windows equal to a template's, which always collide; a
-template of one shingle lies in windows of similarity 1/2. With ``BANDS`` bands
-of one row, such a pair collides with probability 1 - 2**-BANDS, 0.996 for 8.
+windows overlap. Templates are cut the same way: an exact passage of ``WINDOW``
+shingles or more holds windows equal to a template's, which always collide in
+all ``BANDS`` bands of one row. The worst case is a template of one shingle: it
+collides in a band if it is the minimum of one of the windows that hold it, with
+probability 2 / (WINDOW + 1), so with probability 1 - 0.6**16 = 0.9997 in some.
 
 A band's minimum is taken over ``hash XOR mask``. It is compared inside the scan
-with the templates' few hundred band values, so only colliding windows leave it;
-no document is shuffled.
+with the templates' few hundred band values, and what leaves it is a document's
+id and a license, once for each pair. Their texts are then read again for the
+exact check; texts are not exploded with the windows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE, WINDOW, BANDS = 5, 2, 8
+from .common import checkpointed
+
+SHINGLE, WINDOW, BANDS = 5, 4, 16
+#: Pairs of document and license are broadcast up to so many rows, and shuffled with the texts beyond.
+FEW = 1 << 18
 #: What parts words: all below the letters of Latin-1 but a-z and 0-9, and general punctuation.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\xBF\x{2000}-\x{206F}]+"
 
@@ -73,20 +79,22 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
 
 
 def windows(texts: DataFrame, bands: int) -> DataFrame:
-    """``texts`` (with ``_tokens``) by window and band: start ``_at``, and the band's minimum as ``_least``.
+    """``texts`` (with ``_tokens``) by window and band: start ``_at``, the band's mask, and its minimum as ``_least``.
 
-    inline() of one struct keeps the optimizer from hashing anew in every use of a hash.
+    A text's hashes are taken once; inline() of one struct keeps the optimizer
+    from fetching them anew in every use.
     """
-    starts = texts.select("*", F.explode(F.sequence(F.lit(0), F.size("_tokens") - SHINGLE)).alias("_at"))
-    hashes = F.struct(*[shingle_hash(F.col("_tokens"), F.col("_at") + k).alias(f"_h{k}") for k in range(WINDOW)])
-    hashed = starts.select("*", F.inline(F.array(hashes)))
-    banded = hashed.select("*", F.explode(F.array(*map(F.lit, masks(bands)))).alias("_mask"))
+    hashes = F.transform(F.sequence(F.lit(0), F.size("_tokens") - SHINGLE), lambda i: shingle_hash(F.col("_tokens"), i))
+    hashed = texts.withColumn("_hashes", hashes).drop("_tokens")
+    starts = hashed.select("*", F.explode(F.sequence(F.lit(0), F.size("_hashes") - 1)).alias("_at"))
+    own = F.struct(*[F.get("_hashes", F.col("_at") + k).alias(f"_h{k}") for k in range(WINDOW)])
+    banded = starts.select("*", F.inline(F.array(own))).drop("_hashes").select("*", F.explode(F.array(*map(F.lit, masks(bands)))).alias("_mask"))
     return banded.withColumn("_least", F.least(*[F.col(f"_h{k}").bitwiseXOR(F.col("_mask")) for k in range(WINDOW)]))
 
 
-def band_values(templates: DataFrame, bands: int) -> list[tuple[str, int]]:
-    """The minima of every template window: rows bounded by the words of the templates."""
-    return sorted((r["license"], r["_least"]) for r in windows(templates, bands).select("license", "_least").distinct().collect())
+def band_values(templates: DataFrame, bands: int) -> list[tuple[str, int, int]]:
+    """License, mask and minimum for every template window and band: rows bounded by the words of the templates."""
+    return sorted((r[0], r[1], r[2]) for r in windows(templates.select("license", "_tokens"), bands).select("license", "_mask", "_least").distinct().collect())
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, bands: int = BANDS) -> DataFrame:
@@ -102,18 +110,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     given = TEMPLATES if templates is None else templates
     table = template_table(spark, given)
     found = band_values(table, bands)
-    if len({name for name, _ in found}) != len(given):
+    if len({name for name, _, _ in found}) != len(given):
         raise ValueError(f"templates need at least {SHINGLE} words")
-    names = spark.createDataFrame(found, "license string, _least long").groupBy("_least").agg(F.collect_set("license").alias("_licenses"))
-
-    text = docs.select(F.col("doc_id").alias("doc_id"), normal(F.col("text")).alias("_text"))
-    tokens = text.select("doc_id", "_text", F.split("_text", " ").alias("_tokens")).where(F.size("_tokens") >= SHINGLE)
-    hits = windows(tokens, bands).where("_least IN (" + ", ".join(sorted({literal(v) for _, v in found})) + ")")
-    pairs = hits.select("doc_id", "_text", "_at", "_least").join(F.broadcast(names), "_least")
-    once = pairs.select("doc_id", "_text", "_at", F.explode("_licenses").alias("license"))
-    spaced = F.concat(F.lit(" "), F.col("_text"), F.lit(" "))
-    held = F.size(F.filter("shingles", lambda s: F.contains(spaced, F.concat(F.lit(" "), s, F.lit(" ")))))
-    checked = once.join(F.broadcast(table.select("license", "shingles")), "license").select("doc_id", "license", "_at", (held / F.size("shingles")).alias("containment"))
-    return checked.where(F.col("containment") >= threshold).groupBy("doc_id", "license").agg(
-        F.max("containment").alias("containment"), F.min("_at").cast("bigint").alias("first_word")
-    )
+    names = spark.createDataFrame(found, "license string, _mask long, _least long")
+
+    tokens = docs.select(F.col("doc_id").alias("doc_id"), F.split(normal(F.col("text")), " ").alias("_tokens")).where(F.size("_tokens") >= SHINGLE)
+    hits = windows(tokens, bands).where("_least IN (" + ", ".join(sorted({literal(v) for _, _, v in found})) + ")").select("doc_id", "_at", "_mask", "_least")
+    pairs = checkpointed(hits.join(F.broadcast(names), ["_mask", "_least"]).groupBy("doc_id", "license").agg(F.min("_at").cast("bigint").alias("first_word")))
+
+    asked = pairs.join(F.broadcast(table.select("license", "shingles")), "license").withColumnRenamed("doc_id", "_id")
+    if pairs.count() <= FEW:
+        asked = F.broadcast(asked)
+    text = docs.join(asked, docs["doc_id"].eqNullSafe(F.col("_id"))).select("_id", "license", "first_word", "shingles", F.concat(F.lit(" "), normal(F.col("text")), F.lit(" ")).alias("_text"))
+    held = F.size(F.filter("shingles", lambda s: F.contains(F.col("_text"), F.concat(F.lit(" "), s, F.lit(" ")))))
+    checked = text.select(F.col("_id").alias("doc_id"), "license", "first_word", (held / F.size("shingles")).alias("containment"))
+    # inline() keeps the filter from being moved down, where it would check every text twice.
+    once = checked.select(F.inline(F.array(F.struct(*checked.columns)))).where(F.col("containment") >= threshold)
+    return once.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"))
