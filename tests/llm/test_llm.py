@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -103,6 +104,33 @@ def test_sharding(spark, odd, nothing):
     assert by_id[(2, 0)] == 8 and by_id[(1, zlib.crc32((LINE + ".").encode()))] == len(LINE) + 9
 
 
+def test_map_follows_from_the_shard_count(spark):
+    read = lambda m: {r["virtual_slot"]: r["shard"] for r in m.collect()}
+    maps = {n: sharding.owners(n) for n in range(1, 30)}
+    for n in range(1, 29):
+        moved = [s for s in range(sharding.SLOTS) if maps[n][s] != maps[n + 1][s]]
+        assert all(maps[n + 1][s] == n for s in moved) and len(moved) == sharding.SLOTS // (n + 1)
+        sizes = collections.Counter(maps[n]).values()
+        assert max(sizes) - min(sizes) <= 1
+    for n in (1, 23, 24, 25):
+        start = sharding.start_map(spark, n)
+        assert read(start) == dict(enumerate(maps[n])) and read(sharding.grow(start, n)) == dict(enumerate(maps[n + 1]))
+    # The place of a row, too, depends on ids and the shard count alone.
+    docs = table(spark, DATA, "documents")
+    place = lambda m: {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.place(docs, m, m).collect()}
+    assert place(sharding.start_map(spark, 25)) == place(sharding.grow(sharding.start_map(spark, 24), 24))
+
+
+def test_many_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MANY", 100)
+    docs = spark.range(1500).select(F.lit(7).cast("long").alias("doc_id"), F.when(F.col("id") < 1000, "same").otherwise(F.concat(F.lit("t"), F.col("id") % 300)).alias("text"))
+    first = sharding.start_map(spark, 24)
+    got = sharding.place(docs, first, sharding.grow(first, 24)).collect()
+    assert sorted(r["slot"] for r in got) == list(range(1500)) and len({r["shard"] for r in got}) == 1
+    crc = collections.Counter(r["text_crc32"] for r in got)
+    assert crc[zlib.crc32(b"same")] == 1000 and len(crc) == 301 and {r["slot_bytes"] for r in got} == {sum(r["size"] for r in got)}
+
+
 def test_rebalance_and_stored_maps(spark, tmp_path):
     records = sharding.with_slots(table(spark, DATA, "documents"), slots=64)
     first, loads = sharding.start_map(spark, 4, 64), sharding.slot_loads(records, 64)
@@ -154,6 +182,26 @@ def test_licenses(spark, odd, nothing):
         licenses.scan(odd, {"short": "only three words"})
 
 
+def test_a_long_text_of_repeated_notices(spark):
+    """A megabyte of notices: every window collides, and the text is not copied with them."""
+    mit = licenses.TEMPLATES["MIT"]
+    times = []
+    for n in (300, 3000):
+        docs = spark.createDataFrame([(1, (mit + " ") * n), (2, (licenses.TEMPLATES["ISC"] + " ") * n)], "doc_id long, text string")
+        began = time.time()
+        assert sorted((r["doc_id"], r["license"], r["containment"], r["first_word"]) for r in licenses.scan(docs).collect()) == [(1, "MIT", 1.0, 0), (2, "ISC", 1.0, 0)]
+        times.append(time.time() - began)
+    assert times[1] < 10 * times[0] + 10
+
+
+def test_every_template_is_retrieved_by_its_bands(spark):
+    rng = random.Random(1)
+    fill = lambda: " ".join(f"f{rng.randrange(1000)}" for _ in range(20))
+    rows = [(i, f"{fill()} {body} {fill()}") for i, body in enumerate(b for b in licenses.TEMPLATES.values() for _ in range(20))]
+    got = collections.Counter(r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("containment = 1").collect())
+    assert got == dict.fromkeys(licenses.TEMPLATES, 20)
+
+
 # --- urls -------------------------------------------------------------------------------------
 
 
