@@ -64,3 +64,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back from it."""
     set_up_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def if_few(rows: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """Short ``rows``, already written, to be joined with texts: broadcast if they are ``most`` or fewer.
+
+    Beyond that they get no hint, and Spark shuffles both sides.
+    """
+    return F.broadcast(rows) if rows.count() <= most else rows

@@ -19,11 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, if_few
 
 SHINGLE, WINDOW, BANDS = 5, 4, 16
-#: Pairs of document and license are broadcast up to so many rows, and shuffled with the texts beyond.
-FEW = 1 << 18
 #: What parts words: all below the letters of Latin-1 but a-z and 0-9, and general punctuation.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\xBF\x{2000}-\x{206F}]+"
 
@@ -119,9 +117,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     pairs = checkpointed(hits.join(F.broadcast(names), ["_mask", "_least"]).groupBy("doc_id", "license").agg(F.min("_at").cast("bigint").alias("first_word")))
 
     asked = pairs.join(F.broadcast(table.select("license", "shingles")), "license").withColumnRenamed("doc_id", "_id")
-    if pairs.count() <= FEW:
-        asked = F.broadcast(asked)
-    text = docs.join(asked, docs["doc_id"].eqNullSafe(F.col("_id"))).select("_id", "license", "first_word", "shingles", F.concat(F.lit(" "), normal(F.col("text")), F.lit(" ")).alias("_text"))
+    text = docs.join(if_few(asked), docs["doc_id"].eqNullSafe(F.col("_id"))).select("_id", "license", "first_word", "shingles", F.concat(F.lit(" "), normal(F.col("text")), F.lit(" ")).alias("_text"))
     held = F.size(F.filter("shingles", lambda s: F.contains(F.col("_text"), F.concat(F.lit(" "), s, F.lit(" ")))))
     checked = text.select(F.col("_id").alias("doc_id"), "license", "first_word", (held / F.size("shingles")).alias("containment"))
     # inline() keeps the filter from being moved down, where it would check every text twice.

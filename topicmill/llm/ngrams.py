@@ -19,19 +19,19 @@ both cross the network once, as sorted hashes by ranges of the hash:
   documents -> blocks -> sorted n-gram hashes by range -> summed and answered per
   range -> each block builds the part of the automaton its texts can reach.
 
-The token numbers of a block travel with its questions, so texts are read once for
-this. A block and range meet only if they share an n-gram, so the rows exchanged
-are never more than the n-grams.
+Texts are not shuffled: a block meets its answers as numbers of its words. A block
+and range meet only if they share an n-gram, so the rows exchanged are never more
+than the n-grams.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -243,17 +243,17 @@ class Automaton:
 
 
 def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers of tokens in all rows and in training rows, and hashes of the distinct training tokens."""
+    """The hashes of a task's distinct training tokens, and in a row without one its tokens in all rows and in training rows."""
+    hashes, n, trained = np.zeros(0, np.uint64), 0, 0
     for batch in small_batches(batches, 10_000):
         words, sizes = word_hashes(batch.column(1))
         trains = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        hashes = np.unique(words[np.repeat(trains, sizes)])
-        if trains.any():
-            hashes = np.r_[hashes, EDGES[END_LABEL]]
-        n = np.zeros((2, len(hashes) + 1), np.int64)
-        n[:, 0] = (sizes + 1).sum(), (sizes + 1)[trains].sum()
-        word = np.r_[0, np.ones(len(hashes), np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.uint64(0), hashes].view(np.int64)), pa.array(n[0]), pa.array(n[1]), pa.array(word)], ["hash", "n", "trained", "word"])
+        hashes = np.union1d(hashes, words[np.repeat(trains, sizes)])
+        n, trained = n + int((sizes + 1).sum()), trained + int((sizes + 1)[trains].sum())
+    if trained:
+        hashes = np.union1d(hashes, EDGES[END_LABEL:])
+    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.nulls(len(hashes), pa.int64()), pa.nulls(len(hashes), pa.int64())], ["hash", "n", "trained"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([n]), pa.array([trained])], ["hash", "n", "trained"])
 
 
 ROW = "dest int, block long, shard int, one binary, two binary, three binary"
@@ -265,31 +265,11 @@ def as_table(rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array(list(c), kind) for (name, kind), c in zip(kinds.items(), columns, strict=True)})
 
 
-def ask(batches: Iterator[pa.RecordBatch], shards: int, bits: int, order: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Every block as a row of its own (``shard`` -1), and its questions to each range of hashes."""
-    made = 0
-
-    def questions(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal made
-        table = pa.Table.from_batches(parts)
-        block = Block.read(pa.concat_arrays([p.column(1) for p in parts]), order)
-        name = (TaskContext.get().partitionId() << 24) + made
-        made += 1
-        sink = pa.BufferOutputStream()
-        own = table.select(["doc_id", "held_out"]).append_column("size", pa.array(block.sizes)).combine_chunks()
-        with pa.ipc.new_stream(sink, own.schema) as stream:
-            stream.write_table(own)
-        yield as_table([(name % shards, name, -1, sink.getvalue().to_pybytes(), pack(block.labels.astype(np.uint32)), pack(block.hashes))]).to_batches()[0]
-        keys = block.keys(bits)
-        counts = block.counts(~np.array(table.column("held_out").to_pylist(), bool))
-        sort = np.argsort(keys)
-        keys, counts = keys[sort], counts[sort]
-        edges = np.searchsorted(keys, edges_of(shards, bits))
-        rows = []
-        for s, (k, c) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)):
-            if len(k):
-                rows.append((s, name, s, pack(np.diff(k, prepend=np.uint64(0))), pack(c), None))
-        yield from as_table(rows).to_batches()
+def blocks_of(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in runs of about ``block_bytes``."""
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
     held, volume = [], 0
     for batch in small_batches(batches):
@@ -297,10 +277,44 @@ def ask(batches: Iterator[pa.RecordBatch], shards: int, bits: int, order: int, b
             held.append(batch)
             volume += batch.nbytes
         if volume >= block_bytes:
-            yield from questions(held)
+            yield joined(held)
             held, volume = [], 0
     if held:
-        yield from questions(held)
+        yield joined(held)
+
+
+def package(batch: pa.RecordBatch, block: Block) -> tuple:
+    """A block as a row: its name, a hash of all it holds; ids and sizes of its texts, labels, and words."""
+    sink = pa.BufferOutputStream()
+    own = pa.table({"doc_id": batch.column(0), "held_out": batch.column(2), "size": pa.array(block.sizes)})
+    with pa.ipc.new_stream(sink, own.schema) as stream:
+        stream.write_table(own)
+    head, labels, hashes = sink.getvalue().to_pybytes(), block.labels.astype(np.uint32), block.hashes.tobytes()
+    digest = hashlib.blake2b(digest_size=8)
+    for column in (own.column(0).to_pylist(), own.column(1).to_pylist()):
+        digest.update(repr(column).encode())
+    for data in (block.sizes.tobytes(), labels.tobytes(), hashes):
+        digest.update(data)
+    return 0, int.from_bytes(digest.digest(), "little", signed=True), -1, head, pack(labels), pack(block.hashes)
+
+
+def packages(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    for batch in blocks_of(batches, block_bytes):
+        yield as_table([package(batch, Block.read(batch.column(1), 1))]).to_batches()[0]
+
+
+def ask(batches: Iterator[pa.RecordBatch], shards: int, bits: int, order: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Every block's questions to each range of hashes."""
+    for batch in blocks_of(batches, block_bytes):
+        block = Block.read(batch.column(1), order)
+        name = package(batch, block)[1]
+        keys = block.keys(bits)
+        counts = block.counts(~batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
+        sort = np.argsort(keys)
+        keys, counts = keys[sort], counts[sort]
+        edges = np.searchsorted(keys, edges_of(shards, bits))
+        rows = [(s, name, s, pack(np.diff(k, prepend=np.uint64(0))), pack(c), None) for s, (k, c) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)) if len(k)]
+        yield from as_table(rows).to_batches()
 
 
 def edges_of(shards: int, bits: int) -> np.ndarray:
@@ -308,23 +322,16 @@ def edges_of(shards: int, bits: int) -> np.ndarray:
 
 
 def answer(table: pa.Table) -> pa.Table:
-    """Of one range: the summed counts for each block in the order asked. Blocks pass through as they are."""
+    """Of one range: the summed counts for each block in the order asked."""
     names, shard = table.column("block").to_pylist(), table.column("shard").to_pylist()
-    one, two, three = (table.column(c) for c in ("one", "two", "three"))
-    rows = [(0, names[k], -1, one[k].as_py(), two[k].as_py(), three[k].as_py()) for k, s in enumerate(shard) if s < 0]
-    asks = [k for k, s in enumerate(shard) if s >= 0]
-    if asks:
-        asked = [np.cumsum(unpack(one[k].as_py(), np.uint64), dtype=np.uint64) for k in asks]
-        given = np.concatenate([unpack(two[k].as_py(), np.uint64) for k in asks])
-        _, at = np.unique(np.concatenate(asked), return_inverse=True)
-        # As two halves, float sums of whole numbers stay exact beyond 2**53.
-        low, high = np.bincount(at, weights=given & np.uint64(0xFFFFFFFF)), np.bincount(at, weights=given >> np.uint64(32))
-        sums = low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
-        begin = 0
-        for k, own in zip(asks, asked, strict=True):
-            rows.append((0, names[k], shard[k], pack(sums[at[begin : begin + len(own)]]), None, None))
-            begin += len(own)
-    return as_table(rows)
+    asked = [np.cumsum(unpack(k.as_py(), np.uint64), dtype=np.uint64) for k in table.column("one")]
+    given = np.concatenate([unpack(c.as_py(), np.uint64) for c in table.column("two")])
+    _, at = np.unique(np.concatenate(asked), return_inverse=True)
+    # As two halves, float sums of whole numbers stay exact beyond 2**53.
+    low, high = np.bincount(at, weights=given & np.uint64(0xFFFFFFFF)), np.bincount(at, weights=given >> np.uint64(32))
+    sums = low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
+    told = np.split(sums[at], np.cumsum([len(k) for k in asked])[:-1])
+    return as_table([(0, name, s, pack(t), None, None) for name, s, t in zip(names, shard, told, strict=True)])
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER, strength: float = STRENGTH, growth: float = GROWTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -337,29 +344,38 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER,
     text = F.coalesce(F.col("text"), F.lit(""))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == held
     rows = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"), held_out.alias("held_out"))
-    counted = rows.mapInArrow(tally, "hash long, n long, trained long, word long").groupBy("hash", "word").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
-    tokens, total, distinct = (v or 0 for v in counted.agg(F.sum("n"), F.sum("trained"), F.sum("word")).first())
+    counted = rows.mapInArrow(tally, "hash long, n long, trained long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
+    tokens, total, distinct = (v or 0 for v in counted.agg(F.sum("n"), F.sum("trained"), F.count("hash")).first())
     shards, bits = int(max(8, -(-tokens // RANGE_TOKENS))), int(min(64, max(1, tokens).bit_length() + SPARE))
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from ask(batches, shards, bits, order, block_bytes)
 
+    def packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packages(batches, block_bytes)
+
     def scoring(table: pa.Table) -> pa.Table:
         shard = np.array(table.column("shard").to_pylist())
-        own = int(np.flatnonzero(shard < 0)[0])
-        texts = pa.ipc.open_stream(table.column("one")[own].as_py()).read_all()
-        block = Block(unpack(table.column("two")[own].as_py(), np.uint32), texts.column("size").to_numpy(), unpack(table.column("three")[own].as_py(), np.uint64), order)
+        own = np.flatnonzero(shard < 0)
+        # Equal blocks share a name; each range then answers each of them, and all are told the same.
+        asked, first = np.unique(shard, return_index=True)
+        if not len(own) or len(own) * (len(asked) - 1) != len(shard) - len(own):
+            raise RuntimeError("the rows of a task differ between two reads: write such a table down before it is scored")
+        at = int(own[0])
+        texts = pa.ipc.open_stream(table.column("one")[at].as_py()).read_all()
+        block = Block(unpack(table.column("two")[at].as_py(), np.uint32), texts.column("size").to_numpy(), unpack(table.column("three")[at].as_py(), np.uint64), order)
         # Ranges are in order of the hashes, so their answers in order are those to the sorted hashes.
-        told = [unpack(table.column("one")[int(k)].as_py(), np.uint64) for k in np.argsort(shard, kind="stable")[1:]]
+        told = [unpack(table.column("one")[int(k)].as_py(), np.uint64) for k in first[1:]]
         counts = np.empty(sum(block.sums[1:]), np.uint64)
         counts[np.argsort(block.keys(bits))] = np.concatenate(told)
         found = Automaton(block, counts, total, distinct, strength, growth).score(block)
         columns = {"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": found["n_tokens"], "n_known": found["n_known"]}
         columns |= {"train_tokens": np.full(len(block.sizes), total, np.int64), "base_score": found["base_score"], "score": found["score"]}
-        return pa.table({k: v if isinstance(v, pa.ChunkedArray) else pa.array(v) for k, v in columns.items()})
+        scored = pa.table({k: v if isinstance(v, pa.ChunkedArray) else pa.array(v) for k, v in columns.items()})
+        return pa.concat_tables([scored] * len(own))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     answered = rows.mapInArrow(asking, ROW).groupBy("dest").applyInArrow(answer, ROW)
-    return answered.groupBy("block").applyInArrow(
+    return answered.unionByName(rows.mapInArrow(packing, ROW)).groupBy("block").applyInArrow(
         scoring, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

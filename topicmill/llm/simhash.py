@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, if_few
 from .components import roots
 
 RADIUS, PARTS, SHINGLE, SEED = 2, 3, 3, 42
@@ -101,8 +101,8 @@ class Plan:
     costs only: any plan finds the same links.
     """
 
-    def __init__(self, groups: list[list[int]], fold: int, counts: np.ndarray, hot: int, radius: int = RADIUS):
-        self.groups, self.fold, self.hot, self.radius = groups, fold, hot, radius
+    def __init__(self, groups: list[list[int]], fold: int, counts: np.ndarray, hot: int, radius: int = RADIUS, total: int = 0):
+        self.groups, self.fold, self.hot, self.radius, self.total = groups, fold, hot, radius, total
         self.masks = [np.uint64(sum(1 << b for b in g)) for g in groups]
         self.counts = counts
         self.flips = [flips(g, radius) for g in groups]
@@ -194,7 +194,7 @@ def fit(codes: DataFrame, sample: int = 100_000, hot: int = 64, parts: int = PAR
     total = codes.count()
     groups = group_bits(some, parts) if len(some) > 1 else [list(range(64))[k::parts] for k in range(parts)]
     fold = int(min(18, min(map(len, groups)), max(14, total.bit_length())))
-    plan = Plan(groups, fold, np.zeros((parts, 1 << fold), np.int32), hot)
+    plan = Plan(groups, fold, np.zeros((parts, 1 << fold), np.int32), hot, total=total)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +223,9 @@ def links(codes: DataFrame, plan: Plan) -> DataFrame:
                     columns = [row["kind"], row["spot"], row["point"].view(np.int64), row["code"].view(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "spot", "point", "code"])
 
-    named = checkpointed(codes.mapInArrow(name, KEY_SCHEMA))
+    # The probes of a code take longer than reading it, so codes are dealt by their number.
+    dealt = codes.repartition(int(max(8, plan.total >> 14)), "code")
+    named = checkpointed(dealt.mapInArrow(name, KEY_SCHEMA))
     stored = named.where("kind = 0").select("spot", "point", F.col("code").alias("b"))
     probes = named.where("kind = 1").select("spot", "point", F.col("code").alias("a"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= plan.radius
@@ -268,9 +270,9 @@ def one_of_each(docs: DataFrame, found: DataFrame, coder: Callable[[DataFrame],
     best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("code").alias("_code"), F.first("doc_id").alias("_id"))
     rows_of_id = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
     best = checkpointed(best.join(rows_of_id, "_id", "left").select("_id", "_code", F.coalesce("_n", F.lit(2)).alias("_n")))
-    single = docs.join(best.where("_n = 1").select(F.col("_id").alias("doc_id")), "doc_id", "left_semi")
+    single = docs.join(if_few(best.where("_n = 1").select(F.col("_id").alias("doc_id"))), "doc_id", "left_semi")
     # Of repeated and missing ids, the text decides: codes are taken anew for those rows only.
-    several = best.where("_n > 1")
+    several = if_few(best.where("_n > 1"))
     rows = docs.join(several.select("_id").distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
     coded = coder(rows.select(F.struct("*").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "code")
     chosen = coded.join(several, (F.col("code") == F.col("_code")) & F.col("_row.doc_id").eqNullSafe(F.col("_id")), "left_semi")
