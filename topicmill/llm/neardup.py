@@ -21,20 +21,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import checkpointed, if_few, small_batches
 from .components import roots
 from .hashing import mixed, shingle_hashes, word_hashes
 from .simhash import fit, links, majority, one_of_each
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
+#: One-byte MinHashes of a class, and how many of them a pair needs to be compared exactly.
+SKETCH, LEAST = 80, 44
 #: Members of one value are dealt to so many tasks; from HEAVY pairs on, those of one class too.
 SALT, HEAVY = 8, 1000
 #: A round has so many times the partners of the one before.
-MORE = 8
+MORE = 4
 
 
 def sets_of(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -52,36 +54,43 @@ def codes_of(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([code_of(s) for s in sets], pa.int64())
 
 
-def bands_of(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(rows, BANDS) hashes of the rows' MinHash bands; rows without shingles have some value that means nothing."""
+def bands_of(found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, BANDS) hashes of the rows' MinHash bands, and (rows, SKETCH / 8) words of one-byte MinHashes.
+
+    Rows without shingles have some values that mean nothing.
+    """
     full = counts > 0
-    out = np.zeros((len(counts), BANDS), np.uint64)
+    bands, sketch = np.zeros((len(counts), BANDS), np.uint64), np.zeros((len(counts), SKETCH), np.uint8)
     begins = (np.cumsum(counts) - counts)[full]
     if len(begins):
         factors = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
         with np.errstate(over="ignore"):
-            for b in range(BANDS):
-                value = np.full(len(begins), b, np.uint64)
-                for factor in factors[b * ROWS : (b + 1) * ROWS]:
-                    value = mixed(value + np.minimum.reduceat(mixed(found * factor), begins))
-                out[full, b] = value
-    return out
+            for k, factor in enumerate(factors):
+                least = mixed(np.minimum.reduceat(found * factor, begins))
+                bands[full, k // ROWS] = mixed(bands[full, k // ROWS] + least + np.uint64(k))
+                sketch[full, k % SKETCH] = least.astype(np.uint8)
+    return bands, sketch.view(np.uint64)
+
+
+def as_lists(values: np.ndarray) -> pa.Array:
+    ends = np.arange(0, values.size + 1, values.shape[1]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64).ravel()))
 
 
 def with_prints(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``code`` of the set, its size ``n``, its SimHash ``print`` and its ``bands`` for each row."""
+    """``doc_id``, ``code`` of the set, its size ``n``, its SimHash ``print``, its ``bands`` and ``sketch`` for each row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             sets, found, counts = sets_of(batch.column(1))
-            bands = bands_of(found, counts)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS).astype(np.int32)), pa.array(bands.view(np.int64).ravel()))
+            bands, sketch = bands_of(found, counts)
             prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
             sizes = np.array([len(s) for s in sets], np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), codes_of(sets), pa.array(sizes), pa.array(prints), lists], ["doc_id", "code", "n", "print", "bands"])
+            columns = [batch.column(0), codes_of(sets), pa.array(sizes), pa.array(prints), as_lists(bands), as_lists(sketch)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "code", "n", "print", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, code long, n int, print long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, code long, n int, print long, bands array<long>, sketch array<long>")
 
 
 def with_codes(docs: DataFrame) -> DataFrame:
@@ -108,7 +117,10 @@ def with_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(encode, "code long, shingles array<long>").dropDuplicates(["code"])
 
 
-PAIR = ["a", "b", "spread"]
+def meet(members: DataFrame, values: DataFrame) -> DataFrame:
+    """Members joined with the table of their values, those of one value by ``SALT`` tasks."""
+    dealt = values.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    return members.withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(SALT)).cast("int")).join(dealt, ["band", "value", "salt"]).drop("salt")
 
 
 def paired(members: DataFrame, hubs: DataFrame, threshold: float) -> DataFrame:
@@ -116,19 +128,33 @@ def paired(members: DataFrame, hubs: DataFrame, threshold: float) -> DataFrame:
 
     ``spread`` tells over how many tasks a hub's pairs are dealt later.
     """
-    dealt = hubs.select("band", "value", "hub", "size", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    met = members.drop("size").withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(SALT)).cast("int")).join(dealt, ["band", "value", "salt"]).where(F.col("code") != F.col("hub")["code"])
+    met = meet(members.drop("size"), hubs).where(F.col("code") != F.col("hub")["code"])
     if "root" in members.columns:
         met = met.where(F.col("root") != F.col("hub")["root"])
     near = F.least("n", F.col("hub")["n"]) >= threshold * F.greatest("n", F.col("hub")["n"]) - 1e-9
     return met.where(near).groupBy(F.col("hub")["code"].alias("a"), F.col("code").alias("b")).agg((F.max("size") / HEAVY).cast("int").alias("spread"))
 
 
+def sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that share ``LEAST`` one-byte MinHashes."""
+    other = F.zip_with("x", "y", lambda x, y: x.bitwiseXOR(y))
+
+    def bytes_set(w: Column) -> Column:
+        for k in (4, 2, 1):  # the lowest bit of a byte becomes the union of its eight
+            w = w.bitwiseOR(F.shiftrightunsigned(w, k))
+        return F.bit_count(w.bitwiseAND(F.lit(0x0101010101010101)))
+
+    differing = F.aggregate(other, F.lit(0), lambda n, w: n + bytes_set(w))
+    left, right = classes.select(F.col("code").alias("a"), F.col("sketch").alias("x")), classes.select(F.col("code").alias("b"), F.col("sketch").alias("y"))
+    return pairs.join(right, "b").join(left, "a").where(differing <= SKETCH - LEAST).select("a", "b", "spread")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets have ``threshold`` or more in common."""
+    pairs = checkpointed(sketched(pairs, classes))
     asked = pairs.select(F.col("a").alias("code")).union(pairs.select(F.col("b").alias("code"))).distinct()
-    ids = classes.join(asked, "code").select(F.col("least").alias("id")).distinct()
-    sets = checkpointed(with_sets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")))
+    ids = checkpointed(classes.join(asked, "code").select(F.col("least").alias("id")).distinct())
+    sets = checkpointed(with_sets(docs.join(if_few(ids), docs["doc_id"].eqNullSafe(F.col("id")), "left_semi")).join(asked, "code", "left_semi"))
     # A class with many pairs is dealt to several tasks, its set with it.
     copies = pairs.select("a", "spread").distinct().select("a", "spread", F.explode(F.sequence(F.lit(0), "spread")).alias("salt"))
     left = copies.join(sets.select(F.col("code").alias("a"), F.col("shingles").alias("x")), "a")
@@ -157,7 +183,7 @@ def components(docs: DataFrame, threshold: float = THRESHOLD, **fitting: int) ->
     where all ids of a group are. Empty tables give none; other columns are not read.
     """
     coded = checkpointed(with_prints(docs))
-    classes = checkpointed(coded.groupBy("code").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "print", "bands")]))
+    classes = checkpointed(coded.groupBy("code").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "print", "bands", "sketch")]))
     some = classes.where("n > 0")
     spots = some.select("code", "n", F.posexplode("bands").alias("band", "value"))
     shared = spots.groupBy("band", "value").agg(F.min(F.struct("code", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
@@ -167,12 +193,12 @@ def components(docs: DataFrame, threshold: float = THRESHOLD, **fitting: int) ->
     known = checkpointed(verified(first, docs, classes, threshold))
     found = roots(known)
     # Values of more than two members may hold pairs without the least one.
-    rest = checkpointed(spots.join(hubs.where("size > 2").select("band", "value", "size"), ["band", "value"]))
-    begin, end = 0, MORE
+    rest = checkpointed(meet(spots, hubs.where("size > 2").drop("hub")))
+    begin, end = 0, 1
     while True:
-        rooted = rest.join(found, F.col("code") == F.col("node"), "left").select("band", "value", "size", "code", "n", F.coalesce("root", "code").alias("root"))
+        rooted = checkpointed(rest.join(found, F.col("code") == F.col("node"), "left").select("band", "value", "size", "code", "n", F.coalesce("root", "code").alias("root")))
         split = rooted.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
-        rest = checkpointed(rooted.join(split, ["band", "value"]).where(F.col("size") > begin))
+        rest = checkpointed(meet(rooted.where(F.col("size") > begin), split))
         if rest.isEmpty():
             break
         turn = F.pmod(F.xxhash64("code", "band"), F.lit(1 << 40)) * F.col("size") / (1 << 40)
