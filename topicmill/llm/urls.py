@@ -13,6 +13,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import checkpointed, if_few
+
 BAD = "label:bad"
 #: Verdict, host, path start.
 GIVEN = (
@@ -39,18 +41,18 @@ def given_rule(host: Column, path: Column, rules=GIVEN) -> Column:
         F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")))
         for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))
     ]
-    return F.coalesce(*fitting)
+    return F.coalesce(*fitting, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """The distinct tokens of a URL; at most the host's last three labels and the first three directories count."""
+    """The distinct tokens of a URL: all ends of its host, directories, query keys, its ending, and whether it has an anchor."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(3))), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, n - k + 1, k), ".")))
-    folders = F.slice(F.filter(F.split(F.regexp_replace(path, "[^/]*$", ""), "/"), lambda s: s != ""), 1, 3)
+    suffixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, n - k + 1, k), ".")))
+    folders = F.filter(F.split(F.regexp_replace(path, "[^/]*$", ""), "/"), lambda s: s != "")
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
-    keys = F.slice(F.filter(F.transform(F.split(query, "&"), lambda s: F.substring_index(s, "=", 1)), lambda s: s != ""), 1, 4)
-    ending = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)
+    keys = F.filter(F.transform(F.split(query, "&"), lambda s: F.substring_index(s, "=", 1)), lambda s: s != "")
+    ending = F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)
     found = F.concat(
         suffixes,
         F.transform(folders, lambda s: F.concat(F.lit("dir:"), s)),
@@ -70,14 +72,22 @@ def read_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.35, min_lift: float = 1.4, min_rows: int = 20) -> DataFrame:
+def at_least(good: Column, all: Column, z: float) -> Column:
+    """The lower end of Wilson's interval for a share, at ``z`` standard deviations."""
+    p = good / all
+    return (p + z * z / (2 * all) - z * F.sqrt(p * (1 - p) / all + z * z / (4 * all * all))) / (1 + z * z / all)
+
+
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5, z: float = 1.64) -> DataFrame:
     """Rules (``rule_tokens``, ``support`` as rows, ``confidence``, ``lift``) that point to bad pages.
 
-    A page is bad if a label says quality 0 or toxic 1. All labelled pages
-    count; a page with several labels is bad if one is. Nulls count as good.
-    A rule needs ``min_support`` of the labelled pages and ``min_rows`` of them
-    at least. Tokens of a page are bounded, so mining is bounded by
-    ``min_support``. No labels, no rules.
+    ``labels.doc_id`` is taken as the ``page_id`` of the same number. A page is bad
+    if a label says quality 0 or toxic 1. All labelled pages count; a page with
+    several labels is bad if one is. Nulls count as good. A rule needs
+    ``min_support`` of the labelled pages, and a share of bad pages that is over
+    ``min_confidence`` even at the lower end of its interval, so that few pages
+    make no rule by chance; none may hold in the data. Tokens rarer than
+    ``min_support`` are in no rule, which bounds the mining. No labels, no rules.
     """
     marks = labels.select(F.col("doc_id").alias("page_id"), ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int").alias("_bad"))
     marks = marks.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("_bad").alias("_bad"))
@@ -91,7 +101,7 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_co
     rated = sure.join(body, "rule_tokens").join(F.broadcast(totals)).select(
         "rule_tokens", "support", confidence.alias("confidence"), (confidence * F.col("_n") / F.col("_n_bad")).alias("lift")
     )
-    good = rated.where((F.col("support") >= min_rows) & (F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift))
+    good = rated.where(at_least(F.col("support"), F.col("support") / F.col("confidence"), z) > min_confidence)
     # A rule is spare if dropping one token leaves a rule that is as sure.
     shorter = good.select("rule_tokens", "confidence", F.explode("rule_tokens").alias("_one")).select(
         "rule_tokens", "confidence", F.array_remove("rule_tokens", F.col("_one")).alias("_less")
@@ -116,11 +126,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules=GIVEN, **mining: float) ->
     ids and rows each keep theirs. Other columns are not read.
     """
     read = read_pages(pages)
-    index = rule_index(mine(pages, labels, **mining), read)
+    index = if_few(checkpointed(rule_index(mine(pages, labels, **mining), read)))
     urls = read.select("_tokens").where(F.size("_tokens") > 0).distinct()
     met = urls.select("_tokens", F.explode("_tokens").alias("token")).join(index, "token")
     fits = met.where(F.size(F.array_except("rule_tokens", "_tokens")) == 0)
-    sure = fits.groupBy("_tokens").agg(F.max("confidence").alias("mined_confidence"))
+    sure = if_few(checkpointed(fits.groupBy("_tokens").agg(F.max("confidence").alias("mined_confidence"))))
     given = given_rule(F.col("host"), F.col("path"), rules)
     return (
         read.join(sure, "_tokens", "left").withColumn("_given", given)
