@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -234,6 +235,36 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), labels).count() == 0 and urls.judge(df, labels.limit(0)).count() == len(raw) + 1
 
 
+def test_mined_rules_are_those_of_brute_force(spark):
+    """All sets of tokens counted one by one: supports, confidences, pruning and verdicts."""
+    rng = random.Random(4)
+    rows = [(i, f"http://h{rng.randint(0, 2)}.{rng.choice(['x', 'y'])}.com/{rng.choice(['a', 'b'])}/{rng.choice(['c', 'd'])}/e/f/{i}.html?k{rng.randint(0, 1)}=1") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    sets = {r["page_id"]: frozenset(r["_tokens"]) for r in urls.read_pages(pages).collect()}
+    assert {"dir:e", "dir:f", "host:com"} <= sets[0] and any(t.startswith("key:k") for t in sets[0])
+    bad = {i: int(("dir:a" in sets[i] and "host:x.com" in sets[i]) != (rng.random() < 0.05)) for i in range(300)}
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in bad.items()], "doc_id long, quality int, toxic int")
+    seen, hit = collections.Counter(), collections.Counter()
+    for i, b in bad.items():
+        for n in range(1, len(sets[i]) + 1):
+            for own in itertools.combinations(sorted(sets[i]), n):
+                seen[own] += 1
+                hit[own] += b
+    low = lambda k, n, z=1.64: (k / n + z * z / (2 * n) - z * math.sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    good = {own: hit[own] / seen[own] for own in seen if hit[own] >= 0.05 * 300 and low(hit[own], seen[own]) > 0.5}
+    less = lambda own: [own[:k] + own[k + 1 :] for k in range(len(own))]
+    want = {own: c for own, c in good.items() if not any(good.get(x, -1) >= c for x in less(own))}
+    got = {tuple(r["rule_tokens"]): r for r in urls.mine(pages, labels, min_support=0.05).collect()}
+    assert set(got) == set(want) and want and all(math.isclose(got[o]["confidence"], c) and got[o]["support"] == hit[o] for o, c in want.items())
+    told = {r["page_id"]: r for r in urls.judge(pages, labels, rules=(), min_support=0.05).collect()}
+    for i, own in sets.items():
+        fits = [c for rule, c in want.items() if own.issuperset(rule)]
+        assert told[i]["verdict"] == ("block" if fits else "allow") and (not fits or math.isclose(told[i]["mined_confidence"], max(fits)))
+    held = [i for i in range(300, 400)]
+    right = [("dir:a" in sets[i] and "host:x.com" in sets[i]) for i in held if told[i]["verdict"] == "block"]
+    assert len(right) > 10 and sum(right) >= 0.8 * len(right)  # labels are wrong in one of twenty
+
+
 def test_mined_rules_block(spark):
     rng = random.Random(0)
     rows = [(i, f"http://h{rng.randint(0, 3)}.example.com/{'spam' if i % 5 == 0 else 'news'}/{i}.html") for i in range(600)]
@@ -628,8 +659,6 @@ def test_viterbi_is_the_best_path():
     t, rng = pii.Tagger(), np.random.default_rng(1)
     t.w["A"] = rng.standard_normal(t.w["A"].shape).astype(np.float32)
     e = rng.standard_normal((4, pii.TAGS)).astype(np.float32)
-    import itertools
-
     value = lambda p: t.w["s"][p[0]] + sum(e[i, x] for i, x in enumerate(p)) + sum(t.w["A"][a, b] for a, b in itertools.pairwise(p))
     assert tuple(t.viterbi([e, e[:2]])[0]) == max(itertools.product(range(pii.TAGS), repeat=4), key=value)
 
@@ -660,6 +689,29 @@ def test_tagger_finds_held_out_and_rewritten_spans(people):
     assert sum(bool(a) for a in pii.added_spans(tagger, fresh, [[] for _ in fresh])) >= 4
 
 
+def test_spans_at_the_edges_of_long_stretches(monkeypatch):
+    number = "(555) 123-4567"
+
+    def tags(tagger, parts):
+        out = [np.zeros(len(p), np.int64) for p in parts]
+        for t, p in zip(out, parts):
+            for m in re.finditer(re.escape(number), p):
+                t[m.start() : m.end()] = 8
+                t[m.start()] = 7
+        return out
+
+    monkeypatch.setattr(pii, "decode", tags)
+    for fill in ("", "1 a " * 50, "1 a " * 8000):
+        text = f"{'word ' * 40}{number} {fill}{number} {fill}{number}{' word' * 40}"
+        want = [(m.start(), 3, m.end()) for m in re.finditer(re.escape(number), text)]
+        assert pii.added_spans(None, [text], [[]]) == [want] and len(want) == 3
+
+
+def test_spelt_addresses_are_plausible():
+    assert all(pii.plausible(0, t) for t in ("a.b at host dot org", "a [at] b [dot] co [dot] uk", "A@B.COM", "x(at)y(dot)z"))
+    assert not any(pii.plausible(0, t) for t in ("at dot", "look at this", "a@b", "1.5"))
+
+
 def test_pii_rows(spark, people, odd, nothing):
     both = people.select("doc_id", "text").union(odd.select("doc_id", "text"))
     got = pii.find(both, 300).collect()

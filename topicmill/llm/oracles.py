@@ -38,7 +38,7 @@ judged AS (SELECT *, list_filter(l, lambda s: regexp_matches(s, '[^\x20\x09-\x0D
   list_filter(l, lambda s: NOT regexp_matches(s, '[^\x20\x09-\x0D]') OR NOT (
     len(regexp_extract_all(s, {quoted(MARKS)})) > 0.3 * greatest(len(regexp_extract_all(s, {_RUN})), 1)
     OR len(regexp_extract_all(s, {quoted(SEPARATORS)})) >= 2
-    OR (length(s) < 200 AND regexp_matches(s, {quoted(STOCK)})))) AS kept_lines FROM w),
+    OR len(regexp_extract_all(s, {quoted(STOCK)})) * 30 >= greatest(len(regexp_extract_all(s, {_RUN})), 1))) AS kept_lines FROM w),
 places AS (SELECT doc_id, array_to_string(w[i:i+4], ' ') AS s, i FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM places) WHERE n > 1),
 held AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest(range(0, 5)) AS p FROM twice) GROUP BY 1),

@@ -53,11 +53,12 @@ def repeat_words(tokens: Column, size: int = 5) -> Column:
     return let(tokens, of)
 
 
-def line_passes(line: Column, max_marks: float = 0.3, separators: int = 2) -> Column:
-    """Whether a line with words keeps its place: few marks for its words, no row of links, no stock phrase."""
-    many = F.regexp_count(line, F.lit(MARKS)) > max_marks * F.greatest(F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1))
+def line_passes(line: Column, max_marks: float = 0.3, separators: int = 2, stock_words: int = 30) -> Column:
+    """Whether a line with words keeps its place: few marks for its words, no row of links, no stock phrase in ``stock_words`` words."""
+    size = F.greatest(F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1))
+    many = F.regexp_count(line, F.lit(MARKS)) > max_marks * size
     links = F.regexp_count(line, F.lit(SEPARATORS)) >= separators
-    stock = (F.length(line) < 200) & line.rlike(STOCK)
+    stock = F.regexp_count(line, F.lit(STOCK)) * stock_words >= size
     return ~(many | links | stock)
 
 
