@@ -16,11 +16,13 @@ from .ranking import first_of
 
 
 def set_up_checkpoints(spark: SparkSession) -> None:
-    """Use the session's checkpoint folder; set a local one only where it has none."""
+    """Use the session's checkpoint folder; only a session within one process gets one of its own where there is none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="topicmill-")

@@ -12,7 +12,7 @@ def q(text: str) -> str:
 
 
 PAPERS = r"""papers AS (SELECT doc_id, 'hf:' || doc_id AS paper_id, split_part(text, '.', 1) AS title, text AS summary, lang, source,
-  regexp_extract_all(lower(text), '\p{L}{5,}')[1:15] AS keywords, 'month=2025-' || lpad(CAST(1 + doc_id % 12 AS VARCHAR), 2, '0') AS month_key FROM documents)"""
+  regexp_extract_all(lower(text), '\p{L}{5,}') AS keywords, 'month=2025-' || lpad(CAST(1 + doc_id % 12 AS VARCHAR), 2, '0') AS month_key FROM documents)"""
 POINTS = "points AS (SELECT vec_id AS paper_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 CENTERS = """flat AS (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM points),
 means AS (SELECT label, i, avg(x) AS m FROM flat GROUP BY ALL),
@@ -101,8 +101,8 @@ _BASE = strip("'TITLE: ' || title || chr(10) || 'SUMMARY: ' || summary")
 for _m, _k in (("a", None), ("b", "keywords[1:10]"), ("c", "keywords")):
     _tail = f"CASE WHEN len(keywords) > 0 THEN chr(10) || 'KEYWORDS: ' || array_to_string({_k}, ', ') ELSE '' END" if _k else "''"
     ORACLES[f"embedding_text_{_m}"] = f"WITH {PAPERS} SELECT doc_id, {_BASE} || {_tail} AS text FROM papers"
-ORACLES["month_counts"] = f"""WITH {PAPERS}, m AS (SELECT 'month=2025-' || lpad(i::VARCHAR, 2, '0') AS month_key FROM range(1, 13) t(i))
-SELECT month_key, count(doc_id) AS n FROM m LEFT JOIN (SELECT * FROM papers WHERE doc_id % 3 > 0) USING (month_key) GROUP BY 1"""
+ORACLES["month_counts"] = f"""WITH {PAPERS}, m AS (SELECT strftime(DATE '2025-01-01' + INTERVAL (i) MONTH, 'month=%Y-%m') AS month_key FROM range(0, 24) t(i))
+SELECT month_key, count(doc_id) AS n FROM m LEFT JOIN papers USING (month_key) GROUP BY 1"""
 ORACLES["period_bounds"] = """SELECT 'month=' || strftime(ts, '%Y-%m') AS month_key, count(*) AS n, strftime(date_trunc('month', any_value(ts)), '%Y-%m-%d') AS period_start,
 strftime(last_day(any_value(ts)::DATE), '%Y-%m-%d') AS period_end FROM events GROUP BY 1"""
 ORACLES["paper_projection"] = """SELECT event_id, 'hf:' || event_id AS paper_id, 'https://papers/' || event_id AS url,
@@ -133,7 +133,7 @@ def strictly(t: str) -> str:
     return rf"(NOT contains({t}, ':') AND NOT regexp_matches({t}, '(^|[^\p{{Lu}}\p{{Ll}}\p{{Lt}}])\p{{Ll}}') AND NOT regexp_matches({t}, '{letter}[\p{{Lu}}\p{{Lt}}]'))"
 
 
-ORACLES["title_case_strict"] = f"WITH t AS (SELECT conv_id, turn, ({strip('text')})[1:40] AS t FROM conversations), c AS (SELECT *, {_CAP.format('t')} AS c FROM t) SELECT conv_id, turn, {strictly('t')} AS plain, {strictly('c')} AS capital FROM c"
+ORACLES["title_case_strict"] = f"WITH t AS (SELECT conv_id, turn, {strip('text')} AS t FROM conversations), c AS (SELECT *, {_CAP.format('t')} AS c FROM t) SELECT conv_id, turn, {strictly('t')} AS plain, {strictly('c')} AS capital FROM c"
 _ITEM = r"(?s)^\[([A-Za-z0-9._:-]+)\]\s+(.+)$"
 ORACLES["citations"] = rf"""WITH t AS (SELECT doc_id, '[' || doc_id || '] ' || text || ' [x.1] [not one]' AS t FROM documents)
 SELECT doc_id, array_to_string(regexp_extract_all(t, {q(CITED)}, 1), ',') AS cited, regexp_matches(t, {q(INLINE)}) AS has, regexp_extract({strip('t')}, {q(_ITEM)}, 1) AS item,
@@ -159,7 +159,7 @@ ORACLES["select_best_run"] = f"""WITH {PAPERS}, m AS (SELECT DISTINCT {_SNAP} AS
 SELECT snapshot_id || '|' || c AS cluster_run_id, snapshot_id, CASE WHEN even THEN c = 'k5' ELSE c = 'k4' END AS selected_best, CASE WHEN even THEN c = 'k5' ELSE c = 'k4' END AS shown FROM m, (VALUES ('k4'), ('k5')) v(c)"""
 ORACLES["replace_clusters"] = """WITH r AS (SELECT 'r' || (vec_id % 4) AS cluster_run_id, label FROM embeddings)
 SELECT cluster_run_id, label, count(*) AS size, CASE WHEN cluster_run_id = 'r1' THEN 'new' ELSE 'old' END AS batch FROM r WHERE cluster_run_id <> 'r1' OR label < 5 GROUP BY ALL"""
-ORACLES["fk_violations"] = "SELECT vec_id AS paper_id, label FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.vec_id)"
+ORACLES["fk_violations"] = "SELECT id AS paper_id, label FROM (SELECT unnest([vec_id, -vec_id - 1]) AS id, label FROM embeddings) e WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.id)"
 _KNOWN = f"{PAPERS}, {POINTS}, {CENTERS}, {RANKED}"
 ORACLES["ingest_memory"] = f"""WITH {_KNOWN}, c AS (SELECT DISTINCT p.month_key, r.label FROM ranked r JOIN papers p ON p.month_key = 'month=2025-' || lpad(CAST(1 + r.paper_id % 12 AS VARCHAR), 2, '0')),
 months AS (SELECT DISTINCT month_key FROM c)
@@ -173,8 +173,9 @@ ORACLES["unify_clusters"] = _CARDS + f"SELECT {_SNAP} || '|' || label AS cluster
 ORACLES["top_n_per_cluster"] = f"""WITH {_KNOWN} SELECT label AS cluster_id, paper_id, title, rank_in_cluster FROM (SELECT r.label, p.paper_id, p.title, r.rank_in_cluster,
 row_number() OVER (PARTITION BY r.label ORDER BY r.rank_in_cluster, p.paper_id) AS n FROM ranked r JOIN papers p ON p.doc_id = r.paper_id) WHERE n <= 10"""
 ORACLES["cluster_order"] = "SELECT vec_id % 5 AS part, label, count(*) AS size, row_number() OVER (PARTITION BY vec_id % 5 ORDER BY count(*) DESC, label) - 1 AS position FROM embeddings GROUP BY 1, 2"
-_PACK = f"""WITH {_KNOWN}, m AS (SELECT paper_id % 3 AS part, label AS cluster_index, paper_id AS seq, 'hf:' || paper_id AS pid, CASE WHEN paper_id % 11 > 0 THEN rank_in_cluster END AS r FROM ranked),
-p AS (SELECT doc_id % 3 AS part, paper_id AS pid, title, keywords FROM papers WHERE doc_id % 13 > 0), c AS (SELECT DISTINCT part, cluster_index FROM m),
+_PACK = f"""WITH {_KNOWN}, m0 AS (SELECT paper_id % 3 AS part, label AS cluster_index, paper_id AS seq, 'hf:' || paper_id AS pid, CASE WHEN paper_id % 11 > 0 THEN rank_in_cluster END AS r FROM ranked),
+m AS (SELECT * FROM m0 UNION ALL SELECT part, cluster_index, -seq - 1, 'unknown:' || seq, r FROM m0 WHERE seq % 13 = 0),
+p AS (SELECT doc_id % 3 AS part, paper_id AS pid, title, keywords FROM papers), c AS (SELECT DISTINCT part, cluster_index FROM m),
 j AS (SELECT m.part, cluster_index, pid AS paper_id, title, coalesce(r, 0) AS rank_in_cluster, len(keywords)::BIGINT AS n_keywords,
   row_number() OVER (PARTITION BY m.part, cluster_index ORDER BY coalesce(r, 999), seq) - 1 AS pos FROM m JOIN p USING (part, pid)) """
 ORACLES["pack_clusters"] = _PACK + "SELECT part, cluster_index, pos, paper_id, title, rank_in_cluster, n_keywords FROM c LEFT JOIN j USING (part, cluster_index)"

@@ -30,7 +30,7 @@ def papers(spark: SparkSession, folder: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{5,}"), 0)
     return table(spark, folder, "documents").select(
         "doc_id", F.concat(F.lit("hf:"), F.col("doc_id").cast("string")).alias("paper_id"), F.substring_index("text", ".", 1).alias("title"),
-        F.col("text").alias("summary"), F.slice(words, 1, 15).alias("keywords"), F.col("lang"), F.col("source"),
+        F.col("text").alias("summary"), words.alias("keywords"), F.col("lang"), F.col("source"),
         F.concat(F.lit("month=2025-"), F.lpad((1 + F.col("doc_id") % 12).cast("string"), 2, "0")).alias("month_key"),
     )
 
@@ -180,8 +180,8 @@ def encode_text(spark, folder):
 
 @query
 def month_counts(spark, folder):
-    months = spark.range(1, 13).select(F.concat(F.lit("month=2025-"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("month_key"))
-    counts = papers(spark, folder).where("doc_id % 3 > 0").groupBy("month_key").agg(F.count("*").alias("n"))
+    months = spark.range(0, 24).select(F.date_format(F.add_months(F.lit("2025-01-01").cast("date"), F.col("id").cast("int")), "'month='yyyy-MM").alias("month_key"))
+    counts = papers(spark, folder).groupBy("month_key").agg(F.count("*").alias("n"))
     return months.join(counts, "month_key", "left").select("month_key", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -232,7 +232,7 @@ def title_case(spark, folder):
 
 @query
 def title_case_strict(spark, folder):
-    titles = table(spark, folder, "conversations").select("conv_id", "turn", F.substring(T.strip(F.col("text")), 1, 40).alias("t"))
+    titles = table(spark, folder, "conversations").select("conv_id", "turn", T.strip(F.col("text")).alias("t"))
     return titles.select("conv_id", "turn", T.title_case_strict(F.col("t")).alias("plain"), T.title_case_strict(F.initcap("t")).alias("capital"))
 
 
@@ -324,7 +324,9 @@ def replace_clusters(spark, folder):
 
 @query
 def fk_violations(spark, folder):
-    return memory.missing_keys(points(spark, folder).select("paper_id", "label"), table(spark, folder, "documents"), "paper_id", "doc_id").select("paper_id", "label")
+    # Each member, and once more under an id that no document has.
+    rows = points(spark, folder).select(F.explode(F.array(F.col("paper_id"), -F.col("paper_id") - 1)).alias("paper_id"), "label")
+    return memory.missing_keys(rows, table(spark, folder, "documents"), "paper_id", "doc_id").select("paper_id", "label")
 
 
 def payloads(spark, folder):
@@ -398,7 +400,9 @@ def _pack_inputs(spark, folder):
         (F.col("paper_id") % 3).alias("part"), F.col("label").alias("cluster_index"), F.col("paper_id").alias("seq"), F.concat(F.lit("hf:"), F.col("paper_id").cast("string")).alias("paper_id"),
         F.when(F.col("paper_id") % 11 > 0, F.col("rank_in_cluster")).alias("rank_in_cluster"), F.col("sim").alias("sim_to_centroid"),
     )
-    own = papers(spark, folder).where("doc_id % 13 > 0").select((F.col("doc_id") % 3).alias("part"), "paper_id", "title", F.substring("summary", 1, 100).alias("summary"), "keywords", F.lit(None).cast("string").alias("url"), F.col("doc_id").alias("pos"))
+    unknown = members.where("seq % 13 = 0").withColumn("paper_id", F.concat(F.lit("unknown:"), F.col("seq").cast("string"))).withColumn("seq", -F.col("seq") - 1)
+    members = members.unionByName(unknown)
+    own = papers(spark, folder).select((F.col("doc_id") % 3).alias("part"), "paper_id", "title", "summary", "keywords", F.lit(None).cast("string").alias("url"), F.col("doc_id").alias("pos"))
     return members, own
 
 
