@@ -448,7 +448,7 @@ def brute_scores(given, held, order=ngrams.ORDER):
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores(spark, odd, nothing, order, monkeypatch):
-    monkeypatch.setattr(ngrams, "RANGE_TOKENS", 20_000)
+    monkeypatch.setattr(ngrams, "RANGE_BYTES", 60_000)
     docs = table(spark, DATA, "documents").select("doc_id", "text")
     frames = (docs, odd.where("doc_id <> 1 AND doc_id <> 8 OR doc_id IS NULL")) if order == 3 else (odd.where("doc_id > 1 AND doc_id <> 8"),)
     for frame in frames:
@@ -485,7 +485,7 @@ def test_automaton_states_and_arcs():
 
 def test_counts_beyond_four_bytes_are_exact():
     keys, big = ngrams.pack(np.array([7], np.uint64)), ngrams.pack(np.array([2**53 + 1], np.uint64))
-    told = ngrams.answer(ngrams.as_table([(0, 5, 0, keys, big, None), (0, 6, 0, keys, big, None)]))
+    told = ngrams.answer(ngrams.as_table([(0, 5, 0, keys, big, None, 0, 0), (0, 6, 0, keys, big, None, 0, 0)]), 0)
     assert [int(ngrams.unpack(x.as_py(), np.uint64)[0]) for x in told.column("one")] == [2**54 + 2] * 2
 
 

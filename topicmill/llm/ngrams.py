@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import checkpointed, small_batches
 from .hashing import mixed, word_hashes
 
 #: The tokens before and after a text: their labels in every block, and their hashes.
@@ -43,9 +43,9 @@ START_LABEL, END_LABEL = 0, 1
 EDGES = np.array([0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], np.uint64)
 ORDER = 3
 STRENGTH, GROWTH = 3.0, 0.85
-BLOCK_BYTES, RANGE_TOKENS = 12 << 20, 1_500_000
-#: Hashes are so many bits longer than the number of tokens: another n-gram shares one with probability 2**-SPARE.
-SPARE = 25
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
+#: Hashes are so many bits longer than the number of bytes: another n-gram shares one with a probability below 2**-SPARE.
+SPARE = 20
 SEGMENT = 256
 
 
@@ -92,18 +92,18 @@ class Block:
     """
 
     def __init__(self, labels: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, order: int):
-        self.labels, self.sizes, self.hashes, self.order = labels.astype(np.int64), sizes, hashes, order
+        self.labels, self.sizes, self.hashes, self.order = labels.astype(np.int32), sizes, hashes, order
         self.begins = np.cumsum(sizes) - sizes
         offset = np.arange(len(labels)) - np.repeat(self.begins, sizes)
         width = len(hashes)
         self.ids, self.sums = [None, self.labels], [None, width]
-        self.before, self.last, self.suffix = [None, None], [None, np.arange(width)], [None, None]
+        self.before, self.last, self.suffix = [None, None], [None, np.arange(width, dtype=np.int32)], [None, None]
         for n in range(2, order + 1):
             at = np.flatnonzero(offset >= n - 1)
             shorter = self.ids[n - 1]
-            rank, where = numbered(shorter[at - 1] * width + self.labels[at])
+            rank, where = numbered(shorter[at - 1].astype(np.int64) * width + self.labels[at])
             where = at[where]
-            ids = np.full(len(labels), -1, np.int64)
+            ids = np.full(len(labels), -1, np.int32)
             ids[at] = rank
             self.ids.append(ids)
             self.sums.append(len(where))
@@ -133,6 +133,8 @@ class Block:
         with np.errstate(over="ignore"):
             for n in range(2, self.order + 1):
                 out.append(mixed(out[-1][self.before[n]] * np.uint64(0x2545F4914F6CDD1D) + out[0][self.last[n]] + np.uint64(n)))
+        # The last bit tells words from longer n-grams.
+        out[0], out[1:] = out[0] & ~(np.uint64(1) << np.uint64(64 - bits)), [h | np.uint64(1) << np.uint64(64 - bits) for h in out[1:]]
         return np.concatenate(out) >> np.uint64(64 - bits)
 
     def counts(self, trains: np.ndarray) -> np.ndarray:
@@ -141,8 +143,8 @@ class Block:
         out = []
         for n in range(1, self.order + 1):
             own = self.ids[n][held]
-            out.append(np.bincount(own[own >= 0], minlength=self.sums[n]))
-        return np.concatenate(out).astype(np.uint64)
+            out.append(np.bincount(own[own >= 0], minlength=self.sums[n]).astype(np.uint64))
+        return np.concatenate(out)
 
 
 class Automaton:
@@ -242,25 +244,11 @@ class Automaton:
         }
 
 
-def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hashes of a task's distinct training tokens, and in a row without one its tokens in all rows and in training rows."""
-    hashes, n, trained = np.zeros(0, np.uint64), 0, 0
-    for batch in small_batches(batches, 10_000):
-        words, sizes = word_hashes(batch.column(1))
-        trains = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        hashes = np.union1d(hashes, words[np.repeat(trains, sizes)])
-        n, trained = n + int((sizes + 1).sum()), trained + int((sizes + 1)[trains].sum())
-    if trained:
-        hashes = np.union1d(hashes, EDGES[END_LABEL:])
-    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.nulls(len(hashes), pa.int64()), pa.nulls(len(hashes), pa.int64())], ["hash", "n", "trained"])
-    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([n]), pa.array([trained])], ["hash", "n", "trained"])
-
-
-ROW = "dest int, block long, shard int, one binary, two binary, three binary"
+ROW = "dest int, block long, shard int, one binary, two binary, three binary, tokens long, words long"
 
 
 def as_table(rows: list[tuple]) -> pa.Table:
-    kinds = {"dest": pa.int32(), "block": pa.int64(), "shard": pa.int32(), "one": pa.binary(), "two": pa.binary(), "three": pa.binary()}
+    kinds = {"dest": pa.int32(), "block": pa.int64(), "shard": pa.int32(), "one": pa.binary(), "two": pa.binary(), "three": pa.binary(), "tokens": pa.int64(), "words": pa.int64()}
     columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
     return pa.table({name: pa.array(list(c), kind) for (name, kind), c in zip(kinds.items(), columns, strict=True)})
 
@@ -295,7 +283,7 @@ def package(batch: pa.RecordBatch, block: Block) -> tuple:
         digest.update(repr(column).encode())
     for data in (block.sizes.tobytes(), labels.tobytes(), hashes):
         digest.update(data)
-    return 0, int.from_bytes(digest.digest(), "little", signed=True), -1, head, pack(labels), pack(block.hashes)
+    return 0, int.from_bytes(digest.digest(), "little", signed=True), -1, head, pack(labels), pack(block.hashes), 0, 0
 
 
 def packages(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -313,7 +301,7 @@ def ask(batches: Iterator[pa.RecordBatch], shards: int, bits: int, order: int, b
         sort = np.argsort(keys)
         keys, counts = keys[sort], counts[sort]
         edges = np.searchsorted(keys, edges_of(shards, bits))
-        rows = [(s, name, s, pack(np.diff(k, prepend=np.uint64(0))), pack(c), None) for s, (k, c) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)) if len(k)]
+        rows = [(s, name, s, pack(np.diff(k, prepend=np.uint64(0))), pack(c), None, 0, 0) for s, (k, c) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)) if len(k)]
         yield from as_table(rows).to_batches()
 
 
@@ -321,17 +309,19 @@ def edges_of(shards: int, bits: int) -> np.ndarray:
     return np.array([(s << bits) // shards for s in range(1, shards)], np.uint64)
 
 
-def answer(table: pa.Table) -> pa.Table:
-    """Of one range: the summed counts for each block in the order asked."""
+def answer(table: pa.Table, start_key: int) -> pa.Table:
+    """Of one range: the summed counts for each block in the order asked; the range's training tokens and different ones, once."""
     names, shard = table.column("block").to_pylist(), table.column("shard").to_pylist()
     asked = [np.cumsum(unpack(k.as_py(), np.uint64), dtype=np.uint64) for k in table.column("one")]
     given = np.concatenate([unpack(c.as_py(), np.uint64) for c in table.column("two")])
-    _, at = np.unique(np.concatenate(asked), return_inverse=True)
+    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
     # As two halves, float sums of whole numbers stay exact beyond 2**53.
     low, high = np.bincount(at, weights=given & np.uint64(0xFFFFFFFF)), np.bincount(at, weights=given >> np.uint64(32))
     sums = low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
+    own = sums[(keys & np.uint64(1) == 0) & (keys != np.uint64(start_key))]
     told = np.split(sums[at], np.cumsum([len(k) for k in asked])[:-1])
-    return as_table([(0, name, s, pack(t), None, None) for name, s, t in zip(names, shard, told, strict=True)])
+    counts = [(int(own.sum()), int((own > 0).sum()))] + [(0, 0)] * (len(told) - 1)
+    return as_table([(0, name, s, pack(t), None, None, *n) for name, s, t, n in zip(names, shard, told, counts, strict=True)])
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER, strength: float = STRENGTH, growth: float = GROWTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -344,9 +334,9 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER,
     text = F.coalesce(F.col("text"), F.lit(""))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == held
     rows = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"), held_out.alias("held_out"))
-    counted = rows.mapInArrow(tally, "hash long, n long, trained long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
-    tokens, total, distinct = (v or 0 for v in counted.agg(F.sum("n"), F.sum("trained"), F.count("hash")).first())
-    shards, bits = int(max(8, -(-tokens // RANGE_TOKENS))), int(min(64, max(1, tokens).bit_length() + SPARE))
+    volume = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    shards, bits = int(max(8, -(-volume // RANGE_BYTES))), int(min(64, volume.bit_length() + SPARE))
+    start_key = int(Block(np.zeros(1, np.int64), np.ones(1, np.int64), EDGES[:1], 1).keys(bits)[0])
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from ask(batches, shards, bits, order, block_bytes)
@@ -375,7 +365,8 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER,
         return pa.concat_tables([scored] * len(own))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    answered = rows.mapInArrow(asking, ROW).groupBy("dest").applyInArrow(answer, ROW)
+    answered = checkpointed(rows.mapInArrow(asking, ROW).groupBy("dest").applyInArrow(lambda table: answer(table, start_key), ROW))
+    total, distinct = (v or 0 for v in answered.agg(F.sum("tokens"), F.sum("words")).first())
     return answered.unionByName(rows.mapInArrow(packing, ROW)).groupBy("block").applyInArrow(
         scoring, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
