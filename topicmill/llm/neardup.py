@@ -36,7 +36,7 @@ SKETCH, LEAST = 80, 44
 #: Members of one value are dealt to so many tasks; from HEAVY pairs on, those of one class too.
 SALT, HEAVY = 8, 1000
 #: A round has so many times the partners of the one before.
-MORE = 4
+MORE = 8
 
 
 def sets_of(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -194,7 +194,7 @@ def components(docs: DataFrame, threshold: float = THRESHOLD, **fitting: int) ->
     found = roots(known)
     # Values of more than two members may hold pairs without the least one.
     rest = checkpointed(meet(spots, hubs.where("size > 2").drop("hub")))
-    begin, end = 0, 1
+    begin, end = 0, MORE
     while True:
         rooted = checkpointed(rest.join(found, F.col("code") == F.col("node"), "left").select("band", "value", "size", "code", "n", F.coalesce("root", "code").alias("root")))
         split = rooted.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
