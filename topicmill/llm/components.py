@@ -1,12 +1,19 @@
-"""Connected components of a link table, by alternating star contractions."""
+"""Connected components of a link table, by contraction in partitions and alternating stars between them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Links that a task holds at once while it contracts them.
+MOST = 1 << 20
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every node hangs its larger neighbours on the least node it sees."""
@@ -22,21 +29,55 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links (a, b) and the least node that each reaches by them, but for nodes that are the least themselves."""
+    nodes, ends = np.unique(np.r_[a, b], return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(least[a], least[b]), np.maximum(least[a], least[b])
+        if (low == high).all():
+            break
+        np.minimum.at(least, high, low)
+        while (least[least] != least).any():
+            least = least[least]
+    hung = least != np.arange(len(nodes))
+    return nodes[hung], nodes[least[hung]]
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """The links with those of each ``MOST`` of a task replaced by stars around the least nodes: the same components, no more links."""
+
+    def stars(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        own = forest(*(np.concatenate(ends) for ends in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(ends) for ends in own], ["a", "b"])
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
+            n += batch.num_rows
+            if n >= MOST:
+                yield stars(held)
+                held, n = [], 0
+        if held:
+            yield stars(held)
+
+    return links.mapInArrow(contract, "a long, b long")
+
+
 def roots(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``node`` and ``root``, the least node that it reaches, for every node of ``links`` (a, b) but the roots.
 
     Each round is one distributed pass over the links and ends in a checkpoint;
-    rounds grow with the logarithm of the longest path. Only two sums per round
-    reach the driver. No links, no rows.
+    rounds grow with the logarithm of the longest path. They end when all links
+    are stars, which one row at most tells the driver. No links, no rows.
     """
     ordered = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = checkpointed(ordered(links))
-    state = None
+    links = checkpointed(contracted(ordered(links)))
     for _ in range(rounds):
-        links = checkpointed(ordered(_small_star(ordered(_large_star(links)))))
-        row = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        now = (row[0], row[1])
-        if now == state:
+        ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(links.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+        if ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 OR (ups = 1 AND least = 0)").isEmpty():
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
+        links = checkpointed(contracted(ordered(_small_star(ordered(_large_star(links))))))
     raise RuntimeError(f"components did not settle in {rounds} rounds")

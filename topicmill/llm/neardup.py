@@ -36,7 +36,7 @@ SKETCH, LEAST = 80, 44
 #: Members of one value are dealt to so many tasks; from HEAVY pairs on, those of one class too.
 SALT, HEAVY = 8, 1000
 #: A round has so many times the partners of the one before.
-MORE = 8
+MORE = 32
 
 
 def sets_of(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -129,8 +129,9 @@ def paired(members: DataFrame, hubs: DataFrame, threshold: float) -> DataFrame:
     ``spread`` tells over how many tasks a hub's pairs are dealt later.
     """
     met = meet(members.drop("size"), hubs).where(F.col("code") != F.col("hub")["code"])
-    if "root" in members.columns:
-        met = met.where(F.col("root") != F.col("hub")["root"])
+    if "partner" in members.columns:
+        # Of two partners, the one of the lesser code is the hub.
+        met = met.where(F.col("root") != F.col("hub")["root"]).where(~F.col("partner") | (F.col("code") > F.col("hub")["code"]))
     near = F.least("n", F.col("hub")["n"]) >= threshold * F.greatest("n", F.col("hub")["n"]) - 1e-9
     return met.where(near).groupBy(F.col("hub")["code"].alias("a"), F.col("code").alias("b")).agg((F.max("size") / HEAVY).cast("int").alias("spread"))
 
@@ -190,8 +191,7 @@ def components(docs: DataFrame, threshold: float = THRESHOLD, **fitting: int) ->
     hubs = checkpointed(shared)
     first = paired(spots, hubs, threshold).union(simhash_pairs(some, **fitting)).groupBy("a", "b").agg(F.max("spread").alias("spread"))
     first = checkpointed(first.where("a <> b"))
-    known = checkpointed(verified(first, docs, classes, threshold))
-    found = roots(known)
+    found = roots(verified(first, docs, classes, threshold))
     # Values of more than two members may hold pairs without the least one.
     rest = checkpointed(meet(spots, hubs.where("size > 2").drop("hub")))
     begin, end = 0, MORE
@@ -202,12 +202,14 @@ def components(docs: DataFrame, threshold: float = THRESHOLD, **fitting: int) ->
         if rest.isEmpty():
             break
         turn = F.pmod(F.xxhash64("code", "band"), F.lit(1 << 40)) * F.col("size") / (1 << 40)
-        partners = rest.where((turn >= begin) & (turn < end)).select("band", "value", "size", F.struct("code", "n", "root").alias("hub"))
-        more = checkpointed(paired(rest, partners, threshold).join(first, ["a", "b"], "left_anti"))
+        members = rest.withColumn("partner", (turn >= begin) & (turn < end))
+        partners = members.where("partner").select("band", "value", "size", F.struct("code", "n", "root").alias("hub"))
+        more = checkpointed(paired(members, partners, threshold).join(first, ["a", "b"], "left_anti"))
         rest = rest.drop("root")
-        if not more.isEmpty():
-            known = checkpointed(known.union(verified(more, docs, classes, threshold)))
-            found = roots(known)
+        new = checkpointed(verified(more, docs, classes, threshold))
+        if not new.isEmpty():
+            # A component is a star by now: new links join stars.
+            found = roots(found.toDF("a", "b").union(new))
         begin, end = end, end * MORE
     rooted = checkpointed(classes.join(found, classes["code"] == found["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root")))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
