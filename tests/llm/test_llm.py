@@ -339,6 +339,26 @@ def test_components_of_long_chains(spark):
     assert components.roots(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_roots_over_many_tasks(spark):
+    """Links of one component in different tasks need several rounds: a chain, a star and random links, repeated and reversed."""
+    rng = np.random.default_rng(5)
+    chain = [(int(a), int(b)) for a, b in zip(*(lambda p: (p[:-1], p[1:]))(rng.permutation(300)), strict=True)]
+    star = [(1000, 1000 + k) for k in range(1, 200)]
+    loose = [(int(a), int(b)) for a, b in rng.integers(-900, -1, (300, 2)) if a != b]
+    pairs = chain + star + loose + [(b, a) for a, b in loose]
+    nodes = sorted({n for pair in pairs for n in pair})
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        got = {r["node"]: r["root"] for r in components.roots(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    finally:
+        spark.conf.set(setting, before)
+    assert {n: got.get(n, n) for n in nodes} == union(nodes, pairs)
+    alone = components.forest(*(np.array(ends) for ends in zip(*pairs, strict=True)))
+    assert dict(zip(*(ends.tolist() for ends in alone), strict=True)) == got
+
+
 def test_near_duplicates(spark, odd, nothing):
     got = simhash.components(odd).collect()
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] in (2, 3, 4)} == {2}
