@@ -61,22 +61,26 @@ def kmeans_groups(points: DataFrame, keys: list[str], ks: list[int], seed: int =
     """
     set_up_checkpoints(points.sparkSession)
     own = metrics.as_double(points).persist()
-    starts = first_centers(own, keys, max(ks), seed)
-    small = starts.where(F.col("n") < max(ks)).select(*keys).limit(1).collect()
-    if small:
-        raise ValueError(f"k = {max(ks)} exceeds the points of group {small[0].asDict()}")
-    centers = starts.select(*keys, F.explode(F.array(*map(F.lit, ks))).alias("k"), "centers").withColumn("centers", F.slice("centers", F.lit(1), F.col("k"))).checkpoint()
-    groups = [*keys, "k"]
-    for _ in range(max_iter):
-        moved = assign(own, centers, keys).groupBy(*groups, "label").agg(mean_vector(F.col("embedding")).alias("new"))
-        flat = centers.select(*groups, F.inline("centers")).join(moved, [*groups, "label"], "left").select(*groups, "label", "centroid", F.coalesce("new", "centroid").alias("new"))
-        step = flat.groupBy(*groups).agg(
-            F.array_sort(F.collect_list(F.struct("label", F.col("new").alias("centroid")))).alias("centers"), F.sum(distance2(F.col("new"), F.col("centroid"))).alias("shift")
-        ).checkpoint()
-        centers = step.drop("shift")
-        if (step.agg(F.max("shift")).first()[0] or 0.0) <= tol:
-            break
-    return assign(own, centers, keys)
+    try:
+        starts = first_centers(own, keys, max(ks), seed)
+        small = starts.where(F.col("n") < max(ks)).select(*keys).limit(1).collect()
+        if small:
+            raise ValueError(f"k = {max(ks)} exceeds the points of group {small[0].asDict()}")
+        centers = starts.select(*keys, F.explode(F.array(*map(F.lit, ks))).alias("k"), "centers").withColumn("centers", F.slice("centers", F.lit(1), F.col("k"))).checkpoint()
+        groups = [*keys, "k"]
+        for _ in range(max_iter):
+            moved = assign(own, centers, keys).groupBy(*groups, "label").agg(mean_vector(F.col("embedding")).alias("new"))
+            flat = centers.select(*groups, F.inline("centers")).join(moved, [*groups, "label"], "left").select(*groups, "label", "centroid", F.coalesce("new", "centroid").alias("new"))
+            step = flat.groupBy(*groups).agg(
+                F.array_sort(F.collect_list(F.struct("label", F.col("new").alias("centroid")))).alias("centers"), F.sum(distance2(F.col("new"), F.col("centroid"))).alias("shift")
+            ).checkpoint()
+            centers = step.drop("shift")
+            if (step.agg(F.max("shift")).first()[0] or 0.0) <= tol:
+                break
+        # Written once: its metrics and members are read from there several times.
+        return assign(own, centers, keys).checkpoint()
+    finally:
+        own.unpersist()
 
 
 def spark_kmeans(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
