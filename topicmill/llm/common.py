@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -72,3 +73,11 @@ def if_few(rows: DataFrame, most: int = 1 << 18) -> DataFrame:
     Beyond that they get no hint, and Spark shuffles both sides.
     """
     return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared checkpoint folder and read again: columns can be read one by one."""
+    set_up_checkpoints(df.sparkSession)
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

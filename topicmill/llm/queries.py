@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import chat, leaks, licenses, ngrams, pieces, pii, quality, sharding, simhash, urls
+from . import chat, leaks, lexical, licenses, ngrams, pieces, pii, quality, sharding, simhash, spelling, topk, urls
 from .oracles import ORACLES
 
 
@@ -67,4 +67,16 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pii, op3_sharding, op4_sentencepiece, op5_url_filter, op6_decontamination, op7_simhash_neardup, op8_ngram_score, op9_quality_rules, op10_chat_format)}
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
+
+
+def op12_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pii, op3_sharding, op4_sentencepiece, op5_url_filter, op6_decontamination, op7_simhash_neardup, op8_ngram_score, op9_quality_rules, op10_chat_format, op11_lexical_search, op12_exact_top_k, op13_spelling_variants)}
