@@ -100,7 +100,7 @@ def test_search_stops_creating_accumulators(spark, monkeypatch):
     """With ten good copies of an item, documents of common terms alone get no accumulator."""
     docs = [(i, "rare1 rare2 rare3 rare4 the of and to") for i in range(10)] + [(100 + i, "the of and to in by") for i in range(300)]
     seen = []
-    keep = lexical.checkpointed
+    keep = lexical.stored
 
     def spy(df):
         out = keep(df)
@@ -108,7 +108,7 @@ def test_search_stops_creating_accumulators(spark, monkeypatch):
             seen.append(out.count())
         return out
 
-    monkeypatch.setattr(lexical, "checkpointed", spy)
+    monkeypatch.setattr(lexical, "stored", spy)
     found = lexical.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, docs[0][1])], "item_id long, text string"))
     assert [r.doc_id for r in found.orderBy("rank").collect()] == list(range(10))
     assert seen and max(seen) == 10

@@ -4,7 +4,8 @@ The terms of an item are taken rarest first. An accumulator is the partial score
 of a document that holds one of the terms taken so far. Once the greatest scores
 that the remaining terms can give add up to less than the k-th partial score, no
 other document can still be among the best k: from then on no accumulator is
-created, and those left are only updated, exactly.
+created, and those left are only updated, exactly. The partial scores of the k
+leaders are completed after each round, which raises the k-th and stops earlier.
 
 All items advance together. A round takes the next terms of each open item,
 twice as many as the round before, so the rounds grow with the logarithm of an
@@ -15,7 +16,7 @@ rounds read without its text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,7 +148,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, first: int = 4) -> Da
     weighed = asked.join(terms, "term").join(stats, "number").select("item", "number", "df", (F.col("times") * w).alias("w"), "most").where("w > 0")
     turn = Window.partitionBy("item").orderBy("df", "number")
     left = F.sum(F.col("w") * F.col("most")).over(turn.rowsBetween(1, Window.unboundedFollowing))
-    plan = checkpointed(weighed.select("item", "number", "w", (F.row_number().over(turn) - 1).alias("place"), F.coalesce(left, F.lit(0)).alias("rest")))
+    plan = weighed.select("item", "number", "w", (F.row_number().over(turn) - 1).alias("place"), F.coalesce(left, F.lit(0)).alias("rest"), (F.col("w") * F.col("most")).alias("own"))
+    plan = checkpointed(plan.withColumn("before", F.col("rest") + F.col("own")).drop("own"))
 
     found = checkpointed(_accumulated(held, postings, plan, k, first))
     few = if_few(checkpointed(found.select("row").distinct()))
@@ -162,35 +164,45 @@ def _top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("at", F.row_number().over(Window.partitionBy("item").orderBy(*order))).where(F.col("at") <= k)
 
 
-def _accumulated(held: DataFrame, postings, plan: DataFrame, k: int, first: int) -> DataFrame:
+def _accumulated(held: DataFrame, postings: Callable, plan: DataFrame, k: int, first: int) -> DataFrame:
     """``item``, ``row`` and whole ``score`` of all documents that may be among the ``k`` best of an item."""
-    items = checkpointed(plan.groupBy("item").agg(F.max("place").alias("last")))
-    survivors = None
-    scores = None
+
+    def updated(scores: DataFrame) -> DataFrame:
+        """``scores`` (item, row, score, place) with all that terms from ``place`` on give."""
+        rows = if_few(checkpointed(scores.select("row").distinct()))
+        own = scores.select("item", "row", "place").join(held.join(rows, "row", "left_semi"), "row")
+        more = postings(own, "item", "place").join(if_few(plan.select("item", "number", "w", F.col("place").alias("turn"))), ["item", "number"]).where(F.col("turn") >= F.col("place"))
+        both = scores.select("item", "row", "score").union(more.select("item", "row", (F.col("w") * F.col("gain")).alias("score")))
+        return both.groupBy("item", "row").agg(F.sum("score").alias("score"))
+
+    # Terms before ``stop`` create accumulators; a document without any of them cannot reach ``kth``.
+    items = checkpointed(plan.groupBy("item").agg((F.max("place") + 1).alias("stop")).withColumn("kth", F.lit(0).cast("long")))
+    survivors, scores = None, None
     begin, end = 0, first
     while not items.isEmpty():
-        now = plan.join(if_few(items), "item", "left_semi").where(F.col("place").between(begin, end - 1))
-        met = postings(held).join(if_few(checkpointed(now.select("item", "number", "w"))), "number")
-        new = met.groupBy("item", "row").agg(F.sum(F.col("w") * F.col("gain")).alias("score"))
-        if scores is not None:
-            new = new.union(scores.select("item", "row", "score")).groupBy("item", "row").agg(F.sum("score").alias("score"))
-        scores = checkpointed(new)
-        kth = _top(scores, k, F.desc("score")).groupBy("item").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
-        rests = plan.where(F.col("place") == end - 1).select("item", "rest")
-        state = items.join(rests, "item", "left").join(kth, "item", "left").select("item", "last", F.coalesce("rest", F.lit(0)).alias("rest"), F.coalesce("kth", F.lit(0)).alias("kth"))
-        state = checkpointed(state.withColumn("closed", (F.col("rest") < F.col("kth")) | (F.col("last") < end)))
+        now = plan.join(if_few(items), "item").where((F.col("place") >= begin) & (F.col("place") < F.least(F.lit(end), "stop")))
+        new = postings(held).join(if_few(checkpointed(now.select("item", "number", "w"))), "number").select("item", "row", (F.col("w") * F.col("gain")).alias("score"))
+        new = new if scores is None else new.union(scores.select("item", "row", "score"))
+        rests = if_few(checkpointed(now.where(F.col("place") == F.least(F.lit(end), "stop") - 1).select("item", "kth", "rest")))
+        able = new.groupBy("item", "row").agg(F.sum("score").alias("score")).join(rests, "item").where(F.col("score") + F.col("rest") >= F.col("kth"))
+        scores = stored(able.select("item", "row", "score"))
+        # The leaders' scores are completed at once: all of them end at the least of these or above.
+        placed = items.select("item", F.least(F.lit(end), "stop").alias("place"))
+        leaders = checkpointed(_top(scores, k, F.desc("score")).select("item", "row", "score").join(if_few(placed), "item"))
+        least = updated(leaders).groupBy("item").agg(F.when(F.count("*") == k, F.min("score")).alias("now"))
+        kth = items.join(least, "item", "left").select("item", "stop", F.greatest("kth", F.coalesce("now", F.lit(0))).alias("kth"))
+        stops = plan.join(if_few(checkpointed(kth)), "item").groupBy("item", "kth", "stop").agg(
+            F.coalesce(F.min(F.when(F.col("before") < F.col("kth"), F.col("place"))), "stop").alias("next"),
+            F.coalesce(F.max(F.when(F.col("place") == F.least(F.lit(end), "stop") - 1, F.col("rest"))), F.lit(0)).alias("rest"),
+        )
+        state = checkpointed(stops.select("item", "kth", "rest", F.least(F.lit(end), "stop").alias("place"), F.least("next", "stop").alias("stop")))
         # Whoever cannot reach the k-th score with all that is left goes.
         able = scores.join(if_few(state), "item").where(F.col("score") + F.col("rest") >= F.col("kth"))
-        over = checkpointed(able.where("closed").select("item", "row", "score", F.lit(end).alias("place")))
+        over = stored(able.where("stop <= place").select("item", "row", "score", "place"))
         survivors = over if survivors is None else survivors.union(over)
-        scores = able.where("NOT closed").select("item", "row", "score")
-        items = checkpointed(state.where("NOT closed").select("item", "last"))
+        scores = able.where("stop > place")
+        items = checkpointed(state.where("stop > place").select("item", "stop", "kth"))
         begin, end = end, 2 * end
     if survivors is None:
         return held.select(F.lit(0).cast("long").alias("item"), "row", F.lit(0).cast("long").alias("score")).limit(0)
-    # The terms that are left, for the survivors alone.
-    wanted = if_few(checkpointed(survivors.select("row").distinct()))
-    rest = postings(held.join(wanted, "row", "left_semi")).join(if_few(plan), "number")
-    more = rest.join(survivors.select("item", "row", F.col("place").alias("from")), ["item", "row"]).where(F.col("place") >= F.col("from"))
-    updates = more.select("item", "row", (F.col("w") * F.col("gain")).alias("score"))
-    return survivors.select("item", "row", "score").union(updates).groupBy("item", "row").agg(F.sum("score").alias("score"))
+    return updated(survivors)
