@@ -7,28 +7,15 @@ move between steps; they are checkpointed, so a lost executor costs one step.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance2, mean_vector
 from . import metrics
+from .durable import set_up_checkpoints
 from .ranking import first_of
 
 
-def set_up_checkpoints(spark: SparkSession) -> None:
-    """Use the session's checkpoint folder; only a session within one process gets one of its own where there is none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="topicmill-")
-        context.setCheckpointDir(folder)
-
-
 def nearest(embedding: Column, centers: Column) -> Column:
     """Struct (d, label) of the nearest of ``centers`` (structs of label and centroid); ties to the least label."""
     return F.array_min(F.transform(centers, lambda c: F.struct(distance2(embedding, c["centroid"]).alias("d"), c["label"].alias("label"))))

@@ -190,6 +190,9 @@ b AS (SELECT month_key, label, count(*) AS n, chr(10) || repeat('-', 90) || chr(
 SELECT month_key, chr(10) || repeat('=', 90) || chr(10) || 'Best clustering' || chr(10) || string_agg(block, '' ORDER BY n DESC, label) AS report FROM b GROUP BY month_key"""
 ORACLES["month_text"] = f"""WITH {PAPERS}, r AS (SELECT month_key, month_key || ' total ' || count(*) || ' papers:' || chr(10) || string_agg('   title: ' || title || chr(10) || '   summary: ' || summary || chr(10) || '   id: ' || paper_id || chr(10) || '   ai_summary: N/A' || chr(10) || chr(10), '' ORDER BY doc_id) AS report FROM papers GROUP BY month_key)
 SELECT month_key, sha256(report) AS sha256, length(report)::BIGINT AS n_chars FROM r"""
+_MONTH_TEXT = ORACLES["month_text"].replace("SELECT month_key, sha256(report) AS sha256, length(report)::BIGINT AS n_chars FROM r", "SELECT month_key, report FROM r")
+_SPLIT = "SELECT month_key, unnest(range(0, len(l) - 1)) AS n, unnest(l[1:len(l) - 1]) AS line FROM (SELECT month_key, string_split(report, chr(10)) AS l FROM ({}))"
+ORACLES["report_lines"], ORACLES["month_lines"] = _SPLIT.format(ORACLES["text_report"]), _SPLIT.format(_MONTH_TEXT)
 ORACLES["prompt_render"] = f"""WITH {PAPERS}, p AS (SELECT doc_id, 'Sum up ' || title || ' for ' || lang || '.' AS prompt FROM papers)
 SELECT doc_id, prompt, sha256(prompt)[1:16] AS digest, greatest(1, length(prompt) // 4)::BIGINT + 512 AS tokens FROM p"""
 ORACLES["run_id"] = f"WITH {PAPERS} SELECT doc_id, substring(month_key, 7) || '__p0__enrich__org_' || lang || '__t0_2__' || sha256(title)[1:8] AS run_id FROM papers"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import clustering, judging, packing
 from ..operators.ranking import member_rank, top_n
-from ..sources.sinks import text_report
+from ..sources.sinks import report_lines, text_report
 
 
 def hashed_vectors(texts: DataFrame, column: str = "text", dims: int = 256) -> DataFrame:
@@ -34,7 +34,7 @@ def encode_papers(papers: DataFrame, modes: list[str], top_n: int = 10, encoder=
 
 
 def run_monthly(papers: DataFrame, period: str = "month_key", modes=("B", "C"), ks=(4, 5), encoder=hashed_vectors, **settings) -> dict[str, DataFrame]:
-    """Scores of all candidates, the best of each period, its ranked members, text reports and payloads.
+    """Scores of all candidates, the best of each period, its ranked members, text reports (as lines, too) and payloads.
 
     ``papers``: the period, ``paper_id``, ``title``, ``summary``, ``keywords``, ``url``, ``published_at``.
     """
@@ -43,7 +43,7 @@ def run_monthly(papers: DataFrame, period: str = "month_key", modes=("B", "C"),
     best = clustering.best_config(scores, [period], "mode", "k")
     keys = [period, "mode", "k"]
     members = member_rank(clustering.best_clustering(labelled, best, keys), [*keys, "label"])
-    return {"scores": scores, "best": best, "members": members, "reports": text_report(members, keys), "payloads": packing.payload(members, keys)}
+    return {"scores": scores, "best": best, "members": members, "reports": text_report(members, keys), "report_lines": report_lines(members, keys), "payloads": packing.payload(members, keys)}
 
 
 def prompts(packed: DataFrame, template: str, expected_output: int = 512) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import doubles
-from ..operators import clustering, judging, memory, metrics, packing, ranking
+from ..operators import clustering, durable, judging, memory, metrics, packing, ranking
 from ..sources import sinks, table
 from . import pipelines, reports, topics
 
@@ -351,7 +351,7 @@ def _known_payloads(spark, folder):
     """Payloads whose members are all among their papers."""
     ids = F.transform("papers", lambda p: p["paper_id"])
     keep = lambda c: F.struct(*[F.filter(c["members"], lambda m: F.array_contains(ids, m["paper_id"])).alias("members") if f == "members" else c[f].alias(f) for f in ("cluster_index", "size", "centroid", "cohesion", "members")])
-    clustering.set_up_checkpoints(spark)
+    durable.set_up_checkpoints(spark)
     # read many times by an ingest
     return payloads(spark, folder).withColumn("clusters", F.transform("clusters", keep)).checkpoint()
 
@@ -444,9 +444,25 @@ def text_report(spark, folder):
     return sinks.text_report(members, ["month_key"], "Best clustering")
 
 
+@query
+def report_lines(spark, folder):
+    members = _ranked(spark, folder).withColumnRenamed("paper_id", "doc_id").join(papers(spark, folder), "doc_id").withColumn("url", F.lit(""))
+    lines = sinks.report_lines(members, ["month_key"], "Best clustering")
+    return ranking.full_ranks(lines, ["month_key"], ["place"], "n").select("month_key", "n", "line")
+
+
+def _month_papers(spark, folder):
+    return papers(spark, folder).select("month_key", F.col("doc_id").alias("pos"), F.col("paper_id").alias("id"), "title", "summary", F.lit(None).cast("string").alias("ai_summary"))
+
+
+@query
+def month_lines(spark, folder):
+    return ranking.full_ranks(sinks.month_lines(_month_papers(spark, folder)), ["month_key"], ["place"], "n").select("month_key", "n", "line")
+
+
 @query
 def month_text(spark, folder):
-    own = papers(spark, folder).select("month_key", F.col("doc_id").alias("pos"), F.col("paper_id").alias("id"), "title", "summary", F.lit(None).cast("string").alias("ai_summary"))
+    own = _month_papers(spark, folder)
     return sinks.month_text(own).select("month_key", F.sha2(F.col("report").cast("binary"), 256).alias("sha256"), F.length("report").cast("bigint").alias("n_chars"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords_normal
 from ..functions.vectors import dot
-from ..operators.ranking import first_of, top_n
+from ..operators.ranking import first_of, full_ranks, top_n
 
 
 def match_topics(clusters: DataFrame, topics: DataFrame, threshold: float) -> DataFrame:
@@ -29,10 +29,10 @@ def match_topics(clusters: DataFrame, topics: DataFrame, threshold: float) -> Da
     )
 
 
-def novelty(members: DataFrame, keys: list[str]) -> DataFrame:
+def novelty(members: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
     """Distance to the own centroid, and its rank, the farthest first."""
-    w = Window.partitionBy(*keys, "label").orderBy("sim", "paper_id")
-    return members.withColumn("novelty", 1 - F.col("sim")).withColumn("novelty_rank", (F.row_number().over(w) - 1).cast("bigint"))
+    far = members.withColumn("novelty", 1 - F.col("sim"))
+    return full_ranks(far, [*keys, "label"], ["sim", "paper_id"], "novelty_rank", parts)
 
 
 def period_sizes(members: DataFrame, period: str) -> DataFrame:

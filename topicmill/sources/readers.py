@@ -65,6 +65,14 @@ def cluster_lists(texts: DataFrame, body: str = "body") -> DataFrame:
     return texts.select(*rest, F.posexplode(checked).alias("pos", "cluster"))
 
 
+def text_lines(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Lines that ``sinks.write_lines`` wrote: keys, ``place`` (orders the lines of a period) and ``line``."""
+    schema = ", ".join(["value string", *[f"`{c}` string" for c in keys]])
+    rows = spark.read.schema(schema).option("lineSep", "\n").text(path)
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return rows.select(*keys, place.alias("place"), F.col("value").alias("line"))
+
+
 def memory_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A memory table; empty if it was never written."""
     schema, _ = TABLES[name]

@@ -12,33 +12,81 @@ def write_payloads(payloads: DataFrame, path: str) -> None:
     payloads.withColumn("period", F.col("period_start")).write.mode("overwrite").partitionBy("period").json(path)
 
 
-def text_report(members: DataFrame, keys: list[str], header: str = "", max_chars: int = 350) -> DataFrame:
-    """One text a period: clusters by size, members by rank, summaries cut.
+def _lines(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each line of ``piece``s, which end in a line break: keys, ``place`` (with the line's number in it) and ``line``."""
+    split = pieces.select(*keys, "place", F.posexplode(F.split(F.expr("substring(piece, 1, length(piece) - 1)"), "\n")).alias("_no", "line"))
+    return split.select(*keys, F.struct("place.*", F.col("_no").alias("no")).alias("place"), "line")
+
+
+def report_lines(members: DataFrame, keys: list[str], header: str = "", max_chars: int = 350) -> DataFrame:
+    """The lines of a text for each period: clusters by size, members by rank, summaries cut.
 
     ``members``: keys, ``label``, ``rank_in_cluster``, ``paper_id``, ``title``, ``summary``, ``url``.
+    A row holds one line, and ``place`` orders the lines of a period, so a period may be of any size.
+    A null label, id or title reads as ''; no members, no lines.
     """
     short = truncate(F.col("summary"), max_chars)
-    line = F.concat(
-        F.lit("\n["), F.col("paper_id").cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"),
+    paper = F.concat(
+        F.lit("\n["), F.coalesce(F.col("paper_id").cast("string"), F.lit("")), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"),
         F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("URL: "), F.col("url"), F.lit("\n"))).otherwise(F.lit("")),
         F.when(short != "", F.concat(F.lit("Summary: "), short, F.lit("\n"))).otherwise(F.lit("")),
     )
-    in_order = lambda c, field: F.transform(F.array_sort(c), lambda x: x[field])
-    clusters = members.groupBy(*keys, "label").agg(F.collect_list(F.struct("rank_in_cluster", line.alias("line"))).alias("lines"))
+    sizes = members.groupBy(*keys, "label").agg(F.count("*").alias("_size"))
+    none = lambda kind: F.lit(None).cast(kind)
+    kind = {c: members.schema[c].dataType for c in ("label", "rank_in_cluster")}
+    place = lambda size, label, rank, tie: F.struct(size.alias("size"), label.alias("label"), rank.alias("rank"), tie.alias("tie")).alias("place")
     bar = F.lit("\n" + "-" * 90 + "\nCluster ")
-    block = F.concat(bar, F.col("label").cast("string"), F.lit(" | size="), F.size("lines").cast("string"), F.lit("\n"), F.array_join(in_order(F.col("lines"), "line"), ""))
-    blocks = clusters.select(*keys, F.struct((-F.size("lines")).alias("order"), "label", block.alias("block")).alias("b"))
-    top = F.lit("\n" + "=" * 90 + "\n" + header + "\n" if header else "")
-    return blocks.groupBy(*keys).agg(F.concat(top, F.array_join(in_order(F.collect_list("b"), "block"), "")).alias("report"))
+    heads = sizes.select(*keys, place(-F.col("_size"), F.col("label"), none(kind["rank_in_cluster"]), none("string")), F.concat(bar, F.coalesce(F.col("label").cast("string"), F.lit("")), F.lit(" | size="), F.col("_size").cast("string"), F.lit("\n")).alias("piece"))
+    on = [*keys, "label"]
+    counted = sizes.select(*[F.col(c).alias(f"_key{k}") for k, c in enumerate(on)], "_size")
+    same = [F.col(c).eqNullSafe(F.col(f"_key{k}")) for k, c in enumerate(on)]
+    papers = members.join(counted, same).select(*keys, place(-F.col("_size"), F.col("label"), F.col("rank_in_cluster"), F.col("paper_id").cast("string")), paper.alias("piece"))
+    pieces = heads.union(papers)
+    if header:
+        title = F.lit("\n" + "=" * 90 + "\n" + header + "\n").alias("piece")
+        pieces = pieces.union(sizes.select(*keys).distinct().select(*keys, place(none("long"), none(kind["label"]), none(kind["rank_in_cluster"]), none("string")), title))
+    return _lines(pieces, keys)
+
+
+def month_lines(papers: DataFrame) -> DataFrame:
+    """The lines of a text for each month, as ``report_lines``; fields that are missing read N/A.
+
+    ``papers``: ``month_key``, ``pos``, ``id``, ``title``, ``summary``, ``ai_summary``.
+    """
+    part = lambda name: F.concat(F.lit(f"   {name}: "), F.coalesce(F.col(name).cast("string"), F.lit("N/A")), F.lit("\n"))
+    body = F.concat(*[part(n) for n in ("title", "summary", "id", "ai_summary")], F.lit("\n"))
+    items = papers.select("month_key", F.struct(F.col("pos").cast("long").alias("pos")).alias("place"), body.alias("piece"))
+    totals = papers.groupBy("month_key").agg(F.count("*").alias("n"))
+    heads = totals.select("month_key", F.struct(F.lit(None).cast("long").alias("pos")).alias("place"), F.concat(F.coalesce("month_key", F.lit("")), F.lit(" total "), F.col("n").cast("string"), F.lit(" papers:\n")).alias("piece"))
+    return _lines(items.union(heads), ["month_key"])
+
+
+def joined(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """One ``report`` a period, for periods that one row can hold; ``write_lines`` has no such limit."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
+    return lines.groupBy(*keys).agg(F.concat(F.array_join(in_order, "\n"), F.lit("\n")).alias("report"))
+
+
+def text_report(members: DataFrame, keys: list[str], header: str = "", max_chars: int = 350) -> DataFrame:
+    """``report_lines`` as one text a period, for periods that one row can hold."""
+    return joined(report_lines(members, keys, header, max_chars), keys)
 
 
 def month_text(papers: DataFrame) -> DataFrame:
-    """One text a month; fields that are missing read N/A. ``papers``: ``month_key``, ``pos``, ``id``, ``title``, ``summary``, ``ai_summary``."""
-    part = lambda name: F.concat(F.lit(f"   {name}: "), F.coalesce(F.col(name).cast("string"), F.lit("N/A")), F.lit("\n"))
-    body = F.concat(*[part(n) for n in ("title", "summary", "id", "ai_summary")], F.lit("\n"))
-    rows = papers.groupBy("month_key").agg(F.array_sort(F.collect_list(F.struct("pos", body.alias("body")))).alias("items"))
-    head = F.concat("month_key", F.lit(" total "), F.size("items").cast("string"), F.lit(" papers:\n"))
-    return rows.select("month_key", F.concat(head, F.array_join(F.transform("items", lambda x: x["body"]), "")).alias("report"))
+    """``month_lines`` as one text a month, for months that one row can hold."""
+    return joined(month_lines(papers), ["month_key"])
+
+
+def write_lines(lines: DataFrame, path: str, keys: list[str], parts: int | None = None, lines_per_file: int = 1_000_000) -> None:
+    """Write ordered lines as text files: a folder for each period, in it files whose names sort as their lines do.
+
+    Ranges of (keys, place) go to one task each, so a long period is written by
+    many tasks, in files of ``lines_per_file`` at most. A null key is written as ''.
+    """
+    named = lines.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in keys], "place", "line")
+    ranged = named.repartitionByRange(*([parts] if parts else []), *keys, "place").sortWithinPartitions(*keys, "place")
+    writer = ranged.drop("place").write.mode("overwrite").partitionBy(*keys)
+    writer.option("maxRecordsPerFile", lines_per_file).option("lineSep", "\n").text(path)
 
 
 def write_texts(reports: DataFrame, path: str, column: str = "report", order: list[str] | None = None) -> None:
