@@ -79,3 +79,118 @@ def test_lines_of_odd_members(spark, tmp_path):
     read = readers.text_lines(spark, str(tmp_path / "odd"), ["month"])
     assert read.count() == lines.count() == 24 and lines.where("month IS NULL").count() == 5
     assert sinks.report_lines(members.limit(0), ["month"], "h").count() == 0 and sinks.month_lines(spark.createDataFrame([], "month_key string, pos int, id string, title string, summary string, ai_summary string")).count() == 0
+
+
+# --- flat payloads ----------------------------------------------------------------------------
+
+
+def nested_and_flat(spark, tmp_path):
+    from tests.test_operators import load, payload
+    from topicmill.operators import memory
+
+    nested = load(spark, tmp_path, payload(), payload("k5", ("p2",)) | {"role": "other"})
+    return nested, memory.flatten(nested)
+
+
+def test_typed_rows_round_trip(spark, tmp_path):
+    from topicmill.operators import packing
+
+    _, flat = nested_and_flat(spark, tmp_path)
+    sinks.write_payload_rows(packing.typed_rows(flat).repartition(5), str(tmp_path / "rows"))
+    back = packing.flat_of(readers.payload_rows(spark, str(tmp_path / "rows")))
+    for kind in flat:
+        own = flat[kind].select(back[kind].columns)
+        assert sorted(map(str, own.collect())) == sorted(map(str, back[kind].collect())), kind
+    with pytest.raises(Exception, match="unknown kind"):
+        packing.flat_of(spark.createDataFrame([("x", "y")], "kind string, payload_id string").select("*", *[F.lit(None).cast("struct<a:int>").alias(k) for k in flat]))["papers"].collect()
+
+
+def test_flat_payloads_ingest_like_nested_ones(spark, tmp_path):
+    from topicmill.operators import memory
+    from topicmill.sources.schemas import TABLES
+
+    nested, flat = nested_and_flat(spark, tmp_path)
+    empty = {n: spark.createDataFrame([], s) for n, (s, _) in TABLES.items()}
+    at = F.lit("2025-03-01 00:00:00").cast("timestamp")
+    one, other = memory.ingest(empty, nested, at), memory.ingest(empty, flat, at)
+    again = memory.ingest(other, flat, at)
+    for name in TABLES:
+        assert sorted(map(str, one[name].collect())) == sorted(map(str, other[name].collect())) == sorted(map(str, again[name].collect())), name
+    stray = flat | {"members": flat["members"].union(flat["members"].limit(1).withColumn("cluster_index", F.lit(77).cast("bigint")))}
+    with pytest.raises(ValueError, match="member without cluster"):
+        memory.ingest(empty, stray)
+
+
+def test_a_monthly_run_is_ingested(spark):
+    from topicmill.operators import memory
+    from topicmill.plans import pipelines
+    from topicmill.sources.schemas import TABLES
+
+    rows = [(f"month=2025-0{1 + i % 2}", f"p{i}", f"T{i}.", "graph node edge" if i % 3 else "image pixel colour", ["graph"] if i % 3 else ["image"], "", "") for i in range(16)]
+    papers = spark.createDataFrame(rows, "month_key string, paper_id string, title string, summary string, keywords array<string>, url string, published_at string")
+    found = pipelines.run_monthly(papers, modes=("B",), ks=(2,), max_iter=5)
+    tables = memory.ingest({n: spark.createDataFrame([], s) for n, (s, _) in TABLES.items()}, pipelines.monthly_payload(found["members"]))
+    assert {n: tables[n].count() for n in ("embed_config", "cluster_config", "source_snapshot", "paper", "cluster_run", "cluster", "cluster_member")} == {
+        "embed_config": 1, "cluster_config": 1, "source_snapshot": 2, "paper": 16, "cluster_run": 2, "cluster": 4, "cluster_member": 16
+    }
+    assert tables["cluster_config"].first()["json_payload"] == json.dumps({"k": 2}, separators=(",", ":"))
+    assert sorted(r.period_end for r in tables["source_snapshot"].collect()) == ["2025-01-31", "2025-02-28"]
+    assert tables["cluster"].agg(F.sum("size")).first()[0] == 16 and tables["cluster_member"].agg(F.min("rank_in_cluster")).first()[0] == 0
+
+
+# --- k-means ----------------------------------------------------------------------------------
+
+
+def brute_kmeans(rows, ks, hashes, uniforms, max_iter=300, together=4, tol=1e-4):
+    """Labels of one group by (k, id): ``rows`` are (id, vector); ``hashes`` and ``uniforms`` by turn are those of the ids."""
+    from topicmill.operators.clustering import weighted_centers
+
+    ids, x = [r[0] for r in rows], np.array([r[1] for r in rows], float)
+    apart = lambda c: np.square(x[:, None] - np.asarray(c)[None]).sum(axis=2)
+    found = [x[min(range(len(ids)), key=lambda i: (hashes[ids[i]], ids[i]))]]
+    for turn in range(3):
+        d = apart(found).min(axis=1)
+        keys = sorted((-np.log(uniforms[turn][ids[i]]) / d[i], ids[i], i) for i in range(len(ids)) if d[i] > 0)
+        found += [x[i] for _, _, i in keys[: 2 * max(ks)]]
+    found = np.array(found)
+    weights = np.bincount(apart(found).argmin(axis=1), minlength=len(found)).astype(float)
+    out = {}
+    for k in ks:
+        centers = weighted_centers(found, weights, k)
+        for done in range(max_iter):
+            label = apart(centers).argmin(axis=1)
+            new = np.array([x[label == j].mean(axis=0) if (label == j).any() else centers[j] for j in range(k)])
+            shift, centers = np.square(new - centers).sum(), new
+            if (done + 1) % together == 0 and shift <= tol:
+                break
+        label = apart(centers).argmin(axis=1)
+        out |= {(k, i): int(j) for i, j in zip(ids, label, strict=True)}
+    return out
+
+
+def test_kmeans_equals_numpy(spark):
+    from topicmill.operators import clustering
+
+    rng = np.random.default_rng(8)
+    rows = [(g, int(100 * g + i), (rng.normal(size=5) + 3 * (i % 4)).round(3).tolist()) for g in (1, 2) for i in range(90)]
+    rows += [(3, 900 + i, [1.0] * 5) for i in range(6)] + [(3, 950, [2.0] * 5)]
+    df = spark.createDataFrame(rows, "g int, paper_id long, embedding array<double>")
+    hashed = df.select("paper_id", F.xxhash64("paper_id", F.lit(42)).alias("h"), *[clustering.uniform(43 + t).alias(f"u{t}") for t in range(3)]).toPandas()
+    hashes, uniforms = dict(zip(hashed.paper_id, hashed.h, strict=True)), [dict(zip(hashed.paper_id, hashed[f"u{t}"], strict=True)) for t in range(3)]
+    found = clustering.kmeans_groups(df.repartition(9), ["g"], [2, 4])
+    for g in (1, 2, 3):
+        wanted = brute_kmeans([r[1:] for r in rows if r[0] == g], [2, 4], hashes, uniforms)
+        assert {(r.k, r.paper_id): r.label for r in found.where(F.col("g") == g).collect()} == wanted
+
+
+def test_starts_take_few_passes(spark, monkeypatch):
+    from topicmill.operators import clustering
+
+    count, kept = [], clustering.checkpointed
+    monkeypatch.setattr(clustering, "checkpointed", lambda df: count.append(1) or kept(df))
+    df = spark.range(4000).select(F.lit("all").alias("g"), F.col("id").alias("paper_id"), F.array(F.sin("id"), F.cos(F.col("id") * 7)).alias("embedding"))
+    starts = clustering.first_centers(df, ["g"], [40], seed=1).first()["centers"]
+    assert len(count) == 4 and len(starts) == 40 and len({tuple(c["centroid"]) for c in starts}) == 40
+    far = clustering.assign(clustering.metrics.as_double(df), clustering.first_centers(df, ["g"], [40]).select("g", "k", "centers"), ["g"])
+    one = clustering.assign(clustering.metrics.as_double(df), clustering.first_centers(df, ["g"], [1]).select("g", "k", "centers"), ["g"])
+    assert far.agg(F.sum("d")).first()[0] < one.agg(F.sum("d")).first()[0] / 10

@@ -2,18 +2,20 @@
 
 Spark ML's KMeans fits one data set per call; ``kmeans_groups`` runs Lloyd's
 steps for every (group, k) in the same jobs. Only centers, k vectors a group,
-move between steps; they are checkpointed, so a lost executor costs one step.
+move between steps; they are checkpointed, so a lost executor costs a few steps.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance2, mean_vector
 from . import metrics
-from .durable import set_up_checkpoints
-from .ranking import first_of
+from .durable import checkpointed
+from .ranking import first_of, top_n
 
 
 def nearest(embedding: Column, centers: Column) -> Column:
@@ -27,49 +29,117 @@ def assign(points: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
     return found.withColumn("label", F.col("_near")["label"]).withColumn("d", F.col("_near")["d"]).drop("_near", "centers")
 
 
-def first_centers(points: DataFrame, keys: list[str], k: int, seed: int = 42) -> DataFrame:
-    """``k`` starting centers a group: the least id by hash, then always the point farthest from those chosen."""
+def candidates(points: DataFrame, keys: list[str], k: int, passes: int = 3, seed: int = 42) -> DataFrame:
+    """Starting candidates of each group by oversampling: an array ``candidates`` of structs (label, centroid), and the group's size ``n``.
+
+    The first candidate is the point of the least hash. Each of ``passes`` passes
+    adds 2 k points, drawn with chances that grow with their squared distance d to
+    the nearest candidate: those of the least -ln(u) / d, for u from a hash of
+    the point and the pass. So a group has 2 k ``passes`` + 1 candidates at most,
+    in few passes whatever k is, and the draw does not depend on partitions.
+    """
     start = points.groupBy(*keys).agg(F.min_by("embedding", F.struct(F.xxhash64("paper_id", F.lit(seed)), "paper_id")).alias("c"), F.count("*").alias("n"))
-    entry = lambda label, c: F.struct(F.lit(label).alias("label"), F.col(c).alias("centroid"))
-    centers = start.select(*keys, "n", F.array(entry(0, "c")).alias("centers")).checkpoint()
-    for label in range(1, k):
-        far = points.join(centers, keys).groupBy(*keys).agg(
-            F.max_by("embedding", F.struct(nearest(F.col("embedding"), F.col("centers"))["d"], F.xxhash64("paper_id"), "paper_id")).alias("c")
-        )
-        centers = centers.join(far, keys).select(*keys, "n", F.concat("centers", F.array(entry(label, "c"))).alias("centers")).checkpoint()
+    found = checkpointed(start.select(*keys, "n", F.array(F.struct(F.lit(0).alias("label"), F.col("c").alias("centroid"))).alias("candidates")))
+    for turn in range(passes):
+        far = points.join(found, keys).withColumn("_d", nearest(F.col("embedding"), F.col("candidates"))["d"]).where("_d > 0")
+        drawn = top_n(far.select(*keys, "paper_id", "embedding", (-F.log(uniform(seed + 1 + turn)) / F.col("_d")).alias("_key")), keys, 2 * k, "_key", "paper_id")
+        more = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_key", "paper_id", "embedding"))).alias("_more"))
+        joined = found.join(more, keys, "left")
+        new = F.transform(F.coalesce("_more", F.array().cast(more.schema["_more"].dataType)), lambda x, i: F.struct((F.size("candidates") + i).alias("label"), x["embedding"].alias("centroid")))
+        found = checkpointed(joined.select(*keys, "n", F.concat("candidates", new).alias("candidates")))
+    return found
+
+
+def uniform(seed: int) -> Column:
+    """A number in (0, 1) from the hash of ``paper_id``."""
+    return (F.pmod(F.xxhash64("paper_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def weighted_centers(vectors: np.ndarray, weights: np.ndarray, k: int, steps: int = 20) -> np.ndarray:
+    """``k`` centers of weighted candidates: the heaviest first, then always that of the greatest weight times squared distance; then Lloyd's steps.
+
+    With fewer distinct candidates than ``k`` the last are repeated.
+    """
+    chosen = [int(np.argmax(weights))]
+    near = np.square(vectors - vectors[chosen[0]]).sum(axis=1)
+    for _ in range(1, k):
+        chosen.append(int(np.argmax(weights * near)))
+        near = np.minimum(near, np.square(vectors - vectors[chosen[-1]]).sum(axis=1))
+    centers = vectors[chosen]
+    for _ in range(steps):
+        label = np.square(vectors[:, None] - centers[None]).sum(axis=2).argmin(axis=1)
+        new = np.array([np.average(vectors[own], axis=0, weights=weights[own]) if (own := (label == j) & (weights > 0)).any() else centers[j] for j in range(k)])
+        if np.array_equal(new, centers):
+            break
+        centers = new
     return centers
 
 
-def kmeans_groups(points: DataFrame, keys: list[str], ks: list[int], seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
+def first_centers(points: DataFrame, keys: list[str], ks: list[int], seed: int = 42) -> DataFrame:
+    """Starting ``centers`` (structs of label and centroid) of each group and ``k``: its candidates, weighted by the points nearest to each, clustered again.
+
+    The candidates of a group are few (see ``candidates``), whatever its size; a task takes them together.
+    """
+    found = candidates(points, keys, max(ks), seed=seed)
+    near = points.join(found, keys).select(*keys, nearest(F.col("embedding"), F.col("candidates"))["label"].alias("label"))
+    counts = near.groupBy(*keys, "label").agg(F.count("*").alias("weight"))
+    flat = found.select(*keys, F.inline("candidates")).join(counts, [*keys, "label"], "left").select(*keys, "label", "centroid", F.coalesce("weight", F.lit(0)).alias("weight"))
+
+    def cluster(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("label")
+        vectors, weights = np.stack(own["centroid"].to_list()).astype(float), own["weight"].to_numpy(float)
+        rows = [(k, [{"label": j, "centroid": c.tolist()} for j, c in enumerate(weighted_centers(vectors, weights, k))]) for k in ks]
+        out = pd.DataFrame(rows, columns=["k", "centers"])
+        for c in keys:
+            out[c] = own[c].iloc[0]
+        return out[[*keys, "k", "centers"]]
+
+    kinds = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in keys)
+    return flat.groupBy(*keys).applyInPandas(cluster, f"{kinds}, k int, centers array<struct<label:int,centroid:array<double>>>")
+
+
+def kmeans_groups(points: DataFrame, keys: list[str], ks: list[int], seed: int = 42, max_iter: int = 300, tol: float = 1e-4, together: int = 4) -> DataFrame:
     """Labels for every group and k: ``points`` (keys, ``paper_id``, ``embedding``) with ``k``, ``label``, ``d``.
 
     An empty cluster keeps its center. A group with fewer points than k is an
-    error that names it. Same input, same labels, whatever the partitions.
+    error that names it. Same input, same labels, whatever the partitions. Up to
+    ``together`` steps are one job that ends in a checkpoint of the centers; the
+    run ends when the last step of a job moves them by ``tol`` at most.
     """
-    set_up_checkpoints(points.sparkSession)
     own = metrics.as_double(points).persist()
     try:
-        starts = first_centers(own, keys, max(ks), seed)
-        small = starts.where(F.col("n") < max(ks)).select(*keys).limit(1).collect()
+        sizes = own.groupBy(*keys).agg(F.count("*").alias("n"))
+        small = sizes.where(F.col("n") < max(ks)).select(*keys).limit(1).collect()
         if small:
             raise ValueError(f"k = {max(ks)} exceeds the points of group {small[0].asDict()}")
-        centers = starts.select(*keys, F.explode(F.array(*map(F.lit, ks))).alias("k"), "centers").withColumn("centers", F.slice("centers", F.lit(1), F.col("k"))).checkpoint()
+        centers = checkpointed(first_centers(own, keys, ks, seed))
         groups = [*keys, "k"]
-        for _ in range(max_iter):
-            moved = assign(own, centers, keys).groupBy(*groups, "label").agg(mean_vector(F.col("embedding")).alias("new"))
-            flat = centers.select(*groups, F.inline("centers")).join(moved, [*groups, "label"], "left").select(*groups, "label", "centroid", F.coalesce("new", "centroid").alias("new"))
-            step = flat.groupBy(*groups).agg(
-                F.array_sort(F.collect_list(F.struct("label", F.col("new").alias("centroid")))).alias("centers"), F.sum(distance2(F.col("new"), F.col("centroid"))).alias("shift")
-            ).checkpoint()
-            centers = step.drop("shift")
-            if (step.agg(F.max("shift")).first()[0] or 0.0) <= tol:
+        done = 0
+        while done < max_iter:
+            step = centers
+            for _ in range(min(together, max_iter - done)):
+                step = moved(own, step, keys)
+                done += 1
+            centers = checkpointed(step)
+            if (centers.agg(F.max("shift")).first()[0] or 0.0) <= tol:
                 break
         # Written once: its metrics and members are read from there several times.
-        return assign(own, centers, keys).checkpoint()
+        return checkpointed(assign(own, centers.select(*groups, "centers"), keys))
     finally:
         own.unpersist()
 
 
+def moved(points: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
+    """``centers`` after one of Lloyd's steps, and their squared ``shift``."""
+    groups = [*keys, "k"]
+    sums = assign(points, centers.select(*groups, "centers"), keys).groupBy(*groups, "label").agg(mean_vector(F.col("embedding")).alias("new"))
+    means = sums.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("label", "new"))).alias("_means"))
+    after = F.transform("centers", lambda c: F.struct(c["label"].alias("label"), F.coalesce(F.try_element_at("_means", c["label"]), c["centroid"]).alias("centroid")))
+    both = centers.select(*groups, "centers").join(means, groups, "left").withColumn("_after", after)
+    shift = F.aggregate(F.zip_with("centers", "_after", lambda a, b: distance2(a["centroid"], b["centroid"])), F.lit(0.0), lambda s, x: s + x)
+    return both.select(*groups, F.col("_after").alias("centers"), shift.alias("shift"))
+
+
 def spark_kmeans(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """One large data set: Spark ML's KMeans; ``points`` with ``label``."""
     from pyspark.ml.clustering import KMeans

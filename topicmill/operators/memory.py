@@ -59,47 +59,76 @@ def missing_keys(rows: DataFrame, parents: DataFrame, key: str, parent_key: str
     return rows.join(parents.select(F.col(parent_key or key).alias(key)), key, "left_anti")
 
 
-def explode_payloads(payloads: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
-    """Flat tables of payloads; ids are derived where they are missing."""
-    at = F.current_timestamp() if now is None else now
+def flatten(payloads: DataFrame) -> dict[str, DataFrame]:
+    """Nested payloads (a row each) as flat tables, see ``packing.flat_payload``; the key is the run's id."""
+    header = payloads.select(
+        "*", F.col("embed_config.embed_config_id").alias("embed_config_id"), F.col("embed_config.json_payload").alias("embed_json"),
+        F.col("cluster_config.cluster_config_id").alias("cluster_config_id"), F.col("cluster_config.json_payload").alias("cluster_json"),
+    )
+    base = with_ids(header).withColumn("payload_id", F.col("cluster_run_id"))
+    clusters = base.select("payload_id", F.explode("clusters").alias("c")).select("payload_id", "c.*")
+    return {
+        "payload": base.select("payload_id", *HEADER),
+        "papers": base.select("payload_id", F.posexplode("papers").alias("pos", "p")).select("payload_id", "pos", "p.*"),
+        "clusters": clusters.drop("members"),
+        "members": clusters.select("payload_id", "cluster_index", F.explode("members").alias("m")).select("payload_id", "cluster_index", "m.*"),
+    }
+
+
+HEADER = ["source", "period_start", "period_end", "snapshot_id", "raw_json", "role", "embed_config_id", "embed_json", "cluster_config_id", "cluster_json"]
+
+
+def with_ids(header: DataFrame) -> DataFrame:
+    """Headers of payloads with missing ids, role and text filled in, and ``cluster_run_id``."""
     snapshot = F.coalesce("snapshot_id", piped(F.col("source"), F.col("period_start"), F.col("period_end")))
-    role = F.coalesce("role", F.lit("hf_batch"))
-    base = payloads.select(
-        snapshot.alias("snapshot_id"), role.alias("role"), "source", "period_start", "period_end", F.coalesce("raw_json", F.lit("{}")).alias("raw_json"),
-        F.col("embed_config.embed_config_id").alias("embed_config_id"), F.col("embed_config.json_payload").alias("_embed"),
-        F.col("cluster_config.cluster_config_id").alias("cluster_config_id"), F.col("cluster_config.json_payload").alias("_cluster"), "papers", "clusters",
-    ).withColumn("cluster_run_id", piped(F.col("snapshot_id"), F.col("embed_config_id"), F.col("cluster_config_id"), F.col("role")))
-    papers = base.select("snapshot_id", F.posexplode("papers").alias("pos", "p")).select("snapshot_id", "pos", "p.*")
-    clusters = base.select("cluster_run_id", F.explode("clusters").alias("c")).select("cluster_run_id", "c.*")
-    clusters = clusters.withColumn("cluster_id", cluster_id(F.col("cluster_run_id"), F.col("cluster_index"))).withColumn("created_at", at)
-    members = clusters.select("cluster_id", F.explode("members").alias("m")).select("cluster_id", "m.*")
-    config = lambda kind, body: base.select(f"{kind}_config_id", F.col(body).alias("json_payload"), at.alias("created_at")).dropDuplicates([f"{kind}_config_id"])
+    filled = header.withColumns({"snapshot_id": snapshot, "role": F.coalesce("role", F.lit("hf_batch")), "raw_json": F.coalesce("raw_json", F.lit("{}"))})
+    return filled.withColumn("cluster_run_id", piped(F.col("snapshot_id"), F.col("embed_config_id"), F.col("cluster_config_id"), F.col("role")))
+
+
+def new_tables(flat: dict[str, DataFrame], now: Column | None = None) -> dict[str, DataFrame]:
+    """The memory's rows of flat payloads. Papers, clusters and members meet their payload's ids by a join on ``payload_id``.
+
+    Of a paper's rows the last wins, by snapshot and position; of a configuration's the last by payload.
+    """
+    at = F.current_timestamp() if now is None else now
+    base = with_ids(flat["payload"])
+    ids = base.select("payload_id", "snapshot_id", "cluster_run_id")
+    papers = flat["papers"].join(ids, "payload_id")
+    clusters = flat["clusters"].join(ids, "payload_id").withColumn("cluster_id", cluster_id(F.col("cluster_run_id"), F.col("cluster_index")))
+    members = flat["members"].join(ids, "payload_id").withColumn("cluster_id", cluster_id(F.col("cluster_run_id"), F.col("cluster_index")))
+    config = lambda kind: last_of_batch(base, [f"{kind}_config_id"], "payload_id").select(f"{kind}_config_id", F.col(f"{kind}_json").alias("json_payload"), at.alias("created_at"))
     return {
-        "embed_config": config("embed", "_embed"),
-        "cluster_config": config("cluster", "_cluster"),
-        "source_snapshot": base.select("snapshot_id", "source", "period_start", "period_end", "raw_json", at.alias("created_at")).dropDuplicates(["snapshot_id"]),
+        "embed_config": config("embed"),
+        "cluster_config": config("cluster"),
+        "source_snapshot": last_of_batch(base, ["snapshot_id"], "payload_id").select("snapshot_id", "source", "period_start", "period_end", "raw_json", at.alias("created_at")),
         "paper": last_of_batch(papers, ["paper_id"], "snapshot_id", "pos").select(
             "paper_id", "title", "summary", "keywords", "url", F.lit("hf").alias("source"), "published_at", at.alias("ingested_at")
         ),
         "snapshot_paper": papers.select("snapshot_id", "paper_id").distinct(),
         "cluster_run": base.select("cluster_run_id", "snapshot_id", "embed_config_id", "cluster_config_id", "role", F.lit(True).alias("selected_best"), at.alias("created_at")),
-        "cluster": clusters.drop("members"),
-        "cluster_member": members,
+        "cluster": clusters.select("cluster_id", "cluster_run_id", "cluster_index", "size", "centroid", "cohesion", at.alias("created_at")),
+        "cluster_member": members.select("cluster_id", "paper_id", "rank_in_cluster", "sim_to_centroid"),
     }
 
 
+def explode_payloads(payloads: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
+    """The memory's rows of nested payloads; ids are derived where they are missing."""
+    return new_tables(flatten(payloads), now)
+
+
 def faults(tables: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
-    """What forbids an ingest: ``fault`` and ``id``, for members without a paper, clusters twice in a run, two runs for one snapshot and role."""
+    """What forbids an ingest: ``fault`` and ``id``, for members without a paper, clusters twice in a run, members of no cluster, two runs for one snapshot and role."""
     papers = tables["paper"].select("paper_id").union(new["paper"].select("paper_id"))
     unknown = missing_keys(new["cluster_member"], papers, "paper_id").select(F.lit("member without paper").alias("fault"), F.col("paper_id").alias("id"))
     twice = new["cluster"].groupBy("cluster_id").count().where("count > 1").select(F.lit("cluster index twice").alias("fault"), F.col("cluster_id").alias("id"))
     runs = new["cluster_run"].groupBy("snapshot_id", "role").count().where("count > 1").select(F.lit("two runs for one snapshot and role").alias("fault"), F.col("snapshot_id").alias("id"))
-    return unknown.union(twice).union(runs)
+    stray = missing_keys(new["cluster_member"], new["cluster"], "cluster_id").select(F.lit("member without cluster").alias("fault"), F.col("cluster_id").alias("id"))
+    return unknown.union(twice).union(runs).union(stray)
 
 
-def ingest(tables: dict[str, DataFrame], payloads: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
-    """All tables after the payloads; an error names the faults before anything is written."""
-    new = explode_payloads(payloads, now)
+def ingest(tables: dict[str, DataFrame], payloads: DataFrame | dict[str, DataFrame], now: Column | None = None) -> dict[str, DataFrame]:
+    """All tables after the payloads, nested or flat; an error names the faults before anything is written."""
+    new = new_tables(payloads, now) if isinstance(payloads, dict) else explode_payloads(payloads, now)
     if bad := faults(tables, new).limit(5).collect():
         raise ValueError("; ".join(f"{r['fault']}: {r['id']}" for r in bad))
     runs = new["cluster_run"]

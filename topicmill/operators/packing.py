@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.schemas import FLAT
 from .ranking import first_of
 
 
@@ -53,8 +54,57 @@ def unify(payloads: DataFrame) -> DataFrame:
     return rows.groupBy("cluster_id").agg(F.array_sort(F.collect_list(paper)).alias("papers")).withColumn("papers", F.transform("papers", lambda p: p.dropFields("pos")))
 
 
+def _flat(rows: DataFrame, kind: str) -> DataFrame:
+    """``rows`` with the columns and types of one table of a flat payload; missing ones are null."""
+    fields = [f.split(":", 1) for f in _fields(FLAT[kind])]
+    return rows.select("payload_id", *[(F.col(name) if name in rows.columns else F.lit(None)).cast(type_).alias(name) for name, type_ in fields])
+
+
+def _fields(text: str) -> list[str]:
+    """The fields of a struct's text; none of the flat tables nests further than an array."""
+    return text.split(",")
+
+
+def flat_payload(members: DataFrame, headers: DataFrame) -> dict[str, DataFrame]:
+    """Payloads as four tables that share ``payload_id``: ``payload`` (a row each), ``papers``, ``clusters`` and ``members``.
+
+    Nothing is gathered, so a period may hold any number of papers. ``members``:
+    ``payload_id``, ``label``, ``paper_id``, ``rank_in_cluster``, ``sim`` and the
+    paper's fields, a paper once a payload; ``headers``: ``payload_id`` and what
+    it has of source, period, ids, role and configurations (the rest is null).
+    Members without a header are left out; a header without members stays.
+    """
+    known = members.join(headers.select("payload_id"), "payload_id", "left_semi")
+    placed = known.withColumn("cluster_index", F.col("label")).withColumn("sim_to_centroid", F.col("sim"))
+    clusters = placed.groupBy("payload_id", "cluster_index").agg(F.count("*").alias("size"), F.avg("sim").alias("cohesion"))
+    return {
+        "payload": _flat(headers, "payload"),
+        "papers": _flat(known.drop("pos").withColumn("pos", F.lit(0)), "papers"),
+        "clusters": _flat(clusters, "clusters"),
+        "members": _flat(placed, "members"),
+    }
+
+
+def typed_rows(flat: dict[str, DataFrame]) -> DataFrame:
+    """A flat payload as one table: ``kind``, ``payload_id`` and a struct for each kind, null but for the row's own."""
+    out = None
+    for kind in FLAT:
+        rows = _flat(flat[kind], kind)
+        own = F.struct(*[c for c in rows.columns if c != "payload_id"])
+        structs = [(own if k == kind else F.lit(None).cast(f"struct<{fields}>")).alias(k) for k, fields in FLAT.items()]
+        part = rows.select(F.lit(kind).alias("kind"), "payload_id", *structs)
+        out = part if out is None else out.union(part)
+    return out
+
+
+def flat_of(rows: DataFrame) -> dict[str, DataFrame]:
+    """The tables of typed rows; an unknown kind is an error."""
+    known = F.when(F.col("kind").isin(*FLAT), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown kind of payload row: "), F.coalesce("kind", F.lit("null")))))
+    return {kind: rows.where(known == kind).select("payload_id", f"{kind}.*") for kind in FLAT}
+
+
 def payload(members: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a period: ``papers``, and ``clusters`` with ranked members, size and cohesion.
+    """One row a period, for periods that one row can hold (``flat_payload`` has no such limit): ``papers``, and ``clusters`` with ranked members, size and cohesion.
 
     ``members``: keys, ``label``, ``paper_id``, ``rank_in_cluster``, ``sim``, and the paper's fields.
     """

@@ -165,6 +165,23 @@ ORACLES["ingest_memory"] = f"""WITH {_KNOWN}, c AS (SELECT DISTINCT p.month_key,
 months AS (SELECT DISTINCT month_key FROM c)
 SELECT 'source_snapshot' AS name, count(*) AS n FROM months UNION ALL SELECT 'paper', count(*) FROM papers JOIN months USING (month_key) UNION ALL SELECT 'snapshot_paper', count(*) FROM papers JOIN months USING (month_key)
 UNION ALL SELECT 'cluster_run', count(*) FROM months UNION ALL SELECT 'cluster', count(*) FROM c UNION ALL SELECT 'cluster_member', count(*) FROM ranked JOIN documents ON doc_id = ranked.paper_id"""
+_FLAT = f"""WITH {_KNOWN}, p AS (SELECT *, substring(month_key, 12)::INT AS m FROM papers),
+placed AS (SELECT p.month_key, m, paper_id, label, rank_in_cluster, round(sim, 9) AS sim FROM (SELECT paper_id AS id, label, rank_in_cluster, sim FROM ranked) JOIN p ON id = doc_id),
+months AS (SELECT DISTINCT month_key, m, {_SNAP} AS snapshot_id, {_LAST} AS last FROM p),
+runs AS (SELECT *, snapshot_id || '|embed|0.1|cluster|' || version || '|hf_batch' AS cluster_run_id FROM (SELECT *, unnest(CASE WHEN m % 4 = 0 THEN ['0.1', '0.2'] ELSE ['0.1'] END) AS version FROM months)),
+held AS (SELECT r.cluster_run_id, r.cluster_run_id || '|c' || label AS cluster_id, placed.* FROM runs r JOIN placed USING (month_key) WHERE r.m % 2 = 1 OR r.m % 4 = 0 AND version = '0.1' OR label < 5) """
+ORACLES["payload_rows"] = _FLAT + """SELECT 'payload' AS kind, month_key AS payload_id, last AS id, NULL::BIGINT AS cluster_index, NULL::BIGINT AS number, NULL::DOUBLE AS value, NULL::BIGINT AS n_keywords FROM months
+UNION ALL SELECT 'papers', month_key, paper_id, NULL, NULL, NULL, len(keywords) FROM p
+UNION ALL SELECT 'clusters', month_key, NULL, label, count(*), round(avg(sim), 6), NULL FROM placed GROUP BY month_key, label
+UNION ALL SELECT 'members', month_key, paper_id, label, rank_in_cluster, round(sim, 6), NULL FROM placed"""
+ORACLES["ingested_embed_config"] = """SELECT 'embed|0.1' AS embed_config_id, '{"v": 2}' AS json_payload"""
+ORACLES["ingested_cluster_config"] = """SELECT unnest(['cluster|0.1', 'cluster|0.2']) AS cluster_config_id, '{"k": 5}' AS json_payload"""
+ORACLES["ingested_source_snapshot"] = _FLAT + """SELECT snapshot_id, 'hf' AS source, split_part(snapshot_id, '|', 2) AS period_start, last AS period_end, CASE WHEN m % 2 = 0 THEN '{"n": 2}' ELSE '{"n": 1}' END AS raw_json FROM months"""
+ORACLES["ingested_paper"] = _FLAT + "SELECT paper_id, CASE WHEN m % 2 = 0 THEN title ELSE 'old ' || title END AS title, sha256(summary) AS summary_sha256, len(keywords) AS n_keywords, 'u/' || doc_id AS url, 'hf' AS source, '2025-01-01' AS published_at FROM p"
+ORACLES["ingested_snapshot_paper"] = _FLAT + "SELECT snapshot_id, paper_id FROM p JOIN months USING (month_key)"
+ORACLES["ingested_cluster_run"] = _FLAT + "SELECT cluster_run_id, snapshot_id, 'embed|0.1' AS embed_config_id, 'cluster|' || version AS cluster_config_id, 'hf_batch' AS role, m % 4 > 0 OR version = '0.2' AS selected_best FROM runs"
+ORACLES["ingested_cluster"] = _FLAT + "SELECT cluster_id, cluster_run_id, label AS cluster_index, count(*) AS size, round(avg(sim), 6) AS cohesion FROM held GROUP BY ALL"
+ORACLES["ingested_cluster_member"] = _FLAT + "SELECT cluster_id, paper_id, rank_in_cluster, round(sim, 6) AS sim_to_centroid FROM held"
 _CARDS = f"""WITH {_KNOWN}, pl AS (SELECT r.*, 'month=2025-' || lpad(CAST(1 + paper_id % 12 AS VARCHAR), 2, '0') AS month_key FROM ranked r),
 known AS (SELECT DISTINCT month_key FROM papers), sz AS (SELECT month_key, label, count(*) AS size FROM pl SEMI JOIN known USING (month_key) GROUP BY ALL),
 tops AS (SELECT pl.month_key, pl.label, p.paper_id, pl.rank_in_cluster, row_number() OVER (PARTITION BY pl.month_key, pl.label ORDER BY pl.rank_in_cluster, p.paper_id) - 1 AS pos FROM pl JOIN papers p ON p.doc_id = pl.paper_id) """

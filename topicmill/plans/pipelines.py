@@ -46,6 +46,20 @@ def run_monthly(papers: DataFrame, period: str = "month_key", modes=("B", "C"),
     return {"scores": scores, "best": best, "members": members, "reports": text_report(members, keys), "report_lines": report_lines(members, keys), "payloads": packing.payload(members, keys)}
 
 
+def monthly_payload(members: DataFrame, period: str = "month_key", source: str = "hf", encoder: str = "hashed", version: str = "0.1") -> dict[str, DataFrame]:
+    """The members of ``run_monthly`` as flat payloads, ready for ``memory.ingest``: one for each period, its text mode and k in the configurations' ids."""
+    start, end = T.period_bounds(F.col(period))
+    identity = T.piped(F.col(period), F.col("mode"), F.col("k").cast("string"))
+    chosen = members.select(period, "mode", "k").distinct()
+    embed = T.piped(F.lit(encoder), F.col("mode"), F.lit(version))
+    cluster = T.piped(F.lit("kmeans"), F.col("k").cast("string"), F.lit(version))
+    headers = chosen.select(
+        identity.alias("payload_id"), F.lit(source).alias("source"), start.alias("period_start"), end.alias("period_end"),
+        embed.alias("embed_config_id"), F.to_json(F.struct("mode")).alias("embed_json"), cluster.alias("cluster_config_id"), F.to_json(F.struct("k")).alias("cluster_json"),
+    )
+    return packing.flat_payload(members.withColumn("payload_id", identity), headers)
+
+
 def prompts(packed: DataFrame, template: str, expected_output: int = 512) -> DataFrame:
     """``packed`` with ``prompt``, ``template_hash`` and ``tokens``."""
     rows = packed.withColumn("prompt", T.prompt(template, CLUSTER_JSON=F.to_json(F.struct("papers"))))

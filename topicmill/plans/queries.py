@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import doubles
-from ..operators import clustering, durable, judging, memory, metrics, packing, ranking
+from ..operators import clustering, judging, memory, metrics, packing, ranking
 from ..sources import sinks, table
 from . import pipelines, reports, topics
 
@@ -348,12 +348,18 @@ def payloads(spark, folder):
 
 
 def _known_payloads(spark, folder):
-    """Payloads whose members are all among their papers."""
-    ids = F.transform("papers", lambda p: p["paper_id"])
-    keep = lambda c: F.struct(*[F.filter(c["members"], lambda m: F.array_contains(ids, m["paper_id"])).alias("members") if f == "members" else c[f].alias(f) for f in ("cluster_index", "size", "centroid", "cohesion", "members")])
-    durable.set_up_checkpoints(spark)
-    # read many times by an ingest
-    return payloads(spark, folder).withColumn("clusters", F.transform("clusters", keep)).checkpoint()
+    """Flat payloads of the months, the given labels as clusters; members are the known papers among theirs."""
+    first, last = T.period_bounds(F.col("payload_id"))
+    own = papers(spark, folder).select(F.col("month_key").alias("payload_id"), "paper_id", "title", "summary", "keywords", F.lit("").alias("url"), F.lit("").alias("published_at"))
+    month = F.concat(F.lit("month=2025-"), F.lpad((1 + F.col("paper_id") % 12).cast("string"), 2, "0"))
+    placed = _ranked(spark, folder).select(month.alias("payload_id"), F.concat(F.lit("hf:"), F.col("paper_id").cast("string")).alias("paper_id"), "label", "rank_in_cluster", "sim")
+    headers = own.select("payload_id").distinct().join(placed, "payload_id", "left_semi").select(
+        "payload_id", F.lit("hf").alias("source"), first.alias("period_start"), last.alias("period_end"),
+        *[F.lit(f"{k}|0.1").alias(f"{k}_config_id") for k in ("embed", "cluster")], *[F.lit("{}").alias(f"{k}_json") for k in ("embed", "cluster")],
+    )
+    flat = packing.flat_payload(placed, headers)
+    every = packing.flat_payload(own.withColumns({"label": F.lit(0), "rank_in_cluster": F.lit(0), "sim": F.lit(0.0)}), headers)
+    return flat | {"papers": every["papers"], "members": flat["members"].join(own.select("paper_id"), "paper_id", "left_semi")}
 
 
 @query
@@ -371,9 +377,67 @@ def ingest_memory(spark, folder):
     return out
 
 
+def _flat_payloads(spark, folder, later: bool):
+    """A flat payload for each month. The later ones, of even months, have new texts and fewer clusters; every other one is of a new configuration."""
+    month = lambda c: F.concat(F.lit("month=2025-"), F.lpad((1 + F.col(c) % 12).cast("string"), 2, "0"))
+    number = F.substring("month_key", 12, 2).cast("int")
+    own = papers(spark, folder)
+    own = own.where(number % 2 == 0) if later else own.withColumn("title", F.concat(F.lit("old "), F.col("title")))
+    placed = _ranked(spark, folder).select(F.col("paper_id").alias("doc_id"), "label", "rank_in_cluster", "sim").withColumn("month_key", month("doc_id"))
+    placed = placed.where((number % 2 == 0) & (F.col("label") < 5)) if later else placed
+    first, last = T.period_bounds(F.col("month_key"))
+    version = F.when((number % 4 == 0) & F.lit(later), F.lit("0.2")).otherwise(F.lit("0.1"))
+    headers = own.select("month_key").distinct().select(
+        F.col("month_key").alias("payload_id"), F.lit("hf").alias("source"), first.alias("period_start"), last.alias("period_end"), F.lit('{"n": 2}' if later else '{"n": 1}').alias("raw_json"),
+        F.lit("embed|0.1").alias("embed_config_id"), F.lit('{"v": 2}' if later else '{"v": 1}').alias("embed_json"),
+        T.piped("cluster", version).alias("cluster_config_id"), F.lit('{"k": 5}' if later else '{"k": 10}').alias("cluster_json"),
+    )
+    known = own.select("doc_id", F.col("month_key").alias("payload_id"), "paper_id", "title", "summary", "keywords", F.concat(F.lit("u/"), F.col("doc_id").cast("string")).alias("url"), F.lit("2025-01-01").alias("published_at"))
+    flat = packing.flat_payload(placed.drop("month_key").join(known, "doc_id"), headers)
+    # Papers that no cluster has belong to the snapshot, too.
+    every = packing.flat_payload(known.withColumns({"label": F.lit(0), "rank_in_cluster": F.lit(0), "sim": F.lit(0.0)}), headers)
+    return flat | {"papers": every["papers"]}
+
+
+@query
+def payload_rows(spark, folder):
+    rows = packing.typed_rows(_flat_payloads(spark, folder, False))
+    return rows.select(
+        "kind", "payload_id", F.coalesce("payload.period_end", "papers.paper_id", "members.paper_id").alias("id"), F.coalesce("clusters.cluster_index", "members.cluster_index").alias("cluster_index"),
+        F.coalesce("clusters.size", "members.rank_in_cluster").alias("number"), r6(F.coalesce("clusters.cohesion", "members.sim_to_centroid")).alias("value"), F.size("papers.keywords").cast("bigint").alias("n_keywords"),
+    )
+
+
+def _ingested(name, *columns):
+    """One table of the memory after the earlier and the later payloads."""
+
+    def run(spark, folder):
+        from ..sources.schemas import TABLES
+
+        empty = {n: spark.createDataFrame([], schema) for n, (schema, _) in TABLES.items()}
+        tables = memory.ingest(empty, _flat_payloads(spark, folder, False))
+        return memory.ingest(tables, _flat_payloads(spark, folder, True))[name].selectExpr(*columns)
+
+    run.__name__ = f"ingested_{name}"
+    return run
+
+
+for _made in (
+    _ingested("embed_config", "embed_config_id", "json_payload"),
+    _ingested("cluster_config", "cluster_config_id", "json_payload"),
+    _ingested("source_snapshot", "snapshot_id", "source", "period_start", "period_end", "raw_json"),
+    _ingested("paper", "paper_id", "title", "sha2(cast(summary AS binary), 256) AS summary_sha256", "cast(size(keywords) AS bigint) AS n_keywords", "url", "source", "published_at"),
+    _ingested("snapshot_paper", "snapshot_id", "paper_id"),
+    _ingested("cluster_run", "cluster_run_id", "snapshot_id", "embed_config_id", "cluster_config_id", "role", "selected_best"),
+    _ingested("cluster", "cluster_id", "cluster_run_id", "cluster_index", "size", "round(cohesion, 6) AS cohesion"),
+    _ingested("cluster_member", "cluster_id", "paper_id", "rank_in_cluster", "round(sim_to_centroid, 6) AS sim_to_centroid"),
+):
+    query(_made)
+
+
 @query
 def best_run_cards(spark, folder):
-    new = memory.explode_payloads(_known_payloads(spark, folder))
+    new = memory.new_tables(_known_payloads(spark, folder))
     cards = memory.best_runs(new, 3)
     flat = cards.select("snapshot_id", F.explode("clusters").alias("c")).select("snapshot_id", "c.cluster_index", "c.size", F.posexplode_outer("c.papers").alias("pos", "p"))
     return flat.select("snapshot_id", "cluster_index", "size", F.col("pos").cast("bigint").alias("pos"), F.col("p.paper_id").alias("paper_id"), F.col("p.rank_in_cluster").alias("rank_in_cluster"))

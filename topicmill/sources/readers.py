@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_date
-from .schemas import DUMP, PAYLOAD, TABLES
+from .schemas import DUMP, FLAT_ROWS, PAYLOAD, TABLES
 
 
 def month_dump(spark: SparkSession, path: str, month_key: str | None = None) -> DataFrame:
@@ -56,6 +56,11 @@ def payloads(spark: SparkSession, glob: str) -> DataFrame:
     return found
 
 
+def payload_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Typed rows that ``sinks.write_payload_rows`` wrote, for ``packing.flat_of``."""
+    return spark.read.schema(FLAT_ROWS).json(path)
+
+
 def cluster_lists(texts: DataFrame, body: str = "body") -> DataFrame:
     """Clusters of JSON texts, ``[..]`` or ``{"clusters": [..]}``, as variants; any other shape is an error."""
     v = F.try_parse_json(F.col(body))

@@ -34,3 +34,12 @@ PAYLOAD = (
     f"papers array<{PAPER}>, clusters array<{CLUSTER}>"
 )
 DUMP = "papers map<string, array<struct<paper:struct<id:string,title:string,summary:string,ai_keywords:array<string>,publishedAt:string,ai_summary:string>>>>"
+
+#: Tables of a flat payload, without its key ``payload_id``; as typed rows each is a struct of its kind.
+FLAT = {
+    "payload": "source:string,period_start:string,period_end:string,snapshot_id:string,raw_json:string,role:string,embed_config_id:string,embed_json:string,cluster_config_id:string,cluster_json:string",
+    "papers": "pos:bigint,paper_id:string,title:string,summary:string,keywords:array<string>,url:string,published_at:string",
+    "clusters": "cluster_index:bigint,size:bigint,centroid:array<float>,cohesion:double",
+    "members": "cluster_index:bigint,paper_id:string,rank_in_cluster:bigint,sim_to_centroid:double",
+}
+FLAT_ROWS = "kind string, payload_id string, " + ", ".join(f"{kind} struct<{fields}>" for kind, fields in FLAT.items())

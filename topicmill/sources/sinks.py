@@ -12,6 +12,11 @@ def write_payloads(payloads: DataFrame, path: str) -> None:
     payloads.withColumn("period", F.col("period_start")).write.mode("overwrite").partitionBy("period").json(path)
 
 
+def write_payload_rows(rows: DataFrame, path: str) -> None:
+    """Typed rows of flat payloads (``packing.typed_rows``) as JSON lines, each with its key, in as many files as there are tasks."""
+    rows.write.mode("overwrite").json(path)
+
+
 def _lines(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each line of ``piece``s, which end in a line break: keys, ``place`` (with the line's number in it) and ``line``."""
     split = pieces.select(*keys, "place", F.posexplode(F.split(F.expr("substring(piece, 1, length(piece) - 1)"), "\n")).alias("_no", "line"))
