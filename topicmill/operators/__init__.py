@@ -1 +1,11 @@
-"""Part of topicmill; see the README for what each module holds."""
+"""Part of topicmill; see the README for what each module holds.
+
+Functions that run on executors are shipped with their code, so workers need not
+have the package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

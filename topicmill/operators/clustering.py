@@ -106,7 +106,10 @@ def kmeans_groups(points: DataFrame, keys: list[str], ks: list[int], seed: int =
     ``together`` steps are one job that ends in a checkpoint of the centers; the
     run ends when the last step of a job moves them by ``tol`` at most.
     """
-    own = metrics.as_double(points).persist()
+    # Dealt evenly once, for the many passes over them: a small or skewed input would leave most tasks idle.
+    spark = points.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = metrics.as_double(points).repartition(tasks, "paper_id").persist()
     try:
         sizes = own.groupBy(*keys).agg(F.count("*").alias("n"))
         small = sizes.where(F.col("n") < max(ks)).select(*keys).limit(1).collect()
@@ -130,14 +133,14 @@ def kmeans_groups(points: DataFrame, keys: list[str], ks: list[int], seed: int =
 
 
 def moved(points: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
-    """``centers`` after one of Lloyd's steps, and their squared ``shift``."""
+    """``centers`` after one of Lloyd's steps, and their squared ``shift``. The old ones travel with the sums, so that several steps are one chain."""
     groups = [*keys, "k"]
-    sums = assign(points, centers.select(*groups, "centers"), keys).groupBy(*groups, "label").agg(mean_vector(F.col("embedding")).alias("new"))
-    means = sums.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("label", "new"))).alias("_means"))
+    found = points.join(centers.select(*groups, "centers"), keys).withColumn("label", nearest(F.col("embedding"), F.col("centers"))["label"])
+    means = found.groupBy(*groups, "label").agg(mean_vector(F.col("embedding")).alias("new"), F.first("centers").alias("centers"))
+    both = means.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("label", "new"))).alias("_means"), F.first("centers").alias("centers"))
     after = F.transform("centers", lambda c: F.struct(c["label"].alias("label"), F.coalesce(F.try_element_at("_means", c["label"]), c["centroid"]).alias("centroid")))
-    both = centers.select(*groups, "centers").join(means, groups, "left").withColumn("_after", after)
     shift = F.aggregate(F.zip_with("centers", "_after", lambda a, b: distance2(a["centroid"], b["centroid"])), F.lit(0.0), lambda s, x: s + x)
-    return both.select(*groups, F.col("_after").alias("centers"), shift.alias("shift"))
+    return both.withColumn("_after", after).select(*groups, F.col("_after").alias("centers"), shift.alias("shift"))
 
 
 def spark_kmeans(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
