@@ -194,3 +194,33 @@ def test_starts_take_few_passes(spark, monkeypatch):
     far = clustering.assign(clustering.metrics.as_double(df), clustering.first_centers(df, ["g"], [40]).select("g", "k", "centers"), ["g"])
     one = clustering.assign(clustering.metrics.as_double(df), clustering.first_centers(df, ["g"], [1]).select("g", "k", "centers"), ["g"])
     assert far.agg(F.sum("d")).first()[0] < one.agg(F.sum("d")).first()[0] / 10
+
+
+# --- topics -----------------------------------------------------------------------------------
+
+
+def test_topic_match_equals_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(30, 8))
+    unit = lambda v: (v / np.linalg.norm(v)).tolist()
+    topics_ = [(f"t{i:04d}", "a" if i % 20 else "b", unit(middles[i % 30] + rng.normal(size=8) / 10), i % 5) for i in range(1500)]
+    topics_ += [("t9998", "a", topics_[3][2], 7), ("t9999", "a", topics_[3][2], 8), ("zero", "a", [0.0] * 8, 0)]
+    clusters = [(i, "a" if i % 9 else "b", unit(middles[i % 30] + rng.normal(size=8) / 10)) for i in range(120)] + [(200, "a", topics_[3][2]), (201, "none", topics_[3][2]), (202, "a", [0.0] * 8)]
+    given = spark.createDataFrame(clusters, "cluster_id int, embed_config_id string, direction array<double>"), spark.createDataFrame(topics_, "topic_id string, embed_config_id string, direction array<double>, depth int")
+    found = {r.cluster_id: r for r in topics.nearest_topics(*given, pivots=30, block=16).collect()}
+    assert len(found) == len(clusters)
+    pairs = 0
+    for i, config, v in clusters:
+        own = [t for t in topics_ if t[1] == config]
+        pairs += len(own)
+        if not own:
+            assert found[i].best is None and found[i].scored == 0
+            continue
+        scores = [float(np.dot(v, t[2])) for t in own]
+        assert found[i].best.score == pytest.approx(max(scores), abs=1e-12)
+        assert found[i].best.topic_id in {t[0] for t, s in zip(own, scores, strict=True) if s > max(scores) - 1e-12}
+    assert found[200].best.topic_id == "t9999"
+    assert sum(r.scored for r in found.values()) < pairs / 3
+    decided = {r.cluster_id: r for r in topics.match_topics(*given, 0.5, pivots=3).collect()}
+    assert decided[201].decision == "new" and decided[201].depth == 0 and decided[200].decision == "attach" and decided[200].depth == 9
+    assert topics.match_topics(given[0].limit(0), given[1], 0.5).count() == 0 and topics.match_topics(given[0], given[1].limit(0), 0.5).where("decision = 'new'").count() == len(clusters)

@@ -2,30 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords_normal
-from ..functions.vectors import dot
+from ..functions.vectors import distance2, dot
+from ..operators.durable import checkpointed
 from ..operators.ranking import first_of, full_ranks, top_n
 
 
-def match_topics(clusters: DataFrame, topics: DataFrame, threshold: float) -> DataFrame:
+def topic_index(topics: DataFrame, pivots: int = 16, block: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Pivots and blocks of the topics of each ``embed_config_id``.
+
+    ``pivots`` topics of a config, the least by hash, are its pivots; every topic
+    goes to the nearest. Pivots: a row a config with ``pivots``, structs of
+    ``pivot``, ``at``, ``radius`` (the farthest topic), ``most`` (the greatest
+    squared length) and ``blocks``. Blocks: the topics of a pivot in arrays of
+    some ``block``, dealt by hash.
+    """
+    chosen = top_n(topics.select("embed_config_id", "topic_id", "direction"), ["embed_config_id"], pivots, F.xxhash64("topic_id"), "topic_id")
+    places = checkpointed(chosen.groupBy("embed_config_id").agg(F.array_sort(F.collect_list(F.struct("topic_id", "direction"))).alias("_at")))
+    nearest = F.array_min(F.transform("_at", lambda p, i: F.struct(distance2(F.col("direction"), p["direction"]).alias("d"), i.alias("pivot"))))
+    placed = topics.join(places, "embed_config_id").withColumn("_near", nearest)
+    placed = checkpointed(placed.select("embed_config_id", "topic_id", "direction", "depth", F.col("_near.pivot").alias("pivot"), F.sqrt("_near.d").alias("_d"), dot(F.col("direction"), F.col("direction")).alias("_n2")))
+    sizes = placed.groupBy("embed_config_id", "pivot").agg(F.max("_d").alias("radius"), F.max("_n2").alias("most"), F.ceil(F.count("*") / block).alias("blocks"))
+    known = sizes.join(places, "embed_config_id").select("embed_config_id", F.struct("pivot", F.col("_at")[F.col("pivot")]["direction"].alias("at"), "radius", "most", "blocks").alias("p"))
+    heads = checkpointed(known.groupBy("embed_config_id").agg(F.array_sort(F.collect_list("p")).alias("pivots")))
+    dealt = placed.join(sizes.select("embed_config_id", "pivot", "blocks"), ["embed_config_id", "pivot"]).withColumn("block", F.pmod(F.xxhash64("topic_id"), F.col("blocks")))
+    packed = dealt.groupBy("embed_config_id", "pivot", "block").agg(F.collect_list(F.struct("topic_id", "direction", "depth")).alias("topics"))
+    return heads, checkpointed(packed)
+
+
+def nearest_topics(clusters: DataFrame, topics: DataFrame, **settings: int) -> DataFrame:
+    """``cluster_id``, ``best`` (score, topic_id, depth; null without topics) and ``scored``, the topics it was compared with.
+
+    The highest inner product, exactly, ties to the greatest id. A cluster is
+    first compared with the topics of its nearest pivot. By the triangle
+    inequality a topic of another is no nearer than the cluster's distance to
+    that pivot less its radius, which bounds the product; only pivots whose
+    bound reaches the score so far are opened. Pairs meet by config, pivot and
+    block, so neither a large config nor a large pivot is one key.
+    """
+    heads, blocks = topic_index(topics, **settings)
+    q2 = dot(F.col("direction"), F.col("direction"))
+
+    def judged(p: Column) -> Column:
+        gap = F.sqrt(distance2(F.col("direction"), p["at"]))
+        bound = (q2 + p["most"] - F.pow(F.greatest(F.lit(0.0), gap - p["radius"]), F.lit(2.0))) / 2
+        return F.struct(gap.alias("gap"), p["pivot"].alias("pivot"), bound.alias("bound"), p["blocks"].alias("blocks"))
+
+    asked = checkpointed(clusters.join(heads, "embed_config_id").select("cluster_id", "embed_config_id", "direction", F.array_sort(F.transform("pivots", judged)).alias("pivots")))
+    best = F.array_max(F.transform("topics", lambda t: F.struct(dot(F.col("direction"), t["direction"]).alias("score"), t["topic_id"].alias("topic_id"), t["depth"].alias("depth"))))
+
+    def compared(rows: DataFrame) -> DataFrame:
+        opened = rows.select("cluster_id", "embed_config_id", "direction", "p.pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("p.blocks") - 1)).alias("block"))
+        met = opened.join(blocks, ["embed_config_id", "pivot", "block"]).select("cluster_id", "embed_config_id", best.alias("best"), F.size("topics").alias("scored"))
+        return met.groupBy("cluster_id", "embed_config_id").agg(F.max("best").alias("best"), F.sum("scored").alias("scored"))
+
+    home = checkpointed(compared(asked.withColumn("p", F.col("pivots")[0])))
+    rest = asked.join(home.select("cluster_id", "embed_config_id", F.col("best.score").alias("_least")), ["cluster_id", "embed_config_id"])
+    rest = rest.withColumn("p", F.explode(F.slice("pivots", F.lit(2), F.size("pivots")))).where(F.col("p.bound") + 1e-9 >= F.col("_least"))
+    found = home.union(compared(rest)).groupBy("cluster_id").agg(F.max("best").alias("best"), F.sum("scored").alias("scored"))
+    return clusters.select("cluster_id").distinct().join(found, "cluster_id", "left").select("cluster_id", "best", F.coalesce("scored", F.lit(0)).alias("scored"))
+
+
+def match_topics(clusters: DataFrame, topics: DataFrame, threshold: float, **settings: int) -> DataFrame:
     """The nearest stored topic of each cluster under one ``embed_config_id``; attached at ``threshold`` or more, else new.
 
     ``clusters``: ``cluster_id``, ``embed_config_id``, ``direction``; ``topics``: ``topic_id``, ``embed_config_id``, ``direction``, ``depth``.
-    Topics of a config are gathered to arrays of 256, so clusters are not paired with topics row by row.
     """
-    block = F.pmod(F.xxhash64("topic_id"), F.ceil(F.col("_n") / 256))
-    sized = topics.join(topics.groupBy("embed_config_id").agg(F.count("*").alias("_n")), "embed_config_id")
-    packed = sized.groupBy("embed_config_id", block.alias("_b")).agg(F.collect_list(F.struct("topic_id", "direction", "depth")).alias("topics"))
-    best = F.array_max(F.transform("topics", lambda t: F.struct(dot(F.col("direction"), t["direction"]).alias("score"), t["topic_id"].alias("topic_id"), t["depth"].alias("depth"))))
-    scored = clusters.join(packed, "embed_config_id", "left").withColumn("_best", best)
-    top = scored.groupBy("cluster_id").agg(F.max("_best").alias("_best"))
-    near = F.coalesce(F.col("_best.score") >= threshold, F.lit(False))
+    top = nearest_topics(clusters, topics, **settings)
+    near = F.coalesce(F.col("best.score") >= threshold, F.lit(False))
     return top.select(
-        "cluster_id", F.when(near, F.lit("attach")).otherwise(F.lit("new")).alias("decision"), F.when(near, F.col("_best.topic_id")).alias("topic_id"),
-        F.col("_best.score").alias("match_score"), F.when(near, F.col("_best.depth") + 1).otherwise(F.lit(0)).alias("depth"),
+        "cluster_id", F.when(near, F.lit("attach")).otherwise(F.lit("new")).alias("decision"), F.when(near, F.col("best.topic_id")).alias("topic_id"),
+        F.col("best.score").alias("match_score"), F.when(near, F.col("best.depth") + 1).otherwise(F.lit(0)).alias("depth"),
     )
 
 
