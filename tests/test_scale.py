@@ -224,3 +224,28 @@ def test_topic_match_equals_all_pairs(spark):
     decided = {r.cluster_id: r for r in topics.match_topics(*given, 0.5, pivots=3).collect()}
     assert decided[201].decision == "new" and decided[201].depth == 0 and decided[200].decision == "attach" and decided[200].depth == 9
     assert topics.match_topics(given[0].limit(0), given[1], 0.5).count() == 0 and topics.match_topics(given[0], given[1].limit(0), 0.5).where("decision = 'new'").count() == len(clusters)
+
+
+# --- evaluation -------------------------------------------------------------------------------
+
+
+def test_evaluation_is_written_with_counts_and_summary(spark, tmp_path):
+    from tests.test_operators import report
+    from topicmill.plans import pipelines
+
+    packed = spark.createDataFrame([(c, [("p1", "t")]) for c in (0, 1)], "cluster_index int, papers array<struct<paper_id:string,title:string>>").withColumn("g", F.lit(1))
+    rows = [("r1", "m", 0, report(), 10, 12), ("r1", "m", 1, "{", 11, 15), ("r1", "n", 0, None, None, None), ("r2", "m", 0, None, 5, 6), ("r2", "other", 0, report(), 5, 6)]
+    given = spark.createDataFrame(rows, "run_id string, model string, cluster_index int, raw_text string, s int, e int").select("*", F.timestamp_seconds("s").alias("started_at"), F.timestamp_seconds("e").alias("ended_at")).withColumn("g", F.lit(1))
+    runs = spark.createDataFrame([(r, "hf|a|b", "2025-01", "p0", "v1", "Sum {{CLUSTER_JSON}}", models) for r, models in (("r1", ["n", "m"]), ("r2", ["m", "none"]), ("r3", []))], "run_id string, snapshot_id string, month string, packing_variant string, prompt_variant string, template string, models array<string>")
+    for _ in range(2):  # again: each run replaces itself
+        out = pipelines.write_evaluation(packed, given, runs, ["g"], str(tmp_path / "runs"))
+        assert out["counts"]["n"] == 5 and out["counts"]["failed"] == 2 and out["counts"]["parsed"] == 2
+        assert set(out["seconds"]) == {"judged", "summary"} and out["judged"].count() == 5
+        found = {r.run_id: r for r in out["summary"].collect()}
+        assert set(found) == {"r1", "r2", "r3"} and found["r3"].model_results == [] and found["r3"].models_evaluated == []
+        n, m = found["r1"].model_results
+        assert (n.model, n.parsed_output, n.duration, n.missing_report, n.missing_response, n.error) == ("n", False, 0.0, [0], [0], None)
+        assert (m.model, m.parsed_output, m.duration, m.missing_report, m.missing_response, m.response_file) == ("m", True, 5.0, [1], [], "responses/m.json")
+        assert m.scores.overall == out["judged"].where("run_id = 'r1' AND model = 'm' AND parsed").agg(F.avg("overall")).first()[0]
+        assert [x.error for x in found["r2"].model_results] == [None, "no responses"] and len(found["r1"].prompt_hash) == 16
+        assert (found["r1"].snapshot_id, found["r1"].month, found["r1"].packing_variant, found["r1"].prompt_variant) == ("hf|a|b", "2025-01", "p0", "v1") and found["r1"].timestamp

@@ -234,6 +234,32 @@ def run_summary(boards: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("models", F.transform("models", lambda m: m.dropFields("order"))).withColumn("created_at", F.current_timestamp())
 
 
+def full_summary(judged: DataFrame, runs: DataFrame, item: str = "cluster_index", now: Column | None = None) -> DataFrame:
+    """One row a run, as it is filed: what was run, and a result for each of its models in the order given.
+
+    ``runs``: ``run_id``, ``snapshot_id``, ``month``, ``packing_variant``, ``prompt_variant``, ``template`` and ``models``.
+    ``judged``: ``run_id``, ``model``, ``item``, ``raw_text`` (null: the call failed), ``parsed``, ``overall``, and
+    ``started_at`` and ``ended_at`` of its call. A model's duration is the time from its first call to the end of
+    its last, 0 if none is known. A model without any response has an ``error``; responses of other runs or models are left out.
+    """
+    seconds = F.coalesce(F.max(F.unix_micros("ended_at")) - F.min(F.unix_micros("started_at")), F.lit(0)) / 1e6
+    times = judged.groupBy("run_id", "model").agg(seconds.alias("duration"), F.coalesce(F.max("parsed"), F.lit(False)).alias("parsed_output"))
+    results = leaderboard(judged, ["run_id", "model"], item).join(times, ["run_id", "model"])
+    asked = runs.select("run_id", F.posexplode("models").alias("_at", "model"))
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(results.schema[c].dataType)).alias(c)
+    one = F.struct(
+        "_at", "model", F.struct(F.coalesce("overall", F.lit(0.0)).alias("overall")).alias("scores"), F.coalesce("duration", F.lit(0.0)).alias("duration"),
+        F.coalesce("parsed_output", F.lit(False)).alias("parsed_output"), none("missing_report"), none("missing_response"),
+        F.concat(F.lit("responses/"), F.replace("model", F.lit("/"), F.lit("_")), F.lit(".json")).alias("response_file"), F.when(F.col("n_reports").isNull(), F.lit("no responses")).alias("error"),
+    )
+    filed = asked.join(results, ["run_id", "model"], "left").groupBy("run_id").agg(F.array_sort(F.collect_list(one)).alias("model_results"))
+    return runs.join(filed, "run_id", "left").select(
+        "run_id", "snapshot_id", "month", "packing_variant", "prompt_variant", T.template_hash(F.col("template")).alias("prompt_hash"), F.col("models").alias("models_evaluated"),
+        F.transform(F.coalesce("model_results", F.array().cast(filed.schema["model_results"].dataType)), lambda m: m.dropFields("_at")).alias("model_results"),
+        (F.current_timestamp() if now is None else now).alias("timestamp"),
+    )
+
+
 # --- two-section reports ----------------------------------------------------------------------
 
 A_STRINGS = ["title", "one_liner", "what_this_topic_is_about", "confidence", "search_query_seed"]

@@ -239,6 +239,11 @@ ORACLES["invalid_citations"] = _J + "SELECT d AS doc_id, coalesce(array_to_strin
 _BOARD = "board AS (SELECT lang AS run_id, 'm' || (d % 3) AS model, coalesce(avg(overall) FILTER (parsed), 0) AS overall, count(*) AS n_reports, coalesce(string_agg(d::VARCHAR, ',' ORDER BY d) FILTER (NOT parsed), '') AS missing_report, count(*) FILTER (failed) AS n_missing_response FROM judged GROUP BY ALL)"
 ORACLES["model_leaderboard"] = _J + f", {_BOARD} SELECT run_id, model, round(overall, 6) AS overall, n_reports, missing_report, n_missing_response FROM board"
 ORACLES["run_summary"] = _J + f", {_BOARD} SELECT run_id, count(*) AS n_models, string_agg(model, ',' ORDER BY overall DESC, model) AS \"order\" FROM board GROUP BY run_id"
+ORACLES["evaluation_summary"] = _J + f""", {_BOARD}, more AS (SELECT lang AS run_id, 'm' || (d % 3) AS model, max(d + d % 7 + 1) - min(d) AS seconds, bool_or(parsed) AS parsed_output, coalesce(string_agg(d::VARCHAR, ',' ORDER BY d) FILTER (failed), '') AS missing_response FROM judged GROUP BY ALL),
+asked AS (SELECT DISTINCT lang AS run_id, pos, model FROM documents, (VALUES (0, 'm2'), (1, 'org/none'), (2, 'm0'), (3, 'm1')) v(pos, model))
+SELECT run_id, 'hf|2025-01-01|2025-01-31' AS snapshot_id, '2025-01' AS month, 'p0' AS packing_variant, 'enrich' AS prompt_variant, sha256('Sum up in ' || run_id)[1:16] AS prompt_hash, 'm2,org/none,m0,m1' AS models, pos::BIGINT AS pos, model,
+round(coalesce(overall, 0), 6) AS overall, coalesce(seconds, 0)::DOUBLE AS duration, coalesce(parsed_output, false) AS parsed_output, coalesce(missing_report, '') AS missing_report, coalesce(missing_response, '') AS missing_response,
+'responses/' || replace(model, '/', '_') || '.json' AS response_file, CASE WHEN n_reports IS NULL THEN 'no responses' END AS error FROM asked LEFT JOIN board USING (run_id, model) LEFT JOIN more USING (run_id, model)"""
 ORACLES["judge_rule_averages"] = _J + """SELECT lang, rule, round(avg(v), 6) AS average FROM (SELECT lang, unnest(['json_valid', 'hard_schema_valid', 'soft_schema_valid']) AS rule, unnest([parsed::INT::DOUBLE, hard_valid::INT::DOUBLE, soft_score]) AS v FROM judged) GROUP BY ALL"""
 ORACLES["board_rollup"] = _J + """SELECT lang, 'm' || (d % 3) AS model, round(avg(overall), 6) AS mean_overall, round(avg((NOT parsed)::INT), 6) AS parse_failures, round(avg((NOT hard_valid)::INT), 6) AS hard_failures, count(*) AS n FROM judged GROUP BY ROLLUP (1, 2)"""
 ORACLES["rubric_score"] = _J + "SELECT d AS doc_id, round(CASE WHEN parsed AND len(bad) = 0 THEN 0.7 * soft_score + 0.15 * overall ELSE 0 END, 6) AS rubric FROM judged"
@@ -256,6 +261,7 @@ _RULE = """SELECT rule, sum(coalesce(v, 0)) / (SELECT count(*) FROM documents) A
 unnest([CASE WHEN NOT bad_input THEN json_ok::INT::DOUBLE END, CASE WHEN NOT bad_input AND json_ok THEN schema_ok::INT::DOUBLE END, CASE WHEN ok THEN title_match::DOUBLE END, CASE WHEN ok THEN citations_ok::DOUBLE END, CASE WHEN ok THEN cross_links::DOUBLE END, CASE WHEN ok THEN rep_order::DOUBLE END, CASE WHEN ok THEN reading_order_ok::DOUBLE END]) AS v
 FROM (SELECT *, schema_ok AND NOT bad_input AS ok FROM ({}))) GROUP BY rule"""
 ORACLES["rule_compare"] = f"SELECT rule, round(a.average, 6) AS before, round(b.average, 6) AS after, round(b.average - a.average, 6) AS change FROM ({_RULE.format(sections(0))}) a JOIN ({_RULE.format(sections(1))}) b USING (rule)"
+ORACLES["section_rules"] = f"SELECT rule, round(average, 6) AS average FROM ({_RULE.replace('FROM documents)', 'FROM documents WHERE doc_id % 23 <> 0)').format('SELECT * FROM (' + sections(0) + ') WHERE NOT bad_input')})"
 
 # --- topics -----------------------------------------------------------------------------------
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import clustering, judging, packing
 from ..operators.ranking import member_rank, top_n
-from ..sources.sinks import report_lines, text_report
+from ..sources.sinks import report_lines, text_report, write_run
 
 
 def hashed_vectors(texts: DataFrame, column: str = "text", dims: int = 256) -> DataFrame:
@@ -77,6 +79,26 @@ def evaluate(packed: DataFrame, responses: DataFrame, keys: list[str], dry_run:
     return {"prompts": asked, "judged": judged, "leaderboard": board, "summary": judging.run_summary(board, ["run_id"])}
 
 
+def write_evaluation(packed: DataFrame, responses: DataFrame, runs: DataFrame, keys: list[str], path: str) -> dict:
+    """Run an evaluation to its end: judgements written by run, the summary of each run made from what was written.
+
+    Returns ``counts`` that Spark observed while the judgements were written
+    (``n``, ``parsed``, ``hard_valid``, ``failed`` calls), the ``seconds`` of each
+    step, and the written ``judged`` and ``summary``. A run that is evaluated
+    again replaces its own partition.
+    """
+    began = time.monotonic()
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(n) for n, c in (("parsed", F.col("parsed")), ("hard_valid", F.col("hard_valid")), ("failed", F.col("raw_text").isNull()))]]
+    write_run({"judged": evaluate(packed, responses, keys)["judged"].observe(seen, *counts)}, path)
+    spark, judged_at = packed.sparkSession, time.monotonic()
+    asked = runs.select("run_id").distinct()
+    judged = spark.read.parquet(f"{path}/judged").join(asked, "run_id", "left_semi")
+    write_run({"summary": judging.full_summary(judged, runs)}, path)
+    summary = spark.read.parquet(f"{path}/summary").join(asked, "run_id", "left_semi")
+    return {"counts": seen.get, "seconds": {"judged": judged_at - began, "summary": time.monotonic() - judged_at}, "judged": judged, "summary": summary}
+
+
 def evaluate_sections(clusters: DataFrame, outputs: DataFrame, first: int | None = 8) -> dict[str, DataFrame]:
     """The second evaluation, of the first clusters by id (all if None): ``clusters`` as from ``unify``, ``outputs`` (``cluster_id``, ``raw_text``)."""
     some = clusters if first is None else clusters.orderBy("cluster_id").limit(first)

@@ -582,6 +582,33 @@ def run_summary(spark, folder):
     return found.select("run_id", F.size("models").cast("bigint").alias("n_models"), F.array_join(F.transform("models", lambda m: m["model"]), ",").alias("order"))
 
 
+@query
+def evaluation_summary(spark, folder):
+    docs = table(spark, folder, "documents")
+    flat = reports.flat_reports(docs).withColumnRenamed("doc_id", "cluster_index")
+    packed = flat.select("lang", "cluster_index", F.transform("input_ids", lambda i: F.struct(i.alias("paper_id"), F.lit("t").alias("title"))).alias("papers"))
+    second = lambda more: F.timestamp_seconds(F.col("cluster_index") + more)
+    responses = flat.select("lang", F.col("lang").alias("run_id"), F.concat(F.lit("m"), (F.col("cluster_index") % 3).cast("string")).alias("model"), "cluster_index", "raw_text", second(0).alias("started_at"), second(1 + F.col("cluster_index") % 7).alias("ended_at"))
+    runs = docs.select(F.col("lang").alias("run_id")).distinct().select(
+        "run_id", F.lit("hf|2025-01-01|2025-01-31").alias("snapshot_id"), F.lit("2025-01").alias("month"), F.lit("p0").alias("packing_variant"), F.lit("enrich").alias("prompt_variant"),
+        F.concat(F.lit("Sum up in "), "run_id").alias("template"), F.array(*map(F.lit, ["m2", "org/none", "m0", "m1"])).alias("models"),
+    )
+    found = judging.full_summary(pipelines.evaluate(packed, responses, ["lang"])["judged"], runs)
+    flat = found.select("*", F.posexplode("model_results").alias("pos", "m"))
+    return flat.select(
+        "run_id", "snapshot_id", "month", "packing_variant", "prompt_variant", "prompt_hash", F.array_join("models_evaluated", ",").alias("models"), F.col("pos").cast("bigint").alias("pos"), "m.model", r6(F.col("m.scores.overall")).alias("overall"),
+        r6(F.col("m.duration")).alias("duration"), "m.parsed_output", F.array_join("m.missing_report", ",").alias("missing_report"), F.array_join("m.missing_response", ",").alias("missing_response"), "m.response_file", "m.error",
+    )
+
+
+@query
+def section_rules(spark, folder):
+    flat = reports.section_reports(table(spark, folder, "documents")).withColumnRenamed("doc_id", "cluster_id")
+    paper = [F.struct(F.lit(i).alias("paper_id"), F.lit(r).cast("bigint").alias("rank_in_cluster")) for r, i in enumerate("abc")]
+    clusters = flat.where("ranks IS NOT NULL").select("cluster_id", F.array(*paper).alias("papers"))
+    return pipelines.evaluate_sections(clusters, flat.select("cluster_id", "raw_text"), None)["rules"].select("rule", r6(F.col("average")).alias("average"))
+
+
 @query
 def judge_rule_averages(spark, folder):
     return judging.rule_averages(_judged(spark, folder), ["lang"]).select("lang", "rule", r6(F.col("average")).alias("average"))
