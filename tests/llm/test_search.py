@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import DATA
-from topicmill.llm import lexical, runs, spelling, topk
+from topicmill.llm import lexical, licenses, neardup, quality, runs, simhash, spelling, topk, urls
 from topicmill.llm.queries import QUERIES
 from topicmill.sources import table
 
@@ -27,6 +27,39 @@ def low(text):
     return "".join(c.lower() if c.isascii() else c for c in text or "")
 
 
+# --- earlier operators ------------------------------------------------------------------------
+
+
+def test_a_url_of_many_folders_is_mined_quickly(spark):
+    """30 folders of one page, and 30 that four bad pages share: all sets of them would be 2**30."""
+    deep = "http://deep.example.com/" + "".join(f"f{k}/" for k in range(30)) + "x.html"
+    shared = "http://bad.example.org/" + "".join(f"g{k}/" for k in range(30))
+    rows = [(0, deep)] + [(i, f"{shared}{i}.html") for i in (1, 2, 3, 4, 61, 62)] + [(i, f"http://n{i % 3}.example.com/a/{i}.html") for i in range(5, 61)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i < 5 else 1, 0) for i in range(61)], "doc_id long, quality int, toxic int")
+    rules = urls.mine(pages, labels).collect()
+    assert {tuple(r.rule_tokens) for r in rules} >= {(f"dir:g{k}",) for k in range(30)} and all(len(r.rule_tokens) == 1 and r.support == 4 for r in rules)
+    told = {r.page_id: r.verdict for r in urls.judge(pages, labels, rules=()).collect()}
+    assert {i for i, v in told.items() if v == "block"} == {1, 2, 3, 4, 61, 62}
+
+
+INTERNAL = ("id", "_id", "license", "shingles", "_cleaned", "code", "root", "_row", "_code", "_text", "_n", "a", "b", "x", "band", "value", "print", "least", "hub", "component_id", "_tokens", "_words", "_t", "text_", "first_word", "_at", "kept", "node", "cleaned_text")
+
+
+def test_columns_of_internal_names_are_kept_apart(spark):
+    line = "one two three four five six seven eight nine ten eleven twelve."
+    rows = [(1, line), (2, line), (3, "Other words stand here, and there are more than ten of them in this line."), (4, next(iter(licenses.TEMPLATES.values()))), (None, line)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    clashing = plain.withColumns({c: F.lit(f"own {c}") for c in INTERNAL})
+    for f in (lambda d: licenses.scan(d), lambda d: simhash.components(d), lambda d: neardup.components(d)):
+        assert found_of(f(clashing)) == found_of(f(plain))
+    for f in (simhash.keep_one, neardup.keep_one, quality.keep_good):
+        kept = f(clashing)
+        assert kept.columns == clashing.columns
+        assert found_of(kept.select("doc_id", "text")) == found_of(f(plain).select("doc_id", "text"))
+        assert all(r[c] == f"own {c}" for r in kept.collect() for c in INTERNAL)
+
+
 # --- runs -------------------------------------------------------------------------------------
 
 

@@ -117,7 +117,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     pairs = checkpointed(hits.join(F.broadcast(names), ["_mask", "_least"]).groupBy("doc_id", "license").agg(F.min("_at").cast("bigint").alias("first_word")))
 
     asked = pairs.join(F.broadcast(table.select("license", "shingles")), "license").withColumnRenamed("doc_id", "_id")
-    text = docs.join(if_few(asked), docs["doc_id"].eqNullSafe(F.col("_id"))).select("_id", "license", "first_word", "shingles", F.concat(F.lit(" "), normal(F.col("text")), F.lit(" ")).alias("_text"))
+    texts = docs.select("doc_id", "text")
+    text = texts.join(if_few(asked), texts["doc_id"].eqNullSafe(F.col("_id"))).select("_id", "license", "first_word", "shingles", F.concat(F.lit(" "), normal(F.col("text")), F.lit(" ")).alias("_text"))
     held = F.size(F.filter("shingles", lambda s: F.contains(F.col("_text"), F.concat(F.lit(" "), s, F.lit(" ")))))
     checked = text.select(F.col("_id").alias("doc_id"), "license", "first_word", (held / F.size("shingles")).alias("containment"))
     # inline() keeps the filter from being moved down, where it would check every text twice.

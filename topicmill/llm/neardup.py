@@ -155,7 +155,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: f
     pairs = checkpointed(sketched(pairs, classes))
     asked = pairs.select(F.col("a").alias("code")).union(pairs.select(F.col("b").alias("code"))).distinct()
     ids = checkpointed(classes.join(asked, "code").select(F.col("least").alias("id")).distinct())
-    sets = checkpointed(with_sets(docs.join(if_few(ids), docs["doc_id"].eqNullSafe(F.col("id")), "left_semi")).join(asked, "code", "left_semi"))
+    texts = docs.select("doc_id", "text")
+    sets = checkpointed(with_sets(texts.join(if_few(ids), texts["doc_id"].eqNullSafe(F.col("id")), "left_semi")).join(asked, "code", "left_semi"))
     # A class with many pairs is dealt to several tasks, its set with it.
     copies = pairs.select("a", "spread").distinct().select("a", "spread", F.explode(F.sequence(F.lit(0), "spread")).alias("salt"))
     left = copies.join(sets.select(F.col("code").alias("a"), F.col("shingles").alias("x")), "a")

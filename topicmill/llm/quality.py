@@ -103,8 +103,8 @@ def keep_good(docs: DataFrame, **rules) -> DataFrame:
     """The rows of ``docs`` that pass, with their failing lines removed and ``n_chars`` set anew; columns as given."""
     packed = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_t"))
     judged = judge(packed.select(F.struct("_row").alias("doc_id"), F.col("_t").alias("text")), **rules)
-    kept = judged.where("kept").select("doc_id._row.*", F.col("cleaned_text").alias("_cleaned"))
+    kept = judged.where("kept").select(F.col("doc_id._row").alias("_row"), F.col("cleaned_text").alias("_cleaned"))
     return kept.select(*[
-        F.col("_cleaned").alias(c) if c == "text" else F.length("_cleaned").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")
+        F.col("_cleaned").alias(c) if c == "text" else F.length("_cleaned").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_row").getField(c).alias(c)
         for c in docs.columns
     ])

@@ -264,7 +264,7 @@ def one_of_each(docs: DataFrame, found: DataFrame, coder: Callable[[DataFrame],
     The row has the component's least id, null if it has no other. If several
     rows of the component have that id, it is one of those of the least code; an
     id may so stand for several components, with a row for each. Empty tables
-    give none; columns may have any names besides ``doc_id`` and ``text``.
+    give none; columns besides ``doc_id`` and ``text`` may have any names.
     """
     found = checkpointed(found)
     best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("code").alias("_code"), F.first("doc_id").alias("_id"))
@@ -273,8 +273,9 @@ def one_of_each(docs: DataFrame, found: DataFrame, coder: Callable[[DataFrame],
     single = docs.join(if_few(best.where("_n = 1").select(F.col("_id").alias("doc_id"))), "doc_id", "left_semi")
     # Of repeated and missing ids, the text decides: codes are taken anew for those rows only.
     several = if_few(best.where("_n > 1"))
-    rows = docs.join(several.select("_id").distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    coded = coder(rows.select(F.struct("*").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "code")
+    nested = docs.select(F.struct("*").alias("_row"))
+    rows = nested.join(several.select("_id").distinct(), F.col("_row")["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    coded = coder(rows.select(F.col("_row").alias("doc_id"), F.col("_row")["text"].alias("text"))).select(F.col("doc_id").alias("_row"), "code")
     chosen = coded.join(several, (F.col("code") == F.col("_code")) & F.col("_row.doc_id").eqNullSafe(F.col("_id")), "left_semi")
     once = chosen.groupBy("code", "_row.doc_id").agg(F.first("_row").alias("_row"))
     return single.unionByName(once.select("_row.*")).select(docs.columns)

@@ -2,15 +2,18 @@
 
 A URL becomes a set of tokens (host suffixes, path directories, query keys,
 file ending). Over the labelled pages, sets that also hold the label "bad" are
-mined; rules set -> bad are pruned by support, confidence and lift, and by
-shorter rules that are as sure. A page meets a rule by the rule's rarest token,
-then the rest of its tokens is checked, so pages are not paired with all rules.
+mined, tokens of the same rows as one; rules set -> bad are pruned by support,
+confidence and lift, and by shorter rules that are as sure. A page meets a rule by
+the rule's rarest token, then the rest of its tokens is checked, so pages are not
+paired with all rules.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, if_few
@@ -78,43 +81,75 @@ def at_least(good: Column, all: Column, z: float) -> Column:
     return (p + z * z / (2 * all) - z * F.sqrt(p * (1 - p) / all + z * z / (4 * all * all))) / (1 + z * z / all)
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5, z: float = 1.64) -> DataFrame:
-    """Rules (``rule_tokens``, ``support`` as rows, ``confidence``, ``lift``) that point to bad pages.
+def least_rows(n: int, min_support: float, min_confidence: float, z: float) -> int:
+    """Rows that a rule needs: ``min_support`` of ``n``, and so many that even without a good page among them its interval is above ``min_confidence``.
 
-    ``labels.doc_id`` is taken as the ``page_id`` of the same number. A page is bad
-    if a label says quality 0 or toxic 1. All labelled pages count; a page with
-    several labels is bad if one is. Nulls count as good. A rule needs
-    ``min_support`` of the labelled pages, and a share of bad pages that is over
-    ``min_confidence`` even at the lower end of its interval, so that few pages
-    make no rule by chance; none may hold in the data. Tokens rarer than
-    ``min_support`` are in no rule, which bounds the mining. No labels, no rules.
+    A set in fewer rows can be no rule, so leaving those out changes no result.
+    """
+    return max(1, math.ceil(min_support * n - 1e-9), math.floor(min_confidence * z * z / (1 - min_confidence)) + 1)
+
+
+def mined(pages: DataFrame, labels: DataFrame, min_support: float, min_confidence: float, z: float) -> tuple[DataFrame, DataFrame]:
+    """Rules over classes of tokens, and the classes (``token``, ``class``: the least token of it) that tell apart labelled rows.
+
+    Tokens that the same labelled rows have are one class: they make the same
+    rules, and so many folders that always come together cost no more than one.
     """
     marks = labels.select(F.col("doc_id").alias("page_id"), ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int").alias("_bad"))
     marks = marks.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("_bad").alias("_bad"))
-    known = read_pages(pages).join(marks, "page_id")
-    baskets = known.select(F.when(F.col("_bad") == 1, F.concat("_tokens", F.array(F.lit(BAD)))).otherwise(F.col("_tokens")).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(baskets).freqItemsets
-    totals = known.agg(F.count("*").alias("_n"), F.sum("_bad").alias("_n_bad"))
+    known = checkpointed(read_pages(pages).join(marks, "page_id").select(F.monotonically_increasing_id().alias("_row"), "_tokens", "_bad"))
+    n, n_bad = known.agg(F.count("*"), F.coalesce(F.sum("_bad"), F.lit(0))).first()
+    least = least_rows(n, min_support, min_confidence, z)
+    # A set of rows by its size and two sums of hashes.
+    told = known.select("_row", F.explode("_tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("_n"), F.bit_xor(F.xxhash64("_row")).alias("_a"), F.bit_xor(F.xxhash64("_row", F.lit(7))).alias("_b")
+    ).where(F.col("_n") >= least)
+    reps = told.groupBy("_n", "_a", "_b").agg(F.min("token").alias("class"))
+    classes = checkpointed(told.join(reps, ["_n", "_a", "_b"]).select("token", "class"))
+    some = if_few(classes.where("token = class"))
+    held = known.select("_row", F.explode("_tokens").alias("token")).join(some, "token").groupBy("_row").agg(F.collect_list("class").alias("_own"))
+    own = F.coalesce("_own", F.array().cast("array<string>"))
+    baskets = known.join(held, "_row", "left").select(F.when(F.col("_bad") == 1, F.concat(own, F.array(F.lit(BAD)))).otherwise(own).alias("items"))
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, n)), minConfidence=1.0).fit(baskets).freqItemsets
     sure = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("rule_tokens"), F.col("freq").alias("support"))
     body = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("rule_tokens"), F.col("freq").alias("_seen"))
     confidence = F.col("support") / F.col("_seen")
-    rated = sure.join(body, "rule_tokens").join(F.broadcast(totals)).select(
-        "rule_tokens", "support", confidence.alias("confidence"), (confidence * F.col("_n") / F.col("_n_bad")).alias("lift")
-    )
+    rated = sure.join(body, "rule_tokens").select("rule_tokens", "support", confidence.alias("confidence"), (confidence * n / max(1, n_bad)).alias("lift"))
     good = rated.where(at_least(F.col("support"), F.col("support") / F.col("confidence"), z) > min_confidence)
     # A rule is spare if dropping one token leaves a rule that is as sure.
     shorter = good.select("rule_tokens", "confidence", F.explode("rule_tokens").alias("_one")).select(
         "rule_tokens", "confidence", F.array_remove("rule_tokens", F.col("_one")).alias("_less")
     )
     spare = shorter.join(good.select(F.col("rule_tokens").alias("_less"), F.col("confidence").alias("_sure")), "_less").where("_sure >= confidence")
-    return good.join(spare.select("rule_tokens"), "rule_tokens", "left_anti")
+    return good.join(spare.select("rule_tokens"), "rule_tokens", "left_anti"), classes
+
+
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5, z: float = 1.64) -> DataFrame:
+    """Rules (``rule_tokens``, ``support`` as rows, ``confidence``, ``lift``) that point to bad pages.
+
+    ``labels.doc_id`` is taken as the ``page_id`` of the same number. A page is bad
+    if a label says quality 0 or toxic 1. All labelled pages count; a page with
+    several labels is bad if one is. Nulls count as good. A rule needs
+    ``min_support`` of the labelled pages, and a share of bad pages that is over
+    ``min_confidence`` even at the lower end of its interval, so that few pages
+    make no rule by chance; none may hold in the data. No labels, no rules.
+    Tokens that the same labelled pages have make rules that differ in them alone;
+    ``judge`` does not spell these out.
+    """
+    rules, classes = mined(pages, labels, min_support, min_confidence, z)
+    members = classes.groupBy("class").agg(F.array_sort(F.collect_list("token")).alias("_members"))
+    parts = rules.select("*", F.explode("rule_tokens").alias("class")).join(members, "class")
+    gathered = parts.groupBy("rule_tokens", "support", "confidence", "lift").agg(F.collect_list("_members").alias("_parts"))
+    longer = lambda made, part: F.flatten(F.transform(made, lambda own: F.transform(part, lambda t: F.concat(own, F.array(t)))))
+    every = F.aggregate("_parts", F.array(F.array().cast("array<string>")), longer)
+    return gathered.select(F.explode(every).alias("_rule"), "support", "confidence", "lift").select(F.array_sort("_rule").alias("rule_tokens"), "support", "confidence", "lift")
 
 
-def rule_index(rules: DataFrame, pages: DataFrame) -> DataFrame:
-    """Each rule under the rarest of its tokens, by the tokens' counts over all pages."""
-    counts = pages.select(F.explode("_tokens").alias("token")).groupBy("token").agg(F.count("*").alias("_n"))
-    placed = rules.select("*", F.explode("rule_tokens").alias("token")).join(counts, "token")
-    return placed.groupBy("rule_tokens", "confidence").agg(F.min_by("token", F.struct("_n", "token")).alias("token"))
+def rule_index(rules: DataFrame, read: DataFrame) -> DataFrame:
+    """Each rule under the rarest of its classes, by their counts over all pages."""
+    counts = read.select(F.explode("_classes").alias("class")).groupBy("class").agg(F.count("*").alias("_n"))
+    placed = rules.select("*", F.explode("rule_tokens").alias("class")).join(counts, "class")
+    return placed.groupBy("rule_tokens", "confidence").agg(F.min_by("class", F.struct("_n", "class")).alias("class"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=GIVEN, **mining: float) -> DataFrame:
@@ -126,10 +161,16 @@ def judge(pages: DataFrame, labels: DataFrame, rules=GIVEN, **mining: float) ->
     ids and rows each keep theirs. Other columns are not read.
     """
     read = read_pages(pages)
-    index = if_few(checkpointed(rule_index(mine(pages, labels, **mining), read)))
+    defaults = {"min_support": 0.005, "min_confidence": 0.5, "z": 1.64}
+    found, classes = mined(pages, labels, **(defaults | mining))
+    found = checkpointed(found)
+    used = found.select(F.explode("rule_tokens").alias("class")).distinct()
+    named = if_few(checkpointed(classes.join(used, "class")))
     urls = read.select("_tokens").where(F.size("_tokens") > 0).distinct()
-    met = urls.select("_tokens", F.explode("_tokens").alias("token")).join(index, "token")
-    fits = met.where(F.size(F.array_except("rule_tokens", "_tokens")) == 0)
+    held = checkpointed(urls.select("_tokens", F.explode("_tokens").alias("token")).join(named, "token").groupBy("_tokens").agg(F.collect_set("class").alias("_classes")))
+    index = if_few(checkpointed(rule_index(found, held)))
+    met = held.select("_tokens", "_classes", F.explode("_classes").alias("class")).join(index, "class")
+    fits = met.where(F.size(F.array_except("rule_tokens", "_classes")) == 0)
     sure = if_few(checkpointed(fits.groupBy("_tokens").agg(F.max("confidence").alias("mined_confidence"))))
     given = given_rule(F.col("host"), F.col("path"), rules)
     return (
