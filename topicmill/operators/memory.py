@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cluster_id, piped
+from .durable import checkpointed, if_few
 from .ranking import first_of, top_n
 
 
@@ -92,7 +93,7 @@ def new_tables(flat: dict[str, DataFrame], now: Column | None = None) -> dict[st
     """
     at = F.current_timestamp() if now is None else now
     base = with_ids(flat["payload"])
-    ids = base.select("payload_id", "snapshot_id", "cluster_run_id")
+    ids = if_few(checkpointed(base.select("payload_id", "snapshot_id", "cluster_run_id")))
     papers = flat["papers"].join(ids, "payload_id")
     clusters = flat["clusters"].join(ids, "payload_id").withColumn("cluster_id", cluster_id(F.col("cluster_run_id"), F.col("cluster_index")))
     members = flat["members"].join(ids, "payload_id").withColumn("cluster_id", cluster_id(F.col("cluster_run_id"), F.col("cluster_index")))

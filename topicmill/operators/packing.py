@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schemas import FLAT
+from .durable import checkpointed, if_few
 from .ranking import first_of
 
 
@@ -74,7 +75,7 @@ def flat_payload(members: DataFrame, headers: DataFrame) -> dict[str, DataFrame]
     it has of source, period, ids, role and configurations (the rest is null).
     Members without a header are left out; a header without members stays.
     """
-    known = members.join(headers.select("payload_id"), "payload_id", "left_semi")
+    known = members.join(if_few(checkpointed(headers.select("payload_id"))), "payload_id", "left_semi")
     placed = known.withColumn("cluster_index", F.col("label")).withColumn("sim_to_centroid", F.col("sim"))
     clusters = placed.groupBy("payload_id", "cluster_index").agg(F.count("*").alias("size"), F.avg("sim").alias("cohesion"))
     return {
