@@ -216,6 +216,35 @@ ORACLES["run_id"] = f"WITH {PAPERS} SELECT doc_id, substring(month_key, 7) || '_
 ORACLES["rich_pack"] = rf"""WITH {_KNOWN}, t AS (SELECT label, p.paper_id, rank_in_cluster, {strip('summary')} AS s, row_number() OVER (PARTITION BY label ORDER BY rank_in_cluster) AS n FROM ranked r JOIN papers p ON p.doc_id = r.paper_id)
 SELECT label, paper_id, rank_in_cluster, coalesce(array_to_string(list_filter({_SENT.format('s')}, lambda x: regexp_matches(x, '[0-9]')), ' '), '')[1:1200] AS highlights FROM t WHERE n <= 3"""
 
+# --- encoders, checked input, files and cards -------------------------------------------------
+
+ORACLES["encode_terms"] = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9À-ÿ]+')) AS term FROM documents),
+h AS (SELECT doc_id, ('0x' || md5(term)[1:8])::BIGINT % 4096 AS bucket, ('0x' || md5(term)[9:16])::BIGINT AS bits, count(*) AS n FROM t GROUP BY doc_id, term),
+w AS (SELECT bucket, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(DISTINCT doc_id))) + 1 AS w FROM h GROUP BY bucket),
+v AS (SELECT doc_id, pos, sum(n * w * (1 - 2 * ((bits >> pos) & 1))) AS x FROM h JOIN w USING (bucket), range(32) r(pos) GROUP BY ALL), l AS (SELECT doc_id, sqrt(sum(x * x)) + 1e-12 AS len FROM v GROUP BY doc_id)
+SELECT d.doc_id, r.pos, round(coalesce(x / len, 0), 6) + 0.0 AS value FROM documents d CROSS JOIN range(32) r(pos) LEFT JOIN v ON v.doc_id = d.doc_id AND v.pos = r.pos LEFT JOIN l ON l.doc_id = d.doc_id"""
+_READ = "'' AS fault, doc_id::VARCHAR AS id, sha256(coalesce(text, '')) AS sha256 FROM documents WHERE doc_id % 8"
+_BAD = "SELECT doc_id, {} AS pos, '{}' AS fault, '' AS id, '{}' AS sha256 FROM documents WHERE doc_id % 8 {}"
+ORACLES["checked_items"] = " UNION ALL ".join(
+    [f"SELECT doc_id, 0::BIGINT AS pos, {_READ} IN (0, 1)", f"SELECT doc_id, 1, {_READ} IN (1, 4)", f"SELECT doc_id, 2, {_READ} = 5"]
+    + [_BAD.format(*case) for case in ((-1, "not JSON", "", "IN (2, 6)"), (-1, "no list of papers", '{"other":1}', "= 3"), (0, "no id", '{"id":5}', "= 4"), (0, "not an object", "5", "= 5"), (1, "wrong type: title", '{"id":"x","title":["t"]}', "= 5"))]
+)
+ORACLES["payload_files"] = _FLAT + """SELECT 'payload' AS kind, month_key AS payload_id, count(*) AS n, 0::BIGINT AS n_faults, 0::BIGINT AS n_papers, NULL::BIGINT AS n_chars, NULL::DOUBLE AS cohesion FROM months GROUP BY ALL
+UNION ALL SELECT 'papers', month_key, count(*), 0, count(DISTINCT paper_id), sum(length(summary))::BIGINT, NULL FROM p GROUP BY ALL
+UNION ALL SELECT 'clusters', month_key, count(*), 0, 0, NULL, round(sum(c), 6) FROM (SELECT month_key, avg(sim) AS c FROM placed GROUP BY month_key, label) GROUP BY month_key
+UNION ALL SELECT 'members', month_key, count(*), 0, count(DISTINCT paper_id), NULL, NULL FROM placed GROUP BY month_key"""
+ORACLES["month_files"] = ORACLES["month_lines"]
+ORACLES["memory_files"] = ORACLES["ingested_cluster_member"]
+ORACLES["card_faults"] = f"""WITH {PAPERS}, c AS (SELECT *, list_distinct(keywords) AS tags, coalesce(text, '') AS body FROM papers JOIN documents USING (doc_id)),
+f AS (SELECT doc_id, list_concat([CASE WHEN title IS NULL THEN 'topic_name required' WHEN title = '' THEN 'topic_name minLength' WHEN length(title) > 100 THEN 'topic_name maxLength' END,
+CASE WHEN coalesce(title, '') = '' THEN 'one_liner minLength' WHEN length(title) > 220 THEN 'one_liner maxLength' END, CASE WHEN coalesce(len(tags), 0) < 3 THEN 'tags minItems' WHEN len(tags) > 7 THEN 'tags maxItems' END,
+CASE WHEN body = '' THEN 'what_this_cluster_is_about minLength' WHEN length(body) > 1200 THEN 'what_this_cluster_is_about maxLength' END, CASE WHEN body = '' THEN 'why_it_matters minLength' WHEN length(body) > 1200 THEN 'why_it_matters maxLength' END,
+CASE WHEN doc_id % 5 = 0 THEN 'confidence enum' END, CASE WHEN doc_id % 7 = 0 THEN 'representative_papers required' WHEN doc_id % 11 = 0 THEN 'representative_papers[0].url required' END,
+CASE WHEN doc_id % 13 = 0 THEN 'reading_order minItems' WHEN doc_id % 13 > 10 THEN 'reading_order maxItems' END, CASE WHEN doc_id % 3 = 0 THEN 'score additionalProperties' END,
+CASE doc_id % 9 WHEN 0 THEN 'cluster_highlights minItems' WHEN 8 THEN 'cluster_highlights maxItems' END], [CASE WHEN length(t) > 40 THEN 'tags maxLength' END for t in tags]) AS all_faults FROM c),
+g AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN ['$ json'] ELSE list_sort(list_filter(all_faults, lambda x: x IS NOT NULL)) END AS faults FROM f)
+SELECT doc_id, len(faults) AS n, coalesce(array_to_string(faults, ','), '') AS faults FROM g"""
+
 # --- judging ----------------------------------------------------------------------------------
 
 _TAKE = "coalesce(array_to_string(w[1:{}], ' '), '')"

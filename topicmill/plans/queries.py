@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import encoders
 from ..functions import text as T
 from ..functions.vectors import doubles
-from ..operators import clustering, judging, memory, metrics, packing, ranking
-from ..sources import sinks, table
+from ..operators import clustering, json_checks, judging, memory, metrics, packing, ranking
+from ..operators.durable import scratch_folder
+from ..sources import checked, readers, sinks, table
 from . import pipelines, reports, topics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +180,14 @@ def encode_text(spark, folder):
     return found.select("doc_id", F.size("embedding").alias("dims"), r6(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).alias("norm2"))
 
 
+@query
+def encode_terms(spark, folder):
+    """The vectors of a model fitted on all documents and run by ``predict_batch_udf``."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encode = encoders.model_encoder(encoders.term_model(encoders.fit_term_weights(docs)), precise=True)
+    return encode(docs).select("doc_id", F.posexplode("embedding").alias("pos", "value")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), (r6("value") + 0.0).alias("value"))
+
+
 @query
 def month_counts(spark, folder):
     months = spark.range(0, 24).select(F.date_format(F.add_months(F.lit("2025-01-01").cast("date"), F.col("id").cast("int")), "'month='yyyy-MM").alias("month_key"))
@@ -542,6 +552,78 @@ def run_id(spark, folder):
     return rows.select("doc_id", T.run_id(F.col("m"), F.lit("p0"), F.lit("enrich"), F.concat(F.lit("org/"), F.col("lang")), F.lit(0.2), F.col("h")).alias("run_id"))
 
 
+# --- files written and read again -------------------------------------------------------------
+
+
+def _bodies(spark, folder):
+    """Responses in all right shapes and several wrong ones, each with the whole text of a document."""
+    docs = table(spark, folder, "documents")
+    item = F.struct(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("title"))
+    right, own = F.to_json(item), F.col("doc_id") % 8
+    body = F.when(own == 0, F.concat(F.lit('{"paper": [{"paper": '), right, F.lit("}]}"))).when(own == 1, F.concat(F.lit("["), right, F.lit(", "), right, F.lit("]")))
+    body = body.when(own == 2, F.concat(F.lit('{"paper": ['), right)).when(own == 3, F.lit('{"other": 1}')).when(own == 4, F.concat(F.lit('[{"id": 5}, '), right, F.lit("]")))
+    body = body.when(own == 5, F.concat(F.lit('[5, {"id": "x", "title": ["t"]}, {"paper": '), right, F.lit("}]"))).when(own == 6, F.lit(None)).otherwise(F.lit("[]"))
+    return docs.select("doc_id", body.alias("body"))
+
+
+@query
+def checked_items(spark, folder):
+    good, bad = sinks.write_checked(checked.responses(_bodies(spark, folder)), scratch_folder(spark, "items"))
+    read = good.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.lit("").alias("fault"), F.col("paper.id").alias("id"), F.sha2(F.col("paper.title").cast("binary"), 256).alias("sha256"))
+    return read.unionByName(bad.select("doc_id", F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos"), "fault", F.lit("").alias("id"), F.when(F.col("fault") == "not JSON", F.lit("")).otherwise(F.regexp_replace("value", " ", "")).alias("sha256")))
+
+
+@query
+def payload_files(spark, folder):
+    """Typed rows of payloads written as JSON lines and read back, faults among them counted."""
+    path = scratch_folder(spark, "payloads")
+    sinks.write_payload_rows(packing.typed_rows(_flat_payloads(spark, folder, False)), path)
+    rows = checked.payload_rows(spark, path)
+    return rows.groupBy("kind", "payload_id").agg(
+        F.count("*").alias("n"), F.count("fault").alias("n_faults"), F.count_distinct(F.coalesce("papers.paper_id", "members.paper_id")).alias("n_papers"), F.sum(F.length("papers.summary")).cast("bigint").alias("n_chars"), r6(F.sum("clusters.cohesion")).alias("cohesion")
+    )
+
+
+@query
+def month_files(spark, folder):
+    """The lines of months written as files of at most 1,000 lines, and read back in order."""
+    path = scratch_folder(spark, "months")
+    sinks.write_lines(sinks.month_lines(_month_papers(spark, folder)), path, ["month_key"], lines_per_file=1000)
+    return ranking.full_ranks(readers.text_lines(spark, path, ["month_key"]), ["month_key"], ["place"], "n").select("month_key", "n", "line")
+
+
+@query
+def memory_files(spark, folder):
+    """Members of the memory after the earlier and the later payloads, each version written and read back."""
+    path, version = scratch_folder(spark, "memory"), "1"
+    sinks.write_memory(memory.ingest(readers.memory(spark, f"{path}/0"), _flat_payloads(spark, folder, False)), path, version)
+    tables = readers.memory(spark, f"{path}/{version}")
+    return readers.memory_table(spark, sinks.write_memory(memory.ingest(tables, _flat_payloads(spark, folder, True)), path, "2"), "cluster_member").select("cluster_id", "paper_id", "rank_in_cluster", r6("sim_to_centroid").alias("sim_to_centroid"))
+
+
+def _cards(spark, folder):
+    """Rich cards from whole documents, with planted faults in fields that texts don't reach."""
+    docs = papers(spark, folder).withColumn("words", F.array_distinct("keywords"))
+    fault = lambda n: F.col("doc_id") % n == 0
+    paper, text = F.col("paper_id"), F.coalesce("summary", F.lit(""))
+    card = F.struct(
+        F.concat(F.lit("cluster_index:"), "doc_id").alias("cluster_key"), F.col("title").alias("topic_name"), F.coalesce("title", F.lit("")).alias("one_liner"), F.coalesce("words", F.array().cast("array<string>")).alias("tags"),
+        text.alias("what_this_cluster_is_about"), text.alias("why_it_matters"), F.when(fault(5), F.lit("HIGH")).otherwise(F.lit("low")).alias("confidence"), F.lit("few papers").alias("confidence_rationale"),
+        F.when(~fault(7), F.array(F.struct(paper.alias("paper_id"), F.lit("t").alias("title"), F.when(~fault(11), F.lit("u")).alias("url"), F.lit("first").alias("reason_representative")))).alias("representative_papers"),
+        F.array_repeat(F.struct(paper.alias("paper_id"), F.lit("u").alias("url"), F.lit("next").alias("why_read_next")), (F.col("doc_id") % 13).cast("int")).alias("reading_order"),
+        F.lit("seed").alias("search_query_seed"), F.lit("").alias("notes"), F.when(fault(3), F.lit(1)).alias("score"), F.transform(F.sequence(F.lit(1), (2 + F.col("doc_id") % 9).cast("int")), lambda i: F.lit("h")).alias("cluster_highlights"),
+    )
+    report = F.struct(*[F.lit("x").alias(n) for n in ("snapshot_id", "cluster_run_id", "period_start", "period_end")], F.array(card).alias("cluster_cards"))
+    return docs.select("doc_id", F.when(fault(17), F.lit("{")).otherwise(F.to_json(report)).alias("raw_text"))
+
+
+@query
+def card_faults(spark, folder):
+    found = json_checks.checked(_cards(spark, folder), json_checks.RICH_CARDS)
+    told = F.array_join(F.array_sort(F.transform("violations", lambda x: F.concat(F.regexp_replace(F.replace(x["path"], F.lit("$.cluster_cards[0]."), F.lit("")), r"^tags\[.*", "tags"), F.lit(" "), x["rule"]))), ",")
+    return found.select("doc_id", F.size("violations").cast("bigint").alias("n"), told.alias("faults"))
+
+
 # --- judging ----------------------------------------------------------------------------------
 
 

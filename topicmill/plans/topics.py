@@ -151,18 +151,3 @@ def markdown_cards(clusters: DataFrame) -> DataFrame:
     items = F.array_join(F.transform("papers", lambda p: F.concat(F.lit("- ["), p["paper_id"], F.lit("] "), p["title"])), "\n")
     head = F.concat(F.lit("## "), F.col("title"), F.lit("\n\ncluster "), F.col("label").cast("string"), F.lit(", "), F.col("size").cast("string"), F.lit(" papers, cohesion "), F.format_number("cohesion", 3))
     return clusters.select("label", F.concat(head, F.lit("\n\n"), items, F.lit("\n")).alias("card"))
-
-
-#: Length limits of the plain and the rich card.
-PLAIN_CARD = {"title": 120, "summary": 1200}
-RICH_CARD = {"title": 120, "summary": 2000}
-
-
-def card_valid(card: str, limits: dict[str, int], tags=(3, 7), highlights: tuple[int, int] | None = None):
-    """Whether a card struct keeps its length limits and numbers of tags and highlights."""
-    ok = F.size(F.col(f"{card}.tags")).between(*tags)
-    for name, high in limits.items():
-        ok = ok & F.length(F.col(f"{card}.{name}")).between(1, high)
-    if highlights:
-        ok = ok & F.size(F.col(f"{card}.highlights")).between(*highlights)
-    return F.coalesce(ok, F.lit(False))

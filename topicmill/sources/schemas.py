@@ -33,7 +33,9 @@ PAYLOAD = (
     "embed_config struct<embed_config_id:string,json_payload:string>, cluster_config struct<cluster_config_id:string,json_payload:string>, "
     f"papers array<{PAPER}>, clusters array<{CLUSTER}>"
 )
-DUMP = "papers map<string, array<struct<paper:struct<id:string,title:string,summary:string,ai_keywords:array<string>,publishedAt:string,ai_summary:string>>>>"
+#: A paper of a dump.
+PAPER_ITEM = {"id": "string", "title": "string", "summary": "string", "ai_keywords": "array<string>", "publishedAt": "string", "ai_summary": "string"}
+DUMP = f"papers map<string, array<struct<paper:struct<{','.join(f'{n}:{k}' for n, k in PAPER_ITEM.items())}>>>>"
 
 #: Tables of a flat payload, without its key ``payload_id``; as typed rows each is a struct of its kind.
 FLAT = {

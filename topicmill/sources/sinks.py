@@ -17,6 +17,13 @@ def write_payload_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_checked(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write rows of ``sources.checked`` in one pass, good and rejected ones in folders of their own, and read both back."""
+    rows.withColumn("rejected", F.col("fault").isNotNull()).write.mode("overwrite").partitionBy("rejected").parquet(path)
+    written = rows.sparkSession.read.schema(f"{rows.schema.toDDL()}, rejected boolean").parquet(path)
+    return written.where(~F.col("rejected")).drop("fault", "value", "rejected"), written.where("rejected").drop("rejected")
+
+
 def _lines(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each line of ``piece``s, which end in a line break: keys, ``place`` (with the line's number in it) and ``line``."""
     split = pieces.select(*keys, "place", F.posexplode(F.split(F.expr("substring(piece, 1, length(piece) - 1)"), "\n")).alias("_no", "line"))
