@@ -86,9 +86,11 @@ def with_ids(header: DataFrame) -> DataFrame:
     return filled.withColumn("cluster_run_id", piped(F.col("snapshot_id"), F.col("embed_config_id"), F.col("cluster_config_id"), F.col("role")))
 
 
-def new_tables(flat: dict[str, DataFrame], now: Column | None = None) -> dict[str, DataFrame]:
+def new_tables(flat: dict[str, DataFrame], now: Column | None = None, more: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """The memory's rows of flat payloads. Papers, clusters and members meet their payload's ids by a join on ``payload_id``.
 
+    ``more``: ids of the payload (``snapshot_id``) that clusters and members get beside their own columns.
+
     Of a paper's rows the last wins, by snapshot and position; of a configuration's the last by payload.
     """
     at = F.current_timestamp() if now is None else now
@@ -107,8 +109,8 @@ def new_tables(flat: dict[str, DataFrame], now: Column | None = None) -> dict[st
         ),
         "snapshot_paper": papers.select("snapshot_id", "paper_id").distinct(),
         "cluster_run": base.select("cluster_run_id", "snapshot_id", "embed_config_id", "cluster_config_id", "role", F.lit(True).alias("selected_best"), at.alias("created_at")),
-        "cluster": clusters.select("cluster_id", "cluster_run_id", "cluster_index", "size", "centroid", "cohesion", at.alias("created_at")),
-        "cluster_member": members.select("cluster_id", "paper_id", "rank_in_cluster", "sim_to_centroid"),
+        "cluster": clusters.select("cluster_id", "cluster_run_id", "cluster_index", "size", "centroid", "cohesion", at.alias("created_at"), *more),
+        "cluster_member": members.select("cluster_id", "paper_id", "rank_in_cluster", "sim_to_centroid", *more),
     }
 
 
@@ -127,11 +129,14 @@ def faults(tables: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame
     return unknown.union(twice).union(runs).union(stray)
 
 
-def ingest(tables: dict[str, DataFrame], payloads: DataFrame | dict[str, DataFrame], now: Column | None = None) -> dict[str, DataFrame]:
-    """All tables after the payloads, nested or flat; an error names the faults before anything is written."""
-    new = new_tables(payloads, now) if isinstance(payloads, dict) else explode_payloads(payloads, now)
+def refuse_faults(tables: dict[str, DataFrame], new: dict[str, DataFrame]) -> None:
+    """Raise an error that names the first faults of an ingest."""
     if bad := faults(tables, new).limit(5).collect():
         raise ValueError("; ".join(f"{r['fault']}: {r['id']}" for r in bad))
+
+
+def merged(tables: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All tables after the new rows, which have no faults."""
     runs = new["cluster_run"]
     return tables | {
         "embed_config": upsert(tables["embed_config"], new["embed_config"], ["embed_config_id"], ["json_payload"]),
@@ -145,6 +150,13 @@ def ingest(tables: dict[str, DataFrame], payloads: DataFrame | dict[str, DataFra
     }
 
 
+def ingest(tables: dict[str, DataFrame], payloads: DataFrame | dict[str, DataFrame], now: Column | None = None) -> dict[str, DataFrame]:
+    """All tables after the payloads, nested or flat; an error names the faults before anything is written."""
+    new = new_tables(payloads, now) if isinstance(payloads, dict) else explode_payloads(payloads, now)
+    refuse_faults(tables, new)
+    return merged(tables, new)
+
+
 def selected_runs(runs: DataFrame, role: str = "hf_batch") -> DataFrame:
     """The newest selected run of every snapshot."""
     return first_of(runs.where((F.col("role") == role) & F.col("selected_best")), ["snapshot_id"], F.desc("created_at"), "cluster_run_id")

@@ -11,7 +11,7 @@ from ..functions import encoders
 from ..functions import text as T
 from ..functions.vectors import doubles
 from ..operators import clustering, json_checks, judging, memory, metrics, packing, ranking
-from ..operators.durable import scratch_folder
+from ..operators.durable import scratch_folder, stored
 from ..sources import checked, readers, sinks, table
 from . import pipelines, reports, topics
 
@@ -594,11 +594,11 @@ def month_files(spark, folder):
 
 @query
 def memory_files(spark, folder):
-    """Members of the memory after the earlier and the later payloads, each version written and read back."""
-    path, version = scratch_folder(spark, "memory"), "1"
-    sinks.write_memory(memory.ingest(readers.memory(spark, f"{path}/0"), _flat_payloads(spark, folder, False)), path, version)
-    tables = readers.memory(spark, f"{path}/{version}")
-    return readers.memory_table(spark, sinks.write_memory(memory.ingest(tables, _flat_payloads(spark, folder, True)), path, "2"), "cluster_member").select("cluster_id", "paper_id", "rank_in_cluster", r6("sim_to_centroid").alias("sim_to_centroid"))
+    """Members of the memory after the earlier and the later payloads, written as a version and read back."""
+    path, tables = scratch_folder(spark, "memory"), readers.memory(spark, scratch_folder(spark, "none"))
+    for later in (False, True):
+        tables = memory.ingest(tables, {n: stored(rows) for n, rows in _flat_payloads(spark, folder, later).items()})
+    return readers.memory_table(spark, sinks.write_memory(tables, path, "1"), "cluster_member").select("cluster_id", "paper_id", "rank_in_cluster", r6("sim_to_centroid").alias("sim_to_centroid"))
 
 
 def _cards(spark, folder):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,13 +79,19 @@ def text_lines(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.select(*keys, place.alias("place"), F.col("value").alias("line"))
 
 
+def if_written(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """A Parquet table; empty if it was never written."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def memory_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A memory table; empty if it was never written."""
-    schema, _ = TABLES[name]
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/{name}")
+    return if_written(spark, TABLES[name][0], f"{folder}/{name}")
 
 
 def memory(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.memory import ingest
+from ..sources.partitioned import update_memory
 from ..sources.readers import memory
 from ..sources.schemas import PAYLOAD
 from ..sources.sinks import write_memory
@@ -25,3 +26,18 @@ def follow_payloads(spark: SparkSession, source: str, folder: str, checkpoint: s
     stream = spark.readStream.schema(PAYLOAD).option("multiLine", True).json(source)
     writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def follow_payloads_in_place(spark: SparkSession, source: str, folder: str, checkpoint: str, name: str = "payloads", available_now: bool = True) -> StreamingQuery:
+    """Ingest new payload files of ``source`` into one partitioned memory, of which a batch rewrites only what it touches.
+
+    A batch's id is ``name`` and its number: one that is run again, also under
+    another checkpoint folder, changes nothing.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        update_memory(batch.sparkSession, folder, batch, f"{name}-{number}")
+
+    stream = spark.readStream.schema(PAYLOAD).option("multiLine", True).json(source)
+    writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
