@@ -594,11 +594,11 @@ def month_files(spark, folder):
 
 @query
 def memory_files(spark, folder):
-    """Members of the memory after the earlier and the later payloads, written as a version and read back."""
+    """The memory's members after the earlier and the later payloads, written as a version and read back."""
     path, tables = scratch_folder(spark, "memory"), readers.memory(spark, scratch_folder(spark, "none"))
     for later in (False, True):
         tables = memory.ingest(tables, {n: stored(rows) for n, rows in _flat_payloads(spark, folder, later).items()})
-    return readers.memory_table(spark, sinks.write_memory(tables, path, "1"), "cluster_member").select("cluster_id", "paper_id", "rank_in_cluster", r6("sim_to_centroid").alias("sim_to_centroid"))
+    return readers.memory_table(spark, sinks.write_memory({"cluster_member": tables["cluster_member"]}, path, "1"), "cluster_member").select("cluster_id", "paper_id", "rank_in_cluster", r6("sim_to_centroid").alias("sim_to_centroid"))
 
 
 def _cards(spark, folder):
