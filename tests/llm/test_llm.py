@@ -709,6 +709,15 @@ def test_tagger_finds_held_out_and_rewritten_spans(people):
     assert sum(bool(a) for a in pii.added_spans(tagger, fresh, [[] for _ in fresh])) >= 4
 
 
+@pytest.mark.parametrize("labelled", [1, 5, 19])
+def test_tagger_is_trained_on_few_spans_too(spark, people, labelled):
+    given = people.where(f"doc_id < {labelled}").union(spark.createDataFrame([(-i, f"we went in {1900 + i} and saw 3 of {i} houses, 12.5 each") for i in range(1, 60)], "doc_id long, text string"))
+    tagger = pii.Tagger(pii.fit(given))
+    clean = [f"the house of {i} green rooms was sold in {1950 + i} for 2.5" for i in range(40)]
+    assert pii.added_spans(tagger, clean, [[] for _ in clean]) == [[] for _ in clean]
+    assert pii.fit(people.where("doc_id < 0")) is None and pii.fit(given.where("doc_id < 0")) is None
+
+
 def test_spans_at_the_edges_of_long_stretches(monkeypatch):
     number = "(555) 123-4567"
 
