@@ -414,6 +414,29 @@ def test_stage_links_all_at_the_threshold(spark, odd, nothing):
     assert neardup.keep_one(nothing).count() == 0
 
 
+def test_texts_around_one_passage_meet_by_their_rarest_shingles(spark):
+    rng = random.Random(5)
+    passage, rows = [f"common{i}" for i in range(90)], []
+    for i in range(240):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([3, 9, 12, 14, 15, 16, 30]))]
+        at = rng.randrange(len(own))
+        copy = own[:at] + passage + own[at:]
+        if rows and i % 6 == 5:
+            copy = rows[-1][1].split()
+            copy[rng.randrange(len(copy))] = "changed"
+        rows.append((i, " ".join(copy)))
+    sets = {d: five_words(t) for d, t in rows}
+    pairs = [(a, b) for a in sets for b in range(a + 1, 240) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    found = neardup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == union(list(sets), pairs)
+    # Texts with the passage and 16 words of their own meet nowhere but with their near copies.
+    apart = [(i, " ".join(passage + [f"o{i}w{j}" for j in range(16)])) for i in range(100)]
+    apart.append((100, apart[7][1].replace("o7w12", "changed")))
+    code = {neardup.code_of(s): i for i, s in enumerate(neardup.sets_of(pa.array([t for _, t in apart]))[0])}
+    spots = neardup.rarest(neardup.with_sets(spark.createDataFrame(apart, "doc_id long, text string")), 0.8).collect()
+    assert spots and {code[r["code"]] for r in spots} == {7, 100}
+
+
 # --- hashes of words ---------------------------------------------------------------------------
 
 

@@ -12,6 +12,14 @@ The members of a band value are not paired all with all. Each is compared with
 the least one; values whose members are still in different components are then
 gone through with ever more members as partners for the rest, until all of a
 value's members are one component or all have been partners: no pair is lost.
+
+A value of over ``LARGE`` members that stay apart is no band's doing but a
+passage that its texts share. Its members meet by their rarest shingles instead
+(``rarest``): sets of similarity t have one in common among the first
+n - ceil(t n) + 1 of each in any order, and even among the first
+n - ceil(2 t n / (1 + t)) + 1 of the smaller one. Frequent shingles come last in
+that order, so texts meet by a shared passage only where it is long enough to
+make them similar. This loses no pair either.
 """
 
 from __future__ import annotations
@@ -37,6 +45,8 @@ SKETCH, LEAST = 80, 44
 SALT, HEAVY = 8, 1000
 #: A round has so many times the partners of the one before.
 MORE = 32
+#: Members of a value that stay apart are paired as they are up to LARGE; shingles of over OFTEN sets are ordered by frequency.
+LARGE, OFTEN = 64, 32
 
 
 def sets_of(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -128,12 +138,16 @@ def paired(members: DataFrame, hubs: DataFrame, threshold: float) -> DataFrame:
 
     ``spread`` tells over how many tasks a hub's pairs are dealt later.
     """
-    met = meet(members.drop("size"), hubs).where(F.col("code") != F.col("hub")["code"])
+    hub = F.col("hub")
+    met = meet(members.drop("size"), hubs).where(F.col("code") != hub["code"])
+    near = F.least("n", hub["n"]) >= threshold * F.greatest("n", hub["n"]) - 1e-9
     if "partner" in members.columns:
         # Of two partners, the one of the lesser code is the hub.
-        met = met.where(F.col("root") != F.col("hub")["root"]).where(~F.col("partner") | (F.col("code") > F.col("hub")["code"]))
-    near = F.least("n", F.col("hub")["n"]) >= threshold * F.greatest("n", F.col("hub")["n"]) - 1e-9
-    return met.where(near).groupBy(F.col("hub")["code"].alias("a"), F.col("code").alias("b")).agg((F.max("size") / HEAVY).cast("int").alias("spread"))
+        met = met.where(F.col("root") != hub["root"]).where(~F.col("partner") | (F.col("code") > hub["code"]))
+        # Where a shingle is the first that two sets share, they share no more than what follows it.
+        left = F.least(F.col("n") - F.col("at"), hub["n"] - hub["at"])
+        near &= F.coalesce(left >= threshold / (1 + threshold) * (F.col("n") + hub["n"]) - 1e-9, F.lit(True))
+    return met.where(near).groupBy(hub["code"].alias("a"), F.col("code").alias("b")).agg((F.max("size") / HEAVY).cast("int").alias("spread"))
 
 
 def sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -150,13 +164,35 @@ def sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(differing <= SKETCH - LEAST).select("a", "b", "spread")
 
 
+def sets_named(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """``code`` and ``shingles`` of the classes whose codes are ``asked``, from the text of each one's least id."""
+    ids = checkpointed(classes.join(asked, "code").select(F.col("least").alias("id")).distinct())
+    texts = docs.select("doc_id", "text")
+    return checkpointed(with_sets(texts.join(if_few(ids), texts["doc_id"].eqNullSafe(F.col("id")), "left_semi")).join(asked, "code", "left_semi"))
+
+
+def rarest(sets: DataFrame, threshold: float) -> DataFrame:
+    """The places ``at`` which each set holds its rarest shingles, as values of band -1; see above.
+
+    ``index`` marks those in which the smaller set of a pair must meet the larger
+    one. Shingles that no other set, or no set as ``index``, has there are left out.
+    """
+    every = sets.select("code", F.size("shingles").alias("n"), F.lit(-1).alias("band"), F.explode("shingles").alias("value"))
+    often = every.groupBy("band", "value").agg(F.count("*").alias("often")).where(F.col("often") > OFTEN)
+    dealt = checkpointed(often.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")))
+    told = every.withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(SALT)).cast("int")).join(if_few(dealt), ["band", "value", "salt"], "left")
+    ordered = told.groupBy("code", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "value"))).alias("all"))
+    first = lambda share: (F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).cast("int")
+    cut = ordered.select("code", "n", first(2 * threshold / (1 + threshold)).alias("short"), F.posexplode(F.slice("all", F.lit(1), first(threshold))).alias("at", "one"))
+    spots = checkpointed(cut.select(F.lit(-1).alias("band"), F.col("one.value").alias("value"), "code", "n", "at", (F.col("at") < F.col("short")).alias("index")))
+    shared = spots.groupBy("band", "value").agg(F.count("*").alias("size"), F.max("index").alias("met")).where("size > 1 AND met")
+    return meet(spots, shared.drop("met"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets have ``threshold`` or more in common."""
     pairs = checkpointed(sketched(pairs, classes))
-    asked = pairs.select(F.col("a").alias("code")).union(pairs.select(F.col("b").alias("code"))).distinct()
-    ids = checkpointed(classes.join(asked, "code").select(F.col("least").alias("id")).distinct())
-    texts = docs.select("doc_id", "text")
-    sets = checkpointed(with_sets(texts.join(if_few(ids), texts["doc_id"].eqNullSafe(F.col("id")), "left_semi")).join(asked, "code", "left_semi"))
+    sets = sets_named(docs, classes, pairs.select(F.col("a").alias("code")).union(pairs.select(F.col("b").alias("code"))).distinct())
     # A class with many pairs is dealt to several tasks, its set with it.
     copies = pairs.select("a", "spread").distinct().select("a", "spread", F.explode(F.sequence(F.lit(0), "spread")).alias("salt"))
     left = copies.join(sets.select(F.col("code").alias("a"), F.col("shingles").alias("x")), "a")
@@ -194,17 +230,21 @@ def components(docs: DataFrame, threshold: float = THRESHOLD, **fitting: int) ->
     first = checkpointed(first.where("a <> b"))
     found = roots(verified(first, docs, classes, threshold))
     # Values of more than two members may hold pairs without the least one.
-    rest = checkpointed(meet(spots, hubs.where("size > 2").drop("hub")))
-    begin, end = 0, MORE
+    rest = checkpointed(meet(spots, hubs.where("size > 2").drop("hub"))).withColumns({"at": F.lit(None).cast("int"), "index": F.lit(True)})
+    begin, end, named = 0, MORE, ["band", "value", "size", "code", "n", "at", "index"]
     while True:
-        rooted = checkpointed(rest.join(found, F.col("code") == F.col("node"), "left").select("band", "value", "size", "code", "n", F.coalesce("root", "code").alias("root")))
+        rooted = checkpointed(rest.join(found, F.col("code") == F.col("node"), "left").select(*named, F.coalesce("root", "code").alias("root")))
         split = rooted.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
         rest = checkpointed(meet(rooted.where(F.col("size") > begin), split))
         if rest.isEmpty():
             break
+        large = checkpointed(rest.where((F.col("band") >= 0) & (F.col("size") > LARGE)).select("code", "root").distinct())
+        if begin == 0 and not large.isEmpty():
+            by_shingle = rarest(sets_named(docs, classes, large.select("code")), threshold).join(large, "code")
+            rest = checkpointed(rest.where(F.col("size") <= LARGE).unionByName(by_shingle))
         turn = F.pmod(F.xxhash64("code", "band"), F.lit(1 << 40)) * F.col("size") / (1 << 40)
-        members = rest.withColumn("partner", (turn >= begin) & (turn < end))
-        partners = members.where("partner").select("band", "value", "size", F.struct("code", "n", "root").alias("hub"))
+        members = rest.withColumn("partner", F.col("index") & (turn >= begin) & (turn < end))
+        partners = members.where("partner").select("band", "value", "size", F.struct("code", "n", "root", "at").alias("hub"))
         more = checkpointed(paired(members, partners, threshold).join(first, ["a", "b"], "left_anti"))
         rest = rest.drop("root")
         new = checkpointed(verified(more, docs, classes, threshold))
@@ -213,8 +253,8 @@ def components(docs: DataFrame, threshold: float = THRESHOLD, **fitting: int) ->
             found = roots(found.toDF("a", "b").union(new))
         begin, end = end, end * MORE
     rooted = checkpointed(classes.join(found, classes["code"] == found["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return coded.select("doc_id", "code").join(rooted.select("code", "root").join(named, "root"), "code").select("doc_id", "code", "root", "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return coded.select("doc_id", "code").join(rooted.select("code", "root").join(least, "root"), "code").select("doc_id", "code", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
