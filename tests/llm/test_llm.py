@@ -789,7 +789,8 @@ def test_pieces(spark, odd, nothing):
     texts = ["", " ", "  a  b ", "\n\n", "▁ is a mark", "😀́ 漢字 \x00", "don't", LINE, "a" * 300, *[r["text"] for r in table(spark, DATA, "documents").collect()]]
     ids = vocabulary.encode(texts)
     assert [vocabulary.decode(i) for i in ids] == texts
-    score = {p: -math.log(2 - s) for p, s, _ in model if p}
+    whole = sum(1 / (2 - s) for p, s, _ in model if p)
+    score = {p: -math.log((2 - s) * whole) for p, s, _ in model if p}
 
     def brute(w):
         best = [0.0] + [-math.inf] * len(w)
@@ -801,12 +802,31 @@ def test_pieces(spark, odd, nothing):
 
     for w in random.Random(1).sample(sorted(vocabulary.known), 400):
         own = np.frombuffer(vocabulary.known[w], np.int32)
-        assert math.isclose(sum(-math.log(2 - model[i][1]) if model[i][0] else pieces.BYTE_SCORE for i in own), brute(w), rel_tol=1e-9)
+        assert math.isclose(sum(score.get(model[i][0], pieces.BYTE_SCORE) for i in own), brute(w), rel_tol=1e-9)
     got = pieces.decode(pieces.encode(odd)).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted((d or 0, t or "") for d, t, _ in ODD)
     assert pieces.encode(nothing).count() == 0
 
 
+def test_pieces_of_long_parts_are_exact(monkeypatch):
+    rng = random.Random(3)
+    model = pieces.read_model()
+    draw = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    texts = [draw("etaoinshrdlu", n) for n in (1024, 1025, 1279, 1280, 1281, 3000)] + [draw("的一是在不了有和人这中大为上个国", 4000)]
+    texts += ["a" * 2500, draw("abcé😀的-=/1", 3000), "http://x.org/" + "the-quick-brown-fox/" * 90 + " and " + draw("=_", 2000) + "\n" + "\x00" * 1500]
+    vocabulary = pieces.Vocabulary(model)
+    found = vocabulary.encode(texts)
+    assert [vocabulary.decode(i) for i in found] == texts
+    # The same parts, uncut and unjoined.
+    monkeypatch.setattr(pieces, "LONG", 1 << 30)
+    plain = pieces.Vocabulary(model)
+    score = dict(zip(plain.ids.tolist(), plain.scores.tolist(), strict=True))
+    total = lambda ids: sum(score.get(i, pieces.BYTE_SCORE) for i in ids.tolist())
+    for ids, own in zip(found, plain.encode(texts), strict=True):
+        assert math.isclose(total(ids), total(own), rel_tol=1e-9)
+    assert sum(np.array_equal(a, b) for a, b in zip(found, plain.encode(texts), strict=True)) >= 7
+
+
 # --- pipeline ---------------------------------------------------------------------------------
 
 
