@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.schemas import FLAT
 from .durable import checkpointed, if_few
-from .ranking import first_of
+from .ranking import first_of, full_ranks
 
 
 def pack(members: DataFrame, papers: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,6 +55,23 @@ def unify(payloads: DataFrame) -> DataFrame:
     return rows.groupBy("cluster_id").agg(F.array_sort(F.collect_list(paper)).alias("papers")).withColumn("papers", F.transform("papers", lambda p: p.dropFields("pos")))
 
 
+def unify_rows(flat: dict[str, DataFrame]) -> DataFrame:
+    """As ``unify``, of flat payloads and with a row for each member: ``cluster_id``, ``pos``, the paper's fields and ``rank_in_cluster``.
+
+    Nothing is gathered, so a payload or cluster may hold any number of papers. ``pos``
+    counts a cluster's known papers from 0, by rank and then id; known papers are placed
+    without their texts, which join afterwards. Of a paper given twice the last one wins.
+    """
+    period = ["source", "period_start", "period_end"]
+    dated = flat["payload"].select("payload_id", *period)
+    papers = first_of(flat["papers"].join(dated, "payload_id").select(*period, "pos", "paper_id", "title", "summary", "keywords"), [*period, "paper_id"], F.desc("pos")).drop("pos")
+    cluster = F.concat_ws("|", *period, F.col("cluster_index").cast("string")).alias("cluster_id")
+    members = flat["members"].join(dated, "payload_id").select(cluster, *period, "paper_id", "rank_in_cluster")
+    known = members.join(papers.select(*period, "paper_id"), [*period, "paper_id"], "left_semi")
+    placed = full_ranks(known, ["cluster_id"], ["rank_in_cluster", "paper_id"], "pos")
+    return placed.join(papers, [*period, "paper_id"]).select("cluster_id", "pos", "paper_id", "title", "summary", "keywords", "rank_in_cluster")
+
+
 def _flat(rows: DataFrame, kind: str) -> DataFrame:
     """``rows`` with the columns and types of one table of a flat payload; missing ones are null."""
     fields = [f.split(":", 1) for f in _fields(FLAT[kind])]

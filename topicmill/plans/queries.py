@@ -339,24 +339,6 @@ def fk_violations(spark, folder):
     return memory.missing_keys(rows, table(spark, folder, "documents"), "paper_id", "doc_id").select("paper_id", "label")
 
 
-def payloads(spark, folder):
-    """A payload for each month: papers of the month, the given labels as clusters."""
-    first, last = T.period_bounds(F.col("month_key"))
-    base = papers(spark, folder).select("month_key", "doc_id", "paper_id", "title", "summary", "keywords", F.lit("").alias("url"), F.lit("").alias("published_at"))
-    own = base.groupBy("month_key").agg(F.array_sort(F.collect_list(F.struct("paper_id", "title", "summary", "keywords", "url", "published_at"))).alias("papers"))
-    ranked = _ranked(spark, folder).select(F.col("paper_id").alias("doc_id"), "label", "rank_in_cluster", "sim")
-    placed = ranked.select("*", F.concat(F.lit("month=2025-"), F.lpad((1 + F.col("doc_id") % 12).cast("string"), 2, "0")).alias("month_key"), F.concat(F.lit("hf:"), F.col("doc_id").cast("string")).alias("paper_id"))
-    member = F.struct("paper_id", "rank_in_cluster", F.col("sim").alias("sim_to_centroid"))
-    one = placed.groupBy("month_key", "label").agg(F.array_sort(F.collect_list(F.struct("rank_in_cluster", member.alias("m")))).alias("ms"), F.count("*").alias("size"), F.avg("sim").alias("cohesion"))
-    cluster = F.struct(F.col("label").cast("bigint").alias("cluster_index"), "size", F.lit(None).cast("array<float>").alias("centroid"), "cohesion", F.transform("ms", lambda x: x["m"]).alias("members"))
-    nested = one.groupBy("month_key").agg(F.collect_list(cluster).alias("clusters"))
-    config = lambda name: F.struct(F.lit(f"{name}|0.1").alias(f"{name}_config_id"), F.lit("{}").alias("json_payload")).alias(f"{name}_config")
-    return own.join(nested, "month_key").select(
-        F.lit("hf").alias("source"), first.alias("period_start"), last.alias("period_end"), F.lit(None).cast("string").alias("snapshot_id"), F.lit(None).cast("string").alias("raw_json"),
-        F.lit(None).cast("string").alias("role"), config("embed"), config("cluster"), "papers", "clusters",
-    )
-
-
 def _known_payloads(spark, folder):
     """Flat payloads of the months, the given labels as clusters; members are the known papers among theirs."""
     first, last = T.period_bounds(F.col("payload_id"))
@@ -499,17 +481,19 @@ def pack_stats(spark, folder):
 
 @query
 def unify_clusters(spark, folder):
-    found = packing.unify(payloads(spark, folder))
-    flat = found.select("cluster_id", F.posexplode("papers").alias("pos", "p"))
-    return flat.select("cluster_id", F.col("pos").cast("bigint").alias("pos"), F.col("p.paper_id").alias("paper_id"))
+    return packing.unify_rows(_known_payloads(spark, folder)).select("cluster_id", "pos", "paper_id")
 
 
 @query
 def payload_json(spark, folder):
-    members = _ranked(spark, folder).withColumnRenamed("paper_id", "doc_id").join(papers(spark, folder), "doc_id").withColumn("url", F.lit("")).withColumn("published_at", F.lit(""))
-    found = packing.payload(members, ["month_key"])
-    flat = found.select("month_key", F.size("papers").cast("bigint").alias("n_papers"), F.explode("clusters").alias("c"))
-    return flat.select("month_key", "n_papers", "c.cluster_index", "c.size", r6(F.col("c.cohesion")).alias("cohesion"), F.array_join(F.transform("c.members", lambda m: m["paper_id"]), ",").alias("members"))
+    """The months' payloads without their texts: numbers of papers, clusters, and their members in order."""
+    known = papers(spark, folder).select("doc_id", "paper_id", F.col("month_key").alias("payload_id"))
+    members = _ranked(spark, folder).withColumnRenamed("paper_id", "doc_id").join(known, "doc_id")
+    flat = packing.flat_payload(members, known.select("payload_id").distinct())
+    counts = flat["papers"].groupBy("payload_id").agg(F.count("*").alias("n_papers"))
+    names = flat["members"].groupBy("payload_id", "cluster_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank_in_cluster", "paper_id"))), lambda m: m["paper_id"]), ",").alias("members"))
+    found = flat["clusters"].join(names, ["payload_id", "cluster_index"]).join(counts, "payload_id")
+    return found.select(F.col("payload_id").alias("month_key"), "n_papers", "cluster_index", "size", r6(F.col("cohesion")).alias("cohesion"), "members")
 
 
 @query
