@@ -662,6 +662,34 @@ def test_long_texts_are_cut_with_overlap(monkeypatch):
         assert leaks_in([text], brute_items([(5, item)])) == [[(5, 1.0, shift)]]
 
 
+def test_few_links_settle_without_rounds(spark, monkeypatch):
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 200) if i % 50] + [(7, 7), (3, 2)], "a long, b long").repartition(9)
+    wanted = sorted(map(tuple, components.roots(links).collect()))
+    monkeypatch.setattr(components, "MOST", 20)
+    assert sorted(map(tuple, components.roots(links).collect())) == wanted and len(wanted) == 196
+    monkeypatch.undo()
+    monkeypatch.setattr(components, "_large_star", lambda links: pytest.fail("a round for few links"))
+    assert sorted(map(tuple, components.roots(links).collect())) == wanted and components.roots(links.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("ordered", [1 << 18, 3, 0])
+def test_rarest_shingles_are_ordered_without_a_join_of_all(spark, monkeypatch, ordered):
+    common, plans = list(range(1000, 1050)), []
+    sets = spark.createDataFrame([(i, sorted([*common, *range(i * 10, i * 10 + 6), *([5000 + i // 10] if i < 40 else [])])) for i in range(60)], "code long, shingles array<long>")
+    monkeypatch.setattr(neardup, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().toString()) or df)
+    monkeypatch.setattr(neardup, "ORDERED", ordered)
+    neardup.rarest(sets, 0.8)
+    assert plans and not any("LeftOuter" in p for p in plans)
+    monkeypatch.setattr(neardup, "checkpointed", lambda df: plans.append(df.collect()) or df)
+    neardup.rarest(sets, 0.8)
+    for code in range(60):
+        held = [r["value"] for r in sorted((r for r in plans[-1] if r["code"] == code), key=lambda r: r["at"])]
+        n = 57 if code < 40 else 56
+        assert len(held) == n - -(-n * 4 // 5) + 1 and len(set(held)) == len(held)
+        if ordered > 50:
+            assert not set(held[:6]) & set(common), held
+
+
 # --- personal data ----------------------------------------------------------------------------
 
 BASE = [

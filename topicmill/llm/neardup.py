@@ -47,6 +47,8 @@ SALT, HEAVY = 8, 1000
 MORE = 32
 #: Members of a value that stay apart are paired as they are up to LARGE; shingles of over OFTEN sets are ordered by frequency.
 LARGE, OFTEN = 64, 32
+#: So many shingles, the most frequent ones, are told to all tasks.
+ORDERED = 1 << 18
 
 
 def sets_of(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -176,15 +178,32 @@ def rarest(sets: DataFrame, threshold: float) -> DataFrame:
 
     ``index`` marks those in which the smaller set of a pair must meet the larger
     one. Shingles that no other set, or no set as ``index``, has there are left out.
+    The order of shingles is one for all sets: by value, then the ``ORDERED`` most frequent
+    ones by frequency. Any order loses no pair, so ``ORDERED`` bounds what tasks are sent only.
     """
-    every = sets.select("code", F.size("shingles").alias("n"), F.lit(-1).alias("band"), F.explode("shingles").alias("value"))
-    often = every.groupBy("band", "value").agg(F.count("*").alias("often")).where(F.col("often") > OFTEN)
-    dealt = checkpointed(often.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")))
-    told = every.withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(SALT)).cast("int")).join(if_few(dealt), ["band", "value", "salt"], "left")
-    ordered = told.groupBy("code", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "value"))).alias("all"))
-    first = lambda share: (F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).cast("int")
-    cut = ordered.select("code", "n", first(2 * threshold / (1 + threshold)).alias("short"), F.posexplode(F.slice("all", F.lit(1), first(threshold))).alias("at", "one"))
-    spots = checkpointed(cut.select(F.lit(-1).alias("band"), F.col("one.value").alias("value"), "code", "n", "at", (F.col("at") < F.col("short")).alias("index")))
+    every = sets.select(F.explode("shingles").alias("value"))
+    often = every.groupBy("value").agg(F.count("*").alias("often")).where(F.col("often") > OFTEN).orderBy(F.desc("often"), "value").limit(ORDERED).collect()
+    named = np.array([r["value"] for r in often], np.int64)
+    order = np.argsort(named)
+    known, place = named[order], len(named) - order
+
+    def first(n: int, share: float) -> int:
+        return n - int(np.ceil(n * share - 1e-9)) + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            codes, rows = batch.column(0).to_numpy(zero_copy_only=False), []
+            for code, shingles in zip(codes, batch.column(1), strict=True):
+                own = shingles.values.to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                late = np.where(known[at] == own, place[at], 0) if len(known) else np.zeros(len(own), np.int64)
+                n, kept = len(own), own[np.lexsort((own, late))[: first(len(own), threshold)]]
+                places = np.arange(len(kept))
+                rows.append((kept, np.full(len(kept), code), np.full(len(kept), n), places, places < first(n, 2 * threshold / (1 + threshold))))
+            value, code, n, at, index = map(np.concatenate, zip(*rows, strict=True)) if rows else ([],) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(code, pa.int64()), pa.array(n, pa.int32()), pa.array(at, pa.int32()), pa.array(index, pa.bool_())], ["value", "code", "n", "at", "index"])
+
+    spots = checkpointed(sets.select("code", "shingles").mapInArrow(cut, "value long, code long, n int, at int, index boolean").select(F.lit(-1).alias("band"), "*"))
     shared = spots.groupBy("band", "value").agg(F.count("*").alias("size"), F.max("index").alias("met")).where("size > 1 AND met")
     return meet(spots, shared.drop("met"))
 
