@@ -40,6 +40,18 @@ def test_model_vectors_equal_numpy_at_any_batch_size(spark, batch_size):
     assert encoders.model_encoder(encoders.term_model(np.ones(encoders.BUCKETS)))(docs).schema["embedding"].dataType.simpleString() == "array<float>"
 
 
+def test_terms_are_counted_before_vectors_are_summed(monkeypatch):
+    """A text's repeated terms were looked up and added one by one."""
+    asked, digest = [], encoders.term_digest
+    monkeypatch.setattr(encoders, "term_digest", lambda term: asked.append(term) or digest(term))
+    monkeypatch.setattr(encoders, "KNOWN", 2)
+    texts = ["a B b É é a_a " * 500, "", "A b c d"] * 2
+    got = encoders.term_model(np.ones(encoders.BUCKETS), 8)()(np.array(texts, object))
+    signs = lambda t: 1 - 2 * ((digest(t)[1] >> np.arange(8)) & 1)
+    one = sum(signs(t) * n for t, n in (("a", 1500), ("b", 1000), ("É", 500), ("é", 500)))
+    assert np.array_equal(got[0], one) and np.array_equal(got[3], one) and not got[1].any() and len(asked) < 40
+
+
 def test_a_model_is_loaded_once_a_worker_and_called_in_batches(spark, tmp_path):
     folder = str(tmp_path)
 
