@@ -204,3 +204,11 @@ def test_numbers_patterns_and_unknown_keywords(spark):
     assert [[v["rule"] for v in r["violations"]] for r in found] == [[], ["minimum"], ["maximum"], ["type"], ["type"], ["pattern"], ["type"], ["type"]]
     with pytest.raises(ValueError, match="oneOf"):
         json_checks.violations(F.lit(None).cast("variant"), {"oneOf": []})
+
+
+def test_a_text_is_parsed_once_however_many_fields(spark):
+    """Every bound of every field parsed the text anew."""
+    found = json_checks.checked(spark.createDataFrame([(1, "{}")], "k int, raw_text string"), json_checks.RICH_CARDS)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    with_map = plan.count("map<string,variant>") or plan.count("MapType(StringType,VariantType")
+    assert plan.lower().count("parse_json") + plan.lower().count("parsejson") <= 2, with_map

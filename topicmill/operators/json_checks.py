@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +13,23 @@ KINDS = {"object": r"^OBJECT\b", "array": r"^ARRAY\b", "string": "^STRING$", "bo
 KNOWN = {"type", "required", "properties", "additionalProperties", "minItems", "maxItems", "items", "minLength", "maxLength", "enum", "pattern", "minimum", "maximum", "description", "title", "$schema"}
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once a row however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def violations(v: Column, schema: dict, path: Column | None = None) -> Column:
     """What a variant column violates of ``schema``: structs of ``path`` and ``rule`` (the keyword), [] if nothing.
 
     A null column, which no JSON text parses to, violates ``json``. Of a value of the wrong
     type only ``type`` is told. Lengths count code points; ``integer`` takes no fractions.
-    A keyword that is not in ``KNOWN`` raises an error.
+    A keyword that is not in ``KNOWN`` raises an error. A text is parsed, and each
+    value in it taken from what holds it, once.
     """
+    return _let(v, lambda own: _violations(own, schema, path))
+
+
+def _violations(v: Column, schema: dict, path: Column | None) -> Column:
     at = F.lit("$") if path is None else path
     if unknown := set(schema) - KNOWN:
         raise ValueError(f"unknown keywords {sorted(unknown)}")
@@ -33,10 +45,10 @@ def violations(v: Column, schema: dict, path: Column | None = None) -> Column:
     if "enum" in schema:
         unless(text.isin(*schema["enum"]), "enum")
     if kind == "string":
-        if "minLength" in schema:
-            unless(F.length(text) >= schema["minLength"], "minLength")
-        if "maxLength" in schema:
-            unless(F.length(text) <= schema["maxLength"], "maxLength")
+        bounds = [(n, rule) for rule in ("minLength", "maxLength") if (n := schema.get(rule)) is not None]
+        fits = lambda size, n, rule: F.when(size >= n if rule == "minLength" else size <= n, none).otherwise(one(rule))
+        if bounds:
+            found.append(_let(F.length(text), lambda size: F.concat(none, *[fits(size, n, rule) for n, rule in bounds])))
         if "pattern" in schema:
             unless(text.rlike(schema["pattern"]), "pattern")
     if kind in ("integer", "number"):
@@ -46,24 +58,34 @@ def violations(v: Column, schema: dict, path: Column | None = None) -> Column:
         if "maximum" in schema:
             unless(number <= schema["maximum"], "maximum")
     if kind == "array":
-        items = F.try_variant_get(v, "$", "array<variant>")
-        if "minItems" in schema:
-            unless(F.size(items) >= schema["minItems"], "minItems")
-        if "maxItems" in schema:
-            unless(F.size(items) <= schema["maxItems"], "maxItems")
-        if "items" in schema:
-            inner = lambda e, i: violations(e, schema["items"], F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))
-            found.append(F.flatten(F.transform(items, inner)))
+        inner = lambda e, i: _violations(e, schema["items"], F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))
+
+        def of_items(items: Column) -> Column:
+            parts = [none]
+            if "minItems" in schema:
+                parts.append(F.when(F.size(items) >= schema["minItems"], none).otherwise(one("minItems")))
+            if "maxItems" in schema:
+                parts.append(F.when(F.size(items) <= schema["maxItems"], none).otherwise(one("maxItems")))
+            if "items" in schema:
+                parts.append(F.flatten(F.transform(items, inner)))
+            return F.concat(*parts)
+
+        found.append(_let(F.try_variant_get(v, "$", "array<variant>"), of_items))
     if kind == "object":
         fields = schema.get("properties", {})
-        held = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-        for name in sorted(set(schema.get("required", [])) | set(fields)):
-            where, value = F.concat(at, F.lit(f".{name}")), F.try_variant_get(v, f"$['{name}']", "variant")
-            missing = one("required", where) if name in schema.get("required", []) else none
-            found.append(F.when(~F.array_contains(held, name), missing).otherwise(violations(value, fields.get(name, {}), where)))
-        if schema.get("additionalProperties") is False:
-            extra = F.filter(held, lambda k: ~k.isin(*fields)) if fields else held
-            found.append(F.transform(extra, lambda k: F.struct(F.concat(at, F.lit("."), k).alias("path"), F.lit("additionalProperties").alias("rule"))))
+
+        def of_fields(held: Column) -> Column:
+            parts = [none]
+            for name in sorted(set(schema.get("required", [])) | set(fields)):
+                where, value = F.concat(at, F.lit(f".{name}")), F.try_variant_get(v, f"$['{name}']", "variant")
+                missing = one("required", where) if name in schema.get("required", []) else none
+                parts.append(F.when(~F.array_contains(held, name), missing).otherwise(violations(value, fields.get(name, {}), where)))
+            if schema.get("additionalProperties") is False:
+                extra = F.filter(held, lambda k: ~k.isin(*fields)) if fields else held
+                parts.append(F.transform(extra, lambda k: F.struct(F.concat(at, F.lit("."), k).alias("path"), F.lit("additionalProperties").alias("rule"))))
+            return F.concat(*parts)
+
+        found.append(_let(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), of_fields))
     inside = F.concat(*found) if found else none
     if kind is not None:
         inside = F.when(F.schema_of_variant(v).rlike(KINDS[kind]), inside).otherwise(one("type"))
