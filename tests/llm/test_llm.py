@@ -787,6 +787,36 @@ def test_spans_at_the_edges_of_long_stretches(monkeypatch):
         assert pii.added_spans(None, [text], [[]]) == [want] and len(want) == 3
 
 
+def test_every_position_of_a_text_is_decoded(monkeypatch):
+    seen, text = [], "call john at example.com or mary (at) host.org now " + "plain words only, " * 700
+
+    def tags(tagger, parts):
+        seen.extend(parts)
+        out = [np.zeros(len(p), np.int64) for p in parts]
+        for t, p in zip(out, parts):
+            for m in re.finditer(r"john at example|mary \(at\) host", p):
+                t[m.start() : m.end()] = 2
+        return out
+
+    monkeypatch.setattr(pii, "decode", tags)
+    found = pii.added_spans(None, [text, ""], [[], []])
+    assert [text[s:e] for s, _, e in found[0]] == ["john at example.com", "mary (at) host.org"] and found[1] == []
+    assert sum(map(len, seen)) >= len(text) and all(text[k : k + pii.WINDOW] in "\0".join(seen) for k in range(0, len(text), 50))
+
+
+@pytest.mark.parametrize("scale", [0.2, 1, 3, 8])
+def test_fast_scores_and_paths_equal_the_plain_ones(scale):
+    rng, t = np.random.default_rng(3), pii.Tagger()
+    for k in ("A", "s", "O", "o"):
+        t.w[k] = (rng.standard_normal(t.w[k].shape) * scale).astype(np.float32)
+    t.w["o"][0] += 4 * scale
+    ids = rng.integers(0, 99, (5, 64))
+    assert np.allclose(t.scores(ids), t.emissions(ids)[0], atol=1e-4)
+    scores = [t.emissions(rng.integers(0, 99, (1, n)))[0][:, 0] for n in (1, 2, 3, 64, 300, 700)]
+    assert all((a == b).all() for a, b in zip(t.best(scores), t.viterbi(scores), strict=True))
+    assert any(t.outside(e).any() for e in scores) and t.best([]) == []
+
+
 def test_spelt_addresses_are_plausible():
     assert all(pii.plausible(0, t) for t in ("a.b at host dot org", "a [at] b [dot] co [dot] uk", "A@B.COM", "x(at)y(dot)z"))
     assert not any(pii.plausible(0, t) for t in ("at dot", "look at this", "a@b", "1.5"))

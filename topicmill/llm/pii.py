@@ -5,11 +5,13 @@ a bounded sample of windows, the spans that the patterns found there, each also
 in rewritten form (other separators, no country code, other case), so that it
 learns surroundings and shapes rather than the patterns themselves.
 
-All four kinds need a digit, an at sign, or in spelt addresses the word "dot", so
-only text around those is decoded, wherever it stands in a whole text. A stretch is read in overlapping windows;
-their emissions are averaged, central positions counting more, and one Viterbi
-pass over the stretch reconciles them. An added span must be plausible for its
-kind (such as the check digit of a card) and may not touch a base span.
+Every position of a text is decoded. It is read in overlapping windows; their
+emissions are averaged, central positions counting more, and Viterbi reconciles
+them. Where a position's emissions put it outside of all spans whatever stands
+around it, the best path is known to pass there, so it is searched between such
+positions only: the same path. An added span must be plausible for its kind (such
+as the check digit of a card) and may not touch a base span. Windows to train on
+are taken around digits, at signs and the word "dot".
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ SPELT = re.compile(rf"[^\s@()\[\]{{}}]+{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+"
 TRIGGER = re.compile(r"[0-9@]|\bdot\b|\bDOT\b")
 WINDOW, STEP, AROUND, STRETCH = 64, 32, 40, 8192
 SAMPLE = 1500
+#: What a tag that a path can't take there loses.
+SURE = np.float32(1e6)
 Span = tuple[int, int, int]  # start, kind, end
 
 
@@ -87,8 +91,9 @@ def char_ids(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     ids = codes.astype(np.int64) - 32
     wide = np.flatnonzero((codes < 32) | (codes > 126))
-    for k in wide:
-        ids[k] = SPACE_ID if (c := text[k]).isspace() else LETTER_ID if c.isalpha() else OTHER_ID
+    if len(wide):
+        found, places = np.unique(codes[wide], return_inverse=True)
+        ids[wide] = np.array([SPACE_ID if (c := chr(k)).isspace() else LETTER_ID if c.isalpha() else OTHER_ID for k in found.tolist()])[places]
     return ids
 
 
@@ -136,6 +141,67 @@ class Tagger:
         h = np.concatenate([ahead, back[::-1]], axis=2)
         return h @ self.w["O"] + self.w["o"], (x, kf, kb, h)
 
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        """``emissions`` without what training keeps: in place, both directions side by side, the gates by one exp."""
+        h, (n, size) = self.w["fh"].shape[0], ids.shape
+        turn = np.r_[np.full(3 * h, -1), np.full(h, -2)].astype(np.float32)  # tanh(x) is 2 sigmoid(2 x) - 1
+        lead = np.r_[np.zeros(h), np.ones(h), np.zeros(2 * h)].astype(np.float32)
+        tables = np.stack([(self.w["E"] @ self.w[d + "x"] + self.w[d + "c"] + lead) * turn for d in "fb"]).astype(np.float32)
+        inner = np.stack([self.w[d + "h"] * turn for d in "fb"]).astype(np.float32)
+        state, cell = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        z, taken, out = np.empty((2, n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32), np.empty((2, size, n, h), np.float32)
+        turned = np.ascontiguousarray(ids.T)
+        for t in range(size):
+            np.matmul(state, inner, out=z)
+            z[0] += np.take(tables[0], turned[t], axis=0, out=taken, mode="clip")
+            z[1] += np.take(tables[1], turned[size - 1 - t], axis=0, out=taken, mode="clip")
+            with np.errstate(over="ignore"):  # the reciprocal of infinity is the right 0
+                np.exp(z, out=z)
+            z += 1
+            np.reciprocal(z, out=z)
+            z[:, :, 3 * h :] *= 2
+            z[:, :, 3 * h :] -= 1
+            cell *= z[:, :, h : 2 * h]
+            cell += z[:, :, :h] * z[:, :, 3 * h :]
+            state = np.tanh(cell) * z[:, :, 2 * h : 3 * h]
+            out[0, t], out[1, size - 1 - t] = state[0], state[1]
+        found = (out.reshape(2, -1, h) @ self.w["O"].reshape(2, h, TAGS)).sum(axis=0) + self.w["o"]
+        return found.reshape(size, n, TAGS)
+
+    def outside(self, e: np.ndarray) -> np.ndarray:
+        """The positions of emissions that are outside on a best path, whatever the others are.
+
+        Getting to another tag gains at most ``into`` over getting to outside, and what
+        follows it at most ``away``; emissions that tell more than both settle it. After
+        a settled position it is the way from outside alone that counts.
+        """
+        a, s = self.w["A"].astype(np.float64), self.w["s"].astype(np.float64)
+        into, first, after = (a - a[:, :1]).max(axis=0)[1:], (s - s[0])[1:], (a[0] - a[0, 0])[1:]
+        lead = e[:, :1] - e[:, 1:] - np.maximum((a - a[:1]).max(axis=1)[1:], 0) - 1e-3
+        weak, sure = (lead >= after).all(axis=1), (lead >= into).all(axis=1)
+        sure[:1] = weak[:1] = (lead[:1] >= first).all(axis=1)
+        at = np.arange(len(e))
+        return np.maximum.accumulate(np.where(sure, at, -1)) > np.maximum.accumulate(np.where(weak, -1, at))
+
+    def best(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """As ``viterbi``; between two positions that are surely outside the path is found alone."""
+        tags, spans, parts = [np.zeros(len(e), np.int64) for e in scores], [], []
+        for k, e in enumerate(scores):
+            open_ = np.flatnonzero(np.diff(np.r_[0, ~self.outside(e), 0]))
+            for low, high in open_.reshape(-1, 2):
+                low, high = max(0, low - 1), min(len(e), high + 1)  # with the outside positions around
+                spans.append((k, low, high))
+                part = e[low:high].copy()
+                if low:
+                    part[0] = -self.w["s"]
+                    part[0, 1:] -= SURE
+                if high < len(e):
+                    part[-1, 1:] -= SURE
+                parts.append(part)
+        for (k, low, high), own in zip(spans, self.viterbi(parts), strict=True):
+            tags[k][low:high] = own
+        return tags
+
     def _lstm_back(self, x: np.ndarray, d: str, kept: list, grad: np.ndarray, out: dict) -> np.ndarray:
         h = self.w[d + "h"].shape[0]
         dx, dstate, dcell = np.zeros_like(x), np.zeros_like(grad[0]), np.zeros_like(grad[0])
@@ -227,8 +293,14 @@ class Tagger:
         return out
 
 
+def pieces_of(text: str) -> list[tuple[int, int, bool, bool]]:
+    """The whole text, a long one cut with an overlap. Whether a part begins, and ends, it."""
+    n = len(text)
+    return [(s, min(n, s + STRETCH), s == 0, s + STRETCH >= n) for s in range(0, max(1, n - 2 * WINDOW), STRETCH - 2 * WINDOW)] if n else []
+
+
 def stretches(text: str) -> list[tuple[int, int, bool, bool]]:
-    """The parts around digits, at signs and "dot"; long ones are cut with an overlap. Whether a part begins, and ends, one."""
+    """To train on: the parts around digits, at signs and "dot"; long ones are cut with an overlap. Whether a part begins, and ends, one."""
     merged: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         low, high = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
@@ -239,37 +311,42 @@ def stretches(text: str) -> list[tuple[int, int, bool, bool]]:
     return [(s, min(high, s + STRETCH), s == low, s + STRETCH >= high) for low, high in merged for s in range(low, max(low + 1, high - 2 * WINDOW), STRETCH - 2 * WINDOW)]
 
 
-def decode(tagger: Tagger, parts: list[str], batch: int = 1024) -> list[np.ndarray]:
-    """Tags of each stretch: windows every STEP characters, averaged emissions, one Viterbi pass."""
+def decode(tagger: Tagger, parts: list[str], batch: int = 256) -> list[np.ndarray]:
+    """Tags of each part: windows every STEP characters, averaged emissions, and the best path."""
     nearness = 1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])[:, None].astype(np.float32)
-    sums = [np.zeros((len(p), TAGS), np.float32) for p in parts]
-    weights = [np.zeros((len(p), 1), np.float32) for p in parts]
-    places = [(k, s) for k, p in enumerate(parts) for s in range(0, max(1, len(p) - STEP), STEP)]
-    coded = [char_ids(p) for p in parts]
+    # All parts in one row, each padded to whole steps and one window.
+    counts = [max(1, -(-(len(p) - STEP) // STEP)) for p in parts]
+    begins = np.cumsum([0, *[(c + 1) * STEP for c in counts]])
+    row = np.full(begins[-1], PAD_ID, np.int64)
+    for part, low in zip(parts, begins, strict=False):
+        row[low : low + len(part)] = char_ids(part)
+    places = np.concatenate([low + STEP * np.arange(c) for low, c in zip(begins, counts, strict=False)]) if parts else np.zeros(0, np.int64)
+    sums, weights = np.zeros((len(row), TAGS), np.float32), np.zeros((len(row), 1), np.float32)
     for at in range(0, len(places), batch):
         own = places[at : at + batch]
-        ids = np.full((len(own), WINDOW), PAD_ID, np.int64)
-        for row, (k, s) in enumerate(own):
-            piece = coded[k][s : s + WINDOW]
-            ids[row, : len(piece)] = piece
-        scores, _ = tagger.emissions(ids)
-        for row, (k, s) in enumerate(own):
-            n = min(WINDOW, len(parts[k]) - s)
-            sums[k][s : s + n] += scores[:n, row] * nearness[:n]
-            weights[k][s : s + n] += nearness[:n]
-    return tagger.viterbi([a / b for a, b in zip(sums, weights, strict=True)])
+        scores = tagger.scores(row[own[:, None] + np.arange(WINDOW)]) * nearness[:, None]
+        # No two windows begin at one place, so neither their first nor their second halves overlap.
+        for k in (0, 1):
+            half = slice(k * STEP, (k + 1) * STEP)
+            sums.reshape(-1, STEP, TAGS)[own // STEP + k] += scores[half].swapaxes(0, 1)
+            weights.reshape(-1, STEP, 1)[own // STEP + k] += nearness[half]
+    sums /= np.maximum(weights, 1)
+    return tagger.best([sums[low : low + len(p)] for p, low in zip(parts, begins, strict=False)])
 
 
 def tagged(tags: np.ndarray) -> list[Span]:
     """Spans of a tag sequence: a begin, or an inside after another kind, opens one."""
-    out, kind, start = [], -1, 0
-    for t, tag in enumerate([*tags.tolist(), 0]):
-        own = (tag - 1) // 2 if tag else -1
-        if own != kind or (tag and tag % 2):
-            if kind >= 0:
-                out.append((start, kind, t))
-            kind, start = own, t
-    return out
+    out, kind, start, at = [], -1, 0, -1
+    for t in np.flatnonzero(tags).tolist():
+        tag = int(tags[t])
+        own = (tag - 1) // 2
+        if kind >= 0 and (t > at + 1 or own != kind or tag % 2):
+            out.append((start, kind, at + 1))
+            start = t
+        elif kind < 0:
+            start = t
+        kind, at = own, t
+    return [*out, (start, kind, at + 1)] if kind >= 0 else out
 
 
 def plausible(kind: int, text: str) -> bool:
@@ -286,10 +363,10 @@ def plausible(kind: int, text: str) -> bool:
 
 def added_spans(tagger: Tagger, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """What the tagger adds to the base spans of each text."""
-    places = [(row, *part) for row, text in enumerate(texts) for part in stretches(text)]
+    places = [(row, *part) for row, text in enumerate(texts) for part in pieces_of(text)]
     out: list[list[Span]] = [[] for _ in texts]
-    for at in range(0, len(places), 4096):
-        own = places[at : at + 4096]
+    for at in range(0, len(places), 64):
+        own = places[at : at + 64]
         for (row, low, high, first, last), tags in zip(own, decode(tagger, [texts[r][s:e] for r, s, e, _, _ in own]), strict=True):
             for s, kind, e in tagged(tags):
                 # Inner edges of a cut stretch belong to the part beside it, which sees more there.
