@@ -817,6 +817,53 @@ def test_fast_scores_and_paths_equal_the_plain_ones(scale):
     assert any(t.outside(e).any() for e in scores) and t.best([]) == []
 
 
+def odd_tagger(scale, lead):
+    rng, t = np.random.default_rng(4), pii.Tagger()
+    for k in ("A", "s", "O", "o"):
+        t.w[k] = (rng.standard_normal(t.w[k].shape) * scale).astype(np.float32)
+    t.w["o"][0] += lead * scale
+    return t
+
+
+def mixed_texts():
+    rng = random.Random(6)
+    some = ["(555) 123-4567", "joe.b at host dot org", "ann [at] my-host (dot) co.uk", "1 2 3 4", "4111/1111/1111/1111", "a@b.c", "at", "10.0.0", "@", "\u0660\u0663"]
+    texts = ["", "7", "x" * 32 + "5", "1" * 64, "a@" + "b" * 31, " ".join(some) * 9]
+    for n in (10, 60, 400, 3000):
+        texts.append(" ".join(rng.choice(some) if rng.random() < 20 / n else rng.choice(["plain", "words", "here"]) for _ in range(n)))
+    return [*texts, *(texts[-1][k : k + 64] for k in range(0, 640, 16))]
+
+
+@pytest.mark.parametrize(("scale", "lead"), [(0.2, 0), (0.2, 2), (0.2, 6), (1, 1), (1, 3), (3, 2)])
+def test_spans_are_those_of_decoding_every_position(scale, lead):
+    t, texts = odd_tagger(scale, lead), mixed_texts()
+    some = False
+    for text, own, every in zip(texts, pii.decode(t, texts), pii.decode_all(t, texts), strict=True):
+        asked = pii.deciding(text, pii.char_ids(text))
+        held = [x for x in pii.tagged(every) if asked[x[0] : x[2]].any()]
+        assert [x for x in pii.tagged(own) if asked[x[0] : x[2]].any()] == held
+        some |= bool(held)
+    assert some and pii.decode(t, []) == []
+
+
+def test_every_plausible_span_holds_a_deciding_position():
+    for text in [*mixed_texts()[:-40], "x at at y.com", "x at dot dot at y.com", "a(at)b.c at d.e", "me\n( AT )\thost\n[Dot]  org"]:
+        asked = pii.deciding(text, pii.char_ids(text))
+        for low in range(min(300, len(text))):
+            for m in pii.SPELT.finditer(text, low, low + 90):
+                assert asked[m.start() : m.end()].all(), (text, m)
+        for m in re.finditer("[0-9]", text):
+            assert asked[m.start()]
+
+
+def test_windows_are_scored_where_a_span_can_be_only(monkeypatch):
+    t, scored, plain = odd_tagger(0.2, 9), [], pii.Tagger.scores
+    monkeypatch.setattr(pii.Tagger, "scores", lambda self, ids: scored.append(len(ids)) or plain(self, ids))
+    texts = ["only plain words and 7 more, " + "then plain words only, " * 300 for _ in range(20)]
+    assert pii.added_spans(t, texts, [[] for _ in texts]) == [[] for _ in texts]
+    assert sum(scored) < sum(map(len, texts)) / pii.STEP / 10
+
+
 def test_spelt_addresses_are_plausible():
     assert all(pii.plausible(0, t) for t in ("a.b at host dot org", "a [at] b [dot] co [dot] uk", "A@B.COM", "x(at)y(dot)z"))
     assert not any(pii.plausible(0, t) for t in ("at dot", "look at this", "a@b", "1.5"))

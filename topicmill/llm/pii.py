@@ -5,13 +5,19 @@ a bounded sample of windows, the spans that the patterns found there, each also
 in rewritten form (other separators, no country code, other case), so that it
 learns surroundings and shapes rather than the patterns themselves.
 
-Every position of a text is decoded. It is read in overlapping windows; their
-emissions are averaged, central positions counting more, and Viterbi reconciles
-them. Where a position's emissions put it outside of all spans whatever stands
-around it, the best path is known to pass there, so it is searched between such
-positions only: the same path. An added span must be plausible for its kind (such
-as the check digit of a card) and may not touch a base span. Windows to train on
-are taken around digits, at signs and the word "dot".
+Decoding is of whole texts. They are read in overlapping windows; emissions are
+averaged, central positions counting more, and Viterbi reconciles them. An added
+span must be plausible for its kind (such as the check digit of a card) and may
+not touch a base span. Windows to train on are taken around digits, at signs and
+the word "dot".
+
+Every plausible span holds a digit or some of an address as ``SPELT`` has it, so
+what else the tagger marks is never added, and only the tags around these matter.
+Where a position's emissions put it outside of all spans whatever stands around
+it, the best path of the whole text is known to pass there. So windows are scored
+from each digit or address outwards until such a position is met on both sides,
+or the text's end, and the path is searched between them: the spans are those of
+decoding each position (``decode_all``), at whatever distance they begin and end.
 """
 
 from __future__ import annotations
@@ -42,6 +48,9 @@ SPELT = re.compile(rf"[^\s@()\[\]{{}}]+{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+"
 TRIGGER = re.compile(r"[0-9@]|\bdot\b|\bDOT\b")
 WINDOW, STEP, AROUND, STRETCH = 64, 32, 40, 8192
 SAMPLE = 1500
+#: "at" as in ``SPELT``, or a little more than that; the rest of an address after it, and the characters before it.
+AT_NEAR, TAIL = re.compile(r"@|(?<=[\s(\[{])at(?=[\s)\]}])", re.I), re.compile(rf"[\s)\]}}]*[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+", re.I)
+BEFORE, NAMED = re.compile(r"[\s(\[{]"), re.compile(r"[^\s@()\[\]{}]")
 #: What a tag that a path can't take there loses.
 SURE = np.float32(1e6)
 Span = tuple[int, int, int]  # start, kind, end
@@ -106,6 +115,12 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
 
 
+def settled(weak: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Positions from one that is surely outside on, while outside follows on outside."""
+    at = np.arange(len(weak))
+    return np.maximum.accumulate(np.where(sure, at, -1)) > np.maximum.accumulate(np.where(weak, -1, at))
+
+
 class Tagger:
     """Character embeddings, one LSTM each way, emissions, and CRF transitions."""
 
@@ -168,20 +183,32 @@ class Tagger:
         found = (out.reshape(2, -1, h) @ self.w["O"].reshape(2, h, TAGS)).sum(axis=0) + self.w["o"]
         return found.reshape(size, n, TAGS)
 
-    def outside(self, e: np.ndarray) -> np.ndarray:
-        """The positions of emissions that are outside on a best path, whatever the others are.
+    def leads(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where being outside is best: if the tag before is outside, whatever it is, and as a text's first.
 
         Getting to another tag gains at most ``into`` over getting to outside, and what
-        follows it at most ``away``; emissions that tell more than both settle it. After
-        a settled position it is the way from outside alone that counts.
+        follows it at most the row's greatest lead; emissions that tell more than both settle it.
         """
         a, s = self.w["A"].astype(np.float64), self.w["s"].astype(np.float64)
         into, first, after = (a - a[:, :1]).max(axis=0)[1:], (s - s[0])[1:], (a[0] - a[0, 0])[1:]
         lead = e[:, :1] - e[:, 1:] - np.maximum((a - a[:1]).max(axis=1)[1:], 0) - 1e-3
-        weak, sure = (lead >= after).all(axis=1), (lead >= into).all(axis=1)
-        sure[:1] = weak[:1] = (lead[:1] >= first).all(axis=1)
-        at = np.arange(len(e))
-        return np.maximum.accumulate(np.where(sure, at, -1)) > np.maximum.accumulate(np.where(weak, -1, at))
+        return (lead >= after).all(axis=1), (lead >= into).all(axis=1), (lead >= first).all(axis=1)
+
+    def outside(self, e: np.ndarray) -> np.ndarray:
+        """The positions of emissions that are outside on a best path, whatever the others are."""
+        weak, sure, first = self.leads(e)
+        weak[:1] = sure[:1] = first[:1]
+        return settled(weak, sure)
+
+    def between(self, e: np.ndarray, begins: bool, ends: bool) -> np.ndarray:
+        """Emissions of a stretch whose path is outside at its first and last position, but where the text begins and ends."""
+        part = e.copy()
+        if not begins:
+            part[0] = -self.w["s"]
+            part[0, 1:] -= SURE
+        if not ends:
+            part[-1, 1:] -= SURE
+        return part
 
     def best(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """As ``viterbi``; between two positions that are surely outside the path is found alone."""
@@ -191,13 +218,7 @@ class Tagger:
             for low, high in open_.reshape(-1, 2):
                 low, high = max(0, low - 1), min(len(e), high + 1)  # with the outside positions around
                 spans.append((k, low, high))
-                part = e[low:high].copy()
-                if low:
-                    part[0] = -self.w["s"]
-                    part[0, 1:] -= SURE
-                if high < len(e):
-                    part[-1, 1:] -= SURE
-                parts.append(part)
+                parts.append(self.between(e[low:high], low == 0, high == len(e)))
         for (k, low, high), own in zip(spans, self.viterbi(parts), strict=True):
             tags[k][low:high] = own
         return tags
@@ -311,27 +332,120 @@ def stretches(text: str) -> list[tuple[int, int, bool, bool]]:
     return [(s, min(high, s + STRETCH), s == low, s + STRETCH >= high) for low, high in merged for s in range(low, max(low + 1, high - 2 * WINDOW), STRETCH - 2 * WINDOW)]
 
 
+def deciding(text: str, ids: np.ndarray) -> np.ndarray:
+    """The positions of which every plausible span holds one: digits, and all of each address as ``SPELT`` has it."""
+    out = (ids >= ord("0") - 32) & (ids <= ord("9") - 32)
+    for m in AT_NEAR.finditer(text):
+        tail = TAIL.match(text, m.end())
+        if tail:
+            low = m.start()
+            while low and BEFORE.match(text, low - 1):
+                low -= 1
+            while low and NAMED.match(text, low - 1):
+                low -= 1
+            out[low : tail.end()] = True
+    return out
+
+
+class Emissions:
+    """Averaged emissions of texts, scored by windows every STEP characters where they are asked for.
+
+    All texts are in one row, each padded to whole blocks of STEP positions and one window.
+    """
+
+    NEARNESS = 1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])[:, None].astype(np.float32)
+
+    def __init__(self, tagger: Tagger, ids: list[np.ndarray], batch: int = 256):
+        counts = np.array([max(1, -(-(len(own) - STEP) // STEP)) for own in ids], np.int64)
+        self.tagger, self.batch = tagger, batch
+        #: The block that each text begins with, and the positions where it begins and ends.
+        self.firsts = np.r_[0, np.cumsum(counts + 1)]
+        self.begins = self.firsts * STEP
+        self.ends = self.begins[:-1] + np.array([len(own) for own in ids], np.int64)
+        blocks = int(self.firsts[-1])
+        self.row = np.full(blocks * STEP, PAD_ID, np.int64)
+        for own, low, high in zip(ids, self.begins, self.ends, strict=False):
+            self.row[low:high] = own
+        self.means, self.weights = np.zeros((blocks, STEP, TAGS), np.float32), np.zeros((blocks, STEP, 1), np.float32)
+        self.known = np.zeros(blocks, bool)
+        # A window begins in every block but the last of each text.
+        self.due = np.ones(blocks, bool)
+        self.due[self.firsts[1:] - 1] = False
+        self.sums = np.zeros((blocks, STEP, TAGS), np.float32)
+
+    def ask(self, blocks: np.ndarray) -> np.ndarray:
+        """Score all windows on ``blocks``; those of them that were not known."""
+        asked = np.zeros(len(self.known), bool)
+        asked[blocks] = True
+        fresh = np.flatnonzero(asked & ~self.known)
+        self.known |= asked
+        asked[:-1] |= asked[1:]
+        places = np.flatnonzero(asked & self.due)
+        self.due[places] = False
+        for at in range(0, len(places), self.batch):
+            own = places[at : at + self.batch]
+            scores = self.tagger.scores(self.row[own[:, None] * STEP + np.arange(WINDOW)]) * self.NEARNESS[:, None]
+            # No two windows begin at one place, so neither their first nor their second halves overlap.
+            for k in (0, 1):
+                half = slice(k * STEP, (k + 1) * STEP)
+                self.sums[own + k] += scores[half].swapaxes(0, 1)
+                self.weights[own + k] += self.NEARNESS[half]
+        self.means[fresh] = self.sums[fresh] / np.maximum(self.weights[fresh], 1)
+        return fresh
+
+    def of(self, low: int, high: int) -> np.ndarray:
+        return self.means.reshape(-1, TAGS)[low:high]
+
+
+def decode_all(tagger: Tagger, parts: list[str], batch: int = 256) -> list[np.ndarray]:
+    """Tags of each part: the best path over all its emissions."""
+    read = Emissions(tagger, [char_ids(p) for p in parts], batch)
+    read.ask(np.arange(len(read.known)))
+    return tagger.best([read.of(low, high) for low, high in zip(read.begins, read.ends, strict=False)])
+
+
 def decode(tagger: Tagger, parts: list[str], batch: int = 256) -> list[np.ndarray]:
-    """Tags of each part: windows every STEP characters, averaged emissions, and the best path."""
-    nearness = 1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])[:, None].astype(np.float32)
-    # All parts in one row, each padded to whole steps and one window.
-    counts = [max(1, -(-(len(p) - STEP) // STEP)) for p in parts]
-    begins = np.cumsum([0, *[(c + 1) * STEP for c in counts]])
-    row = np.full(begins[-1], PAD_ID, np.int64)
-    for part, low in zip(parts, begins, strict=False):
-        row[low : low + len(part)] = char_ids(part)
-    places = np.concatenate([low + STEP * np.arange(c) for low, c in zip(begins, counts, strict=False)]) if parts else np.zeros(0, np.int64)
-    sums, weights = np.zeros((len(row), TAGS), np.float32), np.zeros((len(row), 1), np.float32)
-    for at in range(0, len(places), batch):
-        own = places[at : at + batch]
-        scores = tagger.scores(row[own[:, None] + np.arange(WINDOW)]) * nearness[:, None]
-        # No two windows begin at one place, so neither their first nor their second halves overlap.
-        for k in (0, 1):
-            half = slice(k * STEP, (k + 1) * STEP)
-            sums.reshape(-1, STEP, TAGS)[own // STEP + k] += scores[half].swapaxes(0, 1)
-            weights.reshape(-1, STEP, 1)[own // STEP + k] += nearness[half]
-    sums /= np.maximum(weights, 1)
-    return tagger.best([sums[low : low + len(p)] for p, low in zip(parts, begins, strict=False)])
+    """As ``decode_all``, but that spans without ``deciding`` positions are left out.
+
+    At first the blocks of deciding positions are scored. Where a stretch that may
+    hold a span and does hold such a position reaches unscored blocks, these follow,
+    twice as many each time, until it ends in positions that are surely outside.
+    """
+    ids = [char_ids(p) for p in parts]
+    read = Emissions(tagger, ids, batch)
+    asked, inside, first = (np.zeros(len(read.row), bool) for _ in range(3))
+    for p, own, low, high in zip(parts, ids, read.begins, read.ends, strict=False):
+        asked[low:high], inside[low:high] = deciding(p, own), True
+    first[read.begins[:-1]] = True
+    before = np.r_[0, np.cumsum(asked)]
+    weak, sure, reach = np.zeros(len(asked), bool), np.zeros(len(asked), bool), 1
+    blocks = np.flatnonzero(asked.reshape(-1, STEP).any(axis=1))
+    while True:
+        fresh = read.ask(blocks)
+        at = (fresh[:, None] * STEP + np.arange(STEP)).ravel()
+        w, s, f = tagger.leads(read.means[fresh].reshape(-1, TAGS))
+        weak[at], sure[at] = np.where(first[at], f, w), np.where(first[at], f, s)
+        known = np.repeat(read.known, STEP) & inside
+        open_ = known & ~settled(weak, sure)
+        starts = np.flatnonzero(open_ & (~np.r_[False, open_[:-1]] | first))
+        ends = np.flatnonzero(open_ & np.r_[~open_[1:] | first[1:], True][: len(open_)]) + 1
+        held = before[ends] > before[starts]
+        starts, ends = starts[held], ends[held]
+        text = np.searchsorted(read.begins, starts, side="right") - 1
+        lefts = np.flatnonzero((starts > read.begins[text]) & ~known[starts - 1])
+        rights = np.flatnonzero((ends < read.ends[text]) & ~np.r_[known, False][ends])
+        wider = [np.arange(max(read.firsts[text[k]], starts[k] // STEP - reach), starts[k] // STEP) for k in lefts]
+        wider += [np.arange(ends[k] // STEP, min(read.firsts[text[k] + 1], ends[k] // STEP + reach)) for k in rights]
+        if not wider:
+            break
+        blocks, reach = np.concatenate(wider), 2 * reach
+    # With the outside positions around.
+    lows, highs = np.maximum(starts - 1, read.begins[text]), np.minimum(ends + 1, read.ends[text])
+    paths = tagger.viterbi([tagger.between(read.of(a, b), a == read.begins[k], b == read.ends[k]) for a, b, k in zip(lows, highs, text, strict=True)])
+    tags = np.zeros(len(read.row), np.int64)
+    for a, b, own in zip(lows, highs, paths, strict=True):
+        tags[a:b] = own
+    return [tags[low:high] for low, high in zip(read.begins, read.ends, strict=False)]
 
 
 def tagged(tags: np.ndarray) -> list[Span]:
