@@ -437,6 +437,35 @@ def test_texts_around_one_passage_meet_by_their_rarest_shingles(spark):
     assert spots and {code[r["code"]] for r in spots} == {7, 100}
 
 
+def test_texts_just_below_the_threshold_become_few_pairs(spark, monkeypatch):
+    rng, given, plain = random.Random(12), [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *rest: given.append(pairs.count()) or plain(pairs, *rest))
+    base, rows = [f"b{i}" for i in range(150)], []
+    for i in range(160):
+        copy = list(base)
+        for at in rng.sample(range(5, 145), rng.choice([1, 2, 3, 3, 4, 4])):
+            copy[at] = f"c{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    sets = {d: five_words(t) for d, t in rows}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in range(a + 1, 160)}
+    pairs = [p for p, x in share.items() if x >= 0.8]
+    assert sum(0.6 < x < 0.8 for x in share.values()) > 5000
+    found = neardup.components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == union(list(sets), pairs)
+    # What is compared in full is mostly near; before, it was most of the pairs above.
+    assert sum(given) < 2 * len(pairs) + 160
+
+
+def test_parity_bits_differ_no_more_than_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (0, 1, 2, 40, 700, 5000)]
+    sets += [np.unique(np.r_[s[: len(s) * 9 // 10], rng.integers(0, 1 << 62, 3).astype(np.uint64)]) for s in sets]
+    bits = neardup.parity_of(sets)
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        assert sum(int(x).bit_count() for x in bits[i] ^ bits[j]) <= len(np.setxor1d(sets[i], sets[j]))
+    assert neardup.parity_of([]).shape == (0, 8) and not neardup.parity_of(sets[:1]).any()
+
+
 # --- hashes of words ---------------------------------------------------------------------------
 
 

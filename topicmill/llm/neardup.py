@@ -12,6 +12,10 @@ The members of a band value are not paired all with all. Each is compared with
 the least one; values whose members are still in different components are then
 gone through with ever more members as partners for the rest, until all of a
 value's members are one component or all have been partners: no pair is lost.
+What members of these values are compared with is held against the similarity
+where they meet (``alike``), so no more than the near ones become pairs: texts
+around one passage are mostly just below it, and would be as many as the square
+of their number.
 
 A value of over ``LARGE`` members that stay apart is no band's doing but a
 passage that its texts share. Its members meet by their rarest shingles instead
@@ -41,6 +45,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 #: One-byte MinHashes of a class, and how many of them a pair needs to be compared exactly.
 SKETCH, LEAST = 80, 44
+#: Bits that tell whether a set has an odd number of shingles of each of so many hash ranges.
+PARITY = 512
 #: Members of one value are dealt to so many tasks; from HEAVY pairs on, those of one class too.
 SALT, HEAVY = 8, 1000
 #: A round has so many times the partners of the one before.
@@ -84,13 +90,23 @@ def bands_of(found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return bands, sketch.view(np.uint64)
 
 
+def parity_of(sets: list[np.ndarray]) -> np.ndarray:
+    """(rows, PARITY / 64) words: bits of two sets differ in no more places than the sets do in shingles."""
+    counts = np.array([len(s) for s in sets], np.int64)
+    if not counts.sum():
+        return np.zeros((len(sets), PARITY // 64), np.uint64)
+    place = np.repeat(np.arange(len(sets)) * PARITY, counts) + (mixed(np.concatenate(sets)) % np.uint64(PARITY)).astype(np.int64)
+    odd = (np.bincount(place, minlength=len(sets) * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sets), PARITY), axis=1).view(np.uint64)
+
+
 def as_lists(values: np.ndarray) -> pa.Array:
     ends = np.arange(0, values.size + 1, values.shape[1]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64).ravel()))
 
 
 def with_prints(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``code`` of the set, its size ``n``, its SimHash ``print``, its ``bands`` and ``sketch`` for each row."""
+    """``doc_id``, ``code`` of the set, its size ``n``, its SimHash ``print``, its ``bands``, ``sketch`` and ``parity`` for each row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -98,11 +114,11 @@ def with_prints(docs: DataFrame) -> DataFrame:
             bands, sketch = bands_of(found, counts)
             prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
             sizes = np.array([len(s) for s in sets], np.int32)
-            columns = [batch.column(0), codes_of(sets), pa.array(sizes), pa.array(prints), as_lists(bands), as_lists(sketch)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "code", "n", "print", "bands", "sketch"])
+            columns = [batch.column(0), codes_of(sets), pa.array(sizes), pa.array(prints), as_lists(bands), as_lists(sketch), as_lists(parity_of(sets))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "code", "n", "print", "bands", "sketch", "parity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, code long, n int, print long, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, code long, n int, print long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def with_codes(docs: DataFrame) -> DataFrame:
@@ -149,21 +165,36 @@ def paired(members: DataFrame, hubs: DataFrame, threshold: float) -> DataFrame:
         # Where a shingle is the first that two sets share, they share no more than what follows it.
         left = F.least(F.col("n") - F.col("at"), hub["n"] - hub["at"])
         near &= F.coalesce(left >= threshold / (1 + threshold) * (F.col("n") + hub["n"]) - 1e-9, F.lit(True))
+        near &= alike(F.col("marks"), hub["marks"], threshold)
     return met.where(near).groupBy(hub["code"].alias("a"), F.col("code").alias("b")).agg((F.max("size") / HEAVY).cast("int").alias("spread"))
 
 
-def sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that share ``LEAST`` one-byte MinHashes."""
-    other = F.zip_with("x", "y", lambda x, y: x.bitwiseXOR(y))
+def marks() -> Column:
+    """What ``alike`` needs of a class."""
+    return F.struct("n", "sketch", "parity")
+
+
+def alike(x: Column, y: Column, threshold: float) -> Column:
+    """Whether two classes share ``LEAST`` one-byte MinHashes, and differ by no more parity bits than the similarity allows shingles.
+
+    Sets of sizes m and n that have the similarity t differ in at most (m + n) (1 - t) / (1 + t) shingles.
+    """
 
     def bytes_set(w: Column) -> Column:
         for k in (4, 2, 1):  # the lowest bit of a byte becomes the union of its eight
             w = w.bitwiseOR(F.shiftrightunsigned(w, k))
         return F.bit_count(w.bitwiseAND(F.lit(0x0101010101010101)))
 
+    odd = sum((F.bit_count(F.get(x["parity"], F.lit(k)).bitwiseXOR(F.get(y["parity"], F.lit(k)))) for k in range(PARITY // 64)), F.lit(0))
+    other = F.zip_with(x["sketch"], y["sketch"], lambda a, b: a.bitwiseXOR(b))
     differing = F.aggregate(other, F.lit(0), lambda n, w: n + bytes_set(w))
-    left, right = classes.select(F.col("code").alias("a"), F.col("sketch").alias("x")), classes.select(F.col("code").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(right, "b").join(left, "a").where(differing <= SKETCH - LEAST).select("a", "b", "spread")
+    return (odd <= (x["n"] + y["n"]) * ((1 - threshold) / (1 + threshold)) + 1e-6) & (differing <= SKETCH - LEAST)
+
+
+def sketched(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that are ``alike``."""
+    left, right = classes.select(F.col("code").alias("a"), marks().alias("x")), classes.select(F.col("code").alias("b"), marks().alias("y"))
+    return pairs.join(right, "b").join(left, "a").where(alike(F.col("x"), F.col("y"), threshold)).select("a", "b", "spread")
 
 
 def sets_named(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
@@ -209,8 +240,7 @@ def rarest(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose sets have ``threshold`` or more in common."""
-    pairs = checkpointed(sketched(pairs, classes))
+    """The pairs whose sets have ``threshold`` or more in common; ``pairs`` are written."""
     sets = sets_named(docs, classes, pairs.select(F.col("a").alias("code")).union(pairs.select(F.col("b").alias("code"))).distinct())
     # A class with many pairs is dealt to several tasks, its set with it.
     copies = pairs.select("a", "spread").distinct().select("a", "spread", F.explode(F.sequence(F.lit(0), "spread")).alias("salt"))
@@ -240,14 +270,14 @@ def components(docs: DataFrame, threshold: float = THRESHOLD, **fitting: int) ->
     where all ids of a group are. Empty tables give none; other columns are not read.
     """
     coded = checkpointed(with_prints(docs))
-    classes = checkpointed(coded.groupBy("code").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "print", "bands", "sketch")]))
+    classes = checkpointed(coded.groupBy("code").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "print", "bands", "sketch", "parity")]))
     some = classes.where("n > 0")
     spots = some.select("code", "n", F.posexplode("bands").alias("band", "value"))
     shared = spots.groupBy("band", "value").agg(F.min(F.struct("code", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
     hubs = checkpointed(shared)
     first = paired(spots, hubs, threshold).union(simhash_pairs(some, **fitting)).groupBy("a", "b").agg(F.max("spread").alias("spread"))
     first = checkpointed(first.where("a <> b"))
-    found = roots(verified(first, docs, classes, threshold))
+    found = roots(verified(checkpointed(sketched(first, classes, threshold)), docs, classes, threshold))
     # Values of more than two members may hold pairs without the least one.
     rest = checkpointed(meet(spots, hubs.where("size > 2").drop("hub"))).withColumns({"at": F.lit(None).cast("int"), "index": F.lit(True)})
     begin, end, named = 0, MORE, ["band", "value", "size", "code", "n", "at", "index"]
@@ -260,10 +290,13 @@ def components(docs: DataFrame, threshold: float = THRESHOLD, **fitting: int) ->
         large = checkpointed(rest.where((F.col("band") >= 0) & (F.col("size") > LARGE)).select("code", "root").distinct())
         if begin == 0 and not large.isEmpty():
             by_shingle = rarest(sets_named(docs, classes, large.select("code")), threshold).join(large, "code")
-            rest = checkpointed(rest.where(F.col("size") <= LARGE).unionByName(by_shingle))
+            rest = rest.where(F.col("size") <= LARGE).unionByName(by_shingle)
+        if begin == 0:
+            rest = checkpointed(rest.join(classes.select("code", marks().alias("marks")), "code"))
+            named.append("marks")
         turn = F.pmod(F.xxhash64("code", "band"), F.lit(1 << 40)) * F.col("size") / (1 << 40)
         members = rest.withColumn("partner", F.col("index") & (turn >= begin) & (turn < end))
-        partners = members.where("partner").select("band", "value", "size", F.struct("code", "n", "root", "at").alias("hub"))
+        partners = members.where("partner").select("band", "value", "size", F.struct("code", "n", "root", "at", "marks").alias("hub"))
         more = checkpointed(paired(members, partners, threshold).join(first, ["a", "b"], "left_anti"))
         rest = rest.drop("root")
         new = checkpointed(verified(more, docs, classes, threshold))
