@@ -456,6 +456,28 @@ def test_texts_just_below_the_threshold_become_few_pairs(spark, monkeypatch):
     assert sum(given) < 2 * len(pairs) + 160
 
 
+def test_small_tables_are_not_read_by_a_task_for_each_partition(spark):
+    rows = [(i, " ".join([*(f"p{i % 2}w{w}" for w in range(60)), *(f"t{i}w{w}" for w in range(i % 3 * 4))])) for i in range(90)]
+    frame, parts = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), 24
+    few = {r["doc_id"]: r["component_id"] for r in neardup.components(frame).collect()}
+    given = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in given}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("many partitions", "")
+        assert {r["doc_id"]: r["component_id"] for r in neardup.components(frame).collect()} == few
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("many partitions") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    # With a checkpoint for each table it was 72 tasks a partition.
+    assert 0 < tasks < 40 * parts, tasks / parts
+
+
 def test_parity_bits_differ_no_more_than_sets():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (0, 1, 2, 40, 700, 5000)]

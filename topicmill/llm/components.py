@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,23 +66,23 @@ def contracted(links: DataFrame) -> DataFrame:
     return links.mapInArrow(contract, "a long, b long")
 
 
-def roots(links: DataFrame, rounds: int = 60) -> DataFrame:
+def roots(links: DataFrame, rounds: int = 60, keep: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """``node`` and ``root``, the least node that it reaches, for every node of ``links`` (a, b) but the roots.
 
     Each round is one distributed pass over the links and ends in a checkpoint;
     rounds grow with the logarithm of the longest path. They end when all links
     are stars, which one row at most tells the driver. What each task's contraction
     leaves is counted first: ``MOST`` links or fewer are one task's and need no round.
-    No links, no rows.
+    ``keep`` writes what is read again. No links, no rows.
     """
     turned = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     ordered = lambda df: turned(df).distinct()
-    links = checkpointed(contracted(turned(links)))
+    links = keep(contracted(turned(links)))
     if links.count() <= MOST:
-        return checkpointed(contracted(links.coalesce(1))).select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return keep(contracted(links.coalesce(1))).select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(rounds):
         ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(links.select(F.col("b").alias("node"), F.lit(0).alias("up")))
         if ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 OR (ups = 1 AND least = 0)").isEmpty():
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        links = checkpointed(contracted(ordered(_small_star(ordered(_large_star(links))))))
+        links = keep(contracted(ordered(_small_star(ordered(_large_star(links))))))
     raise RuntimeError(f"components did not settle in {rounds} rounds")

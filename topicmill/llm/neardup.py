@@ -24,6 +24,10 @@ n - ceil(t n) + 1 of each in any order, and even among the first
 n - ceil(2 t n / (1 + t)) + 1 of the smaller one. Frequent shingles come last in
 that order, so texts meet by a shared passage only where it is long enough to
 make them similar. This loses no pair either.
+
+What the passes leave is ``stored``, not checkpointed: most tables are small, and Parquet
+files are read several by one task, where each partition of a checkpoint takes
+one, with shuffle files of its own; small ones are also broadcast by their true size.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, if_few, small_batches
+from .common import checkpointed, if_few, small_batches, stored
 from .components import roots
 from .hashing import mixed, shingle_hashes, word_hashes
 from .simhash import fit, links, majority, one_of_each
@@ -151,15 +155,15 @@ def meet(members: DataFrame, values: DataFrame) -> DataFrame:
     return members.withColumn("salt", F.pmod(F.xxhash64("code"), F.lit(SALT)).cast("int")).join(dealt, ["band", "value", "salt"]).drop("salt")
 
 
-def paired(members: DataFrame, hubs: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of each member with the ``hub`` structs of its value, if their sizes allow the similarity.
+def paired(met: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of the members ``met`` with the ``hub`` structs of their values, if their sizes allow the similarity.
 
     ``spread`` tells over how many tasks a hub's pairs are dealt later.
     """
     hub = F.col("hub")
-    met = meet(members.drop("size"), hubs).where(F.col("code") != hub["code"])
+    met = met.where(F.col("code") != hub["code"])
     near = F.least("n", hub["n"]) >= threshold * F.greatest("n", hub["n"]) - 1e-9
-    if "partner" in members.columns:
+    if "partner" in met.columns:
         # Of two partners, the one of the lesser code is the hub.
         met = met.where(F.col("root") != hub["root"]).where(~F.col("partner") | (F.col("code") > hub["code"]))
         # Where a shingle is the first that two sets share, they share no more than what follows it.
@@ -199,9 +203,9 @@ def sketched(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFram
 
 def sets_named(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
     """``code`` and ``shingles`` of the classes whose codes are ``asked``, from the text of each one's least id."""
-    ids = checkpointed(classes.join(asked, "code").select(F.col("least").alias("id")).distinct())
+    ids = stored(classes.join(asked, "code").select(F.col("least").alias("id")).distinct())
     texts = docs.select("doc_id", "text")
-    return checkpointed(with_sets(texts.join(if_few(ids), texts["doc_id"].eqNullSafe(F.col("id")), "left_semi")).join(asked, "code", "left_semi"))
+    return stored(with_sets(texts.join(if_few(ids), texts["doc_id"].eqNullSafe(F.col("id")), "left_semi")).join(asked, "code", "left_semi"))
 
 
 def rarest(sets: DataFrame, threshold: float) -> DataFrame:
@@ -212,8 +216,14 @@ def rarest(sets: DataFrame, threshold: float) -> DataFrame:
     The order of shingles is one for all sets: by value, then the ``ORDERED`` most frequent
     ones by frequency. Any order loses no pair, so ``ORDERED`` bounds what tasks are sent only.
     """
-    every = sets.select(F.explode("shingles").alias("value"))
-    often = every.groupBy("value").agg(F.count("*").alias("often")).where(F.col("often") > OFTEN).orderBy(F.desc("often"), "value").limit(ORDERED).collect()
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            value, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(n, pa.int64())], ["value", "n"])
+
+    every = sets.select("shingles").mapInArrow(tally, "value long, n long")
+    often = every.groupBy("value").agg(F.sum("n").alias("often")).where(F.col("often") > OFTEN).orderBy(F.desc("often"), "value").limit(ORDERED).collect()
     named = np.array([r["value"] for r in often], np.int64)
     order = np.argsort(named)
     known, place = named[order], len(named) - order
@@ -270,41 +280,44 @@ def components(docs: DataFrame, threshold: float = THRESHOLD, **fitting: int) ->
     where all ids of a group are. Empty tables give none; other columns are not read.
     """
     coded = checkpointed(with_prints(docs))
-    classes = checkpointed(coded.groupBy("code").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "print", "bands", "sketch", "parity")]))
+    classes = stored(coded.groupBy("code").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "print", "bands", "sketch", "parity")]))
     some = classes.where("n > 0")
     spots = some.select("code", "n", F.posexplode("bands").alias("band", "value"))
     shared = spots.groupBy("band", "value").agg(F.min(F.struct("code", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    hubs = checkpointed(shared)
-    first = paired(spots, hubs, threshold).union(simhash_pairs(some, **fitting)).groupBy("a", "b").agg(F.max("spread").alias("spread"))
-    first = checkpointed(first.where("a <> b"))
-    found = roots(verified(checkpointed(sketched(first, classes, threshold)), docs, classes, threshold))
+    # Written, as the rounds below start from it too.
+    met = stored(meet(spots, shared))
+    first = paired(met, threshold).union(simhash_pairs(some, **fitting)).groupBy("a", "b").agg(F.max("spread").alias("spread"))
+    first = stored(first.where("a <> b"))
+    found = roots(verified(stored(sketched(first, classes, threshold)), docs, classes, threshold), keep=stored)
     # Values of more than two members may hold pairs without the least one.
-    rest = checkpointed(meet(spots, hubs.where("size > 2").drop("hub"))).withColumns({"at": F.lit(None).cast("int"), "index": F.lit(True)})
+    rest = met.where("size > 2").drop("hub").withColumns({"at": F.lit(None).cast("int"), "index": F.lit(True)})
     begin, end, named = 0, MORE, ["band", "value", "size", "code", "n", "at", "index"]
     while True:
-        rooted = checkpointed(rest.join(found, F.col("code") == F.col("node"), "left").select(*named, F.coalesce("root", "code").alias("root")))
+        rooted = stored(rest.join(found, F.col("code") == F.col("node"), "left").select(*named, F.coalesce("root", "code").alias("root")))
         split = rooted.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
-        rest = checkpointed(meet(rooted.where(F.col("size") > begin), split))
+        rest = stored(meet(rooted.where(F.col("size") > begin), split))
         if rest.isEmpty():
             break
-        large = checkpointed(rest.where((F.col("band") >= 0) & (F.col("size") > LARGE)).select("code", "root").distinct())
+        large = stored(rest.where((F.col("band") >= 0) & (F.col("size") > LARGE)).select("code", "root").distinct())
         if begin == 0 and not large.isEmpty():
             by_shingle = rarest(sets_named(docs, classes, large.select("code")), threshold).join(large, "code")
             rest = rest.where(F.col("size") <= LARGE).unionByName(by_shingle)
         if begin == 0:
-            rest = checkpointed(rest.join(classes.select("code", marks().alias("marks")), "code"))
+            rest = stored(rest.join(classes.select("code", marks().alias("marks")), "code"))
             named.append("marks")
         turn = F.pmod(F.xxhash64("code", "band"), F.lit(1 << 40)) * F.col("size") / (1 << 40)
         members = rest.withColumn("partner", F.col("index") & (turn >= begin) & (turn < end))
         partners = members.where("partner").select("band", "value", "size", F.struct("code", "n", "root", "at", "marks").alias("hub"))
-        more = checkpointed(paired(members, partners, threshold).join(first, ["a", "b"], "left_anti"))
+        more = stored(paired(meet(members.drop("size"), partners), threshold).join(first, ["a", "b"], "left_anti"))
         rest = rest.drop("root")
-        new = checkpointed(verified(more, docs, classes, threshold))
+        begin, end = end, end * MORE
+        if more.isEmpty():
+            continue
+        new = stored(verified(more, docs, classes, threshold))
         if not new.isEmpty():
             # A component is a star by now: new links join stars.
-            found = roots(found.toDF("a", "b").union(new))
-        begin, end = end, end * MORE
-    rooted = checkpointed(classes.join(found, classes["code"] == found["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root")))
+            found = roots(found.toDF("a", "b").union(new), keep=stored)
+    rooted = stored(classes.join(found, classes["code"] == found["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return coded.select("doc_id", "code").join(rooted.select("code", "root").join(least, "root"), "code").select("doc_id", "code", "root", "component_id")
 
